@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import decontamination, jaccard_join, language_id, packing, pii_crf, token_store, topk_search
+from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, packing, pii_crf, token_store, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,24 @@ def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.report(_table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold the template's own marks.
+ESCAPES = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op4_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_trees.report(rows.unionByName(spark.createDataFrame(ESCAPES, "conv_id long, turn long, role string, text string")))
+
+
+OP4_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+      sum(15 + length(role) + length(regexp_replace(text, '[\\#<]', '..', 'g'))) AS n FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM a"""
+
+
 def op5_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(_table(spark, sf_dir, "documents"))
 
@@ -82,8 +100,8 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(low) AS low
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op5_byte_cnn_language_id, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op4_reply_tree_chat, op5_byte_cnn_language_id, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op7_segment_top_k": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_reply_tree_chat": OP4_SQL, "op7_segment_top_k": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
