@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, packing, pii_crf, token_store, topk_search
+from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, line_templates, packing, pii_crf, token_store, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold the template's own marks.
 ESCAPES = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
@@ -100,7 +104,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(low) AS low
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op4_reply_tree_chat, op5_byte_cnn_language_id, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op3_line_templates, op4_reply_tree_chat, op5_byte_cnn_language_id, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
