@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, line_templates, packing, pii_crf, token_store, topk_search
+from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, licenses, line_templates, packing, pii_crf, token_store, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op5_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -104,8 +108,8 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(low) AS low
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op3_line_templates, op4_reply_tree_chat, op5_byte_cnn_language_id, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op3_line_templates, op4_reply_tree_chat, op5_byte_cnn_language_id, op6_license_digests, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op4_reply_tree_chat": OP4_SQL, "op7_segment_top_k": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_reply_tree_chat": OP4_SQL, "op6_license_digests": licenses.SQL, "op7_segment_top_k": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
