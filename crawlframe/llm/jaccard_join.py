@@ -42,7 +42,7 @@ SLICE_BITS = 15
 SALT_ROWS = 1000
 #: A side of a join below so many bytes may be broadcast.
 BROADCAST_BYTES = 16_000_000
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
