@@ -1,9 +1,43 @@
 """All registered queries and their SQL twins."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+import importlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("text_queries", "backlink_queries", "graph_queries", "keyword_queries", "event_queries", "page_queries", "site_queries", "stream_queries", "io_queries")
+
+
+def query(sql: str | None = None):
+    """Register a query ``(spark, sf_dir) -> DataFrame`` under its function's name, with its SQL if there is one."""
+
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"crawlframe.plans.{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
