@@ -34,8 +34,10 @@ def tfidf(docs: DataFrame, frequent: int = 50, best: int = 10) -> DataFrame:
 
 def top_terms(docs: DataFrame, terms: Column, n: int, k: int) -> DataFrame:
     """The most frequent n-grams of each document's terms, with their share in percent; ties by first occurrence."""
-    size = F.size("t")
-    grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams, size = F.col("t"), F.size("t")
+    for i in range(1, n):  # zipped with itself moved by i, so no lambda holds the array
+        grams = F.zip_with(grams, F.slice("t", F.lit(i + 1), F.greatest(F.lit(0), size - i)), lambda x, y: F.concat_ws(" ", x, y))
+    grams = F.slice(grams, F.lit(1), F.greatest(F.lit(0), size - (n - 1)))
     based = docs.select("doc_id", terms.alias("t")).select("doc_id", "t", grams.alias("g"))
     counts = term_counts(based.withColumn("text", F.lit("")), F.col("g"))
     return top_k(counts, ["doc_id"], [F.desc("n"), F.asc("first")], k).select("doc_id", "rank", "term", F.col("n").alias("count"), rnd(F.col("n") / F.col("total") * 100.0, 3).alias("pct"))

@@ -1 +1,106 @@
-"""Registered queries."""
+"""Queries over the keyword view."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crawlframe.functions.common import rnd, rnd_sql, top_k
+from crawlframe.operators import keywords as K
+from crawlframe.plans.adapters import KEYWORDS, keywords
+from crawlframe.plans.registry import query
+
+THRESHOLD = 0.6
+
+
+def _strip(x: str, suffixes) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({x}, '{s}') AND length({x}) - {len(s)} >= 3 THEN left({x}, length({x}) - {len(s)})" for s in suffixes) + f" ELSE {x} END"
+
+
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(keyword)), 'ё', 'е'), '[_/\\|]+', ' ', 'g'), '[^\p{L}\p{N}\s-]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_D1 = f"""{KEYWORDS}, k1 AS (SELECT {_NORM} AS norm, count(*) AS occurrences, sum(CASE WHEN frequency < 0 THEN 0.0 ELSE least(coalesce(frequency, 1.0), 1e9) END) AS demand, min_by(trim(keyword), pos) AS display, min(pos) AS pos
+ FROM kw WHERE trim(keyword) <> '' GROUP BY 1 HAVING norm <> '')"""
+_STOP = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
+_STEM = f"list_transform(tokens, lambda x: CASE WHEN length(x) <= 3 THEN x ELSE {_strip('(' + _strip('x', K.RU_SUFFIXES) + ')', K.EN_SUFFIXES)} END)"
+_E = f"""{_D1}, e1 AS (SELECT *, list_filter(string_split(norm, ' '), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS kept, replace(norm, ' ', '') AS compact FROM k1),
+e2 AS (SELECT *, list_sort(list_distinct(CASE WHEN len(kept) > 0 THEN kept ELSE string_split(norm, ' ') END)) AS tokens, CASE WHEN length(compact) >= 5 THEN 3 ELSE 2 END AS n FROM e1),
+e AS (SELECT norm, occurrences, demand, display, pos, tokens, list_sort(list_distinct({_STEM})) AS stems,
+ list_sort(list_distinct(CASE WHEN length(compact) <= n THEN [compact] ELSE list_transform(range(1, length(compact) - n + 2), lambda i: substr(compact, i, n)) END)) AS ngrams FROM e2)"""
+_SIM = "both_ * 1.0 / (na + nb - both_)"
+_PAIRS = f"""s AS (SELECT norm, unnest(stems) AS stem FROM e), rare AS (SELECT stem FROM s GROUP BY stem HAVING count(*) <= (SELECT greatest(5, floor(count(*) * 0.05)) FROM e)),
+pr AS (SELECT DISTINCT x.norm AS a, y.norm AS b FROM s x JOIN s y ON x.stem = y.stem AND x.norm < y.norm WHERE x.stem IN (SELECT stem FROM rare)),
+sc AS (SELECT a, b, CAST(len(list_intersect(ea.stems, eb.stems)) AS DOUBLE) / (len(ea.stems) + len(eb.stems) - len(list_intersect(ea.stems, eb.stems))) AS st,
+ CAST(len(list_intersect(ea.ngrams, eb.ngrams)) AS DOUBLE) / (len(ea.ngrams) + len(eb.ngrams) - len(list_intersect(ea.ngrams, eb.ngrams))) AS ch FROM pr JOIN e ea ON ea.norm = a JOIN e eb ON eb.norm = b),
+pairs AS (SELECT a, b, {rnd_sql("least(1.0, st * 0.82::DOUBLE + ch * 0.18::DOUBLE + CASE WHEN st > 0 AND ch > 0 THEN 0.03::DOUBLE ELSE 0.0 END)", 6)} AS sim FROM sc WHERE sim >= {THRESHOLD})"""
+
+
+def entries(spark, sf_dir) -> DataFrame:
+    return K.entries(K.dedupe(keywords(spark, sf_dir)))
+
+
+@query(f"WITH {_D1} SELECT * FROM k1")
+def d1_keyword_dedupe(spark, sf_dir):
+    return K.dedupe(keywords(spark, sf_dir))
+
+
+@query(f"WITH {_E} SELECT norm, array_to_string(tokens, ' ') AS tokens, array_to_string(stems, ' ') AS stems, array_to_string(ngrams, ' ') AS ngrams FROM e")
+def b14_keyword_entries(spark, sf_dir):
+    """Tokens, stems and character n-grams of each keyword."""
+    return entries(spark, sf_dir).select("norm", *[F.array_join(c, " ").alias(c) for c in ("tokens", "stems", "ngrams")])
+
+
+_WORDS = ", ".join(f"('{k}', '{w}')" for k, ws in K.INTENTS.items() for w in ws)
+
+
+@query(
+    f"""WITH {_E}, s AS (SELECT norm, unnest(stems) AS stem FROM e), d(label, word) AS (VALUES {_WORDS}),
+p AS (SELECT norm, stem, label, max(CASE WHEN stem = word THEN 2 ELSE 1 END) AS p FROM s JOIN d ON starts_with(stem, word) OR starts_with(word, stem) GROUP BY 1, 2, 3),
+q AS (SELECT norm, label, sum(p) AS p FROM p GROUP BY 1, 2), r AS (SELECT norm, label, row_number() OVER (PARTITION BY norm ORDER BY p DESC, label) AS r FROM q)
+SELECT e.norm, coalesce(label, 'mixed') AS intent FROM e LEFT JOIN r ON r.norm = e.norm AND r = 1"""
+)
+def b15_keyword_intent(spark, sf_dir):
+    return K.intents(entries(spark, sf_dir))
+
+
+@query(f"WITH {_E}, {_PAIRS} SELECT * FROM pairs")
+def c11_similar_keywords(spark, sf_dir):
+    return K.similar_pairs(entries(spark, sf_dir), THRESHOLD)
+
+
+def _grouped(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    pairs = K.similar_pairs(e, THRESHOLD)
+    return e, pairs, K.groups(e, pairs)
+
+
+@query()
+def i5_keyword_groups(spark, sf_dir):
+    """Every keyword in one group; tested by invariants and a plain greedy pass."""
+    return _grouped(spark, sf_dir)[2]
+
+
+@query()
+def d26_group_summary(spark, sf_dir):
+    e, pairs, assigned = _grouped(spark, sf_dir)
+    return K.group_summary(e, assigned, pairs)
+
+
+@query()
+def e7_group_representatives(spark, sf_dir):
+    e, _, assigned = _grouped(spark, sf_dir)
+    return K.representatives(e, assigned)
+
+
+@query(f"WITH {_D1} SELECT norm, demand, {rnd_sql('demand / sum(demand) OVER () * 100.0', 4)} AS share FROM k1")
+def e6_demand_share(spark, sf_dir):
+    """Share of each keyword in all demand."""
+    k = K.dedupe(keywords(spark, sf_dir))
+    total = F.broadcast(k.agg(F.sum("demand").alias("total")))
+    return k.crossJoin(total).select("norm", "demand", rnd(F.col("demand") / F.col("total") * 100.0, 4).alias("share"))
+
+
+@query(f"WITH {_D1} SELECT display, demand, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY demand DESC, length(display), display) AS rank FROM k1) WHERE rank <= 100")
+def f1_top_keywords(spark, sf_dir):
+    """A report of the hundred most wanted keywords."""
+    k = K.dedupe(keywords(spark, sf_dir))
+    return top_k(k, [], [F.desc("demand"), F.length("display").asc(), F.asc("display")], 100).select("display", "demand", "rank")
