@@ -75,10 +75,13 @@ def _overlap(a: Column, b: Column, method: str) -> Column:
     return both / (na + nb - both)
 
 
-def similar_pairs(e: DataFrame, threshold: float, method: str = "jaccard") -> DataFrame:
-    """``(a, b, sim)``, a < b: pairs that share a stem of at most max(5, 5 %) of the keywords, by stems and n-grams."""
+def similar_pairs(e: DataFrame, threshold: float, method: str = "jaccard", frequent: float = 0.05) -> DataFrame:
+    """``(a, b, sim)``, a < b: pairs by stems and n-grams.
+
+    They must share a stem of at most five, or the frequent share, of the keywords: that cut is part of the definition.
+    """
     s = e.select("norm", F.explode("stems").alias("stem"))
-    cut = F.broadcast(e.agg(F.greatest(F.lit(5), F.floor(F.count("*") * 0.05)).alias("cut")))
+    cut = F.broadcast(e.agg(F.greatest(F.lit(5), F.floor(F.count("*") * frequent)).alias("cut")))
     rare = s.groupBy("stem").agg(F.count("*").alias("df")).crossJoin(cut).where("df <= cut").select("stem")
     s = s.join(rare, "stem")
     pairs = s.select(F.col("norm").alias("a"), "stem").join(s.select(F.col("norm").alias("b"), "stem"), "stem").where("a < b").select("a", "b").distinct()

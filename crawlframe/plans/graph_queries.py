@@ -98,10 +98,10 @@ def d21_pipeline_metrics(spark, sf_dir):
 
 HOPS = """hp AS (SELECT '/o/' || o_orderkey AS "from", CASE WHEN o_orderkey = 7 THEN '/o/14' WHEN o_orderkey % 2 = 0 THEN '/o/' || (o_orderkey // 2) END AS "to", CASE o_orderstatus WHEN 'F' THEN 301 WHEN 'O' THEN 302 ELSE 308 END AS status
  FROM orders WHERE o_orderkey > 0 AND (o_orderkey = 7 OR o_orderkey % 2 = 0))"""
-_CHAIN = f"""WITH RECURSIVE {HOPS}, w(start, at, path, codes, loop) AS (SELECT "from", "from", ["from"], CAST([] AS INTEGER[]), FALSE FROM hp
- UNION ALL SELECT start, "to", list_append(path, "to"), list_append(codes, status), list_contains(path, "to") FROM w JOIN hp ON hp."from" = w.at WHERE NOT loop AND len(codes) < 30),
-ch AS (SELECT start, len(codes) AS hops, at AS final, loop, array_to_string(codes, '>') AS statuses, list_contains(codes, 301) OR list_contains(codes, 308) AS permanent, list_contains(codes, 302) AS temporary
- FROM w WHERE loop OR NOT EXISTS (SELECT 1 FROM hp WHERE hp."from" = w.at))"""
+_CHAIN = f"""WITH RECURSIVE {HOPS}, w(start, here, path, codes, loop) AS (SELECT "from", "from", ["from"], CAST([] AS INTEGER[]), FALSE FROM hp
+ UNION ALL SELECT start, "to", list_append(path, "to"), list_append(codes, status), list_contains(path, "to") FROM w JOIN hp ON hp."from" = w.here WHERE NOT loop AND len(codes) < 30),
+ch AS (SELECT start, len(codes) AS hops, here AS final, loop, array_to_string(codes, '>') AS statuses, list_contains(codes, 301) OR list_contains(codes, 308) AS permanent, list_contains(codes, 302) AS temporary
+ FROM w WHERE loop OR NOT EXISTS (SELECT 1 FROM hp WHERE hp."from" = w.here))"""
 
 
 def hops(spark, sf_dir) -> DataFrame:

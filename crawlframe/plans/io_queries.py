@@ -1 +1,103 @@
-"""Registered queries."""
+"""Queries that write one of the views in an exchange format and read it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlframe.functions.common import rnd, rnd_sql
+from crawlframe.plans.adapters import BACKLINKS, KEYWORDS, backlinks, keywords
+from crawlframe.plans.event_queries import VITALS, vitals
+from crawlframe.plans.registry import query, table
+from crawlframe.plans.site_queries import _SITEMAP, sitemap_urls
+from crawlframe.sources import readers as R
+from crawlframe.sources import sinks as W
+from crawlframe.sources.scratch import scratch_path
+
+def _export(links):
+    """The view under the headers of an export, numbers with decimal commas."""
+    return links.select(F.col("source_url").alias("Referring page URL"), F.col("target_url").alias("Target URL"), F.regexp_replace(F.col("dr").cast("string"), r"\.", ",").alias("Domain rating"), F.when(F.col("follow"), "dofollow").otherwise("nofollow").alias("Type"), F.col("http_code").alias("Referring page HTTP code"))
+
+
+@query(f"WITH {BACKLINKS} SELECT source_url, target_url, dr, coalesce(follow, FALSE) AS follow, nullif(http_code, '') AS http_code FROM bl")
+def a1_backlink_export(spark, sf_dir):
+    """A backlink export with foreign headers, written as CSV and read back through the alias table."""
+    path = scratch_path(spark, "export")
+    _export(backlinks(spark, sf_dir)).write.csv(path, header=True, sep=";")
+    got = R.pick_fields(R.read_export(spark, path, sep=";"), {k: R.ALIASES[k] for k in ("source_url", "target_url", "dr", "follow", "http_code")})
+    return got.select("source_url", "target_url", R.number(F.col("dr")).alias("dr"), R.flag(F.col("follow")).alias("follow"), "http_code")
+
+
+@query(f"WITH {BACKLINKS} SELECT link_id % 2 AS part, source_url, dr, CASE WHEN link_id % 2 = 0 THEN anchor END AS anchor FROM bl")
+def g1_union_of_exports(spark, sf_dir):
+    """Two exports with different columns as one table, with the part each row came from."""
+    links = backlinks(spark, sf_dir)
+    a = links.where("link_id % 2 = 0").select(F.lit(0).cast("long").alias("part"), "source_url", "dr", "anchor")
+    b = links.where("link_id % 2 = 1").select(F.lit(1).cast("long").alias("part"), "source_url", "dr")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query(f"WITH {BACKLINKS} SELECT link_id, coalesce(nullif(trim(source_url), ''), NULL) AS source_url, dr, CAST(NULL AS VARCHAR) AS lost FROM bl")
+def b6_alias_pick(spark, sf_dir):
+    """Fields from whichever header is there; null where none is."""
+    raw = backlinks(spark, sf_dir).select(F.col("link_id").cast("string").alias("link_id"), F.lit("").alias("source_url"), F.col("source_url").alias("Referring Page URL"), F.col("dr").cast("string").alias("Domain Rating"))
+    got = R.pick_fields(raw, {"link_id": ["link_id"], "source_url": R.ALIASES["source_url"], "dr": R.ALIASES["dr"], "lost": R.ALIASES["lost"]})
+    return got.select(F.col("link_id").cast("long").alias("link_id"), "source_url", R.number(F.col("dr")).alias("dr"), "lost")
+
+
+@query(f"WITH {KEYWORDS} SELECT keyword, CAST(sum(frequency) AS DOUBLE) AS frequency FROM kw GROUP BY keyword")
+def a2_keyword_file(spark, sf_dir):
+    """A keyword table with a volume column, written and read by header."""
+    path = scratch_path(spark, "keywords")
+    keywords(spark, sf_dir).groupBy("keyword").agg(F.sum("frequency").alias("volume")).select(F.col("keyword").alias("Keyword"), F.col("volume").alias("Volume")).write.csv(path, header=True)
+    got = R.pick_fields(R.read_export(spark, path), {"keyword": ["keyword", "query"], "frequency": ["volume", "frequency"]})
+    return got.select("keyword", R.number(F.col("frequency")).alias("frequency"))
+
+
+@query(f"WITH {KEYWORDS} SELECT pos, trim(replace(keyword, ',', ' ')) AS keyword, CASE WHEN pos % 3 = 2 THEN 1.0 ELSE frequency END AS frequency FROM kw")
+def a3_keyword_lines(spark, sf_dir):
+    """Free text: one keyword a line, with a number in two of three."""
+    k = keywords(spark, sf_dir).withColumn("keyword", F.trim(F.replace("keyword", F.lit(","), F.lit(" "))))
+    n = F.format_string("%.1f", F.col("frequency"))
+    line = F.when(F.col("pos") % 3 == 0, F.concat("keyword", F.lit("\t"), n)).when(F.col("pos") % 3 == 1, F.concat("keyword", F.lit(" ; "), n)).otherwise(F.col("keyword"))
+    return R.parse_keyword_lines(k.select("pos", line.alias("line")))
+
+
+@query(f"WITH {VITALS}, g AS (SELECT site, metric, {rnd_sql('avg(value)', 4)} AS value FROM vt GROUP BY 1, 2), s AS (SELECT site, {rnd_sql('min(value) / 1000.0', 6)} AS score FROM g GROUP BY site) SELECT site, score, metric, value FROM g JOIN s USING (site)")
+def a7_vitals_json(spark, sf_dir):
+    """Reports as JSON, read back by schema and variant."""
+    g = vitals(spark, sf_dir).groupBy("site", "metric").agg(rnd(F.avg("value"), 4).alias("value"))
+    audits = F.map_from_entries(F.collect_list(F.struct("metric", F.struct(F.col("value").alias("numericValue")))))
+    raw = g.groupBy("site").agg(F.to_json(F.struct(F.struct(F.struct(rnd(F.min("value") / 1000.0, 6).alias("score")).alias("performance")).alias("categories"), audits.alias("audits"))).alias("raw"))
+    return R.parse_vitals(raw)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows FROM documents")
+def a8_chunked_json(spark, sf_dir):
+    """Documents as JSON lines in chunks; the manifest's rows in all."""
+    manifest = W.write_chunked_json(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), scratch_path(spark, "chunks"), 400)
+    return manifest.agg(F.sum("rows").alias("rows"))
+
+
+@query(f"WITH {BACKLINKS}, g AS (SELECT source_domain, avg(CASE WHEN lost THEN 80.0 ELSE 20.0 END) AS score FROM bl GROUP BY 1) SELECT DISTINCT 'domain:' || source_domain AS value FROM g WHERE score >= 55")
+def a9_disavow_file(spark, sf_dir):
+    """The disavow list of risky donors, written as sorted text and read back."""
+    scores = backlinks(spark, sf_dir).groupBy(F.col("source_domain").alias("domain")).agg(F.avg(F.when(F.col("lost"), 80.0).otherwise(20.0)).alias("score"))
+    path = scratch_path(spark, "disavow")
+    W.write_lines(W.disavow_lines(scores, 55), path)
+    return spark.read.text(path)
+
+
+@query(f"WITH {_SITEMAP} SELECT count(DISTINCT loc) AS urls FROM sm")
+def a10_url_parts(spark, sf_dir):
+    """Different sitemap URLs as text files in parts."""
+    path = scratch_path(spark, "urls")
+    W.write_url_parts(sitemap_urls(spark, sf_dir), path, 2_000)
+    return spark.read.text(path).agg(F.count("*").alias("urls"))
+
+
+@query(f"WITH {BACKLINKS} SELECT source_domain, count(*) AS links FROM bl GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def a11_report_table(spark, sf_dir):
+    """A named table of a report with its limit."""
+    donors = backlinks(spark, sf_dir).groupBy("source_domain").agg(F.count("*").alias("links"))
+    return W.report_tables({"donors": donors}, {"donors": (20, [F.desc("links"), F.asc("source_domain")])})["donors"]
+

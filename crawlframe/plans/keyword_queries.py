@@ -11,6 +11,8 @@ from crawlframe.plans.adapters import KEYWORDS, keywords
 from crawlframe.plans.registry import query
 
 THRESHOLD = 0.6
+#: The view has few different words, so more of them than usual may be frequent.
+FREQUENT = 0.25
 
 
 def _strip(x: str, suffixes) -> str:
@@ -27,7 +29,7 @@ e2 AS (SELECT *, list_sort(list_distinct(CASE WHEN len(kept) > 0 THEN kept ELSE
 e AS (SELECT norm, occurrences, demand, display, pos, tokens, list_sort(list_distinct({_STEM})) AS stems,
  list_sort(list_distinct(CASE WHEN length(compact) <= n THEN [compact] ELSE list_transform(range(1, length(compact) - n + 2), lambda i: substr(compact, i, n)) END)) AS ngrams FROM e2)"""
 _SIM = "both_ * 1.0 / (na + nb - both_)"
-_PAIRS = f"""s AS (SELECT norm, unnest(stems) AS stem FROM e), rare AS (SELECT stem FROM s GROUP BY stem HAVING count(*) <= (SELECT greatest(5, floor(count(*) * 0.05)) FROM e)),
+_PAIRS = f"""s AS (SELECT norm, unnest(stems) AS stem FROM e), rare AS (SELECT stem FROM s GROUP BY stem HAVING count(*) <= (SELECT greatest(5, floor(count(*) * {FREQUENT})) FROM e)),
 pr AS (SELECT DISTINCT x.norm AS a, y.norm AS b FROM s x JOIN s y ON x.stem = y.stem AND x.norm < y.norm WHERE x.stem IN (SELECT stem FROM rare)),
 sc AS (SELECT a, b, CAST(len(list_intersect(ea.stems, eb.stems)) AS DOUBLE) / (len(ea.stems) + len(eb.stems) - len(list_intersect(ea.stems, eb.stems))) AS st,
  CAST(len(list_intersect(ea.ngrams, eb.ngrams)) AS DOUBLE) / (len(ea.ngrams) + len(eb.ngrams) - len(list_intersect(ea.ngrams, eb.ngrams))) AS ch FROM pr JOIN e ea ON ea.norm = a JOIN e eb ON eb.norm = b),
@@ -64,12 +66,12 @@ def b15_keyword_intent(spark, sf_dir):
 
 @query(f"WITH {_E}, {_PAIRS} SELECT * FROM pairs")
 def c11_similar_keywords(spark, sf_dir):
-    return K.similar_pairs(entries(spark, sf_dir), THRESHOLD)
+    return K.similar_pairs(entries(spark, sf_dir), THRESHOLD, frequent=FREQUENT)
 
 
 def _grouped(spark, sf_dir):
     e = entries(spark, sf_dir)
-    pairs = K.similar_pairs(e, THRESHOLD)
+    pairs = K.similar_pairs(e, THRESHOLD, frequent=FREQUENT)
     return e, pairs, K.groups(e, pairs)
 
 
