@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crawlframe.functions.common import rnd
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder, so iterations keep a short lineage and survive lost executors."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
@@ -31,8 +31,8 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
     """``(node, pagerank)``: dangling mass goes to all pages evenly; the highest is 100."""
     degree = edges.groupBy("src").agg(F.count("*").alias("out"))
-    base = _cut(nodes.select("node").distinct().join(degree.withColumnRenamed("src", "node"), "node", "left"))
-    links = _cut(edges.select(F.col("src").alias("node"), "dst"))
+    base = cut(nodes.select("node").distinct().join(degree.withColumnRenamed("src", "node"), "node", "left"))
+    links = cut(edges.select(F.col("src").alias("node"), "dst"))
     n = base.count()
     scores = base.select("node", "out", F.lit(1.0 / max(1, n)).alias("score"))
     for i in range(rounds):
@@ -41,7 +41,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
         value = (1.0 - damping) / max(1, n) + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("lost") / max(1, n)
         scores = base.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", value.alias("score"))
         if (i + 1) % cut_every == 0:
-            scores = _cut(scores)
+            scores = cut(scores)
     top = F.broadcast(scores.agg(F.max("score").alias("top")))
     return scores.crossJoin(top).select("node", rnd(F.col("score") / F.col("top") * 100.0, 2).alias("pagerank"))
 
@@ -58,15 +58,15 @@ def degrees(occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
 def click_depth(edges: DataFrame, start: Column | str, most: int = 50) -> DataFrame:
     """``(node, depth)``: breadth-first levels from the start page; unreached pages are left out."""
     spark = edges.sparkSession
-    links = _cut(edges.select("src", "dst").distinct())
-    seen = _cut(spark.range(1).select((F.lit(start) if isinstance(start, str) else start).alias("node"), F.lit(0).alias("depth")))
+    links = cut(edges.select("src", "dst").distinct())
+    seen = cut(spark.range(1).select((F.lit(start) if isinstance(start, str) else start).alias("node"), F.lit(0).alias("depth")))
     front = seen
     for depth in range(1, most + 1):
         found = links.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = _cut(found.withColumn("depth", F.lit(depth)))
+        front = cut(found.withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = cut(seen.unionByName(front))
     return seen
 
 
@@ -102,7 +102,7 @@ def redirect_chains(hops: DataFrame, most: int = 12) -> DataFrame:
 
     Every step joins the open ends with the hop table; a chain ends where there is no hop, or at a page it has been to.
     """
-    table = _cut(hops.select(F.col("from").alias("at"), F.col("to").alias("next"), "status"))
+    table = cut(hops.select(F.col("from").alias("at"), F.col("to").alias("next"), "status"))
     starts = table.select("at").distinct()
     open_ = starts.select(F.col("at").alias("start"), "at", F.array("at").alias("path"), F.array().cast("array<int>").alias("codes"), F.lit(False).alias("loop"))
     done = None
@@ -110,9 +110,9 @@ def redirect_chains(hops: DataFrame, most: int = 12) -> DataFrame:
         j = open_.join(table, "at", "left")
         ended = j.where(F.col("next").isNull()).select("start", "at", "path", "codes", "loop")
         went = j.where(F.col("next").isNotNull()).select("start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.array_append("codes", F.col("status").cast("int")).alias("codes"), F.array_contains("path", F.col("next")).alias("loop"))
-        step = _cut(ended.unionByName(went.where("loop")))
+        step = cut(ended.unionByName(went.where("loop")))
         done = step if done is None else done.unionByName(step)
-        open_ = _cut(went.where("not loop"))
+        open_ = cut(went.where("not loop"))
         if not open_.limit(1).count():
             break
     done = done.unionByName(open_)

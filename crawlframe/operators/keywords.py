@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd
-from crawlframe.operators.graph import _cut
+from crawlframe.operators.graph import cut
 
 # Stop words, suffixes in the order in which they are tried, intent stems.
 STOP_WORDS = ["a", "an", "and", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with", "и", "в", "во", "на", "по", "под", "от", "до", "к", "ко", "из", "за", "у", "о", "об", "для", "как", "или", "это", "что"]
@@ -33,9 +33,10 @@ def _strip(word: Column, suffixes: list[str]) -> Column:
     return found.otherwise(word)
 
 
-def stem(word: Column) -> Column:
-    """One suffix of each list at most, and none of short words."""
-    return F.when(F.length(word) <= 3, word).otherwise(_strip(_strip(word, RU_SUFFIXES), EN_SUFFIXES))
+def stems(tokens: Column) -> Column:
+    """Tokens without one suffix of each list at most; words of three letters stay."""
+    short = lambda w, suffixes: F.when(F.length(w) <= 3, w).otherwise(_strip(w, suffixes))
+    return F.transform(F.transform(tokens, lambda w: short(w, RU_SUFFIXES)), lambda w: short(w, EN_SUFFIXES))
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def entries(keywords: DataFrame) -> DataFrame:
     n = F.when(F.length(compact) >= 5, 3).otherwise(2)
     grams = F.when(F.length(compact) <= n, F.array(compact)).otherwise(F.transform(F.sequence(F.lit(1), F.length(compact) - n + 1), lambda i: F.substr(compact, i, n)))
     e = keywords.withColumn("tokens", F.array_sort(F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(raw))))
-    return e.withColumns({"stems": F.array_sort(F.array_distinct(F.transform("tokens", stem))), "ngrams": F.array_sort(F.array_distinct(grams))})
+    return e.withColumns({"stems": F.array_sort(F.array_distinct(stems(F.col("tokens")))), "ngrams": F.array_sort(F.array_distinct(grams))})
 
 
 def intents(e: DataFrame) -> DataFrame:
@@ -99,16 +100,16 @@ def groups(e: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:
     similar to it; others join the most similar leader. Rounds decide all keywords whose better neighbours are decided.
     """
     order = F.struct(-F.size("stems"), -F.size("tokens"), F.length("display"), "pos", "norm")
-    nodes = _cut(e.select("norm", order.alias("o")))
+    nodes = cut(e.select("norm", order.alias("o")))
     both = pairs.select("a", "b", "sim").union(pairs.select("b", "a", "sim"))
     n = nodes.select(F.col("norm").alias("b"), F.col("o").alias("ob"))
-    better = _cut(both.join(nodes.withColumnRenamed("norm", "a"), "a").join(n, "b").where("ob < o").select("a", "b", "sim"))
-    state = _cut(nodes.select("norm").withColumn("leads", F.lit(None).cast("boolean")))
+    better = cut(both.join(nodes.withColumnRenamed("norm", "a"), "a").join(n, "b").where("ob < o").select("a", "b", "sim"))
+    state = cut(nodes.select("norm").withColumn("leads", F.lit(None).cast("boolean")))
     for _ in range(most):
         near = better.join(state.select(F.col("norm").alias("b"), "leads"), "b").groupBy(F.col("a").alias("norm")).agg(F.bool_or("leads").alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
         j = state.join(near, "norm", "left")
         decided = F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
-        state = _cut(j.select("norm", F.coalesce("leads", decided).alias("leads")))
+        state = cut(j.select("norm", F.coalesce("leads", decided).alias("leads")))
         if not state.where("leads is null").limit(1).count():
             break
     else:

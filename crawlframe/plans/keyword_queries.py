@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd, rnd_sql, top_k
 from crawlframe.operators import keywords as K
+from crawlframe.operators.graph import cut
 from crawlframe.plans.adapters import KEYWORDS, keywords
 from crawlframe.plans.registry import query
 
@@ -66,12 +67,13 @@ def b15_keyword_intent(spark, sf_dir):
 
 @query(f"WITH {_E}, {_PAIRS} SELECT * FROM pairs")
 def c11_similar_keywords(spark, sf_dir):
-    return K.similar_pairs(entries(spark, sf_dir), THRESHOLD, frequent=FREQUENT)
+    return K.similar_pairs(cut(entries(spark, sf_dir)), THRESHOLD, frequent=FREQUENT)
 
 
 def _grouped(spark, sf_dir):
-    e = entries(spark, sf_dir)
+    e = cut(entries(spark, sf_dir))
     pairs = K.similar_pairs(e, THRESHOLD, frequent=FREQUENT)
+    pairs = cut(pairs)
     return e, pairs, K.groups(e, pairs)
 
 

@@ -16,9 +16,10 @@ from crawlframe.sources.scratch import scratch_path
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The events as a stream, with a proper timestamp."""
+    """The events as a stream, with a proper timestamp; the path is a file or a folder."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    as_glob = f"{path[:-1]}[{path[-1]}]"  # a file source takes a single file by a glob only
+    return spark.readStream.schema(schema).parquet(as_glob).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
