@@ -16,6 +16,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, *_LOWER)
 
 
+#: Rows of an Arrow batch of texts: a few MB, where Spark's default of 10,000 rows may be hundreds.
+TEXT_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame, its session set to send whole texts to Python in batches that suit them."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, TEXT_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder, removed when the session's JVM ends.
 

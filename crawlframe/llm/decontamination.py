@@ -23,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlframe.llm.common import in_small_batches
+
 WINDOW_WORDS = 10
 #: Benchmark bytes that are sent to the executors at a time.
 BLOCK_BYTES = 16_000_000
-#: Words and documents after which a shard is closed, and the longest piece of a run.
-SHARD_WORDS = 2_000_000
+#: Known words, documents and bytes after which a shard is closed, and the longest piece of a run.
+SHARD_WORDS = 1_000_000
 SHARD_DOCS = 50_000
+SHARD_BYTES = 16_000_000
 PIECE_WORDS = 128
 SAMPLE_EVERY = 8
 
@@ -235,7 +238,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep_text: bool =
     names = list(docs.columns)
     text_at = names.index("text")
     # Columns are carried in one struct, so their names cannot clash with those of the results.
-    out = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.lit(None).cast(T.LongType()).alias("n_words"), *[F.array().cast(f.dataType).alias(f.name) for f in _FOUND.fields[1:]])
+    out = in_small_batches(docs).select(F.struct(*[docs[c] for c in names]).alias("row"), F.lit(None).cast(T.LongType()).alias("n_words"), *[F.array().cast(f.dataType).alias(f.name) for f in _FOUND.fields[1:]])
     blocks = [spark.sparkContext.broadcast(Windows(b, window_words)) for b in _blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(Windows([], window_words))]
     for i, block in enumerate(blocks):
         kept = [f for f in docs.schema.fields if f.name != "text" or keep_text or i + 1 < len(blocks)]
@@ -273,6 +276,7 @@ def _scan(block, text_at: int, whole: bool):
                 arrays = [row, *(pa.array(x, t) for x, t in zip((counts, spans, found), _FOUND_ARROW, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_words", "spans", "items"])
             shard, held, n_docs = Shard(windows), [], 0
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             counts = []
@@ -282,7 +286,7 @@ def _scan(block, text_at: int, whole: bool):
                 shard.add(n_docs + i, words)
             held.append((batch, counts))
             n_docs += len(counts)
-            if shard.size >= SHARD_WORDS or n_docs >= SHARD_DOCS or sum(b.nbytes for b, _ in held) > 64_000_000:
+            if shard.size >= SHARD_WORDS or n_docs >= SHARD_DOCS or sum(b.nbytes for b, _ in held) > SHARD_BYTES:
                 yield from flush()
         yield from flush()
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import connected_components, save
+from crawlframe.llm.common import connected_components, in_small_batches, save
 
 SHINGLE_WORDS = 5
 #: Similarity as a percentage, so that the comparison is exact.
@@ -57,6 +57,12 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def _forget() -> None:
+    """At the end of a task: its worker may go on to tasks of other stages, which need the memory."""
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; of its whole word sequence if it has fewer words."""
     words = text.encode().lower().split() if text else []
@@ -100,6 +106,7 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
                 if size > 2_000_000:
                     pour()
         pour()
+        _forget()
         slices = total.reshape(-1, 1 << SLICE_BITS)
         full = np.flatnonzero(slices.any(axis=1))
         kind = np.uint8 if total.max() < 256 else np.uint32
@@ -156,6 +163,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int, width: int) -> D
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             both = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x) if x else [], t)) for x, t in ((prefix, pa.int64()), (salts, pa.int16()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(gid, pa.int64()), *both], names=["doc_id", "n", "node", "gid", "prefix", "salts"])
+        _forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, gid long, prefix array<long>, salts array<short>")
 
@@ -176,6 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
                 # Rows that share a doc_id bring each other's text, which is told by its set.
                 ok.append(100 * both >= percent * (len(left) + len(last[1]) - both) and node_of(left) == a[i] and node_of(last[1]) == b[i])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, ok, strict=True) if y], pa.int64()) for c in (a, b)], names=["a", "b"])
+        _forget()
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -216,7 +225,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS)
 
 
 def _class_table(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = count_sketch(base, width)
     table = save(prefixes(base, levels, percent, width), "prefixes")
     known = table.where("node is not null")

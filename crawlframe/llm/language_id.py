@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlframe.llm.common import in_small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -181,7 +183,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep_text: bool = True) ->
 
     kept = T.StructType([f for f in docs.schema.fields if keep_text or f.name != "text"])
     schema = T.StructType([T.StructField("row", kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.struct(*[docs[c] for c in names]).alias("row")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.struct(*[docs[c] for c in names]).alias("row")).mapInArrow(run, schema)
 
 
 def held_out() -> Column:

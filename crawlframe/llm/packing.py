@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from crawlframe.llm.common import in_small_batches
 from crawlframe.llm.tokens import Encoder, default_vocabulary, in_slices
 
 SEQUENCE_TOKENS = 1024
@@ -94,4 +95,4 @@ def pack(
                 names=[c.split()[0] for c in SCHEMA.split(", ")],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA)
