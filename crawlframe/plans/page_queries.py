@@ -52,7 +52,13 @@ def u2_element_counts(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id").join(g, "page_id", "left").fillna(0)
 
 
-@query()
+_HEADS = "hd AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<h[1-6][ >][^<]*')) AS t, generate_subscripts(regexp_extract_all(h, '(?is)<h[1-6][ >][^<]*'), 1) AS pos FROM (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<!--.*?-->', ' ', 'g') AS h FROM pages))"
+
+
+@query(
+    f"""WITH {_HEADS}, l AS (SELECT page_id, pos, CAST(regexp_extract(t, '(?i)<h([1-6])', 1) AS INTEGER) AS level, lower(regexp_extract(t, '(?s)>(.*)', 1)) AS text FROM hd), k AS (SELECT *, level - lag(level) OVER (PARTITION BY page_id ORDER BY pos) > 1 AS skip FROM l)
+SELECT page_id, count(*) AS headings, min_by(level, pos) AS first_level, count(*) FILTER (WHERE skip) AS level_skips, count(text) - count(DISTINCT text) AS repeated_texts FROM k GROUP BY page_id"""
+)
 def e3_heading_outline(spark, sf_dir):
     """First level, skipped levels and repeated headings, from the element table."""
     return H.heading_outline(H.elements(pages(spark, sf_dir)))
