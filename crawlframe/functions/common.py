@@ -32,3 +32,12 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     """The first k rows of each group; the order must have no ties."""
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def over_the_cluster(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where the input has fewer splits than these, as a small table of one file has.
+
+    Large tables have more splits and are read as they are, without a shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

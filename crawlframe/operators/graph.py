@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd
+from crawlframe.sources.scratch import scratch_path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, so iterations keep a short lineage and survive lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    """Written to the shared folder and read back: computed once, with a short lineage that survives lost executors."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -28,20 +24,21 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(ends, "src", "left_semi").join(ends.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
-    """``(node, pagerank)``: dangling mass goes to all pages evenly; the highest is 100."""
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """``(node, pagerank)``: dangling mass goes to all pages evenly; the highest is 100.
+
+    A round reads the scores twice, so each is written: kept lazy, the work would double with every round.
+    """
     degree = edges.groupBy("src").agg(F.count("*").alias("out"))
     base = cut(nodes.select("node").distinct().join(degree.withColumnRenamed("src", "node"), "node", "left"))
     links = cut(edges.select(F.col("src").alias("node"), "dst"))
     n = base.count()
     scores = base.select("node", "out", F.lit(1.0 / max(1, n)).alias("score"))
-    for i in range(rounds):
+    for _ in range(rounds):
         given = links.join(scores, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("got"))
         lost = scores.where("out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         value = (1.0 - damping) / max(1, n) + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("lost") / max(1, n)
-        scores = base.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", value.alias("score"))
-        if (i + 1) % cut_every == 0:
-            scores = cut(scores)
+        scores = cut(base.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", value.alias("score")))
     top = F.broadcast(scores.agg(F.max("score").alias("top")))
     return scores.crossJoin(top).select("node", rnd(F.col("score") / F.col("top") * 100.0, 2).alias("pagerank"))
 
@@ -91,8 +88,6 @@ def unlinked_topics(topics: DataFrame, edges: DataFrame, k: int = 10) -> DataFra
     """Pages of ``topics(node, topic)`` that the first page of their topic does not link to."""
     first = topics.groupBy("topic").agg(F.min("node").alias("hub"))
     pairs = topics.join(first, "topic").where("node <> hub").select("topic", F.col("hub").alias("src"), F.col("node").alias("dst"))
-    from pyspark.sql import Window
-
     missing = pairs.join(edges, ["src", "dst"], "left_anti")
     return missing.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy("dst"))).where(F.col("rank") <= k)
 
@@ -104,18 +99,27 @@ def redirect_chains(hops: DataFrame, most: int = 12) -> DataFrame:
     """
     table = cut(hops.select(F.col("from").alias("at"), F.col("to").alias("next"), "status"))
     starts = table.select("at").distinct()
-    open_ = starts.select(F.col("at").alias("start"), "at", F.array("at").alias("path"), F.array().cast("array<int>").alias("codes"), F.lit(False).alias("loop"))
-    done = None
+    open_ = starts.select(F.col("at").alias("start"), "at", F.array("at").alias("path"), F.array().cast("array<int>").alias("codes"))
+    columns, rounds = ["start", "at", "path", "codes"], []
     for _ in range(most + 1):
         j = open_.join(table, "at", "left")
-        ended = j.where(F.col("next").isNull()).select("start", "at", "path", "codes", "loop")
-        went = j.where(F.col("next").isNotNull()).select("start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.array_append("codes", F.col("status").cast("int")).alias("codes"), F.array_contains("path", F.col("next")).alias("loop"))
-        step = cut(ended.unionByName(went.where("loop")))
-        done = step if done is None else done.unionByName(step)
-        open_ = cut(went.where("not loop"))
+        moved = F.col("next").isNotNull()
+        step = j.select(
+            "start",
+            F.coalesce("next", "at").alias("at"),
+            F.when(moved, F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"),
+            F.when(moved, F.array_append("codes", F.col("status").cast("int"))).otherwise(F.col("codes")).alias("codes"),
+            (moved & F.array_contains("path", F.col("next"))).alias("loop"),
+            (~moved).alias("ended"),
+        )
+        step = cut(step)
+        rounds.append(step.where("loop or ended").select(*columns, "loop"))
+        open_ = step.where("not loop and not ended").select(*columns)
         if not open_.limit(1).count():
             break
-    done = done.unionByName(open_)
+    else:
+        rounds.append(open_.withColumn("loop", F.lit(False)))
+    done = reduce(DataFrame.unionByName, rounds)
     return done.select(
         "start",
         F.size("codes").alias("hops"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
-from crawlframe.functions.common import pct, pct_sql, rnd, rnd_sql, top_k
+from crawlframe.functions.common import over_the_cluster, pct, pct_sql, rnd, rnd_sql, top_k
 from crawlframe.functions.rules import Rule, health, issues
 from crawlframe.functions.text import all_of
 from crawlframe.operators import html as H
@@ -14,7 +14,7 @@ from crawlframe.plans.registry import query, table
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return over_the_cluster(table(spark, sf_dir, "pages"))
 
 
 _HEAD = "regexp_extract(w, '^([^/]*//[^/?]*)', 1)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe.functions import text as T
-from crawlframe.functions.common import clamp, pct, pct_sql, rnd, rnd_sql, top_k
+from crawlframe.functions.common import clamp, over_the_cluster, pct, pct_sql, rnd, rnd_sql, top_k
 from crawlframe.operators import corpus
 from crawlframe.plans.registry import query, table
 
@@ -44,7 +44,7 @@ def _occurrences(x: str, phrases) -> str:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return over_the_cluster(table(spark, sf_dir, "documents"))
 
 
 @query(
