@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlframe.llm.common import in_small_batches
+from crawlframe.llm.tokens import forget_encoders
 
 WINDOW_WORDS = 10
 #: Benchmark bytes that are sent to the executors at a time.
@@ -249,6 +250,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep_text: bool =
 
 def _scan(block, text_at: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         windows = block.value
         shard, held, n_docs = Shard(windows), [], 0
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import connected_components, in_small_batches, save
+from crawlframe.llm.tokens import forget_encoders
 
 SHINGLE_WORDS = 5
 #: Similarity as a percentage, so that the comparison is exact.
@@ -90,20 +91,22 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        forget_encoders()
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         held, size = [], 0
 
         def pour() -> None:
             nonlocal held, size, total
             if held:
-                total += np.bincount(_bucket(np.concatenate(held)), minlength=len(total))
+                at, n = np.unique(_bucket(np.concatenate(held)), return_counts=True)
+                total[at] += n.astype(np.int32)
             held, size = [], 0
 
         for batch in batches:
             for text in batch.column(0):
                 held.append(shingle_set(text.as_py(), width))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     pour()
         pour()
         _forget()
@@ -143,6 +146,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int, width: int) -> D
     sketch = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         level = sketch.value
         for batch in batches:
             n, node, gid, prefix, salts = [], [], [], [], []

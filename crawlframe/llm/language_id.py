@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlframe.llm.common import in_small_batches
+from crawlframe.llm.tokens import forget_encoders
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -145,6 +146,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep_text: bool = True) ->
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         net = model.value
         for batch in batches:
             row = batch.column(0)

@@ -12,7 +12,7 @@ import struct
 from collections.abc import Iterable
 
 #: Pieces a worker remembers before it starts afresh, and the longest that it remembers.
-MEMO_PIECES = 800_000
+MEMO_PIECES = 700_000
 MEMO_CHARS = 48
 
 
@@ -107,6 +107,11 @@ class Encoder:
         return b"".join(out)[len(self.line_break) :]
 
 
+def forget_encoders() -> None:
+    """Called by tasks of other operators: a worker that turns from encoding to something else gives its memory back."""
+    Encoder._open.clear()
+
+
 def in_slices(texts: list[str | None], most_chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Slices [a, b) of a batch with about most_chars characters each."""
     a = size = 0
