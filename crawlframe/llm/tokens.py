@@ -8,6 +8,7 @@ tokenizers library; a text that holds any other white space is encoded whole. Id
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterable
 
@@ -15,6 +16,9 @@ from collections.abc import Iterable
 MEMO_PIECES = 700_000
 MEMO_CHARS = 48
 
+#: Letters up to Latin Extended-B, and a punctuation mark after them: one pre-token each, in any version of Unicode.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+([.,;:!?]?)")
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -59,14 +63,16 @@ class Encoder:
         ended = []
         for piece in pieces:
             body = piece[1:] if piece[:1] == "\n" else piece
-            if body.split() != [body] or "᠎" in body or "​" in body:
+            if m := _LETTERS.fullmatch(body):
+                if m[1]:
+                    ended.append(piece)
+                    piece = piece[:-1]
+                if not m[1] or piece not in self.memo:
+                    plain[1][piece] = True
+            elif body.split() != [body] or "\u180e" in body or "\u200b" in body:
                 self.memo[piece] = None
-            elif body[-1] in self.ends and body[:-1].isalpha() and max(body) < "ɐ":
-                ended.append(piece)
-                if piece[:-1] not in self.memo:
-                    plain[1][piece[:-1]] = True
             else:
-                plain[body.isalpha() and max(body) < "ɐ"][piece] = True
+                plain[0][piece] = True
         for letters, some in enumerate(plain):
             for piece, ids in zip(some, self._ids([p[1:] if p[0] == "\n" else f" {p}" for p in some], bool(letters)), strict=True):
                 self.memo[piece] = self.line_break + ids if piece[0] == "\n" else ids
