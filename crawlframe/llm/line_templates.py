@@ -1,8 +1,10 @@
 """Line dedup with a log-template tree: lines whose template recurs across documents are dropped.
 
 A line is reduced to its tokens, those with a digit becoming ``<*>``. The tree has fixed depth: the number of tokens, then
-the first LEADING tokens; a leaf that holds too many different lines takes more leading tokens until it fits one task. Within
-a leaf lines join the most similar template, and where they differ the template takes ``<*>``.
+the first LEADING tokens. Within a leaf lines join the most similar template, and where they differ the template takes
+``<*>``. A leaf that holds too many different lines for one task is dealt at random, and what templates come of that are
+merged again: by each block of tokens in turn (lines similar enough to join agree on all of one block at least), until the
+leaf fits one task. Only where lines with one block in common are again too many are they dealt at random within it.
 
 A template recurs if it stands in at least min_places different places: a place is what comes before and after it. Copies of
 one document share their places, so the lines of a text that merely has copies are no boilerplate; a template must have new
@@ -84,6 +86,44 @@ def _assign(leaf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"line": leaf["line"], "template": templates_of(list(leaf["masked"]))})
 
 
+def _wider(different: DataFrame, key: Column) -> DataFrame:
+    """``different(leaf, template)`` -> ``(leaf, template, wider)``: templates of the templates that have a key in common."""
+
+    def run(some: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"leaf": some["leaf"], "template": some["template"], "wider": templates_of(list(some["template"]))})
+
+    return different.select("leaf", "template", key.alias("key")).groupBy("key").applyInPandas(run, "leaf long, template string, wider string")
+
+
+def _large_templates(lines: DataFrame) -> DataFrame:
+    """``lines(line, leaf, template)`` of leaves too large for one task, with the template that each line comes to.
+
+    Turn 0 deals a leaf's lines at random, turn i by block i of their tokens; leaves that became small leave the loop.
+    """
+    tokens = F.split("template", " ")
+    n = F.size(tokens)
+    blocks = F.floor(n * (1 - SIMILARITY) + 1e-9) + 1  # one more than the tokens that may differ
+    turn = 0
+    while True:
+        different = lines.select("leaf", "template").distinct()
+        sizes = different.groupBy("leaf").agg(F.count("*").alias("count"), F.first(blocks).alias("blocks"))
+        large = save(sizes.where((F.col("count") > LEAF_LINES) & (F.col("blocks") >= turn)).select("leaf"), "large-leaves")
+        if not large.limit(1).count():
+            break
+        ends = [F.lit(LEADING) + F.floor((n - LEADING) * i / blocks) for i in (turn - 1, turn)]
+        block = F.slice(tokens, (ends[0] + 1).cast("int"), (ends[1] - ends[0]).cast("int")) if turn else F.array().cast("array<string>")
+        keyed = different.join(large, "leaf", "left_semi").withColumn("block", F.xxhash64("leaf", F.lit(turn), block))
+        keyed = keyed.join(keyed.groupBy("block").count(), "block")
+        salt = F.pmod(F.xxhash64("template", F.lit(turn)), F.ceil(F.col("count") / LEAF_LINES))
+        wider = _wider(keyed, F.xxhash64("block", salt))
+        lines = lines.join(wider, ["leaf", "template"], "left").select("line", "leaf", F.coalesce("wider", "template").alias("template"))
+        lines, turn = save(lines, "large-templates"), turn + 1
+    different = lines.select("leaf", "template").distinct()
+    small = different.groupBy("leaf").count().where(F.col("count") <= LEAF_LINES).select("leaf")
+    wider = _wider(different.join(small, "leaf", "left_semi"), F.col("leaf"))
+    return lines.join(wider, ["leaf", "template"], "left").select("line", F.coalesce("wider", "template").alias("template"))
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """``(doc, pos, line, leaf, place)`` of different texts, written once for all later steps."""
     return save(_lines(docs, False).distinct(), "lines")
@@ -97,12 +137,11 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, min_places: int = MIN_PLA
     # Different lines of leaves that could generalise.
     texts = _lines(docs, True).select("leaf", "line", "masked").join(busy.where("mixed").select("leaf"), "leaf", "left_semi")
     texts = save(texts.groupBy("leaf", "line").agg(F.first("masked").alias("masked")), "leaf-lines")
-    tokens = F.split("masked", " ")
-    texts = texts.select("line", "masked", F.col("leaf").alias("key"))
-    for depth in (2 * LEADING, 4 * LEADING, 8 * LEADING, 16 * LEADING, 1 << 30):
-        large = texts.groupBy("key").count().where(F.col("count") > LEAF_LINES).select("key", F.lit(True).alias("large"))
-        texts = texts.join(large, "key", "left").select("line", "masked", F.when(F.col("large"), _branch(tokens, depth)).otherwise(F.col("key")).alias("key"))
-    assigned = texts.groupBy("key").applyInPandas(_assign, "line long, template string").select("line", F.xxhash64("template").alias("template"))
+    large = save(texts.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"), "large-leaves")
+    assigned = texts.join(large, "leaf", "left_anti").groupBy("leaf").applyInPandas(_assign, "line long, template string")
+    if large.limit(1).count():
+        assigned = assigned.union(_large_templates(texts.join(large, "leaf", "left_semi").select("line", "leaf", F.col("masked").alias("template"))))
+    assigned = assigned.select("line", F.xxhash64("template").alias("template"))
     assigned = save(assigned, "templates")
 
     seen = lines.join(busy.select("leaf"), "leaf", "left_semi").join(assigned, "line", "left")

@@ -1,6 +1,7 @@
 """Operators whose results are compared with a plain version on small tables."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -217,6 +218,17 @@ def test_templates_generalise_where_lines_differ():
     assert line_templates.templates_of(["a b c d x", "a b c d y", "a b c q r"]) == ["a b c d <*>", "a b c d <*>", "a b c q r"]
 
 
+def test_a_template_of_many_variants_is_dropped_like_one_of_few(spark, monkeypatch):
+    monkeypatch.setattr(line_templates, "LEAF_LINES", 40)
+    names = ["".join(x) for x in itertools.product("bcdfgh", "aeiou", "klmnp")]  # 150
+    other = [f"Thank you for {' '.join(w)}" for w in itertools.islice(itertools.product(WORDS, WORDS[::-1], *[[x] for x in WORDS[:6]]), 90)]
+    for few in (names[:30], names):
+        rows = [(i, f"{a}\nThank you for reading , dear {x} , see you soon\n{a} end") for i, (x, a) in enumerate(zip(few, texts(len(few), 17, 9), strict=True))]
+        rows += [(1000 + i, x) for i, x in enumerate(other)]
+        found = line_templates.report(spark.createDataFrame(rows, DOCS)).where("doc_id < 1000").collect()
+        assert len(found) == len(few) and all("1" in r.dropped.split(",") for r in found)
+
+
 # --- language ID
 
 
