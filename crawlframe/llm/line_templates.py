@@ -8,7 +8,11 @@ leaf fits one task. Only where lines with one block in common are again too many
 
 A template recurs if it stands in at least min_places different places: a place is what comes before and after it. Copies of
 one document share their places, so the lines of a text that merely has copies are no boilerplate; a template must have new
-places in at least half of the different texts that hold it. Lines of fewer than min_tokens tokens are kept.
+places in at least half of the different texts that hold it. A large group of copies can hide a template that does recur
+elsewhere, so it also recurs if that many of its places, and half of them, are independent: no other place has the same line
+before it, and none the same line after it, where an edited copy shares one of them. Lines beside recurring ones are judged
+by what lies beyond these, so blocks of several lines go from their ends inwards, in rounds until none is found. Lines of
+fewer than min_tokens tokens are kept.
 
 Leaves and counts are aggregated before they are shuffled, and the text is shuffled at most once, to drop the lines.
 
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import save
@@ -44,12 +48,12 @@ def masked_lines(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
-    """``(doc, pos, line, leaf, place)``, doc being a hash of the text; with the masked line itself if asked for."""
+    """``(doc, pos, line, leaf, before, after)``, doc being a hash of the text; with the masked line itself if asked for."""
     base = docs.where("text is not null").select(F.xxhash64("text").alias("doc"), masked_lines(F.col("text")).alias("m"))
     base = base.withColumn("h", F.transform("m", lambda x: F.xxhash64(x)))
     zero, n = F.array(F.lit(0).cast("long")), F.size("h")
     zipped = F.arrays_zip("m", "h", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
-    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).select("doc", "pos", F.col("x.m").alias("masked"), F.col("x.h").alias("line"), F.xxhash64("x.before", "x.after").alias("place"))
+    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).select("doc", "pos", F.col("x.m").alias("masked"), F.col("x.h").alias("line"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
     tokens = F.split("masked", " ")
     rows = rows.where(F.size(tokens) >= MIN_TOKENS).withColumn("leaf", _branch(tokens, LEADING))
     return rows if with_text else rows.drop("masked")
@@ -125,7 +129,7 @@ def _large_templates(lines: DataFrame) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """``(doc, pos, line, leaf, place)`` of different texts, written once for all later steps."""
+    """``(doc, pos, line, leaf, before, after)`` of different texts, written once for all later steps."""
     return save(_lines(docs, False).distinct(), "lines")
 
 
@@ -145,12 +149,43 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, min_places: int = MIN_PLA
     assigned = save(assigned, "templates")
 
     seen = lines.join(busy.select("leaf"), "leaf", "left_semi").join(assigned, "line", "left")
-    seen = seen.select("doc", "place", "line", F.coalesce("template", "line").alias("template"))
-    counts = seen.groupBy("template").agg(F.count_distinct("doc").alias("docs"), F.count_distinct("place").alias("places"))
-    recurs = counts.where((F.col("places") >= min_places) & (F.col("places") >= NEW_PLACES * F.col("docs"))).select("template")
+    seen = seen.select("doc", "pos", "before", "after", "line", F.coalesce("template", "line").alias("template"))
+    often = seen.groupBy("template").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_places)
+    seen = save(seen.join(often.select("template"), "template", "left_semi"), "seen")
+    found = recurs = save(_recurring(seen, min_places), "recurring-0")
+    turn = 0
+    while found.limit(1).count():
+        turn += 1
+        beyond = _beyond(seen, recurs).where("not known").drop("known")
+        found = save(_recurring(beyond, min_places), f"recurring-{turn}")
+        recurs = recurs.union(found)
     return save(seen.select("line", "template").distinct().join(recurs, "template", "left_semi").select("line", "template"), "recurring")
 
 
+def _recurring(seen: DataFrame, min_places: int) -> DataFrame:
+    """``(template)`` of ``seen(template, doc, before, after)`` that recur."""
+    place = F.xxhash64("before", "after")
+    counts = seen.groupBy("template").agg(F.count_distinct("doc").alias("docs"), F.count_distinct(place).alias("places")).where(F.col("places") >= min_places)
+    counts = save(counts.withColumn("clear", F.col("places") >= NEW_PLACES * F.col("docs")), "places")
+    places = seen.join(counts.where("not clear").select("template"), "template", "left_semi").select("template", "before", "after").distinct()
+    alone = places.groupBy("template", "before").agg(F.count("*").alias("n"), F.first("after").alias("after")).where("n = 1 and before <> 0 and after <> 0").drop("n")
+    once = places.groupBy("template", "after").agg(F.count("*").alias("n"), F.first("before").alias("before")).where("n = 1").drop("n")
+    independent = alone.join(once, ["template", "before", "after"], "left_semi").groupBy("template").agg(F.count("*").alias("independent"))
+    hidden = counts.join(independent, "template").where((F.col("independent") >= min_places) & (F.col("independent") >= NEW_PLACES * F.col("places")))
+    return counts.where("clear").select("template").union(hidden.select("template"))
+
+
+def _beyond(seen: DataFrame, recurs: DataFrame) -> DataFrame:
+    """Rows of templates with a row beside a recurring line, whose before and after lie beyond the recurring lines there."""
+    rows = seen.join(recurs.withColumn("known", F.lit(True)), "template", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    for side, order, step in (("before", F.asc("pos"), -1), ("after", F.desc("pos"), 1)):
+        own = Window.partitionBy("doc").orderBy(order)
+        joins = (F.lag("pos").over(own) == F.col("pos") + step) & F.lag("known").over(own)
+        rows = rows.withColumn("joins", F.coalesce(joins, F.lit(False)))
+        rows = rows.withColumn(side, F.last(F.when(~F.col("joins"), F.col(side)), True).over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("joins")
+    return rows
+
+
 def mark_lines(docs: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
     """``(row, dropped)``: the document's columns, and the positions (from 0) of its lines to drop."""
     lines = hashed_lines(docs.select("text"))

@@ -229,6 +229,26 @@ def test_a_template_of_many_variants_is_dropped_like_one_of_few(spark, monkeypat
         assert len(found) == len(few) and all("1" in r.dropped.split(",") for r in found)
 
 
+def test_all_lines_of_a_recurring_block_are_dropped(spark):
+    block = ["All that you read here is free", "You may pass it on to friends", "Ask the editors before you print it", "We wish you a good day"]
+    rows = [(i, "\n".join([*texts(3, 700 + i, 12), *block, *(texts(2, 800 + i, 12) if i % 2 else [])])) for i in range(14)]
+    copy = texts(9, 990, 14)
+    rows += [(100 + i, "\n".join([*copy[: i % 9], f"{copy[i % 9]} {WORDS[i]}", *copy[i % 9 + 1 :]])) for i in range(18)]
+    found = {r.doc_id: r.dropped for r in line_templates.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(found[i] == "3,4,5,6" for i in range(14)) and not any(found[100 + i] for i in range(18))
+
+
+def test_copies_do_not_hide_a_recurring_line(spark):
+    line = "Read the rest of it on our site"
+    rows = [(i, "\n".join([*texts(2, 300 + i, 12), line, *texts(2, 400 + i, 12)])) for i in range(8)]
+    copy = texts(9, 991, 14)
+    for i in range(30):
+        edited = [*copy[: i % 9], f"{copy[i % 9]} {WORDS[i]}", *copy[i % 9 + 1 :]]
+        rows.append((100 + i, "\n".join([*edited[:4], line, *edited[4:]])))
+    found = {r.doc_id: r.dropped for r in line_templates.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(found[i] == "2" for i in range(8)) and all(found[100 + i] == "4" for i in range(30))
+
+
 # --- language ID
 
 
