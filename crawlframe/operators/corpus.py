@@ -86,9 +86,10 @@ def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int = 9) -> DataFram
     return a.join(b, "key").where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.cast("int").alias("distance")).distinct()
 
 
-def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, most: int = 10) -> DataFrame:
-    """``(doc_id, idx, chunk)``: windows of a text, each once."""
-    starts = F.slice(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - overlap), F.lit(size - overlap)), 1, most)
+def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, most: int | None = None) -> DataFrame:
+    """``(doc_id, idx, chunk)``: windows of a text, each once; all of them, or the first ``most``."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - overlap), F.lit(size - overlap))
+    starts = starts if most is None else F.slice(starts, 1, most)
     rows = docs.where("text is not null and text <> ''").select("doc_id", "text", F.posexplode(starts).alias("pos", "at"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("idx"), F.col("text").substr(F.col("at"), F.lit(size)).alias("chunk"))
 

@@ -189,7 +189,7 @@ SELECT a AS item_id, b AS chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (S
 )
 def h16_chunk_ranking(spark, sf_dir):
     """The three best chunks for each item, by rare common terms, entities and content."""
-    c = corpus.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select((F.col("doc_id") * 100 + F.col("idx")).alias("doc_id"), F.col("chunk").alias("text"))
+    c = corpus.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), most=10).select((F.col("doc_id") * 100 + F.col("idx")).alias("doc_id"), F.col("chunk").alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     x, one = F.col("text"), F.lit(1.0)
     e = F.filter(T.all_of(x, T.RUN), lambda v: v.rlike("^[A-ZА-Я][A-Za-zА-Яа-я0-9]{2,}$"))

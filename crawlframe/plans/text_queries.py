@@ -284,13 +284,15 @@ def h14_tfidf_cosine(spark, sf_dir):
     return _best5(corpus.cosine_join(_items(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "text"), tf_idf=True))
 
 
+#: Windows of a text that the SQL below reads.
+MOST_CHUNKS = 10
 _CHUNKS = "ch AS (SELECT doc_id, i AS idx, substr(text, 1 + (i - 1) * 1100, 1200) AS chunk FROM (SELECT doc_id, text, unnest(range(1, least(10, (greatest(1, length(text) - 100) - 1) // 1100 + 1) + 1)) AS i FROM documents WHERE text IS NOT NULL AND text <> ''))"
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, CAST(idx AS INTEGER) AS idx, length(chunk) AS chars, md5(chunk) AS digest FROM ch")
 def h15_chunks(spark, sf_dir):
     """Overlapping windows of each text."""
-    return corpus.chunks(docs(spark, sf_dir)).select("doc_id", "idx", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("digest"))
+    return corpus.chunks(docs(spark, sf_dir), most=MOST_CHUNKS).select("doc_id", "idx", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 @query(
@@ -299,7 +301,7 @@ SELECT doc_id, count(*) AS chunks, count(*) FILTER (WHERE run <= 512) AS survive
 )
 def e4_token_budget(spark, sf_dir):
     """Whole chunks within token budgets."""
-    return corpus.survivors(corpus.chunks(docs(spark, sf_dir)))
+    return corpus.survivors(corpus.chunks(docs(spark, sf_dir), most=MOST_CHUNKS))
 
 
 @query(
@@ -310,7 +312,7 @@ SELECT n.doc_id, CAST(n.idx AS INTEGER) AS idx, exact OR m.idx IS NOT NULL AS du
 )
 def e9_chunk_dedupe(spark, sf_dir):
     """Chunks that repeat an earlier one."""
-    return corpus.chunk_duplicates(corpus.chunks(docs(spark, sf_dir)))
+    return corpus.chunk_duplicates(corpus.chunks(docs(spark, sf_dir), most=MOST_CHUNKS))
 
 
 _TFIDF = f"""w AS (SELECT doc_id, list_filter({_words("lower(text)")}, lambda x: length(x) >= 4) AS w FROM documents),

@@ -133,6 +133,12 @@ def test_hamming_pairs_find_all(spark):
     assert rows(corpus.hamming_pairs(df)) == want
 
 
+def test_chunks_reach_the_end_of_a_long_text(spark):
+    text = "".join(chr(97 + i % 26) for i in range(128_657))
+    got = corpus.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("idx").collect()
+    assert len(got) == 117 and "".join(r.chunk[: 1200 if i == 116 else 1100] for i, r in enumerate(got)) == text
+
+
 def test_chunks_and_duplicates(spark):
     docs = spark.createDataFrame([(1, "x" * 2500), (2, ""), (3, None), (4, "abc")], "doc_id long, text string")
     assert [(r.doc_id, r.idx, len(r.chunk)) for r in corpus.chunks(docs).orderBy("doc_id", "idx").collect()] == [(1, 1, 1200), (1, 2, 1200), (1, 3, 300), (4, 1, 3)]
