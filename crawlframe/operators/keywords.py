@@ -125,10 +125,10 @@ def group_summary(e: DataFrame, assigned: DataFrame, pairs: DataFrame) -> DataFr
     inner = pairs.join(g.select(F.col("norm").alias("a"), F.col("leader").alias("la")), "a").join(g.select(F.col("norm").alias("b"), F.col("leader").alias("lb")), "b").where("la = lb")
     edges = inner.groupBy(F.col("la").alias("leader")).agg(F.sum("sim").alias("sims"), F.count("*").alias("links"))
     sizes = e.join(g, "norm").groupBy("leader").agg(F.count("*").alias("size"), F.sum("demand").alias("demand"))
-    total = F.sum("demand").over(Window.partitionBy())
+    total = sizes.agg(F.sum("demand").alias("total"))
     possible = F.col("size") * (F.col("size") - 1) / 2.0
     cohesion = F.when(F.col("size") == 1, 1.0).otherwise(rnd(F.coalesce("sims", F.lit(0.0)) / possible, 4))
-    out = sizes.withColumn("share", rnd(F.col("demand") / total * 100.0, 2)).join(edges, "leader", "left")
+    out = sizes.crossJoin(F.broadcast(total)).withColumn("share", rnd(F.col("demand") / F.col("total") * 100.0, 2)).join(edges, "leader", "left")
     out = out.withColumn("cohesion", cohesion)
     return out.select("leader", "size", "demand", "share", "cohesion", F.when(F.col("cohesion") >= 0.78, "high").when(F.col("cohesion") >= 0.62, "medium").otherwise("low").alias("quality"))
 

@@ -133,6 +133,15 @@ def test_hamming_pairs_find_all(spark):
     assert rows(corpus.hamming_pairs(df)) == want
 
 
+def test_group_shares_need_no_window_over_all_groups(spark):
+    e = spark.createDataFrame([("a", 30), ("b", 30), ("c", 20)], "norm string, demand long")
+    assigned = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "norm string, leader string")
+    pairs = spark.createDataFrame([("a", "b", 0.9)], "a string, b string, sim double")
+    found = keywords.group_summary(e, assigned, pairs)
+    assert rows(found) == [("a", 2, 60, 75.0, 0.9, "high"), ("c", 1, 20, 25.0, 1.0, "high")]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chunks_reach_the_end_of_a_long_text(spark):
     text = "".join(chr(97 + i % 26) for i in range(128_657))
     got = corpus.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("idx").collect()
