@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlframe.sources.scratch import scratch_path
+
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -28,21 +27,6 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, removed when the session's JVM ends.
-
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (a local test) is a temporary one made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/crawlframe/{name}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -51,11 +35,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable node id per node: ``nodes(node)``, ``edges(a, b)`` -> ``(node, component)``.
 
     Each round takes the least label among a node and its neighbours, then jumps to the label of that label, so
-    chains shrink geometrically. Every round is written to the shared folder. Only a change count reaches the driver.
+    chains shrink geometrically, until no label moves. Every round is written to the shared folder. Only whether a label
+    moved reaches the driver.
     """
     both = save(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
@@ -63,7 +48,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     )
     touched = both.select(F.col("a").alias("node")).distinct()
     labels = save(touched.withColumn("label", F.col("node")), "cc-0")
-    for turn in range(max_rounds):
+    turn, moving = 0, True
+    while moving:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("node"))
@@ -72,10 +58,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("lower"))
         done = step.join(jump, "low").select("node", F.least("low", "lower").alias("label"), (F.least("low", "lower") != F.col("label")).alias("moved"))
-        done = save(done, f"cc-{turn + 1}")
+        turn += 1
+        done = save(done, f"cc-{turn}")
         labels = done.select("node", "label")
-        if not done.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        moving = done.where("moved").limit(1).count() > 0
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
