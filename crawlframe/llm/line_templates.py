@@ -47,15 +47,20 @@ def masked_lines(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.transform(plain, lambda x: F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*", WILDCARD))).otherwise(plain)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text, a line or a template, so that no two of any corpus are taken for one."""
+    return F.unhex(F.md5(text))
+
+
 def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
-    """``(doc, pos, line, leaf, before, after)``, doc being a hash of the text; with the masked line itself if asked for."""
-    base = docs.where("text is not null").select(F.xxhash64("text").alias("doc"), masked_lines(F.col("text")).alias("m"))
-    base = base.withColumn("h", F.transform("m", lambda x: F.xxhash64(x)))
+    """``(doc, pos, line, leaf, before, after)``, doc being the key of the text; with the masked line itself if asked for."""
+    base = docs.where("text is not null").select(text_key(F.col("text")).alias("doc"), masked_lines(F.col("text")).alias("m"))
+    base = base.withColumn("h", F.transform("m", lambda x: F.xxhash64(x)))  # of the lines around, which only tell places
     zero, n = F.array(F.lit(0).cast("long")), F.size("h")
-    zipped = F.arrays_zip("m", "h", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
-    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).select("doc", "pos", F.col("x.m").alias("masked"), F.col("x.h").alias("line"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
+    zipped = F.arrays_zip("m", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
+    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).select("doc", "pos", F.col("x.m").alias("masked"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
     tokens = F.split("masked", " ")
-    rows = rows.where(F.size(tokens) >= MIN_TOKENS).withColumn("leaf", _branch(tokens, LEADING))
+    rows = rows.where(F.size(tokens) >= MIN_TOKENS).withColumns({"line": text_key(F.col("masked")), "leaf": _branch(tokens, LEADING)})
     return rows if with_text else rows.drop("masked")
 
 
@@ -134,24 +139,25 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, lines: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
-    """``(line, template)``: hashes of the masked lines whose template recurs, and the template's hash."""
-    busy = lines.groupBy("leaf").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.count_distinct("doc").alias("n")).where(F.col("n") >= min_places)
+    """``(line, template)``: keys of the masked lines whose template recurs, and the template's key."""
+    busy = lines.groupBy("leaf").agg(F.min(F.xxhash64("line")).alias("least"), F.max(F.xxhash64("line")).alias("most"), F.count_distinct("doc").alias("n")).where(F.col("n") >= min_places)
     busy = save(busy.select("leaf", (F.col("least") != F.col("most")).alias("mixed")), "leaves")
 
     # Different lines of leaves that could generalise.
     texts = _lines(docs, True).select("leaf", "line", "masked").join(busy.where("mixed").select("leaf"), "leaf", "left_semi")
     texts = save(texts.groupBy("leaf", "line").agg(F.first("masked").alias("masked")), "leaf-lines")
     large = save(texts.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"), "large-leaves")
-    assigned = texts.join(large, "leaf", "left_anti").groupBy("leaf").applyInPandas(_assign, "line long, template string")
+    assigned = texts.join(large, "leaf", "left_anti").groupBy("leaf").applyInPandas(_assign, "line binary, template string")
     if large.limit(1).count():
         assigned = assigned.union(_large_templates(texts.join(large, "leaf", "left_semi").select("line", "leaf", F.col("masked").alias("template"))))
-    assigned = assigned.select("line", F.xxhash64("template").alias("template"))
+    assigned = assigned.select("line", text_key(F.col("template")).alias("template"))
     assigned = save(assigned, "templates")
 
     seen = lines.join(busy.select("leaf"), "leaf", "left_semi").join(assigned, "line", "left")
     seen = seen.select("doc", "pos", "before", "after", "line", F.coalesce("template", "line").alias("template"))
+    # Joins with counts that are written first: only the frequent side is shuffled by the key, and Spark splits what is skewed.
     often = seen.groupBy("template").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_places)
-    seen = save(seen.join(often.select("template"), "template", "left_semi"), "seen")
+    seen = save(seen.join(save(often.select("template"), "often"), "template", "left_semi"), "seen")
     found = recurs = save(_recurring(seen, min_places), "recurring-0")
     turn = 0
     while found.limit(1).count():
@@ -191,7 +197,8 @@ def mark_lines(docs: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
     lines = hashed_lines(docs.select("text"))
     recurring = recurring_lines(docs.select("text"), lines, min_places)
     drop = lines.join(recurring.select("line"), "line", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("dropped"))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("text").alias("doc"))
+    drop = save(drop, "drop")  # so that copies of one text, a row each, can be split over tasks
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("doc"))
     found = keyed.join(drop, "doc", "left")
     return found.select("row", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 

@@ -162,26 +162,59 @@ def test_top_k_equals_plain_scores(spark):
 # --- line templates
 
 
+def plain_templates(lines):
+    """The template of each different line of a leaf, token by token: a second reading of the rule."""
+    found = []  # [tokens, members]
+    for line in sorted(lines):
+        own = line.split()
+        best, most = None, -1
+        for t in found:
+            same = sum(x == y != "<*>" for x, y in zip(t[0], own, strict=True))
+            if same > most:
+                best, most = t, same
+        if best and most >= max(3, 0.7 * len(own)):
+            best[0] = [x if x == y else "<*>" for x, y in zip(best[0], own, strict=True)]
+            best[1].append(line)
+        else:
+            found.append([own, [line]])
+    return {line: " ".join(tokens) for tokens, members in found for line in members}
+
+
 def plain_recurring(rows):
     lines = []
     for text in {t for _, t in rows if t is not None}:
         masked = [" ".join("<*>" if re.search("[0-9]", w) else w for w in x.split()) for x in text.split("\n")]
-        for i, m in enumerate(masked):
-            if len(m.split()) >= 3:
-                lines.append((text, i, m, (masked[i - 1] if i else None, masked[i + 1] if i + 1 < len(masked) else None)))
+        lines += [(text, i, m, masked) for i, m in enumerate(masked) if len(m.split()) >= 3]
     leaves = {}
     for _, _, m, _ in lines:
         leaves.setdefault((len(m.split()), tuple(m.split()[:3])), set()).add(m)
     template = {}
     for some in leaves.values():
-        some = sorted(some)
-        template.update(zip(some, line_templates.templates_of(some), strict=True))
-    docs, places = {}, {}
-    for text, _, m, place in lines:
-        docs.setdefault(template[m], set()).add(text)
-        places.setdefault(template[m], set()).add(place)
-    recurs = {t for t in docs if len(places[t]) >= 5 and len(places[t]) >= 0.5 * len(docs[t])}
-    return {(text, i) for text, i, m, _ in lines if template[m] in recurs}
+        template.update(plain_templates(some))
+    recurs = set()
+    while True:
+        # A place: the nearest lines before and after that are not known to recur.
+        docs, places = {}, {}
+        for text, i, m, masked in lines:
+            if template[m] in recurs:
+                continue
+            before, after = i - 1, i + 1
+            while before >= 0 and template.get(masked[before]) in recurs:
+                before -= 1
+            while after < len(masked) and template.get(masked[after]) in recurs:
+                after += 1
+            docs.setdefault(template[m], set()).add(text)
+            places.setdefault(template[m], set()).add((masked[before] if before >= 0 else None, masked[after] if after < len(masked) else None))
+        more = {t for t in docs if len(places[t]) >= 5 and (len(places[t]) >= 0.5 * len(docs[t]) or plain_independent(places[t]))}
+        if not more:
+            return {(text, i) for text, i, m, _ in lines if template[m] in recurs}
+        recurs |= more
+
+
+def plain_independent(places):
+    """Whether enough places, and half of them, share neither line with another."""
+    alone = [p for p in places if None not in p and sum(q[0] == p[0] for q in places) == 1 and sum(q[1] == p[1] for q in places) == 1]
+    return len(alone) >= 5 and len(alone) >= 0.5 * len(places)
 
 
 def test_line_templates_equal_plain_version(spark):
@@ -229,6 +262,17 @@ def test_a_template_of_many_variants_is_dropped_like_one_of_few(spark, monkeypat
         assert len(found) == len(few) and all("1" in r.dropped.split(",") for r in found)
 
 
+def test_every_line_of_a_common_footer_goes_and_results_do_not_depend_on_leaf_size(spark, monkeypatch):
+    foot = ["All rights belong to the makers of this page", "Read our terms before you go on", "Write to us at any time"]
+    rows = [(i, "\n".join([*texts(3, 2000 + i, 14), *foot])) for i in range(120)]
+    want = plain_recurring(rows)
+    assert {(t, i) for t, i in want} == {(t, i) for _, t in rows for i in (3, 4, 5)}
+    for leaf in (2000, 2):
+        monkeypatch.setattr(line_templates, "LEAF_LINES", leaf)
+        found = line_templates.report(spark.createDataFrame(rows, DOCS)).collect()
+        assert [r.dropped for r in found] == ["3,4,5"] * 120
+
+
 def test_all_lines_of_a_recurring_block_are_dropped(spark):
     block = ["All that you read here is free", "You may pass it on to friends", "Ask the editors before you print it", "We wish you a good day"]
     rows = [(i, "\n".join([*texts(3, 700 + i, 12), *block, *(texts(2, 800 + i, 12) if i % 2 else [])])) for i in range(14)]
