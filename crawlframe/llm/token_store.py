@@ -4,7 +4,7 @@ Documents are range-partitioned by key and sorted, so shard files in name order
 
     "CFIDS001", then u64: documents, ids, bytes of an id, bytes of the index
     payload: the ids, little-endian unsigned, one document after another
-    keys: i64 per document (a null key is the least value and is not indexed)
+    keys: i64 per document (a null key is stored as the least value; so a document may not have that key)
     starts: u64 per document and one more, in ids
     index: u64 levels; u64 bits of each level; the levels' bit arrays; per slot u32 row, u32 fingerprint
 
@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -103,8 +104,13 @@ class PerfectHash:
 
 def shard_bytes(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
     """A whole file: ids are little-endian u32 per document, stored with width bytes each."""
+    if NULL_KEY in keys:
+        raise ValueError(f"{NULL_KEY} stands for a null key and can't be a document's")
     counts = np.array([len(x) // 4 for x in ids], np.int64)
-    payload = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
+    whole = np.frombuffer(b"".join(ids), "<u4")
+    if len(whole) and int(whole.max()) >= 1 << 8 * width:
+        raise ValueError(f"id {whole.max()} does not fit {width} bytes")
+    payload = whole.astype(f"<u{width}").tobytes()
     stored = np.array([NULL_KEY if k is None else k for k in keys], "<i8")
     starts = np.concatenate([[0], np.cumsum(counts)]).astype("<u8")
     known, rows = np.unique(stored[stored != NULL_KEY], return_index=True)
@@ -119,11 +125,21 @@ def shard_bytes(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
     return MAGIC + head + payload + stored.tobytes() + starts.tobytes() + index
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """Where a path of Spark's lies for Python workers: s3a and s3n are s3, dbfs is mounted at /dbfs."""
+    scheme, _, rest = path.partition(":")
+    if scheme in ("s3a", "s3n"):
+        path = f"s3:{rest}"
+    elif scheme == "dbfs":
+        path = f"file:///dbfs/{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(path)
+
+
 class Shard:
     """A file of ids, open for reading."""
 
     def __init__(self, path: str):
-        store, at = fs.FileSystem.from_uri(path)
+        store, at = store_of(path)
         self.file = store.open_input_file(at)
         head = self.file.read(40)
         if head[:8] != MAGIC:
@@ -145,19 +161,25 @@ class Shard:
     def ids(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self._read(40 + start * self.width, (end - start) * self.width), f"<u{self.width}").astype("<u4")
 
-    def lookup(self, key: int) -> np.ndarray | None:
-        """The ids of a document by its key: one probe of the index and two short reads; None if it isn't here."""
-        at = self.keys_at + 16 * self.n_docs + 8
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The first row of each key, -1 for keys that aren't here: one probe of the index for all, and the fingerprints."""
         if self.perfect is None:
-            raw = self._read(at, self.index_bytes)
+            raw = self._read(self.keys_at + 16 * self.n_docs + 8, self.index_bytes)
             self.perfect, used = PerfectHash.from_bytes(raw)
             self.row = np.frombuffer(raw, "<u4", self.perfect.n, used)
             self.mark = np.frombuffer(raw, "<u4", self.perfect.n, used + 4 * self.perfect.n)
-        hashed = np.array([key], np.int64).view(np.uint64)
-        slot = int(self.perfect.slots(hashed)[0]) if self.perfect.n else -1
-        if slot < 0 or self.mark[slot] != _fingerprint(hashed)[0]:
+        hashed = np.asarray(keys, np.int64).view(np.uint64)
+        if not self.perfect.n:
+            return np.full(len(hashed), -1, np.int64)
+        slot = self.perfect.slots(hashed)
+        known = (slot >= 0) & (self.mark[slot] == _fingerprint(hashed))
+        return np.where(known, self.row[slot].astype(np.int64), -1)
+
+    def lookup(self, key: int) -> np.ndarray | None:
+        """The ids of a document by its key: one probe of the index and two short reads; None if it isn't here."""
+        row = int(self.rows(np.array([key]))[0])
+        if row < 0:
             return None
-        row = int(self.row[slot])
         start, end = map(int, np.frombuffer(self._read(self.keys_at + 8 * (self.n_docs + row), 16), "<u8"))
         return self.ids(start, end)
 
@@ -165,15 +187,15 @@ class Shard:
 def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, width: int = 2, shard_bytes_goal: int = SHARD_BYTES) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write shard files under path in ascending doc_id order.
 
-    Returns one row per file: ``(path, n_docs, first_id, n_ids)``, first_id counting the ids of all files before it.
-    width 2 holds vocabularies of at most 65536 ids.
+    Returns one row per file: ``(path, n_docs, n_ids, least_key, most_key, first_id)``, first_id counting the ids of all
+    files before it; the keys are null where a file has only null keys. An id that does not fit width bytes is an error.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = store_of(path)
         store.create_dir(root, recursive=True)
         keys, ids, size, made = [], [], 0, []
 
@@ -183,7 +205,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
             with store.open_output_stream(new := f"{name}.{uuid.uuid4().hex}") as out:
                 out.write(shard_bytes(keys, ids, width))
             store.move(new, name)
-            made.append((f"{path}/{name.rpartition('/')[2]}", len(keys), sum(map(len, ids)) // 4))
+            known = [k for k in keys if k is not None]
+            made.append((f"{path}/{name.rpartition('/')[2]}", len(keys), sum(map(len, ids)) // 4, min(known, default=None), max(known, default=None)))
             keys, ids, size = [], [], 0
 
         for batch in batches:
@@ -197,30 +220,62 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
                     flush()
         if keys:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4))], names=["path", "n_docs", "n_ids", "least_key", "most_key"])
 
     sorted_docs = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = save(in_small_batches(sorted_docs).mapInArrow(run, "path string, n_docs long, n_ids long"), "id-files")
+    files = save(in_small_batches(sorted_docs).mapInArrow(run, "path string, n_docs long, n_ids long, least_key long, most_key long"), "id-files")
     # One row per file, so this window is small however large the corpus is.
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def read_ids(files: DataFrame) -> DataFrame:
-    """Per document of the files: ``(doc_id, start, n_tokens, ids_crc32)`` from their bytes."""
+    """Per document of the files: ``(doc_id, start, n_tokens, ids_crc32)``.
+
+    The keys of a file are looked up through its index, all at once, and each document's ids are read where the index says.
+    A later row of a repeated key, or one with a null key, is not indexed and is read at its own place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(path)
                 keys, starts = shard.keys(), shard.starts()
-                ids = shard.ids(0, shard.n_ids)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts[:-1] + first), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                stored = np.array([NULL_KEY if k is None else k for k in keys], np.int64)
+                rows = np.arange(len(keys))
+                single = np.concatenate([[True], stored[1:] != stored[:-1]])[: len(keys)] & (stored != NULL_KEY)
+                rows[single] = shard.rows(stored[single])
+                if (rows < 0).any():
+                    raise ValueError(f"{path}: a stored key is not in the index")
+                payload = shard.ids(0, shard.n_ids)
+                begin, end = starts[rows], starts[rows + 1]
+                crc = [zlib.crc32(payload[a:b].tobytes()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begin + first), pa.array(end - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = files.select("path", "first_id").repartition(F.col("path"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def fetch(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(doc_id, ids)`` for ``keys(doc_id)``: the first document of each different key, fetched through the index.
+
+    A key goes to the files whose range of keys holds it (one, but for a key that two files share). Unknown and null keys
+    have no row. The files table has a row per 32 MB shard; it is broadcast while it is small and joined by range.
+    """
+
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        shard = Shard(pairs["path"].iloc[0])
+        ask = pairs["doc_id"].to_numpy(np.int64)
+        rows = shard.rows(ask)
+        starts = shard.starts()
+        got = [(int(k), shard.ids(int(starts[r]), int(starts[r + 1])).astype(np.int64)) for k, r in zip(ask, rows, strict=True) if r >= 0]
+        return pd.DataFrame({"doc_id": [k for k, _ in got], "path": [pairs["path"].iloc[0]] * len(got), "ids": [x for _, x in got]})
+
+    wanted = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    places = wanted.join(files.select("path", "least_key", "most_key"), F.col("doc_id").between(F.col("least_key"), F.col("most_key")))
+    found = places.select("doc_id", "path").groupBy("path").applyInPandas(run, "doc_id long, path string, ids array<long>")
+    return found.groupBy("doc_id").agg(F.min_by("ids", "path").alias("ids"))
+
+
 def encode_and_read_back(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return read_ids(write_ids(docs, scratch_path(docs.sparkSession, "ids"), vocabulary))

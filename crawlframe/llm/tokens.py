@@ -1,12 +1,17 @@
 """Whole texts to token ids with a public byte-level BPE vocabulary, inside Arrow batches.
 
-The vocabulary file is a parameter. A space or line break between two other characters is always a boundary of the
-vocabulary's own pre-tokeniser, so a text is cut there and each distinct piece is encoded once per worker by the
-tokenizers library; a text that holds any other white space is encoded whole. Ids are equal to encoding every text whole.
+The vocabulary file is a parameter. Where its pre-tokeniser is the byte-level one with the usual pattern, a space or line
+break between two other characters is always a boundary of it, so a text is cut there and each distinct piece is encoded
+once per worker by the tokenizers library; a text that holds any other white space, or the string of a special token, is
+encoded whole. With any other pre-tokeniser or normaliser all texts are. Ids are equal to encoding every text whole.
+
+The string of a special token in a text becomes that token's id, as the library's plain call gives it; with
+``specials_as_text`` it is ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -29,15 +34,24 @@ def default_vocabulary() -> str:
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
-    _open: dict[str, "Encoder"] = {}
+    _open: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(vocabulary, encoding="utf-8") as file:
+            kind = json.load(file)
+        cutter = kind["pre_tokenizer"] or {}
+        #: Whether a text may be cut into pieces.
+        self.by_pieces = not kind["normalizer"] and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        self.most_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        if not self.by_pieces:
+            return
         #: For runs of letters, which the vocabulary's pre-tokeniser never cuts.
         self.letters = Tokenizer.from_file(vocabulary)
         self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -47,11 +61,12 @@ class Encoder:
         self.ends = {c: self._ids([c])[0] for c in ".,;:!?"}
 
     @classmethod
-    def of(cls, vocabulary: str) -> "Encoder":
+    def of(cls, vocabulary: str, specials_as_text: bool = False) -> "Encoder":
         """One encoder per worker process and vocabulary."""
-        if vocabulary not in cls._open:
-            cls._open[vocabulary] = cls(vocabulary)
-        return cls._open[vocabulary]
+        key = (vocabulary, specials_as_text)
+        if key not in cls._open:
+            cls._open[key] = cls(*key)
+        return cls._open[key]
 
     def _ids(self, texts: list[str], letters: bool = False) -> list[bytes]:
         found = (self.letters if letters else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
@@ -81,6 +96,16 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
+        texts = [t or "" for t in texts]
+        if not self.by_pieces:
+            return self._ids(texts)
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        ids = self._by_pieces(["" if i in marked else t for i, t in enumerate(texts)] if marked else texts)
+        for i in marked:
+            ids[i] = self._ids([texts[i]])[0]
+        return ids
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()

@@ -16,7 +16,6 @@ ROWS = [(5, "Hello there, it's me.\nA second line, 12 of it."), (1, None), (2, "
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(tokens.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
@@ -31,9 +30,28 @@ def test_encoder_equals_whole_encoding(plain):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(cases)] == [plain(t) for t in cases]
 
 
+def test_special_strings_are_tokens_unless_asked_otherwise(plain):
+    text = "a <|endoftext|>b\n<|endoftext|>"
+    vocabulary = tokens.default_vocabulary()
+    assert 50256 in plain(text) and np.frombuffer(tokens.Encoder(vocabulary).encode([text])[0], "<u4").tolist() == plain(text)
+    as_text = Tokenizer.from_file(vocabulary)
+    as_text.encode_special_tokens = True
+    assert np.frombuffer(tokens.Encoder(vocabulary, True).encode([text])[0], "<u4").tolist() == as_text.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, cases = Tokenizer.from_file(path), ["Two words\nand a  line", "", "É x."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(path).encode(cases)] == [own.encode(t, add_special_tokens=False).ids for t in cases]
+
+
 def test_packing_is_whole_and_gapless(spark, plain):
     docs = spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id long, text string, piece int").repartition(2)
     got = packing.pack(docs, open_sequences=2).collect()
+    online = packing.pack(docs.coalesce(1), lookahead=0).orderBy("doc_id", "piece").drop("sequence_id", "offset")
+    assert online.collect() == packing.pack(docs, lookahead=3).orderBy("doc_id", "piece").drop("sequence_id", "offset").collect()
     want = []
     for d, t in ROWS:
         ids = plain(t) + [2]
@@ -53,6 +71,35 @@ def test_packing_is_whole_and_gapless(spark, plain):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def plain_places(lengths, capacity, most_open):
+    """Sequence and offset of each length: the list of all open sequences is searched every time."""
+    open_, out, made = [], [], 0  # [free space, age of that space, id]
+    for age, n in enumerate(lengths):
+        fits = [s for s in open_ if s[0] >= n]
+        if fits:
+            least = min(s[0] for s in fits)
+            s = max((s for s in fits if s[0] == least), key=lambda s: s[1])
+        else:
+            if len(open_) >= most_open:
+                fullest = min(s[0] for s in open_)
+                open_.remove(max((s for s in open_ if s[0] == fullest), key=lambda s: s[1]))
+            s = [capacity, age, made]
+            made += 1
+            open_.append(s)
+        out.append((s[2], capacity - s[0]))
+        s[0], s[1] = s[0] - n, age
+        if not s[0]:
+            open_.remove(s)
+    return out
+
+
+@pytest.mark.parametrize("most_open", [1, 3, 50])
+def test_places_equal_a_search_of_all_open_sequences(most_open):
+    lengths = np.random.default_rng(most_open).integers(1, 21, 600).tolist()
+    bins = packing.OpenSequences(20, most_open, 0)
+    assert [bins.place(n) for n in lengths] == plain_places(lengths, 20, most_open)
+
+
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     bins = packing.OpenSequences(10, 2, 0)
     assert [bins.place(n) for n in (6, 3, 1)] == [(0, 0), (0, 6), (0, 9)]
@@ -79,6 +126,12 @@ def test_token_files_round_trip(spark, plain):
             found = [x for s in shards if (x := s.lookup(d)) is not None]
             assert found and found[0].tolist() == plain(t) + [0]
     assert all(s.lookup(12345) is None for s in shards)
+    asked = token_store.fetch(files, spark.createDataFrame([(7,), (8,), (7,), (6,), (None,), (10**9,)], "doc_id long"))
+    assert {r.doc_id: r.ids for r in asked.collect()} == {d: plain(t) + [0] for d, t in ROWS if d in (7, 8)}
+    with pytest.raises(ValueError):
+        token_store.shard_bytes([1], [np.array([70_000], "<u4").tobytes()], 2)
+    with pytest.raises(ValueError):
+        token_store.shard_bytes([token_store.NULL_KEY], [b""], 2)
     assert token_store.encode_and_read_back(docs.limit(0)).count() == 0
 
 
