@@ -8,7 +8,10 @@ log2(d) joins to build the jumps and as many to list every path. A template mark
 Roles are percent-encoded and ``\\``, ``#`` and ``<`` in texts are escaped by a backslash, so no text can hold a mark and
 reading back gives what was written. The loss mask lists the spans of assistant texts, as code points of the formatted text.
 
-Defined cases: a null text or role is empty; a null conversation id is one conversation; a parent that is not there makes a
+A conversation's paths are listed and formatted by its key, so one conversation must fit a task; it is one text in the end.
+
+Defined cases: a null text or role is empty; all messages with a null conversation id are one conversation, whatever other
+ids there are; a parent that is not there makes a
 message a root; messages whose parents run in a circle are left out; paths with equal scores rank by the leaf's id; a null
 score counts 0; an empty table gives no rows; other columns are ignored. Message ids must be unique in a conversation;
 ``by_turn`` numbers the rows, so repeated rows become turns of their own.
@@ -33,6 +36,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def conversation() -> Column:
+    """A key that tells a null id from every other."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+
+
 def by_turn(rows: DataFrame) -> DataFrame:
     """Rows ``(conv_id, turn, role, text)`` as trees without branches: each turn replies to the one before."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -42,7 +50,7 @@ def by_turn(rows: DataFrame) -> DataFrame:
 
 def paths(messages: DataFrame) -> DataFrame:
     """``(conv, leaf, id, up)``: the messages of every root-to-leaf path, up steps above its leaf."""
-    nodes = save(messages.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), "id", "parent"), "nodes")
+    nodes = save(messages.select(conversation().alias("conv"), "id", "parent"), "nodes")
     longest = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     known = nodes.select("conv", F.col("id").alias("parent"))
     jump = nodes.join(known, ["conv", "parent"]).select("conv", "id", F.col("parent").alias("to"))
@@ -66,7 +74,7 @@ def format_branches(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     The best branches of each conversation by the sum of their messages' scores; all if branches is None.
     """
     messages = save(messages, "messages")
-    keyed = messages.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), "conv_id", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    keyed = messages.select(conversation().alias("conv"), "conv_id", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     steps = paths(messages).join(keyed.select("conv", "id", "score"), ["conv", "id"])
     ranks = steps.groupBy("conv", "leaf").agg(F.sum("score").alias("path_score"))
     ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("path_score"), "leaf")))

@@ -146,11 +146,12 @@ def test_perfect_hash_is_minimal():
 
 
 def test_best_branch_of_a_tree(spark):
-    rows = [("c", 1, None, "user", "hi", 0.0), ("c", 2, 1, "assistant", "a", 1.0), ("c", 3, 1, "assistant", "b", 2.0), ("c", 4, 2, "user", "deep", 5.0), ("c", 5, 3, "user", None, None), ("c", 8, 9, "user", "circle", 9.0), ("c", 9, 8, "user", "circle", 9.0), ("d", 1, 77, "assistant", "orphan", 0.0), (None, 1, None, "user", "no id", 0.0)]
+    rows = [("c", 1, None, "user", "hi", 0.0), ("c", 2, 1, "assistant", "a", 1.0), ("c", 3, 1, "assistant", "b", 2.0), ("c", 4, 2, "user", "deep", 5.0), ("c", 5, 3, "user", None, None), ("c", 8, 9, "user", "circle", 9.0), ("c", 9, 8, "user", "circle", 9.0), ("d", 1, 77, "assistant", "orphan", 0.0), (None, 1, None, "user", "no id", 0.0), ("null", 1, None, "user", "called null", 0.0)]
     messages = spark.createDataFrame(rows, "conv_id string, id long, parent long, role string, text string, score double")
     best = {r.conv_id: r for r in chat_trees.format_branches(messages).collect()}
     assert best["c"].leaf == 4 and best["c"].formatted == "### user: hi </turn>\n### assistant: a </turn>\n### user: deep </turn>\n"
     assert best["d"].formatted == "### assistant: orphan </turn>\n" and best[None].leaf == 1
+    assert best[None].formatted == "### user: no id </turn>\n" and best["null"].formatted == "### user: called null </turn>\n"
     every = chat_trees.format_branches(messages, None).where("conv_id = 'c'").orderBy("rank").collect()
     assert [(r.leaf, r.path_score) for r in every] == [(4, 6.0), (5, 2.0)]
     assert chat_trees.format_branches(messages.limit(0)).count() == 0
