@@ -1,9 +1,10 @@
 """Licence scan by canonical digests: texts that are a known licence once case, punctuation and spelling are evened out.
 
-A text's lines are lower-cased, copyright lines are taken out, all but letters and digits becomes one space, and equivalent
-spellings become one. The digest of what is left of the entire text, and that of each of its lines, are joined to the digests
-of known licences. Only DataFrame functions are used. The known digests are broadcast if a count shows that they are few;
-of the corpus only matching lines are shuffled.
+A text's lines are lower-cased, lines that state a copyright or only name a licence are taken out, all but letters and digits
+becomes one space, and equivalent spellings become one. The digest of what is left of the entire text, and that of each of its
+lines, are joined to the digests of known licences. Only DataFrame functions are used. The known digests are broadcast if a
+count shows that they are few. Texts are evened out once; of the corpus only matches are shuffled by their text, and then
+joined to the documents' ids, so that Spark can broadcast them or split copies of one text over tasks.
 
 Defined cases: a null text has no licence; lines that are empty once evened out match nothing; known texts with equal digests
 go by the least name; equal texts are treated alike; repeated rows are answered once each; an empty table gives no rows;
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import lower_ascii
+from crawlframe.llm import license_texts
+from crawlframe.llm.common import lower_ascii, save
 
 BROADCAST_ROWS = 100_000
 
@@ -39,51 +41,13 @@ EQUIVALENT = [
     ("http ", "https "),
 ]
 
-#: A line that only states a copyright.
-COPYRIGHT_LINE = r"^[^\p{L}]*(copyright( |$)|\(c\)|©|all rights reserved[^\p{L}]*$)"
-
-_WARRANTY = (
-    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
-    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
-    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
-    "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-)
-
-#: Public licence texts and notices.
-KNOWN = [
-    (
-        "MIT",
-        'MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n"
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR '
-        "A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
-        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-    ("ISC", f"ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_WARRANTY}"),
-    ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n{_WARRANTY}"),
-    (
-        "Apache-2.0",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n'
-        "http://www.apache.org/licenses/LICENSE-2.0\n"
-        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS '
-        "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-]
+#: A line that only states a copyright: it begins with the word or the sign, and the word is not part of the terms.
+COPYRIGHT_LINE = r"^[^\p{L}]*(copyright([^\p{L}]|$)|\(c\)|©|all rights reserved[^\p{L}]*$)"
+TERMS_LINE = r"^[^\p{L}]*copyright (notice|holder|owner|law|licen|interest|statement|and |or |in |of |to )"
+#: A line that only names a licence: "The MIT License (MIT)".
+TITLE_LINE = r"^[^\p{L}]*(the )?((new|modified|simplified|revised|bsd [0-9][- ]clause|mit|mit-0|mit no attribution|isc|0bsd|bsd zero clause|bsd|zlib|boost software)[ -]?)+(\"[a-z0-9 -]+\" ?)?licen[sc]e([ ,-]*version [0-9.]+)?( \([a-z0-9 -]+\))?[^\p{L}]*$"
+
+KNOWN = license_texts.known()
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -91,8 +55,8 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 
 def canonical_lines(text: Column) -> Column:
-    """Lines of a text, evened out; copyright lines and empty ones are left out."""
-    stated = F.filter(F.split(lower_ascii(text), "\n"), lambda x: ~x.rlike(COPYRIGHT_LINE))
+    """Lines of a text, evened out; copyright and title lines and empty ones are left out."""
+    stated = F.filter(F.split(lower_ascii(text), "\n"), lambda x: ~(x.rlike(COPYRIGHT_LINE) & ~x.rlike(TERMS_LINE)) & ~x.rlike(TITLE_LINE))
 
     def even(line: Column) -> Column:
         line = F.trim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "))
@@ -116,14 +80,15 @@ def digests(known: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, license, line_licenses)``: of the entire text, and of its lines (sorted)."""
-    table = digests(known)
-    evened = docs.where("text is not null").select(F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(canonical_lines(F.col("text")))).alias("x"))
-    lines = evened.select("doc", F.sha2("x", 256).alias("digest")).join(table, "digest")
-    lines = lines.groupBy("doc").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
-    entire = docs.select("doc_id", F.xxhash64("text").alias("doc"), canonical_lines(F.col("text")).alias("lines"))
-    entire = entire.select("doc_id", "doc", F.when(F.size("lines") > 0, digest(F.col("lines"))).alias("digest"))
-    found = entire.join(table, "digest", "left").join(lines, "doc", "left")
-    return found.select("doc_id", "license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
+    key = F.unhex(F.md5("text"))
+    evened = docs.where("text is not null").select(key.alias("doc"), canonical_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    entire = F.array(F.struct(F.lit(True).alias("entire"), digest(F.col("lines")).alias("digest")))
+    each = F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("entire"), F.sha2(x, 256).alias("digest")))
+    met = evened.select("doc", F.explode(F.concat(entire, each)).alias("x")).select("doc", "x.entire", "x.digest").join(digests(known), "digest")
+    licence = lambda of: F.when(F.col("entire") == of, F.col("license"))
+    found = save(met.groupBy("doc").agg(F.min(licence(True)).alias("license"), F.array_sort(F.collect_set(licence(False))).alias("line_licenses")), "licences")
+    all_docs = docs.select("doc_id", key.alias("doc")).join(found, "doc", "left")
+    return all_docs.select("doc_id", "license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -137,7 +102,7 @@ def _sql() -> str:
     even = r"trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))"
     for a, b in EQUIVALENT:
         even = f"replace({even}, {quote(a)}, {quote(b)})"
-    lines = f"list_filter(list_transform(list_filter(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), lambda x: NOT regexp_matches(x, {quote(COPYRIGHT_LINE)})), lambda x: {even}), lambda x: x <> '')"
+    lines = f"list_filter(list_transform(list_filter(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), lambda x: NOT (regexp_matches(x, {quote(COPYRIGHT_LINE)}) AND NOT regexp_matches(x, {quote(TERMS_LINE)})) AND NOT regexp_matches(x, {quote(TITLE_LINE)})), lambda x: {even}), lambda x: x <> '')"
     rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN).replace("\n", "' || chr(10) || '")
     return f"""
 WITH k AS (SELECT sha256(array_to_string(l, ' ')) AS digest, min(license) AS license FROM (SELECT license, {lines} AS l FROM (VALUES {rows}) AS v(license, text)) WHERE len(l) > 0 GROUP BY 1),

@@ -4,11 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
 
-from crawlframe.llm import common, decontamination, jaccard_join, language_id, licenses, line_templates, topk_search
+from crawlframe.llm import common, decontamination, jaccard_join, language_id, license_texts, licenses, line_templates, topk_search
 
 DOCS = "doc_id long, text string"
 WORDS = [a + b for a in "abcdefgh" for b in ("na", "ko", "ri", "tu")]
@@ -336,7 +337,9 @@ def test_gradients_equal_differences():
 
 
 def test_licenses_by_digest(spark):
-    mit = licenses.KNOWN[0][1]
+    texts_of = dict(reversed(license_texts.TEXTS))
+    mit, isc, bsd = texts_of["MIT"], texts_of["ISC"], texts_of["BSD-3-Clause"]
+    wrapped = isc.replace("above copyright notice", "above\ncopyright notice")
     rows = [
         (1, "Copyright (c) 2020 Jane Doe. All rights reserved.\n" + mit.upper().replace(",", " ;")),
         (2, "some text\nReleased under the MIT Licence!\nmore"),
@@ -345,8 +348,13 @@ def test_licenses_by_digest(spark):
         (5, mit + " and more"),
         (6, "Licensed under the Apache License, Version 2.0."),
         (6, "Licensed under the Apache License, Version 2.0."),
+        (7, f"The MIT License (MIT)\n\nCopyright 2001-2004 by A. Person <a@b.example>\n\n{mit}"),
+        (8, f"ISC License\n\nCopyright Jane Doe\n\n{wrapped}"),
+        (9, "BSD 3-Clause License\nCopyright (c) 2019, Some Company\nAll rights reserved.\n" + "\n".join(textwrap.wrap(bsd.replace("\n", " "), 70))),
+        (10, "a text\nLicensed under CC BY-NC 4.0.\nSPDX-License-Identifier: GPL-2.0-or-later"),
     ]
     docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, license string")
     got = sorted(tuple(r) for r in licenses.report(docs.select("doc_id", "text")).collect())
-    assert [(g[0], g[1], g[3]) for g in got] == [(1, "MIT", ""), (2, None, "MIT"), (3, None, ""), (4, None, ""), (5, None, ""), (6, "Apache-2.0", "Apache-2.0"), (6, "Apache-2.0", "Apache-2.0")]
+    assert [(g[0], g[1]) for g in got[7:]] == [(7, "MIT"), (8, "ISC"), (9, "BSD-3-Clause"), (10, None)] and got[10][3] == "CC-BY-NC-4.0,GPL-2.0"
+    assert [(g[0], g[1], g[3] if g[0] != 1 else "") for g in got[:7]] == [(1, "MIT", ""), (2, None, "MIT"), (3, None, ""), (4, None, ""), (5, None, ""), (6, "Apache-2.0", "Apache-2.0"), (6, "Apache-2.0", "Apache-2.0")]
     assert licenses.report(docs.limit(0)).count() == 0
