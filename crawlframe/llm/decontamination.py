@@ -6,7 +6,9 @@ window, cut into overlapping pieces of bounded length (which bounds the rounds o
 through wavelet-matrix ranks for all windows at once; rows of the suffix order are turned into places by walking to a
 sampled suffix position; overlapping occurrences merge into removal spans.
 
-Benchmark items reach the executors in blocks of bounded size, one pass each, inside the same stage: nothing is shuffled.
+Benchmark items reach the executors in blocks of bounded size, one pass each, with what was found written between passes, so
+that no worker ever holds more than one block. Nothing is shuffled. Of a block only windows whose words all stand in the shard
+are searched.
 
 Defined cases: a null text has no words and no hits; null or empty items have no window; rows of an item id count as one
 item and a null item id as the item "null"; repeated documents are answered once per row; empty tables give no hits or no
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import in_small_batches
+from crawlframe.llm.common import in_small_batches, save
 from crawlframe.llm.tokens import forget_encoders
 
 WINDOW_WORDS = 10
-#: Benchmark bytes that are sent to the executors at a time.
-BLOCK_BYTES = 16_000_000
+#: Benchmark bytes that are sent to the executors at a time (some 60 MB of words and windows), and windows that are searched
+#: at a time.
+BLOCK_BYTES = 8_000_000
+WINDOWS_AT_ONCE = 100_000
 #: Known words, documents and bytes after which a shard is closed, and the longest piece of a run.
 SHARD_WORDS = 1_000_000
 SHARD_DOCS = 50_000
@@ -138,21 +142,53 @@ class FMIndex:
 
 
 class Windows:
-    """The windows of a block of items: word ids, windows as matrices by length, and the items of each."""
+    """The windows of a block of items: word ids in one array, where the different windows of each length begin, and of which items they are."""
 
     def __init__(self, items: list[tuple[str, str | None]], window_words: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        parts, by_length, size = [], {}, 0
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window_words + 1) if ids else 0):
-                by_window.setdefault(tuple(ids[i : i + window_words]), set()).add(item)
-        self.groups = []
-        for n in sorted({len(w) for w in by_window}):
-            some = [w for w in by_window if len(w) == n]
-            self.groups.append((np.array(some, np.int64), [sorted(by_window[w]) for w in some]))
-        self.shortest = self.groups[0][0].shape[1] if self.groups else 0
-        self.longest = self.groups[-1][0].shape[1] if self.groups else 0
+            words = words_of(text)
+            if words:
+                parts.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words)))
+                n = min(len(words), window_words)
+                starts, owners = by_length.setdefault(n, ([], []))
+                starts.append(np.arange(size, size + len(words) - n + 1))
+                owners.append(np.full(len(starts[-1]), number[item], np.int32))
+                size += len(words)
+        self.ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        #: (words of a window, where each begins in ids, bounds of its items, items)
+        self.groups = [(n, *self._different(np.concatenate(starts), np.concatenate(owners), n)) for n, (starts, owners) in sorted(by_length.items())]
+        self.shortest = self.groups[0][0] if self.groups else 0
+        self.longest = self.groups[-1][0] if self.groups else 0
+
+    def _different(self, starts: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes = []
+        with np.errstate(over="ignore"):
+            for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # 128 bits in all
+                h = np.zeros(len(starts), np.uint64)
+                for j in range(n):
+                    h = (h ^ (h >> np.uint64(31))) * np.uint64(seed) + self.ids[starts + j].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                hashes.append(h)
+        order = np.lexsort((owners, *hashes))
+        starts, owners, hashes = starts[order], owners[order], [h[order] for h in hashes]
+        fresh = np.concatenate([[True], (hashes[0][1:] != hashes[0][:-1]) | (hashes[1][1:] != hashes[1][:-1])])
+        kept = fresh | np.concatenate([[True], owners[1:] != owners[:-1]])
+        window = np.cumsum(fresh)[kept] - 1
+        bounds = np.searchsorted(window, np.arange(int(fresh.sum()) + 1))
+        return starts[fresh].astype(np.int32), bounds.astype(np.int32), owners[kept]
+
+    def present(self, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
+        """Windows all of whose words are known, as (numbers, matrix of words, group), a bounded number at a time."""
+        for group in self.groups:
+            n, starts = group[:2]
+            for a in range(0, len(starts), WINDOWS_AT_ONCE):
+                words = self.ids[starts[a : a + WINDOWS_AT_ONCE, None] + np.arange(n)]
+                ok = np.flatnonzero(known[words].all(axis=1))
+                if len(ok):
+                    yield ok + a, words[ok].astype(np.int64), group
 
 
 class Shard:
@@ -179,25 +215,29 @@ class Shard:
                     break
                 a += PIECE_WORDS + 1
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Document, first word, end and items of each occurrence."""
-        out = []
+        out, items = [], []
         if self.pieces:
             text = np.concatenate(self.pieces).astype(np.int64)
             begin = np.concatenate([[0], np.flatnonzero(text == 0)[:-1] + 1])
+            word_of, doc_of = np.array(self.word_of), np.array(self.doc_of)
             index = FMIndex(text, len(self.windows.vocabulary))
-            for patterns, items in self.windows.groups:
+            known = np.zeros(len(self.windows.vocabulary) + 1, bool)
+            known[text] = True
+            for numbers, patterns, (n, _, bounds, owners) in self.windows.present(known):
                 low, high = index.search(patterns)
-                n = high - low
-                which = np.repeat(np.arange(len(patterns)), n)
-                rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+                times = high - low
+                which = numbers[np.repeat(np.arange(len(patterns)), times)]
+                rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - low, times)
                 at = index.locate(rows)
                 piece = np.searchsorted(begin, at, "right") - 1
-                start = np.array(self.word_of)[piece] + at - begin[piece]
-                out.append((np.array(self.doc_of)[piece], start, start + patterns.shape[1], [items[i] for i in which.tolist()]))
+                start = word_of[piece] + at - begin[piece]
+                out.append((doc_of[piece], start, start + n))
+                items += [owners[bounds[i] : bounds[i + 1]] for i in which.tolist()]
         if not out:
             return np.empty(0, int), np.empty(0, int), np.empty(0, int), []
-        return *(np.concatenate([o[i] for o in out]) for i in range(3)), [x for o in out for x in o[3]]
+        return *(np.concatenate([o[i] for o in out]) for i in range(3)), items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -211,12 +251,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, str | None]]]]:
+    """Different (item, text) rows in blocks, with whether it is the last; an empty benchmark is one empty block."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-total // block_bytes)
+    n = max(1, -(-total // block_bytes))
     for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()]
+        yield b + 1 == n, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()]
 
 
 _FOUND = T.StructType(
@@ -240,11 +281,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep_text: bool =
     text_at = names.index("text")
     # Columns are carried in one struct, so their names cannot clash with those of the results.
     out = in_small_batches(docs).select(F.struct(*[docs[c] for c in names]).alias("row"), F.lit(None).cast(T.LongType()).alias("n_words"), *[F.array().cast(f.dataType).alias(f.name) for f in _FOUND.fields[1:]])
-    blocks = [spark.sparkContext.broadcast(Windows(b, window_words)) for b in _blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(Windows([], window_words))]
-    for i, block in enumerate(blocks):
-        kept = [f for f in docs.schema.fields if f.name != "text" or keep_text or i + 1 < len(blocks)]
+    for last, items in _blocks(benchmark, block_bytes):
+        block = spark.sparkContext.broadcast(Windows(items, window_words))
+        kept = [f for f in docs.schema.fields if f.name != "text" or keep_text or not last]
         schema = T.StructType([T.StructField("row", T.StructType(kept)), *_FOUND.fields])
         out = out.mapInArrow(_scan(block, text_at, len(kept) == len(names)), schema)
+        if not last:
+            out = save(out, "searched")
+            block.unpersist()
     return out
 
 
@@ -261,14 +305,14 @@ def _scan(block, text_at: int, whole: bool):
             for d, s, e, i in zip(doc.tolist(), start.tolist(), end.tolist(), items, strict=True):
                 spans, found = by_doc.setdefault(d, ([], set()))
                 spans.append((s, e))
-                found.update(i)
+                found.update(i.tolist())
             at = 0
             for batch, counts in held:
                 spans, found = batch.column(2).to_pylist(), batch.column(3).to_pylist()
                 for k in range(len(counts)):
                     if more := by_doc.get(at + k):
                         spans[k] = [{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in spans[k]] + more[0])]
-                        found[k] = sorted({*found[k], *more[1]})
+                        found[k] = sorted({*found[k], *(windows.items[i] for i in more[1])})
                 at += len(counts)
                 row = batch.column(0)
                 if not whole:

@@ -9,7 +9,8 @@
    row with the earliest position stands for it, and the others are paired with it alone. Groups are expanded to their
    sets and pairs verified on the whole texts. That links nearly all that can be linked, without all pairs of a bucket.
 4. What is left is exhaustive: rows of a bucket that are still in different classes are paired when sizes and positions
-   allow the similarity, verified in the same way, and the links of both rounds give the classes.
+   allow the similarity (within size classes, large ones salted), verified in the same way, and the links of both rounds give
+   the classes.
 
 No link between documents of different classes is missed: every pair that shares a prefix shingle is either verified,
 ruled out by a bound, or already in one class.
@@ -21,6 +22,7 @@ repeated rows are answered once each; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -136,9 +138,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """The id of a set."""
-    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes()))
+def node_of(shingles: np.ndarray) -> bytes:
+    """The id of a set: 128 bits, so that no two sets of any corpus share one."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, percent: int, width: int) -> DataFrame:
@@ -166,10 +168,10 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int, width: int) -> D
                 salts.append(np.clip(2.0 ** (lv[order] / 8.0) // SALT_ROWS, 0, 30_000).astype(np.int16))
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             both = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x) if x else [], t)) for x, t in ((prefix, pa.int64()), (salts, pa.int16()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(gid, pa.int64()), *both], names=["doc_id", "n", "node", "gid", "prefix", "salts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(gid, pa.int64()), *both], names=["doc_id", "n", "node", "gid", "prefix", "salts"])
         _forget()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, gid long, prefix array<long>, salts array<short>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node binary, gid long, prefix array<long>, salts array<short>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -187,12 +189,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
                 both = len(np.intersect1d(left, last[1], assume_unique=True))
                 # Rows that share a doc_id bring each other's text, which is told by its set.
                 ok.append(100 * both >= percent * (len(left) + len(last[1]) - both) and node_of(left) == a[i] and node_of(last[1]) == b[i])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, ok, strict=True) if y], pa.int64()) for c in (a, b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, ok, strict=True) if y], pa.binary()) for c in (a, b)], names=["a", "b"])
         _forget()
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def _small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -214,6 +216,11 @@ def _fits(n_a: str, pos_a: str, n_b: str, pos_b: str, percent: int):
     return (100 + percent) * most >= percent * (F.col(n_a) + F.col(n_b))
 
 
+def _size_class(n, percent: int):
+    """Sizes in classes so wide that similar sets are in one class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (1.001 * max(0.01, math.log(100 / percent)))).cast("int")
+
+
 def _expanded(pairs: DataFrame, members: DataFrame, single: bool = False) -> DataFrame:
     """Pairs of groups (ga, gb) to pairs of their sets (a, b), a < b."""
     left = members.select(F.col("gid").alias("ga"), F.col("node").alias("a"), *([] if single else [F.col("comp").alias("ca")]))
@@ -236,7 +243,8 @@ def _class_table(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
     # Sets by group, and groups with their prefix once.
     members = save(known.groupBy("gid", "node").agg(F.min("doc_id").alias("doc_id")), "members")
-    groups = known.groupBy("gid").agg(F.min("node").alias("lead"), F.max("node").alias("other"), F.first("n").alias("n"), F.first(F.arrays_zip("prefix", "salts")).alias("p"))
+    # Different groups that chance gave one gid keep their own rows; their members are paired together, and verified.
+    groups = known.groupBy("gid", "n", F.xxhash64("prefix").alias("own")).agg(F.first(F.arrays_zip("prefix", "salts")).alias("p"))
     rows = groups.select("gid", "n", F.posexplode("p").alias("pos", "x"))
     rows = rows.select("gid", "n", "pos", F.col("x.prefix").alias("token"), F.when(F.col("x.salts") > 0, F.pmod("gid", F.col("x.salts") + 1)).otherwise(0).alias("salt"), (F.col("x.salts") > 0).alias("hot"))
     bucket = Window.partitionBy("token", "salt").orderBy("pos", "gid")
@@ -269,10 +277,16 @@ def _class_table(docs: DataFrame, percent: int, width: int) -> DataFrame:
     state = open_rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"))
     open_rows = save(open_rows.join(state.where("least <> most").select("token"), "token", "left_semi").select("token", "gid", "n", "pos", "low", "high"), "open")
     main = open_rows.groupBy("token", "low").count().groupBy("token").agg(F.max_by("low", F.struct("count", "low")).alias("main"))
-    marked = open_rows.join(main, "token").withColumn("minor", (F.col("low") != F.col("main")) | (F.col("low") != F.col("high")))
-    a = marked.where("minor").select("token", *[F.col(c).alias(f"{c}_a") for c in ("gid", "n", "pos", "low", "high")])
-    b = marked.select("token", *[F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "low", "high", "minor")])
-    met = a.join(b, "token").where("gid_a <> gid_b and (not minor_b or gid_a < gid_b) and not (low_a = low_b and low_a = high_a and low_b = high_b)")
+    marked = open_rows.join(main, "token").withColumn("minor", (F.col("low") != F.col("main")) | (F.col("low") != F.col("high"))).withColumn("sized", _size_class(F.col("n"), percent))
+    # Only rows of a size class and the next ones can be similar; a class with many rows is dealt over salts.
+    loads = marked.groupBy("token", "sized").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
+    loads = save(loads, "loads")
+    near = loads.select("token", F.explode(F.array(F.col("sized") - 1, F.col("sized"), F.col("sized") + 1)).alias("asked"), "sized", "parts")
+    fields = ("gid", "n", "pos", "low", "high")
+    a = marked.where("minor").select("token", F.col("sized").alias("asked"), *[F.col(c).alias(f"{c}_a") for c in fields])
+    a = a.join(near, ["token", "asked"]).drop("asked").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    b = marked.join(loads, ["token", "sized"]).select("token", "sized", F.pmod("gid", "parts").cast("int").alias("salt"), *[F.col(c).alias(f"{c}_b") for c in (*fields, "minor")])
+    met = a.join(b, ["token", "sized", "salt"]).where("gid_a <> gid_b and (not minor_b or gid_a < gid_b) and not (low_a = low_b and low_a = high_a and low_b = high_b)")
     met = met.where(_fits("n_a", "pos_a", "n_b", "pos_b", percent)).select(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb")).distinct()
     more = _expanded(met.union(split.select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))), members)
     more = save(more.join(tried, ["a", "b"], "left_anti"), "pairs-2")

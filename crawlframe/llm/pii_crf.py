@@ -1,16 +1,20 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
-Base spans are the leftmost non-overlapping matches of four patterns that pass their checks. They are the observed labels
-of a conditional random field over the tokens that hold a digit or an at sign (all other tokens are plainly outside):
+Base spans are the leftmost non-overlapping matches of four patterns that pass their checks; they are found in time linear in
+the text. They are the observed labels of a conditional random field over the tokens that hold a digit or an at sign (all
+other tokens are plainly outside):
 
-* node potentials: multinomial logistic regression on the shape of a token and of its neighbours;
+* node potentials from the shape of a token and of its neighbours;
 * chain potentials between neighbouring tokens, skip potentials between a token and the next one in the document that is
-  equal or similar (same digits, same mail name or host): the log ratio of how often two labels meet to how often they
-  would by chance.
+  equal or similar (same digits, same mail name or host).
 
-Both are learned from counts over the whole corpus (shapes and label pairs, a bounded number of kinds), labelled by the base
-patterns; unmatched tokens that resemble a matched one are not counted as outside. Loopy sum-product messages over all documents of an Arrow batch at once then make labels agree within a document,
-so that a number which the pattern missed is found when it appears elsewhere as personal data. Base spans stay as they are.
+All are learned together by pseudo-likelihood: each token's label given its shape and the labels of its chain and skip
+neighbours, from counts over the whole corpus (a bounded number of kinds of tokens), labelled by the base patterns. Unmatched
+tokens that resemble a matched one are not counted as outside. Skip potentials are drawn towards agreement.
+
+Every text with a digit or an at sign goes through the field. Loopy sum-product messages over the documents of an Arrow batch
+at once make labels agree within a document, so that a number which the pattern missed is found when it appears elsewhere as
+personal data. Base spans stay as they are.
 
 Defined cases: null and empty texts have no spans; a null doc_id is carried; repeated rows are answered once each; if
 nothing is personal data anywhere nothing is added; an empty table gives no rows; other columns are ignored.
@@ -38,10 +42,16 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same patterns, written so that no run of characters is read more than a few times.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_MAIL_AT_START = re.compile(rf"(?<![A-Za-z0-9._%+-]){_MAIL.pattern}")
 #: What a text must hold to be looked at at all.
 EVIDENCE = "[0-9@]"
-#: Pairs of similar tokens with equal labels, per label, that are taken for granted before any are counted.
-AGREEMENT = 50
+#: What skip potentials of equal labels are drawn to, and how strongly potentials are drawn to where they start.
+AGREEMENT = 3.0
+PENALTY = {"node": 1e-4, "chain": 1e-3, "skip": 1e-2}
 ROUNDS = 20
 DAMPING = 0.5
 
@@ -68,14 +78,23 @@ def _passes(kind: str, found: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def _mails(text: str) -> Iterator[re.Match]:
+    """After a match the next may begin within the same run of characters, else only at the beginning of one."""
+    at = 0
+    while m := (at and _MAIL.match(text, at)) or _MAIL_AT_START.search(text, at):
+        yield m
+        at = m.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in order of kind and start; end exclusive, code points."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(k, *m.span()) for m in PATTERNS[kind].finditer(text) if _passes(kind, m[0])]
-    return out
+    found = (
+        _mails(text) if "@" in text else (),
+        _IP.finditer(text),
+        _CARD.finditer(text),
+        PATTERNS["phone"].finditer(text) if "+" in text else (),
+    )
+    return [(k, *m.span()) for k, matches in enumerate(found) for m in matches if _passes(KINDS[k], m[0])]
 
 
 @dataclass
@@ -147,79 +166,89 @@ def tokens_of(text: str, base: list[tuple[int, int, int]]) -> Tokens:
 
 @dataclass
 class Field:
-    """Log potentials: per shape, and per pair of labels along chains and skips."""
+    """Log potentials: weights of the letters of a shape, and pairs of labels along chains and skips."""
 
-    nodes: dict[str, np.ndarray]
-    chain: np.ndarray
-    skip: np.ndarray
     weights: np.ndarray
     slots: list[dict[str, int]]
+    chain: np.ndarray
+    skip: np.ndarray
+    #: Whether anything but outside was ever seen.
+    any_label: bool
+
+    def __post_init__(self):
+        self.nodes: dict[str, np.ndarray] = {}
 
     def node(self, shape: str) -> np.ndarray:
         if shape not in self.nodes:
-            scores = self.weights[-1] + sum(self.weights[slot[c]] for slot, c in zip(self.slots, shape, strict=True) if c in slot)
-            self.nodes[shape] = scores - np.logaddexp.reduce(scores)
+            self.nodes[shape] = self.weights[-1] + sum(self.weights[slot[c]] for slot, c in zip(self.slots, shape, strict=True) if c in slot)
         return self.nodes[shape]
 
 
-def _ratio(counts: np.ndarray) -> np.ndarray:
-    """Log of how often labels meet over how often they would by chance, symmetric and smoothed."""
-    p = counts + counts.T + 1.0
-    p /= p.sum()
-    return np.log(p / (p.sum(axis=1)[:, None] * p.sum(axis=0)[None]))
-
-
-def fit(counts: list[tuple[str, str, int, int, int]], steps: int = 400) -> Field:
-    """From rows ``(what, shape, label, label, count)``, what being node, chain or skip."""
+def fit(counts: list[tuple[str, str, str, int, int]], steps: int = 400) -> Field:
+    """From rows ``(shape, labels of chain neighbours, labels of skip neighbours, label, count)``."""
     n = len(KINDS) + 1
-    pairs = {"chain": np.zeros((n, n)), "skip": np.zeros((n, n))}
-    by_shape: dict[str, np.ndarray] = {}
-    for what, shape, a, b, count in sorted(counts):
-        if what == "node":
-            by_shape.setdefault(shape, np.zeros(n))[a] += count
-        else:
-            pairs[what][a, b] += count
-    width = len(next(iter(by_shape), ""))
+    kinds: dict[tuple[str, str, str], np.ndarray] = {}
+    for shape, chain, skip, label, count in sorted(counts):
+        kinds.setdefault((shape, chain, skip), np.zeros(n))[label] += count
+    width = len(next(iter(kinds))[0]) if kinds else 0
     slots, size = [], 0
     for i in range(width):
-        letters = sorted({s[i] for s in by_shape})
+        letters = sorted({k[0][i] for k in kinds})
         slots.append({c: size + j for j, c in enumerate(letters)})
         size += len(letters)
-    x = np.zeros((len(by_shape), size + 1))
-    x[:, -1] = 1
-    for r, shape in enumerate(by_shape):
+    # Columns: letters of the shape, one that is always there, and how many chain and skip neighbours have each label.
+    x = np.zeros((len(kinds), size + 1 + 2 * n))
+    x[:, size] = 1
+    for r, (shape, chain, skip) in enumerate(kinds):
         x[r, [slot[c] for slot, c in zip(slots, shape, strict=True)]] = 1
-    y = np.array(list(by_shape.values())).reshape(-1, n)
-    share = np.log1p(y.sum(axis=1, keepdims=True))  # a frequent shape counts more, but not by all its copies
-    y = y / np.maximum(1, y.sum(axis=1, keepdims=True))
-    w, m, v = np.zeros((size + 1, n)), 0.0, 0.0
+        for first, near in ((size + 1, chain), (size + 1 + n, skip)):
+            for label in near:
+                x[r, first + int(label)] += 1
+    y = np.array(list(kinds.values())).reshape(-1, n)
+    total = y.sum(axis=1, keepdims=True)
+    share = np.log1p(total)  # a frequent kind counts more, but not by all its copies
+    y = y / np.maximum(1, total)
+    parts = {"node": slice(0, size + 1), "chain": slice(size + 1, size + 1 + n), "skip": slice(size + 1 + n, None)}
+    w = np.zeros((x.shape[1], n))
+    w[parts["skip"]] = AGREEMENT * np.eye(n)
+    start, m, v = w.copy(), 0.0, 0.0
     for t in range(1, steps + 1):
         scores = x @ w
         p = np.exp(scores - np.logaddexp.reduce(scores, axis=1, keepdims=True))
-        g = x.T @ (share * (p - y)) / max(1, share.sum()) + 1e-4 * w
+        g = x.T @ (share * (p - y)) / max(1, share.sum())
+        for part, penalty in PENALTY.items():
+            g[parts[part]] += penalty * (w - start)[parts[part]]
+        for part in ("chain", "skip"):  # a pair of labels has one potential, whichever of the two is asked
+            g[parts[part]] = (g[parts[part]] + g[parts[part]].T) / 2
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Field({}, _ratio(pairs["chain"]), _ratio(pairs["skip"] + AGREEMENT * np.eye(n)), w, slots)
+    return Field(w[parts["node"]], slots, w[parts["chain"]], w[parts["skip"]], bool(y[:, 1:].any()))
 
 
-def marginals(nodes: np.ndarray, edges: np.ndarray, pair: np.ndarray, observed: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Beliefs by loopy sum-product: log potentials of nodes (N, L) and edges (E, L, L); observed labels, or -1."""
+def marginals(nodes: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]], observed: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Beliefs by loopy sum-product: log potentials of nodes (N, L); edges (E, 2) with the log potential (L, L) of each kind
+    of edge; observed labels, or -1."""
     log = nodes.copy()
     known = np.flatnonzero(observed >= 0)
     log[known] = -1e3
     log[known, observed[known]] = 0
-    if len(edges):
-        src = np.concatenate([edges[:, 0], edges[:, 1]])
-        dst = np.concatenate([edges[:, 1], edges[:, 0]])
-        both = np.concatenate([pair, pair.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(src), nodes.shape[1]))
-        for _ in range(rounds):
-            belief = log.copy()
+    links = [(edges, np.exp(pair - pair.max())) for edges, pair in links if len(edges)]
+    # Both directions of each kind of edge: senders, receivers, and the factor that a sender's belief goes through.
+    ways = [(edges[:, i], edges[:, 1 - i], factor if i == 0 else factor.T) for edges, factor in links for i in (0, 1)]
+    messages = [np.zeros((len(src), nodes.shape[1])) for src, _, _ in ways]
+    for _ in range(rounds if ways else 0):
+        belief = log.copy()
+        for (_, dst, _), message in zip(ways, messages, strict=True):
             np.add.at(belief, dst, message)
-            sent = np.logaddexp.reduce((belief[src] - message[back])[:, :, None] + both, axis=1)
+        fresh = []
+        for i, (src, _, factor) in enumerate(ways):
+            given = belief[src] - messages[i ^ 1]
+            given -= given.max(axis=1, keepdims=True)
+            sent = np.log(np.maximum(np.exp(given) @ factor, 1e-300))
             sent -= np.logaddexp.reduce(sent, axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * sent
+            fresh.append(DAMPING * messages[i] + (1 - DAMPING) * sent)
+        messages = fresh
+    for (_, dst, _), message in zip(ways, messages, strict=True):
         np.add.at(log, dst, message)
     return np.exp(log - np.logaddexp.reduce(log, axis=1, keepdims=True))
 
@@ -227,16 +256,14 @@ def marginals(nodes: np.ndarray, edges: np.ndarray, pair: np.ndarray, observed:
 def added_spans(texts: list[str], tokens: list[Tokens], bases: list[list], field: Field) -> list[list[tuple[int, int, int]]]:
     """Spans that the field adds to each text, none of them touching a base span."""
     at = np.cumsum([0, *(len(t.spans) for t in tokens)])
-    if not at[-1] or not any(bases):
+    if not at[-1] or not field.any_label:
         return [[] for _ in texts]
     nodes = np.array([field.node(s) for t in tokens for s in t.shapes])
-    edges, pair = [], []
-    for t, first in zip(tokens, at.tolist(), strict=False):
-        for links, potential in ((t.chain, field.chain), (t.skip, field.skip)):
-            edges += [(a + first, b + first) for a, b in links]
-            pair += [potential] * len(links)
+    links = []
+    for of, potential in ((lambda t: t.chain, field.chain), (lambda t: t.skip, field.skip)):
+        links.append((np.array([(a + first, b + first) for t, first in zip(tokens, at.tolist(), strict=False) for a, b in of(t)], int).reshape(-1, 2), potential))
     observed = np.array([label or -1 for t in tokens for label in t.labels])
-    label = marginals(nodes, np.array(edges, int).reshape(-1, 2), np.array(pair).reshape(-1, *field.chain.shape), observed).argmax(axis=1)
+    label = marginals(nodes, links, observed).argmax(axis=1)
     out = []
     for text, t, base, first in zip(texts, tokens, bases, at.tolist(), strict=False):
         found: list[tuple[int, int, int]] = []
@@ -257,23 +284,33 @@ def added_spans(texts: list[str], tokens: list[Tokens], bases: list[list], field
     return out
 
 
+def kinds_of(t: Tokens) -> Iterator[tuple[str, str, str, int]]:
+    """Shape, labels of chain and of skip neighbours, and label of each token whose label is sure."""
+    # An unmatched token that resembles a matched one is no evidence of anything.
+    unsure = {x for a, b in t.skip for x, y in ((a, b), (b, a)) if not t.labels[x] and t.labels[y]}
+    near: tuple[dict[int, list[str]], ...] = ({}, {})
+    for found, links in zip(near, (t.chain, t.skip), strict=True):
+        for a, b in links:
+            for x, y in ((a, b), (b, a)):
+                if y not in unsure:
+                    found.setdefault(x, []).append(str(t.labels[y]))
+    for i, (shape, label) in enumerate(zip(t.shapes, t.labels, strict=True)):
+        if i not in unsure:
+            yield shape, "".join(sorted(near[0].get(i, ()))), "".join(sorted(near[1].get(i, ()))), label
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                t = tokens_of(text := text.as_py(), base_spans(text))
-                # An unmatched token that resembles a matched one is no evidence of anything.
-                unsure = {x for a, b in t.skip for x, y in ((a, b), (b, a)) if not t.labels[x] and t.labels[y]}
-                total.update(("node", s, label, 0) for i, (s, label) in enumerate(zip(t.shapes, t.labels, strict=True)) if i not in unsure)
-                for what, links in (("chain", t.chain), ("skip", t.skip)):
-                    total.update((what, "", t.labels[a], t.labels[b]) for a, b in links if a not in unsure and b not in unsure)
+                total.update(kinds_of(tokens_of(text := text.as_py(), base_spans(text))))
         rows = [(*k, n) for k, n in total.items()]
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["what", "shape", "a", "b", "n"])
+        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["shape", "chain", "skip", "label", "n"])
 
-    found = in_small_batches(docs).where(F.col("text").rlike(EVIDENCE)).select("text").mapInArrow(run, "what string, shape string, a int, b int, n long")
-    return found.groupBy("what", "shape", "a", "b").agg(F.sum("n").alias("n"))
+    found = in_small_batches(docs).where(F.col("text").rlike(EVIDENCE)).select("text").mapInArrow(run, "shape string, chain string, skip string, label int, n long")
+    return found.groupBy("shape", "chain", "skip", "label").agg(F.sum("n").alias("n"))
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -290,7 +327,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             bases = [base_spans(t) if t else [] for t in texts]
             added: list[list] = [[] for _ in texts]
-            some = [i for i, b in enumerate(bases) if b]  # without any base span in it a document stays as it is
+            some = [i for i, t in enumerate(texts) if t] if shared.value.any_label else []
             for a in range(0, len(some), 200):
                 part = some[a : a + 200]
                 tokens = [tokens_of(texts[i], bases[i]) for i in part]

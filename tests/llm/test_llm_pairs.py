@@ -8,6 +8,7 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crawlframe.llm import common, decontamination, jaccard_join, language_id, license_texts, licenses, line_templates, topk_search
 
@@ -125,6 +126,24 @@ def test_jaccard_join_with_salted_shingles(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_classes(rows)
 
 
+def test_one_shingle_in_many_different_documents(spark, monkeypatch):
+    """A passage that fills most of many texts, none of which are similar: all pairs are ruled out, in salted classes."""
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 7)
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join([passage, *(f"w{i}x{j}" for j in range(rng.randint(11, 16)))])) for i in range(70)]
+    rows += [(100 + i, " ".join([passage, "common tail of two words", *(f"v{i}x{j}" for j in range(rng.randint(1, 4)))])) for i in range(10)]
+    got = jaccard_join.classes(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_classes(rows)
+
+
+def test_size_classes_hold_similar_sizes_together(spark):
+    for percent in (50, 80, 95, 100):
+        pairs = [(n, m) for n in range(1, 400) for m in {n, n * 100 // percent, max(1, -(-n * percent // 100))}]
+        frame = spark.createDataFrame(pairs, "n long, m long").select((jaccard_join._size_class(F.col("n"), percent) - jaccard_join._size_class(F.col("m"), percent)).alias("d"))
+        assert frame.where("abs(d) > 1").count() == 0
+
+
 def test_one_of_each_keeps_columns(spark):
     long = " ".join(WORDS)
     rows = [(3, long, 1), (2, long.upper(), 2), (5, "other text", 3), (None, long, 4), (7, None, 5), (5, "other text", 6)]
@@ -160,6 +179,29 @@ def test_top_k_equals_plain_scores(spark):
     assert topk_search.top_k(frame.limit(0)).count() == 0
 
 
+def test_bounds_hold_and_spare_clustered_vectors():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 48)) * 3
+    x = np.floor(256 * (centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 48)) * 0.1)).astype(np.int64)
+    ids = np.arange(3000)
+    block = topk_search.QueryBlock(ids[::50].tolist(), x[::50].tolist())
+    best = topk_search.Best(block, 5)
+    for a in range(0, 3000, 1000):
+        best.add(ids[a : a + 1000], x[a : a + 1000])
+    want = {(int(q), i, s) for q in ids[::50] for s, i in sorted(((int(x[q] @ x[i]), int(i)) for i in ids if i != q), key=lambda t: (-t[0], t[1]))[:5]}
+    assert set(best.rows()) == want and best.scored < 0.2 * 60 * 3000
+    feature = topk_search._features(x[:200].astype(float) @ topk_search.rotation(x.astype(float)), 16)
+    assert (feature @ feature.T + 1 >= x[:200] @ x[:200].T).all()
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rows = [(i, [float(2**22 + i), float(2**21 + 3 * i), 1.0]) for i in range(120)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=2**8 + 1).collect()
+    ints = {i: [int(257 * c) for c in v] for i, v in rows}
+    want = [(q, r + 1, i, s) for q in (0, 50, 100) for r, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q), key=lambda t: (-t[0], t[1]))[:5])]
+    assert sorted(tuple(r) for r in got) == want
+
+
 # --- line templates
 
 

@@ -1,6 +1,8 @@
 """Operators that work row by row or write files: round trips and plain versions."""
 
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -205,14 +207,86 @@ def test_skip_links_find_what_patterns_miss(spark):
 
 def test_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(1)
-    nodes, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3, 3))
-    edges = np.array([[0, 1], [1, 2], [1, 3]])
+    nodes, pair = rng.normal(size=(4, 3)), rng.normal(size=(2, 3, 3))
+    links = [(np.array([[0, 1], [1, 2]]), pair[0]), (np.array([[1, 3]]), pair[1])]
     observed = np.array([-1, -1, 2, -1])
     total = np.zeros((4, 3))
     for x in np.ndindex(3, 3, 3, 3):
         if x[2] == 2:
-            p = np.exp(sum(nodes[i, x[i]] for i in (0, 1, 3)) + sum(q[x[a], x[b]] for (a, b), q in zip(edges, pair, strict=True)))
+            p = np.exp(sum(nodes[i, x[i]] for i in (0, 1, 3)) + sum(q[x[a], x[b]] for edges, q in links for a, b in edges))
             for i in range(4):
                 total[i, x[i]] += p
-    got = pii_crf.marginals(nodes, edges, pair, observed, rounds=80)
+    got = pii_crf.marginals(nodes, links, observed, rounds=80)
     assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+def plain_base(text):
+    return [(k, *m.span()) for k, kind in enumerate(pii_crf.KINDS) for m in pii_crf.PATTERNS[kind].finditer(text) if pii_crf._passes(kind, m[0])]
+
+
+def test_base_spans_equal_the_patterns_as_stated():
+    rng = random.Random(6)
+    pieces = ["a", "b.c", "@", ".", "x@y.zz", "12", "1.2", "255", ".", " ", "-", "+", "+1", "(", ")", "_", "4111 1111 1111 1111", "é", "%", "\n", "10.0.0.1", "@d.e-f.g"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 14)))
+        assert pii_crf.base_spans(text) == plain_base(text), text
+
+
+def test_long_runs_take_linear_time():
+    for run in ("1" * 300_000, "a." * 150_000 + " x@", "1." * 150_000, "+1(" + "(" * 300_000, "a@" * 150_000, "1 " * 200_000):
+        began = time.time()
+        pii_crf.base_spans(run)
+        assert time.time() - began < 5
+
+
+def plain_labels(text, base, field):
+    """The most likely label of each token by adding up all labellings."""
+    t = pii_crf.tokens_of(text, base)
+    n = len(pii_crf.KINDS) + 1
+    total = np.zeros((len(t.spans), n))
+    for x in np.ndindex(*[n] * len(t.spans)):
+        if all(not known or known == x[i] for i, known in enumerate(t.labels)):
+            score = sum(field.node(s)[x[i]] for i, s in enumerate(t.shapes)) + sum(field.chain[x[a], x[b]] for a, b in t.chain) + sum(field.skip[x[a], x[b]] for a, b in t.skip)
+            total[range(len(x)), x] += np.exp(score)
+    return t, total.argmax(axis=1)
+
+
+def test_added_spans_equal_a_sum_over_all_labellings():
+    rng = random.Random(2)
+    number = lambda: "+49" + "".join(rng.choices("0123456789", k=10))
+    train = [f"Call {number()} or write to p{i}@mail.example.com in {1990 + i}, for {i} coins" for i in range(80)]
+    counts = {}
+    for x in train:
+        for kind in pii_crf.kinds_of(pii_crf.tokens_of(x, pii_crf.base_spans(x))):
+            counts[kind] = counts.get(kind, 0) + 1
+    field = pii_crf.fit([(*k, n) for k, n in counts.items()])
+    added = 0
+    for i in range(40):
+        a, b = number(), number()
+        text = rng.choice([f"{a} and then {a[1:]} in 1999", f"{a[1:]} 12 {b}", f"no base {a[1:]} at all {i}", f"x{i}@mail.example.com or x{i}@other , {i}"])
+        base = pii_crf.base_spans(text)
+        t, want = plain_labels(text, base, field)
+        got = pii_crf.added_spans([text], [pii_crf.tokens_of(text, base)], [base], field)[0]
+        found = {(k, j) for k, s, e in got for j, (u, v) in enumerate(t.spans) if u < e and s < v}
+        assert found == {(int(k) - 1, j) for j, k in enumerate(want) if k and not t.labels[j]}, text
+        added += len(found)
+    assert added >= 10
+
+
+def test_masked_base_spans_are_found_again():
+    """Held-out recall: labels of every other document's base spans are hidden, and the field has to find them."""
+    rng = random.Random(3)
+    texts = [f"Call +1 555 0{rng.randint(100, 199)} {rng.randint(1000, 9999)} or mail n{rng.randint(0, 999)}@host{i % 7}.example.com . We met {rng.randint(1, 30)} times since {rng.randint(1990, 2020)} ." for i in range(200)]
+    counts = {}
+    for x in texts[::2]:
+        for kind in pii_crf.kinds_of(pii_crf.tokens_of(x, pii_crf.base_spans(x))):
+            counts[kind] = counts.get(kind, 0) + 1
+    field = pii_crf.fit([(*k, n) for k, n in counts.items()])
+    hit = wanted = wrong = 0
+    for x in texts[1::2]:
+        base = pii_crf.base_spans(x)
+        found = pii_crf.added_spans([x], [pii_crf.tokens_of(x, [])], [[]], field)[0]
+        wanted += len(base)
+        hit += sum(any(k == kind and s < end and start < e for k, s, e in found) for kind, start, end in base)
+        wrong += sum(not any(s < end and start < e for _, start, end in base) for _, s, e in found)
+    assert hit >= 0.9 * wanted and wrong <= 0.05 * wanted
