@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 class Rule:
     code: str
     severity: str | Column
-    penalty: float
+    penalty: float | Column
     when: Column
     category: str = ""
 
@@ -21,9 +21,13 @@ def _severity(rule: Rule) -> Column:
     return F.lit(rule.severity) if isinstance(rule.severity, str) else rule.severity
 
 
+def _penalty(rule: Rule) -> Column:
+    return rule.penalty if isinstance(rule.penalty, Column) else F.lit(float(rule.penalty))
+
+
 def issue_array(rules: list[Rule]) -> Column:
     """Array of the issues that hold for a row; a null condition doesn't."""
-    found = [F.when(F.coalesce(r.when, F.lit(False)), F.struct(F.lit(r.code).alias("code"), _severity(r).alias("severity"), F.lit(float(r.penalty)).alias("penalty"), F.lit(r.category).alias("category"))) for r in rules]
+    found = [F.when(F.coalesce(r.when, F.lit(False)), F.struct(F.lit(r.code).alias("code"), _severity(r).alias("severity"), _penalty(r).alias("penalty"), F.lit(r.category).alias("category"))) for r in rules]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 

@@ -67,6 +67,7 @@ def donor_stats(links: DataFrame) -> DataFrame:
         F.coalesce(F.avg("dr"), F.lit(0.0)).alias("avg_dr"),
         F.coalesce(F.avg("ur"), F.lit(0.0)).alias("avg_ur"),
         F.coalesce(F.avg("traffic"), F.lit(0.0)).alias("avg_traffic"),
+        F.coalesce(F.avg("external_links"), F.lit(0.0)).alias("avg_external_links"),
         share(F.col("follow") == F.lit(False)).alias("nofollow_rate"),
         share(F.col("lost")).alias("lost_rate"),
         share(F.col("http_code").startswith("2")).alias("http2xx_rate"),
@@ -84,7 +85,7 @@ def target_profile(links: DataFrame) -> DataFrame:
         F.count_if(no).alias("no"),
         F.count_if(yes & home).alias("home_yes"),
         F.count_if(no & home).alias("home_no"),
-        *[F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in ("lost", "ugc", "sponsored")],
+        *[F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in ("lost", "ugc", "sponsored", "rendered", "raw")],
         F.count_if(F.col("http_code").startswith("2")).alias("ok"),
     )
     c = F.col
@@ -102,10 +103,66 @@ def target_profile(links: DataFrame) -> DataFrame:
         pct(c("lost"), c("n")).alias("lost_pct"),
         pct(c("ugc"), c("n")).alias("ugc_pct"),
         pct(c("sponsored"), c("n")).alias("sponsored_pct"),
+        pct(c("rendered"), c("n")).alias("rendered_pct"),
+        pct(c("raw"), c("n")).alias("raw_pct"),
         pct(c("ok"), c("n")).alias("http_2xx_pct"),
     )
 
 
+def quality_score() -> Column:
+    """Quality of a profile from its shares: follow, answers, kept links, inner pages."""
+    c = F.col
+    return rnd(c("follow_pct") * 0.35 + c("http_2xx_pct") * 0.25 + (100.0 - c("lost_pct")) * 0.25 + (100.0 - c("homepage_pct")) * 0.15, 2)
+
+
+def executive_kpis(links: DataFrame, own: str) -> DataFrame:
+    """``(metric, ours, competitors_mean, difference)``: our shares and quality beside the mean of the competitors'."""
+    mine = is_own(F.col("target_domain"), own)
+    names = ["follow_pct", "lost_pct", "http_2xx_pct", "quality"]
+    long = target_profile(links).withColumn("quality", quality_score()).unpivot(["target_domain"], names, "metric", "v")
+    g = long.groupBy("metric").agg(rnd(F.avg(F.when(mine, F.col("v"))), 2).alias("ours"), rnd(F.avg(F.when(~mine, F.col("v"))), 2).alias("competitors_mean"))
+    dr = links.agg(F.lit("avg_dr").alias("metric"), rnd(F.avg(F.when(mine, F.col("dr"))), 2).alias("ours"), rnd(F.avg(F.when(~mine, F.col("dr"))), 2).alias("competitors_mean"))
+    return g.unionByName(dr).withColumn("difference", rnd(F.col("ours") - F.col("competitors_mean"), 2))
+
+
+def overlap_matrix(links: DataFrame, own: str, shown: int = 8) -> DataFrame:
+    """Each donor with the competitors it links to, and whether it is a gap, shared, or neither."""
+    pairs = links.select("source_domain", "target_domain").distinct()
+    mine = is_own(F.col("target_domain"), own)
+    g = pairs.groupBy(F.col("source_domain").alias("domain")).agg(F.bool_or(mine).alias("has_ours"), F.count_if(~mine).alias("competitors"), F.count("*").alias("targets"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(~mine, F.col("target_domain")))), 1, shown), ", ").alias("competitor_list"))
+    kind = F.when(~F.col("has_ours") & (F.col("competitors") >= 2), "gap").when(F.col("has_ours") & (F.col("competitors") > 0), "shared").otherwise("single")
+    return g.withColumn("gap_type", kind)
+
+
+def benchmark_table(links: DataFrame, metrics: DataFrame, own: str) -> DataFrame:
+    """Each target's shares with its metrics and quality, and rows of mean and median of the competitors."""
+    p = target_profile(links).withColumn("quality", quality_score())
+    names = ["dr", "backlinks_all", "ref_domains_all", "follow_pct", "lost_pct", "http_2xx_pct", "homepage_pct", "ugc_pct", "sponsored_pct", "rendered_pct", "quality"]
+    rows = p.join(best_metrics(metrics).withColumnRenamed("domain", "target_domain"), "target_domain", "left").select(F.col("target_domain").alias("domain"), *names)
+    return rows.unionByName(_means(rows.where(~is_own(F.col("domain"), own)), names))
+
+
+def _means(rows: DataFrame, names: list[str]) -> DataFrame:
+    row = lambda label, f: rows.agg(*[rnd(f(c), 2).alias(c) for c in names]).select(F.lit(label).alias("domain"), *names)
+    return row("mean", F.avg).unionByName(row("median", F.median))
+
+
+def core_metrics(links: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Authority and volume of each target that has any, and rows of their mean and median."""
+    names = ["dr", "backlinks_all", "ref_domains_all"]
+    targets = links.select(F.col("target_domain").alias("domain")).distinct()
+    rows = targets.join(best_metrics(metrics), "domain").where("coalesce(dr, backlinks_all, ref_domains_all) is not null").select("domain", *names)
+    return rows.unionByName(_means(rows, names))
+
+
+def with_imported(scores: DataFrame, imported: DataFrame) -> DataFrame:
+    """Priority scores where imported rows replace computed ones of their domain."""
+    fields = [c for c in scores.columns if c != "domain"]
+    theirs = imported.select("domain", *[F.col(c).alias(f"i_{c}") for c in fields], F.lit(True).alias("i"))
+    j = scores.join(theirs, "domain", "full_outer")
+    return j.select("domain", *[F.when(F.col("i"), F.col(f"i_{c}")).otherwise(F.col(c)).alias(c) for c in fields])
+
+
 def donor_classes(links: DataFrame, own: str) -> DataFrame:
     """Each donor: shared with us, only ours, one competitor's, or several competitors'."""
     pairs = links.select("source_domain", "target_domain").distinct()

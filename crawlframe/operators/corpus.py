@@ -9,24 +9,51 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd, top_k
 from crawlframe.functions.text import STOP_WORDS, all_of, in_list, words
+from crawlframe.operators.graph import cut
+
+
+def term_arrays(docs: DataFrame, terms: Column) -> DataFrame:
+    """``(doc_id, total, counted)``: the different terms of each document as an array of ``(term, n, first)``.
+
+    Terms are counted inside the row: sorted with their positions, equal ones lie side by side. Nothing is shuffled.
+    """
+    rows = docs.select("doc_id", terms.alias("t"))
+    placed = F.sort_array(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
+    rows = rows.select("doc_id", F.coalesce(F.size("t"), F.lit(0)).alias("total"), placed.alias("s"))
+    fresh = lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])
+    begins = F.when(F.col("total") > 0, F.filter(F.sequence(F.lit(0), F.col("total") - 1), fresh)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "total", "s", begins.alias("b"))
+    one = lambda i, k: F.struct(F.get("s", i)["term"].alias("term"), (F.coalesce(F.get("b", k + 1), F.col("total")) - i).cast("long").alias("n"), F.get("s", i)["pos"].alias("first"))
+    return rows.select("doc_id", "total", F.transform("b", one).alias("counted"))
 
 
 def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
     """``(doc_id, term, n, first, total)``: occurrences of each term, its first position, and terms of the document."""
-    rows = docs.select("doc_id", terms.alias("t")).select("doc_id", F.size("t").alias("total"), F.posexplode("t").alias("pos", "term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.first("total").alias("total"))
+    rows = term_arrays(docs, terms).select("doc_id", "total", F.explode("counted").alias("c"))
+    return rows.select("doc_id", "c.term", "c.n", "c.first", "total")
+
+
+def most_frequent(counted: Column, k: int) -> Column:
+    """The k terms with the most occurrences, earlier ones first of equals, as ``(n, first, term)``."""
+    best = F.slice(F.sort_array(F.transform(counted, lambda x: F.struct((-x["n"]).alias("m"), x["first"].alias("first"), x["term"].alias("term")))), 1, k)
+    return F.transform(best, lambda x: F.struct((-x["m"]).alias("n"), x["first"].alias("first"), x["term"].alias("term")))
 
 
 def long_terms(text: Column, least: int = 4) -> Column:
     return F.filter(words(F.lower(text)), lambda x: F.length(x) >= least)
 
 
+def document_frequencies(arrays: DataFrame) -> DataFrame:
+    """``(term, df)`` of ``term_arrays``, written once, so that joins with it can be broadcast or split by Spark."""
+    return cut(arrays.select(F.explode("counted.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+
+
 def tfidf(docs: DataFrame, frequent: int = 50, best: int = 10) -> DataFrame:
     """The best terms of each document among its most frequent, by tf * ln(N / df)."""
-    counts = term_counts(docs, long_terms(F.col("text")))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("docs"))
-    often = top_k(counts, ["doc_id"], [F.desc("n"), F.asc("first")], frequent).drop("rank")
+    arrays = cut(term_arrays(docs, long_terms(F.col("text"))))
+    df = document_frequencies(arrays)
+    n = arrays.agg(F.count("*").alias("docs"))
+    often = arrays.select("doc_id", "total", F.explode(most_frequent(F.col("counted"), frequent)).alias("o")).select("doc_id", "total", "o.*")
     scored = often.join(df, "term").crossJoin(F.broadcast(n)).withColumn("raw", F.col("n") / F.col("total") * F.log(F.col("docs") / F.col("df")))
     scored = scored.where("raw > 0.0001").withColumn("score", rnd(F.col("raw"), 6))
     return top_k(scored, ["doc_id"], [F.desc("score"), F.desc("n"), F.asc("first")], best).select("doc_id", "rank", "term", "score")
@@ -39,20 +66,41 @@ def top_terms(docs: DataFrame, terms: Column, n: int, k: int) -> DataFrame:
         grams = F.zip_with(grams, F.slice("t", F.lit(i + 1), F.greatest(F.lit(0), size - i)), lambda x, y: F.concat_ws(" ", x, y))
     grams = F.slice(grams, F.lit(1), F.greatest(F.lit(0), size - (n - 1)))
     based = docs.select("doc_id", terms.alias("t")).select("doc_id", "t", grams.alias("g"))
-    counts = term_counts(based.withColumn("text", F.lit("")), F.col("g"))
-    return top_k(counts, ["doc_id"], [F.desc("n"), F.asc("first")], k).select("doc_id", "rank", "term", F.col("n").alias("count"), rnd(F.col("n") / F.col("total") * 100.0, 3).alias("pct"))
+    best = term_arrays(based, F.col("g")).select("doc_id", "total", F.posexplode(most_frequent(F.col("counted"), k)).alias("pos", "o"))
+    return best.select("doc_id", (F.col("pos") + 1).alias("rank"), "o.term", F.col("o.n").alias("count"), rnd(F.col("o.n") / F.col("total") * 100.0, 3).alias("pct"))
 
 
-def semantic_links(terms: DataFrame, most_docs: int, k: int = 20) -> DataFrame:
-    """Pairs of documents that share terms of ``terms(doc_id, term)``; the k with the most for each.
+def semantic_links(terms: DataFrame, k: int = 20, rare: int = 50) -> DataFrame:
+    """Pairs of documents that share terms of ``terms(doc_id, term)``; the k with the most for each, lower ids first of equals.
 
-    Terms of more than most_docs documents link nothing: that cut is part of the definition, and bounds the join.
+    Exact without all pairs of a frequent term. Documents with a common term of at most ``rare`` documents are paired by it.
+    What else could be among a document's k best shares frequent terms only; of all documents that hold a set of frequent
+    terms, only the k + 1 with the lowest ids can be, as these share at least as much. So each set of a document's frequent
+    terms is looked up in a list of k + 1 ids. Terms per document are few, so these sets are.
     """
-    rare = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(2, most_docs)).select("term")
-    t = terms.join(rare, "term")
-    a, b = t.select(F.col("doc_id").alias("src"), "term"), t.select(F.col("doc_id").alias("dst"), "term")
-    pairs = a.join(b, "term").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("relevance"), F.min("term").alias("suggested_anchor"))
-    return top_k(pairs, ["src"], [F.desc("relevance"), F.asc("dst")], k)
+    t = cut(terms.select("doc_id", "term").distinct())
+    df = cut(t.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
+    t = cut(t.join(df, "term"))
+    sets = cut(t.groupBy("doc_id").agg(F.collect_set("term").alias("terms"), F.array_sort(F.collect_set(F.when(F.col("df") > rare, F.col("term")))).alias("often")))
+    few = t.where(F.col("df") <= rare)
+    near = few.select(F.col("doc_id").alias("src"), "term").join(few.select(F.col("doc_id").alias("dst"), "term"), "term").where("src <> dst").select("src", "dst")
+    subsets = F.aggregate("often", F.array(F.array().cast("array<string>")), lambda found, x: F.concat(found, F.transform(found, lambda s: F.array_append(s, x))))
+    keyed = sets.where(F.size("often") > 0).select("doc_id", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("held"))
+    lists = cut(top_k(keyed, ["held"], [F.asc("doc_id")], k + 1).select("held", F.col("doc_id").alias("dst")))
+    far = keyed.select(F.col("doc_id").alias("src"), "held").join(lists, "held").where("src <> dst").select("src", "dst")
+    pairs = near.union(far).distinct()
+    both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("terms").alias("a")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("terms").alias("b")), "dst")
+    shared = F.array_intersect("a", "b")
+    found = both.select("src", "dst", F.size(shared).cast("long").alias("relevance"), F.array_min(shared).alias("suggested_anchor"))
+    return top_k(found, ["src"], [F.desc("relevance"), F.asc("dst")], k)
+
+
+def topic_labels(links: DataFrame, terms: DataFrame, docs: DataFrame, hub_links: int = 3) -> DataFrame:
+    """``(doc_id, topic_label, topic_hub)``: the first term shared with the best link, else the best own term, else ``misc``."""
+    by_link = links.groupBy(F.col("src").alias("doc_id")).agg(F.count("*").alias("n"), F.min_by("suggested_anchor", "rank").alias("anchor"))
+    own = terms.where("rank = 1").select("doc_id", F.col("term").alias("own"))
+    j = docs.select("doc_id").join(by_link, "doc_id", "left").join(own, "doc_id", "left")
+    return j.select("doc_id", F.coalesce("anchor", "own", F.lit("misc")).alias("topic_label"), (F.coalesce("n", F.lit(0)) >= hub_links).alias("topic_hub"))
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -120,12 +168,14 @@ def survivors(chunked: DataFrame, budgets: tuple[int, ...] = (512, 1024, 2048))
 
 def cosine_join(left: DataFrame, right: DataFrame, tf_idf: bool = False) -> DataFrame:
     """``(a, b, dot, cosine)`` of documents ``left`` with ``right`` that share a content token, by term weights."""
-    l, r = (term_counts(x, content_tokens(F.col("text"))).select("doc_id", "term", F.col("n").cast("double").alias("w")) for x in (left, right))
+    l, r = (cut(term_arrays(x, content_tokens(F.col("text")))) for x in (left, right))
+    rows = [x.select("doc_id", F.explode("counted").alias("c")).select("doc_id", "c.term", F.col("c.n").cast("double").alias("w")) for x in (l, r)]
     if tf_idf:
-        df = r.groupBy("term").agg(F.count("*").alias("df"))
-        n = F.broadcast(right.agg(F.count("*").alias("docs")))
+        df = document_frequencies(r)
+        n = F.broadcast(r.agg(F.count("*").alias("docs")))
         idf = F.log((F.col("docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0
-        l, r = (x.join(df, "term", "left").crossJoin(n).select("doc_id", "term", (F.col("w") * idf).alias("w")) for x in (l, r))
+        rows = [cut(x.join(df, "term", "left").crossJoin(n).select("doc_id", "term", (F.col("w") * idf).alias("w"))) for x in rows]
+    l, r = rows
     nl, nr = (x.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q")) for x in (l, r))
     dots = l.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa")).join(r.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb")), "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     joined = dots.join(nl.select(F.col("doc_id").alias("a"), F.col("q").alias("qa")), "a").join(nr.select(F.col("doc_id").alias("b"), F.col("q").alias("qb")), "b")

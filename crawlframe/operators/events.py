@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions.common import pct, rnd
+from crawlframe.operators.sampling import ranked
 
 # Upper limits of good and of needing improvement.
 LIMITS = {"lcp": (2500.0, 4000.0), "inp": (200.0, 500.0), "cls": (0.1, 0.25), "fcp": (1800.0, 3000.0), "ttfb": (800.0, 1800.0), "speed_index": (3400.0, 5800.0), "tbt": (200.0, 600.0), "tti": (3800.0, 7300.0)}
@@ -38,11 +39,10 @@ def site_snapshots(vitals: DataFrame) -> DataFrame:
 
 
 def leaderboard(sites: DataFrame) -> DataFrame:
-    """Sites by status, score and metrics; unknown values last."""
+    """Sites by status, score and metrics; unknown values last. Ranked over partitions, so no task sees all sites."""
     rank = F.when(F.col("status") == "good", 0).when(F.col("status") == "needs_improvement", 1).when(F.col("status") == "poor", 2).otherwise(3)
     last = lambda c: F.coalesce(F.col(c), F.lit(1e12)).asc()
-    order = Window.orderBy(rank, F.coalesce("score", F.lit(-1.0)).desc(), last("lcp"), last("inp"), last("cls"), "site")
-    return sites.withColumn("rank", F.row_number().over(order))
+    return ranked(sites, [rank.asc(), F.coalesce("score", F.lit(-1.0)).desc(), last("lcp"), last("inp"), last("cls"), F.asc("site")])
 
 
 def summary(sites: DataFrame) -> DataFrame:

@@ -52,18 +52,19 @@ def degrees(occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.withColumn("orphan", F.col("incoming") == 0)
 
 
-def click_depth(edges: DataFrame, start: Column | str, most: int = 50) -> DataFrame:
-    """``(node, depth)``: breadth-first levels from the start page; unreached pages are left out."""
+def click_depth(edges: DataFrame, start: Column | str) -> DataFrame:
+    """``(node, depth)``: breadth-first levels from the start page, until no new page is found; unreached pages are left out."""
     spark = edges.sparkSession
     links = cut(edges.select("src", "dst").distinct())
-    seen = cut(spark.range(1).select((F.lit(start) if isinstance(start, str) else start).alias("node"), F.lit(0).alias("depth")))
-    front = seen
-    for depth in range(1, most + 1):
+    seen = front = cut(spark.range(1).select((F.lit(start) if isinstance(start, str) else start).alias("node"), F.lit(0).alias("depth")))
+    depth = 0
+    while front.limit(1).count():
+        depth += 1
         found = links.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = cut(found.withColumn("depth", F.lit(depth)))
-        if not front.limit(1).count():
-            break
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
+        if depth % 16 == 0:  # so that the union of levels stays short
+            seen = cut(seen)
     return seen
 
 
@@ -92,16 +93,17 @@ def unlinked_topics(topics: DataFrame, edges: DataFrame, k: int = 10) -> DataFra
     return missing.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy("dst"))).where(F.col("rank") <= k)
 
 
-def redirect_chains(hops: DataFrame, most: int = 12) -> DataFrame:
+def redirect_chains(hops: DataFrame) -> DataFrame:
     """``hops(from, to, status)`` -> ``(start, hops, final, loop, statuses, permanent, temporary)``.
 
-    Every step joins the open ends with the hop table; a chain ends where there is no hop, or at a page it has been to.
+    Every step joins the open ends with the hop table; a chain ends where there is no hop, or at a page it has been to, so
+    every chain ends. A page has one hop at most.
     """
     table = cut(hops.select(F.col("from").alias("at"), F.col("to").alias("next"), "status"))
     starts = table.select("at").distinct()
     open_ = starts.select(F.col("at").alias("start"), "at", F.array("at").alias("path"), F.array().cast("array<int>").alias("codes"))
     columns, rounds = ["start", "at", "path", "codes"], []
-    for _ in range(most + 1):
+    while not rounds or open_.limit(1).count():
         j = open_.join(table, "at", "left")
         moved = F.col("next").isNotNull()
         step = j.select(
@@ -115,10 +117,6 @@ def redirect_chains(hops: DataFrame, most: int = 12) -> DataFrame:
         step = cut(step)
         rounds.append(step.where("loop or ended").select(*columns, "loop"))
         open_ = step.where("not loop and not ended").select(*columns)
-        if not open_.limit(1).count():
-            break
-    else:
-        rounds.append(open_.withColumn("loop", F.lit(False)))
     done = reduce(DataFrame.unionByName, rounds)
     return done.select(
         "start",

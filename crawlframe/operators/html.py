@@ -41,18 +41,31 @@ class _Elements(HTMLParser):
             self.rows[self.open[-1]][4].append(data)
 
 
+#: Pages of an Arrow batch: a page may have some MB, where Spark's default of 10,000 rows would be tens of GB.
+PAGE_ROWS = 100
+
+
+def parsed(page_id: int, html: str | None) -> list[list]:
+    """Element rows of one page. Marked sections are text; what the tokenizer gives up on ends its page there, not the job."""
+    parser = _Elements(page_id)
+    try:
+        parser.feed((html or "").replace("<![", "&lt;!["))
+        parser.close()
+    except (AssertionError, ValueError):
+        pass
+    return [[*r[:4], "".join(r[4]).strip(), *r[5:]] for r in parser.rows]
+
+
 def elements(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, html)`` -> one row per element, in document order."""
+    """``pages(page_id, html)`` -> one row per element, in document order; a null page has none."""
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGE_ROWS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ELEMENTS.replace("<string,string>", "").split(", ")]
         for batch in batches:
             rows = []
             for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-                parser = _Elements(page_id)
-                parser.feed(html or "")
-                parser.close()
-                rows += [[*r[:4], "".join(r[4]).strip(), *r[5:]] for r in parser.rows]
+                rows += parsed(page_id, html)
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(run, ELEMENTS)
@@ -95,12 +108,50 @@ def heading_outline(el: DataFrame) -> DataFrame:
     return h.groupBy("page_id").agg(F.count("*").alias("headings"), F.min_by("level", "pos").alias("first_level"), F.count_if("skip").alias("level_skips"), (F.count("t") - F.count_distinct("t")).alias("repeated_texts"))
 
 
+# What a snapshot loses for each kind of difference, at most.
+MISSING_POINTS = {"text": 40.0, "links": 25.0, "headings": 20.0, "meta": 15.0}
+
+
 def snapshot_diff(raw: DataFrame, rendered: DataFrame) -> DataFrame:
-    """``(page_id, text, hrefs)`` of both sides: coverage of the text, links added and removed, and a score."""
-    a = raw.select("page_id", F.col("text").alias("ta"), F.col("hrefs").alias("la"))
-    b = rendered.select("page_id", F.col("text").alias("tb"), F.col("hrefs").alias("lb"))
+    """``(page_id, text, hrefs, headings, meta map)`` of both sides, compared.
+
+    Coverage of the text, links added and removed, headings added and removed, and meta fields that are the same, changed, or
+    on one side only. The score is 100 less what the raw side lacks of the rendered one. A page on one side only is compared
+    with an empty one.
+    """
+    a = raw.select("page_id", *[F.col(c).alias(f"{c}_a") for c in ("text", "hrefs", "headings", "meta")])
+    b = rendered.select("page_id", *[F.col(c).alias(f"{c}_b") for c in ("text", "hrefs", "headings", "meta")])
     j = a.join(b, "page_id", "full_outer")
-    none = F.array().cast("array<string>")
-    la, lb = F.coalesce("la", none), F.coalesce("lb", none)
-    na, nb = F.coalesce(F.length("ta"), F.lit(0)), F.coalesce(F.length("tb"), F.lit(0))
-    return j.select("page_id", na.alias("raw_chars"), nb.alias("rendered_chars"), F.size(F.array_except(lb, la)).alias("links_added"), F.size(F.array_except(la, lb)).alias("links_removed"), (na == nb).alias("same_length"))
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    la, lb, ha, hb = (F.coalesce(x, none) for x in ("hrefs_a", "hrefs_b", "headings_a", "headings_b"))
+    na, nb = F.coalesce(F.length("text_a"), F.lit(0)), F.coalesce(F.length("text_b"), F.lit(0))
+    j = j.withColumns({"ma": F.map_filter(F.coalesce("meta_a", empty), lambda k, v: v != ""), "mb": F.map_filter(F.coalesce("meta_b", empty), lambda k, v: v != "")})
+    keys = F.array_union(F.map_keys("ma"), F.map_keys("mb"))
+    count = lambda f: F.size(F.filter(keys, f))
+    in_a, in_b = (lambda k: F.map_contains_key("ma", k)), (lambda k: F.map_contains_key("mb", k))
+    j = j.select(
+        "page_id",
+        na.alias("raw_chars"),
+        nb.alias("rendered_chars"),
+        F.size(F.array_except(lb, la)).alias("links_added"),
+        F.size(F.array_except(la, lb)).alias("links_removed"),
+        F.size(F.array_except(hb, ha)).alias("headings_added"),
+        F.size(F.array_except(ha, hb)).alias("headings_removed"),
+        count(lambda k: in_a(k) & in_b(k) & (F.col("ma")[k] == F.col("mb")[k])).alias("meta_same"),
+        count(lambda k: in_a(k) & in_b(k) & (F.col("ma")[k] != F.col("mb")[k])).alias("meta_changed"),
+        count(lambda k: ~in_b(k)).alias("meta_raw_only"),
+        count(lambda k: ~in_a(k)).alias("meta_rendered_only"),
+        F.size(lb).alias("n_links"),
+        F.size(hb).alias("n_headings"),
+        F.size(keys).alias("n_meta"),
+    )
+    part = lambda n, of: n / F.greatest(F.lit(1), of)
+    p = MISSING_POINTS
+    lost = (
+        part(F.greatest(F.lit(0), F.col("rendered_chars") - F.col("raw_chars")), F.col("rendered_chars")) * p["text"]
+        + part(F.col("links_added"), F.col("n_links")) * p["links"]
+        + part(F.col("headings_added"), F.col("n_headings")) * p["headings"]
+        + part(F.col("meta_changed") + F.col("meta_rendered_only"), F.col("n_meta")) * p["meta"]
+    )
+    coverage = F.least(F.lit(1.0), F.col("raw_chars") / F.greatest(F.lit(1), F.col("rendered_chars")))
+    return j.withColumns({"coverage": F.floor(coverage * 10000.0 + 0.5) / 10000.0, "score": F.floor((100.0 - lost) * 10.0 + 0.5) / 10.0}).drop("n_links", "n_headings", "n_meta")

@@ -22,6 +22,12 @@ INTENTS = {
 }
 
 
+NOISE_STEMS = ["скачать", "скачат", "бесплатн", "download", "watch", "pdf", "torrent", "youtube", "ютуб"]
+PREPOSITIONS = ["к", "ко", "по", "для", "на", "с", "со", "в", "во", "из", "от", "до", "под", "без", "при", "о", "об", "про"]
+#: Stems that stand for a group, and the first of them, its core.
+CENTROID, CORE = 8, 4
+
+
 def normal_form(keyword: Column) -> Column:
     x = F.translate(F.lower(F.trim(keyword)), "ё", "е")
     x = F.regexp_replace(F.regexp_replace(x, r"[_/\\|]+", " "), r"[^\p{L}\p{N}\s-]+", " ")
@@ -93,11 +99,12 @@ def similar_pairs(e: DataFrame, threshold: float, method: str = "jaccard", frequ
     return j.select("a", "b", rnd(F.least(F.lit(1.0), score), 6).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def groups(e: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:
+def groups(e: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(norm, leader, score)``: greedy grouping in a total order, worked in rounds.
 
     Better means more stems, more tokens, a shorter spelling, an earlier position. A keyword leads if no better leader is
-    similar to it; others join the most similar leader. Rounds decide all keywords whose better neighbours are decided.
+    similar to it; others join the most similar leader. Each round decides all keywords whose better neighbours are decided;
+    the best undecided one always is, so rounds end.
     """
     order = F.struct(-F.size("stems"), -F.size("tokens"), F.length("display"), "pos", "norm")
     nodes = cut(e.select("norm", order.alias("o")))
@@ -105,41 +112,114 @@ def groups(e: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:
     n = nodes.select(F.col("norm").alias("b"), F.col("o").alias("ob"))
     better = cut(both.join(nodes.withColumnRenamed("norm", "a"), "a").join(n, "b").where("ob < o").select("a", "b", "sim"))
     state = cut(nodes.select("norm").withColumn("leads", F.lit(None).cast("boolean")))
-    for _ in range(most):
+    while state.where("leads is null").limit(1).count():
         near = better.join(state.select(F.col("norm").alias("b"), "leads"), "b").groupBy(F.col("a").alias("norm")).agg(F.bool_or("leads").alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
         j = state.join(near, "norm", "left")
         decided = F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
         state = cut(j.select("norm", F.coalesce("leads", decided).alias("leads")))
-        if not state.where("leads is null").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"grouping did not settle in {most} rounds")
     leaders = state.where("leads").select(F.col("norm").alias("b"))
     joined = better.join(leaders, "b").groupBy(F.col("a").alias("norm")).agg(F.max_by("b", F.struct("sim", F.col("b"))).alias("leader"), F.max("sim").alias("score"))
     return state.join(joined, "norm", "left").select("norm", F.when(F.col("leads"), F.col("norm")).otherwise(F.col("leader")).alias("leader"), F.when(F.col("leads"), 1.0).otherwise(F.col("score")).alias("score"))
 
 
+def stem_counts(e: DataFrame, assigned: DataFrame) -> DataFrame:
+    """``(leader, stem, n, r)``: in how many keywords of a group a stem stands, and its place, ties in the order of letters."""
+    n = e.join(assigned, "norm").select("leader", F.explode("stems").alias("stem")).groupBy("leader", "stem").agg(F.count("*").alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("n"), "stem")))
+
+
+def centroids(counts: DataFrame, k: int = CENTROID) -> DataFrame:
+    """``(leader, top)``: the first stems of each group, the most frequent first."""
+    top = F.transform(F.array_sort(F.collect_list(F.struct("r", "stem"))), lambda x: x["stem"])
+    return counts.where(F.col("r") <= k).groupBy("leader").agg(top.alias("top"))
+
+
+def merged(e: DataFrame, assigned: DataFrame, threshold: float, method: str = "jaccard", frequent: float = 0.05, more: float = 0.08) -> DataFrame:
+    """``(norm, leader, score)`` after a second grouping, of the leaders: by their similarity and the stems of their groups.
+
+    Two groups may become one if 0.75 of the leaders' similarity and 0.25 of the common share of their first stems come to
+    the threshold and ``more``, and they share a stem of the leaders or a third of the first stems; two of more than 25
+    keywords only if the leaders are nearly the same. Scores become those to the new leader, by what merged the two.
+    """
+    counts = cut(stem_counts(e, assigned))
+    top = cut(centroids(counts).join(assigned.groupBy("leader").agg(F.count("*").alias("size")), "leader"))
+    leaders = cut(e.join(top.select(F.col("leader").alias("norm")), "norm", "left_semi"))
+    # Below this similarity no share of stems is enough.
+    near = similar_pairs(leaders, (threshold + more - 0.25) / 0.75, method, frequent)
+    side = lambda x: top.select(F.col("leader").alias(x), F.col("top").alias(f"t{x}"), F.col("size").alias(f"n{x}"))
+    stems_of = lambda x: leaders.select(F.col("norm").alias(x), F.col("stems").alias(f"s{x}"))
+    j = near.join(side("a"), "a").join(side("b"), "b").join(stems_of("a"), "a").join(stems_of("b"), "b")
+    overlap = F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))
+    score = rnd(F.col("sim") * 0.75 + overlap * 0.25, 6)
+    j = j.withColumns({"overlap": overlap, "both": score, "common": F.size(F.array_intersect("sa", "sb"))})
+    fits = ((F.col("both") >= threshold + more) & ((F.col("common") >= 1) | (F.col("overlap") >= 0.35))) | (F.col("sim") >= 0.92)
+    large = (F.col("na") > 25) & (F.col("nb") > 25) & (F.col("sim") < 0.9)
+    edges = cut(j.where(fits & ~large).select("a", "b", F.col("both").alias("sim")))
+    above = groups(leaders, edges).select(F.col("norm").alias("leader"), F.col("leader").alias("above"), F.col("score").alias("above_score"))
+    j = assigned.join(above, "leader")
+    return j.select("norm", F.col("above").alias("leader"), F.when(F.col("above") == F.col("leader"), F.col("score")).otherwise(rnd(F.col("score") * F.col("above_score"), 6)).alias("score"))
+
+
 def group_summary(e: DataFrame, assigned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Size, demand, share, exact cohesion and quality of each group."""
+    """Size, demand, share, exact cohesion, density, label, intent and priority of each group.
+
+    Cohesion is the mean similarity of all pairs, those below the threshold counting 0; density the share of similar pairs.
+    """
     g = assigned.select("norm", "leader")
     inner = pairs.join(g.select(F.col("norm").alias("a"), F.col("leader").alias("la")), "a").join(g.select(F.col("norm").alias("b"), F.col("leader").alias("lb")), "b").where("la = lb")
     edges = inner.groupBy(F.col("la").alias("leader")).agg(F.sum("sim").alias("sims"), F.count("*").alias("links"))
-    sizes = e.join(g, "norm").groupBy("leader").agg(F.count("*").alias("size"), F.sum("demand").alias("demand"))
+    sizes = e.join(g, "norm").groupBy("leader").agg(F.count("*").alias("size"), F.sum("occurrences").alias("occurrences"), F.sum("demand").alias("demand"))
     total = sizes.agg(F.sum("demand").alias("total"))
     possible = F.col("size") * (F.col("size") - 1) / 2.0
-    cohesion = F.when(F.col("size") == 1, 1.0).otherwise(rnd(F.coalesce("sims", F.lit(0.0)) / possible, 4))
-    out = sizes.crossJoin(F.broadcast(total)).withColumn("share", rnd(F.col("demand") / F.col("total") * 100.0, 2)).join(edges, "leader", "left")
-    out = out.withColumn("cohesion", cohesion)
-    return out.select("leader", "size", "demand", "share", "cohesion", F.when(F.col("cohesion") >= 0.78, "high").when(F.col("cohesion") >= 0.62, "medium").otherwise("low").alias("quality"))
+    counts = cut(stem_counts(e, assigned))
+    kinds = intents(counts.groupBy(F.col("leader").alias("norm")).agg(F.collect_set("stem").alias("stems"))).select(F.col("norm").alias("leader"), "intent")
+    single = F.col("size") == 1
+    out = sizes.crossJoin(F.broadcast(total)).join(edges, "leader", "left").join(centroids(counts, 3), "leader").join(kinds, "leader")
+    out = out.withColumns({"share": rnd(F.col("demand") / F.col("total") * 100.0, 2), "cohesion": F.when(single, 1.0).otherwise(rnd(F.coalesce("sims", F.lit(0.0)) / possible, 4)), "density": F.when(single, 0.0).otherwise(rnd(F.coalesce("links", F.lit(0)) / possible, 4))})
+    base = F.array_join("top", " / ")
+    label = F.when(F.col("intent") == "mixed", base).otherwise(F.concat_ws(": ", "intent", base))
+    quality = F.when(F.col("cohesion") >= 0.78, "high").when(F.col("cohesion") >= 0.62, "medium").otherwise("low")
+    priority = rnd(F.col("demand") * 0.55 + F.col("size") * 0.25 + F.col("cohesion") * 20.0, 2)
+    return out.select("leader", "size", "occurrences", "demand", "share", "cohesion", "density", quality.alias("quality"), label.alias("label"), "intent", priority.alias("priority"))
+
+
+def phrase_bonus(display: Column) -> Column:
+    """What a spelling gains as a phrase: some words, a preposition, few repeats; long words and digits cost."""
+    low = F.lower(display)
+    words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    n = F.size(words)
+    alpha = F.filter(words, lambda w: w.rlike("[a-zа-я]"))
+    unique = F.size(F.array_distinct(alpha)) / F.greatest(F.lit(1), F.size(alpha))
+    compact = F.regexp_replace(low, r"\s+", "")
+    digits = F.length(F.regexp_replace(compact, "[^0-9]", "")) / F.greatest(F.lit(1), F.length(compact))
+    bonus = (
+        F.when(n.between(3, 6), 0.08).when(n >= 8, -F.least(F.lit(0.14), (n - 7) * 0.02)).otherwise(0.0)
+        + F.when(F.exists(words, lambda w: w.isin(*PREPOSITIONS)), 0.09).otherwise(0.0)
+        + F.when(F.size(alpha) == 0, 0.0).when(unique >= 0.9, 0.03).when(unique <= 0.6, -0.06).otherwise(0.0)
+        + F.when(F.size(F.filter(words, lambda w: F.length(w) >= 18)) >= 2, -0.06).otherwise(0.0)
+        + F.when(digits >= 0.35, -0.08).otherwise(0.0)
+    )
+    return F.when(n == 0, 0.0).otherwise(bonus)
 
 
 def representatives(e: DataFrame, assigned: DataFrame) -> DataFrame:
-    """``(leader, representative)``: by demand, similarity and shape; ties by demand, tokens, length, spelling."""
-    j = e.join(assigned, "norm").withColumn("top", F.max("demand").over(Window.partitionBy("leader")))
+    """``(leader, representative, score)``: by demand, stems of the group's core, support, similarity, shape and phrase.
+
+    Ties go by demand, tokens, length and spelling.
+    """
+    counts = cut(stem_counts(e, assigned))
+    core = centroids(counts, CORE).withColumnRenamed("top", "core")
+    size = assigned.groupBy("leader").agg(F.count("*").alias("size"))
+    support = e.select("norm", F.explode("stems").alias("stem")).join(assigned.select("norm", "leader"), "norm").join(counts.select("leader", "stem", "n"), ["leader", "stem"]).groupBy("norm").agg(F.sum("n").alias("held"))
+    j = e.join(assigned, "norm").join(core, "leader").join(size, "leader").join(support, "norm").withColumn("top", F.max("demand").over(Window.partitionBy("leader")))
     n, chars = F.size("tokens"), F.length("display")
     shape = F.when(n.between(2, 6), 0.07).when(n >= 9, -0.05).otherwise(0.0)
-    penalty = F.when(n <= 1, 0.28).when(n >= 8, F.least(F.lit(0.45), 0.06 * (n - 7))).otherwise(0.0) + F.when(chars >= 70, F.least(F.lit(0.35), (chars - 70) / 90.0)).otherwise(0.0)
+    noise = F.arrays_overlap("stems", F.array(*[F.lit(x) for x in NOISE_STEMS])) & (n >= 4)
+    penalty = F.when(n <= 1, 0.28).when(n >= 8, F.least(F.lit(0.45), 0.06 * (n - 7))).otherwise(0.0) + F.when(chars >= 70, F.least(F.lit(0.35), (chars - 70) / 90.0)).otherwise(0.0) + F.when(noise, 0.08).otherwise(0.0)
     norm_demand = F.when(F.col("top") > 0, F.log1p("demand") / F.log1p("top")).otherwise(0.0)
-    score = rnd(norm_demand * 0.55 + F.col("score") * 0.08 + shape - penalty, 6)
-    order = Window.partitionBy("leader").orderBy(score.desc(), F.desc("demand"), n.asc(), chars.asc(), F.asc("display"))
-    return j.withColumn("r", F.row_number().over(order)).where("r = 1").select("leader", F.col("display").alias("representative"))
+    overlap = F.size(F.array_intersect("stems", "core")) / F.size("core")
+    held = F.col("held") / (F.col("size") * F.size("stems"))
+    score = rnd(norm_demand * 0.55 + overlap * 0.2 + held * 0.1 + F.col("score") * 0.08 + shape + phrase_bonus(F.col("display")) - penalty, 6)
+    j = j.withColumn("rep_score", score)
+    order = Window.partitionBy("leader").orderBy(F.desc("rep_score"), F.desc("demand"), n.asc(), chars.asc(), F.asc("display"))
+    return j.withColumn("r", F.row_number().over(order)).where("r = 1").select("leader", F.col("display").alias("representative"), F.col("rep_score").alias("score"))

@@ -17,7 +17,10 @@ LANGUAGE_CODE = "^(x-default|[a-z]{2}(-[A-Z]{2})?)$"
 HIDDEN = r"display:\s*none|visibility:\s*hidden|opacity:\s*0|text-indent:-|left:\s*-9999|clip:rect\(0|height:0"
 CHALLENGE = ["/cdn-cgi/challenge-platform", "cf-chl", "attention required", "verify you are human", "checking your browser", "captcha", "hcaptcha", "g-recaptcha", "bot protection", "just a moment...", "access denied"]
 WAF_HEADERS = ["cf-ray", "cf-mitigated", "x-sucuri-id", "x-ddos", "x-akamai"]
-REQUIRED = {"article": ["headline", "author"], "product": ["name", "offers"], "organization": ["name", "url"], "faqpage": ["mainEntity"]}
+TINY = r"font-size\s*:\s*[0-4](?:\.[0-9]+)?\s*px"
+HIDDEN_ELEMENT = rf'(?is)<[a-z][a-z0-9]*(?:\s[^>]*)?(?:style="[^"]*(?:{HIDDEN}|{TINY})[^"]*"|\shidden|\saria-hidden="true")[^>]*>[^<]*<'
+SKIPPED_TAGS = ["script", "style", "noscript", "template", "svg", "code", "pre"]
+ICON = "(?is)^<[^>]*class=[\"'][^\"'>]*(?:icon|fa-|bi-|material)"
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -89,27 +92,86 @@ def alternate_issues(alt: DataFrame, pages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [invalid, repeated, no_default, unknown, one_way])
 
 
+def structured_scripts(pages: DataFrame) -> DataFrame:
+    """``(page_id, body, v)``: JSON-LD scripts, v being null where they do not parse."""
+    bodies = F.regexp_extract_all("html", F.lit('(?is)<script[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    return pages.select("page_id", F.explode(bodies).alias("body")).select("page_id", "body", F.try_parse_json("body").alias("v"))
+
+
+def _elements(rows: DataFrame, path: str) -> DataFrame:
+    """The elements of an array in a variant."""
+    return rows.select("page_id", F.explode(F.try_variant_get("v", path, "array<variant>")).alias("v"))
+
+
 def structured_objects(pages: DataFrame) -> DataFrame:
-    """``(page_id, type, keys)``: objects of JSON-LD scripts, with those of a graph flattened."""
-    bodies = F.regexp_extract_all("html", F.lit('(?is)<script type="application/ld\\+json">(.*?)</script>'), F.lit(1))
-    raw = pages.select("page_id", F.explode(bodies).alias("body")).select("page_id", F.try_parse_json("body").alias("v"))
-    raw.createOrReplaceTempView("__structured")
-    spark = pages.sparkSession
-    graph = spark.sql("""SELECT page_id, g.value AS v FROM __structured, LATERAL variant_explode(try_variant_get(v, '$["@graph"]', 'variant')) AS g""")
-    raw.unionByName(graph).createOrReplaceTempView("__structured_all")
-    return spark.sql("""SELECT page_id, lower(try_variant_get(v, '$["@type"]', 'string')) AS type, json_object_keys(to_json(v)) AS keys FROM __structured_all""").where("type is not null")
+    """``(page_id, types, v)``: objects of JSON-LD scripts, those of lists and graphs by themselves; types in lower case.
+
+    Types given as addresses or with a prefix are known by their last part. Lists and graphs may stand in each other once.
+    """
+    raw = structured_scripts(pages).where("v is not null").select("page_id", "v")
+    rows = raw.unionByName(_elements(raw, "$"))
+    rows = rows.unionByName(_elements(rows, '$["@graph"]'))
+    rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
+    kind = F.coalesce(F.try_variant_get("v", '$["@type"]', "array<string>"), F.array(F.try_variant_get("v", '$["@type"]', "string")))
+    named = F.filter(F.transform(kind, lambda x: F.lower(_type_name(x))), lambda x: x.isNotNull() & (x != ""))
+    return rows.select("page_id", named.alias("types"), "v").where(F.size("types") > 0)
+
+
+def _type_name(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(x), "^.*[#?/]", ""), "^schema:", "")
+
+
+def structured_types(pages: DataFrame) -> DataFrame:
+    """``(page_id, syntax, type)``, each once: of JSON-LD (of scripts that do not parse by pattern), microdata and RDFa."""
+    by = lambda df, syntax, x: df.select("page_id", F.lit(syntax).alias("syntax"), F.explode(x).alias("type"))
+    broken = structured_scripts(pages).where("v is null")
+    bare = pages.select("page_id", F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ").alias("bare"))
+    named = lambda c, pattern: F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: F.lower(_type_name(x)))
+    found = [
+        by(structured_objects(pages), "json-ld", F.col("types")),
+        by(broken, "json-ld", named("body", r'"@type"\s*:\s*"(.*?)"')),
+        by(bare, "microdata", named("bare", "(?is)\\sitemtype\\s*=\\s*[\"']([^\"']*)")),
+        by(bare, "rdfa", named("bare", "(?is)\\stypeof\\s*=\\s*[\"']([^\"']*)")),
+    ]
+    return reduce(DataFrame.unionByName, found).where("type <> ''").distinct()
 
 
 def structured_issues(objects: DataFrame) -> DataFrame:
-    """Fields that an object of a type should have and has not."""
-    need = F.broadcast(objects.sparkSession.createDataFrame([(t, f) for t, fs in REQUIRED.items() for f in fs], "type string, field string"))
-    return objects.join(need, "type").where(~F.array_contains("keys", F.col("field"))).select("page_id", "type", F.concat_ws("_", "type", F.lit("missing"), "field").alias("code")).distinct()
+    """``(page_id, code)``, each once: what an object of a type should have and has not."""
+    text = lambda path: F.trim(F.coalesce(F.try_variant_get("v", path, "string"), F.lit("")))
+    is_ = lambda *kinds: F.arrays_overlap("types", F.array(*[F.lit(k) for k in kinds]))
+    offer = F.try_variant_get("v", "$.offers", "variant")
+    kind = F.schema_of_variant(offer)
+    offers = F.when(kind.startswith("OBJECT"), F.array(offer)).when(kind.startswith("ARRAY"), F.try_variant_get("v", "$.offers", "array<variant>"))
+    n_offers = F.coalesce(F.size(offers), F.lit(0))
+    without = lambda path: (n_offers > 0) & ~F.exists(offers, lambda o: F.trim(F.coalesce(F.try_variant_get(o, path, "string"), F.lit(""))) != "")
+    article, organization = is_("article", "newsarticle", "blogposting"), is_("organization", "localbusiness")
+    empty = lambda path: text(path).isin("", "[]")
+    rules = {
+        "product_missing_name": is_("product") & (text("$.name") == ""),
+        "product_missing_offers": is_("product") & (n_offers == 0),
+        "product_missing_price": is_("product") & without("$.price"),
+        "product_missing_price_currency": is_("product") & without("$.priceCurrency"),
+        "article_missing_headline": article & (text("$.headline") == ""),
+        "article_missing_date_published": article & (text("$.datePublished") == ""),
+        "article_missing_author": article & (text("$.author") == ""),
+        "organization_missing_name": organization & (text("$.name") == ""),
+        "organization_missing_url": organization & (text("$.url") == ""),
+        "breadcrumb_missing_item_list": is_("breadcrumblist") & empty("$.itemListElement"),
+        "faq_missing_main_entity": is_("faqpage") & empty("$.mainEntity"),
+    }
+    codes = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules.items()]), lambda x: x.isNotNull())
+    return objects.select("page_id", F.explode(codes).alias("code")).distinct()
 
 
 def hidden_content(html: Column) -> Column:
-    """Elements hidden by style or attribute: how many, and the length of their text."""
-    tags = F.regexp_extract_all(html, F.lit(f'(?is)<[a-z]+[^>]*(?:style="[^"]*(?:{HIDDEN})[^"]*"|\\shidden)[^>]*>([^<]*)<'), F.lit(1))
-    return F.struct(F.size(tags).alias("nodes"), F.aggregate(tags, F.lit(0), lambda n, x: n + F.length(F.trim(x))).alias("chars"))
+    """Elements hidden by style, attribute, assistive flag or tiny letters: how many with text, and the length of their text."""
+    found = F.transform(
+        F.regexp_extract_all(html, F.lit(HIDDEN_ELEMENT), F.lit(0)),
+        lambda x: F.struct(F.lower(F.regexp_extract(x, "^<([a-zA-Z]+)", 1)).alias("tag"), F.trim(F.regexp_extract(x, "(?s)>([^<]*)<$", 1)).alias("said"), x.rlike(ICON).alias("icon")),
+    )
+    kept = F.filter(found, lambda h: (F.length(h["said"]) >= 4) & ~h["tag"].isin(*SKIPPED_TAGS) & ~(h["tag"].isin("i", "span") & h["icon"]))
+    return F.struct(F.size(kept).alias("nodes"), F.aggregate(kept, F.lit(0), lambda n, h: n + F.length(h["said"])).alias("chars"))
 
 
 def cloaking(hidden: Column, text_chars: Column) -> Column:

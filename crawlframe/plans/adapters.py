@@ -19,6 +19,7 @@ BACKLINKS = """bl AS (SELECT l_orderkey AS link_id, 'https://www.d' || o_custkey
  CASE l_suppkey % 5 WHEN 0 THEN '200' WHEN 1 THEN '301' WHEN 2 THEN '404' WHEN 3 THEN '200' ELSE '' END AS http_code,
  CASE WHEN l_quantity > 40 THEN TRUE WHEN l_quantity > 10 THEN FALSE END AS ugc, CASE WHEN l_tax > 0.06 THEN TRUE WHEN l_tax > 0.02 THEN FALSE END AS sponsored,
  CASE l_returnflag WHEN 'R' THEN 'text' WHEN 'A' THEN 'image' ELSE 'unknown' END AS link_type, CASE o_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'unknown' END AS language,
+ CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey % 200 AS DOUBLE) END AS external_links, l_partkey % 3 <> 1 AS rendered, l_partkey % 4 = 0 AS raw,
  CAST(o_orderdate AS DATE) AS first_seen, CAST(l_shipdate AS DATE) AS last_seen
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1)"""
 
@@ -46,6 +47,9 @@ def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") > 0.06, True).when(F.col("l_tax") > 0.02, False).alias("sponsored"),
         F.expr("CASE l_returnflag WHEN 'R' THEN 'text' WHEN 'A' THEN 'image' ELSE 'unknown' END").alias("link_type"),
         F.expr("CASE o_custkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'unknown' END").alias("language"),
+        F.when(F.col("l_partkey") % 10 != 0, (F.col("l_partkey") % 200).cast("double")).alias("external_links"),
+        (F.col("l_partkey") % 3 != 1).alias("rendered"),
+        (F.col("l_partkey") % 4 == 0).alias("raw"),
         F.to_date("o_orderdate").alias("first_seen"),
         F.to_date("l_shipdate").alias("last_seen"),
     )

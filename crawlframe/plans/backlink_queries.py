@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from crawlframe.functions import urls as U
 from crawlframe.functions.common import pct, pct_sql, rnd, rnd_sql, top_k
 from crawlframe.operators import backlinks as B
+from crawlframe.operators import keywords as K
+from crawlframe.operators.sampling import ranked
 from crawlframe.plans.adapters import BACKLINKS, METRICS, OUR, backlinks, domain_metrics
+from crawlframe.plans.keyword_queries import _STEM
 from crawlframe.plans.registry import query, table
 
 ANCHOR_WORDS = {
@@ -180,9 +183,9 @@ def c17_velocity(spark, sf_dir):
 _HOME = "regexp_matches(target_url, '^https?://[^/?#]*/?([?#]|$)')"
 _PROFILE = f"""pr AS (SELECT target_domain, n AS total_links, {pct_sql("home", "n")} AS homepage_pct, {pct_sql("n - home", "n")} AS internal_pct, {pct_sql("yes", "n")} AS follow_pct, {pct_sql("no_", "n")} AS nofollow_pct,
  {pct_sql("home_yes", "yes")} AS homepage_follow_pct, {pct_sql("home_no", "no_")} AS homepage_nofollow_pct, {pct_sql("yes - home_yes", "yes")} AS internal_follow_pct, {pct_sql("no_ - home_no", "no_")} AS internal_nofollow_pct,
- {pct_sql("lost", "n")} AS lost_pct, {pct_sql("ugc", "n")} AS ugc_pct, {pct_sql("sponsored", "n")} AS sponsored_pct, {pct_sql("ok", "n")} AS http_2xx_pct
+ {pct_sql("lost", "n")} AS lost_pct, {pct_sql("ugc", "n")} AS ugc_pct, {pct_sql("sponsored", "n")} AS sponsored_pct, {pct_sql("rendered", "n")} AS rendered_pct, {pct_sql("raw", "n")} AS raw_pct, {pct_sql("ok", "n")} AS http_2xx_pct
  FROM (SELECT target_domain, count(*) AS n, count(*) FILTER (WHERE {_HOME}) AS home, count(*) FILTER (WHERE follow) AS yes, count(*) FILTER (WHERE NOT follow) AS no_, count(*) FILTER (WHERE follow AND {_HOME}) AS home_yes,
- count(*) FILTER (WHERE NOT follow AND {_HOME}) AS home_no, count(*) FILTER (WHERE lost) AS lost, count(*) FILTER (WHERE ugc) AS ugc, count(*) FILTER (WHERE sponsored) AS sponsored, count(*) FILTER (WHERE starts_with(http_code, '2')) AS ok FROM bl GROUP BY 1))"""
+ count(*) FILTER (WHERE NOT follow AND {_HOME}) AS home_no, count(*) FILTER (WHERE lost) AS lost, count(*) FILTER (WHERE ugc) AS ugc, count(*) FILTER (WHERE sponsored) AS sponsored, count(*) FILTER (WHERE rendered) AS rendered, count(*) FILTER (WHERE raw) AS raw, count(*) FILTER (WHERE starts_with(http_code, '2')) AS ok FROM bl GROUP BY 1))"""
 
 
 @query(f"{BL}, {_PROFILE} SELECT * FROM pr")
@@ -190,21 +193,21 @@ def d2_target_profile(spark, sf_dir):
     return B.target_profile(backlinks(spark, sf_dir))
 
 
-_DONORS = """ds AS (SELECT source_domain AS domain, count(*) AS links, coalesce(avg(dr), 0.0) AS avg_dr, coalesce(avg(ur), 0.0) AS avg_ur, coalesce(avg(traffic), 0.0) AS avg_traffic,
+_DONORS = """ds AS (SELECT source_domain AS domain, count(*) AS links, coalesce(avg(dr), 0.0) AS avg_dr, coalesce(avg(ur), 0.0) AS avg_ur, coalesce(avg(traffic), 0.0) AS avg_traffic, coalesce(avg(external_links), 0.0) AS avg_external_links,
  CAST(count(*) FILTER (WHERE NOT follow) AS DOUBLE) / count(*) AS nofollow_rate, CAST(count(*) FILTER (WHERE lost) AS DOUBLE) / count(*) AS lost_rate, CAST(count(*) FILTER (WHERE starts_with(http_code, '2')) AS DOUBLE) / count(*) AS http2xx_rate FROM bl GROUP BY 1)"""
 
 
-@query(f"{BL}, {_DONORS} SELECT domain, links, {', '.join(rnd_sql(c, 4) + ' AS ' + c for c in ('avg_dr', 'avg_ur', 'avg_traffic', 'nofollow_rate', 'lost_rate', 'http2xx_rate'))} FROM ds")
+@query(f"{BL}, {_DONORS} SELECT domain, links, {', '.join(rnd_sql(c, 4) + ' AS ' + c for c in ('avg_dr', 'avg_ur', 'avg_traffic', 'avg_external_links', 'nofollow_rate', 'lost_rate', 'http2xx_rate'))} FROM ds")
 def d3_donor_stats(spark, sf_dir):
     s = B.donor_stats(backlinks(spark, sf_dir))
     return s.select("domain", "links", *[rnd(F.col(c), 4).alias(c) for c in s.columns[2:]])
 
 
-_DIMS = {"follow": "coalesce(CAST(follow AS VARCHAR), 'unknown')", "lost": "CAST(lost AS VARCHAR)", "http": _HTTP, "link_type": "link_type", "language": "language", "anchor": _ANCHOR}
+_DIMS = {"follow": "coalesce(CAST(follow AS VARCHAR), 'unknown')", "lost": "CAST(lost AS VARCHAR)", "http": _HTTP, "link_type": "link_type", "language": "language", "zone": "string_split(source_domain, '.')[-1]", "anchor": _ANCHOR}
 
 
 def _dims(links: DataFrame) -> dict:
-    return {"follow": F.col("follow"), "lost": F.col("lost"), "http": B.http_class(F.col("http_code")), "link_type": F.col("link_type"), "language": F.col("language"), "anchor": F.col("anchor_type")}
+    return {"follow": F.col("follow"), "lost": F.col("lost"), "http": B.http_class(F.col("http_code")), "link_type": F.col("link_type"), "language": F.col("language"), "zone": U.zone(F.col("source_domain")), "anchor": F.col("anchor_type")}
 
 
 _LONG = " UNION ALL ".join(f"SELECT target_domain, '{k}' AS dimension, {v} AS value FROM {_X}" for k, v in _DIMS.items())
@@ -266,14 +269,18 @@ def d9_tri_state(spark, sf_dir):
     return backlinks(spark, sf_dir).select(v.alias("v")).groupBy("v.attribute", "v.value").agg(F.count("*").alias("links"))
 
 
+_LEMMA = f"array_to_string({_STEM}, ' ')"
+
+
 @query(
-    f"""{BL}, g AS (SELECT lower(anchor) AS lemma, anchor, count(*) AS n FROM bl WHERE anchor <> '' GROUP BY 1, 2),
+    f"""{BL}, g AS (SELECT {_LEMMA} AS lemma, anchor, count(*) AS n FROM (SELECT anchor, list_filter(string_split(lower(anchor), ' '), lambda x: x <> '') AS tokens FROM bl WHERE anchor <> '') GROUP BY 1, 2),
 h AS (SELECT lemma, sum(n) AS links, max_by(anchor, struct_pack(n := n, a := anchor)) AS anchor FROM g GROUP BY 1)
 SELECT CAST(rank AS INTEGER) AS rank, lemma, anchor, CAST(links AS BIGINT) AS links FROM (SELECT *, row_number() OVER (ORDER BY links DESC, lemma) AS rank FROM h) WHERE rank <= 50"""
 )
 def d10_top_anchors(spark, sf_dir):
-    """Anchors under one lower-case form, shown in their most frequent spelling."""
-    g = backlinks(spark, sf_dir).where("anchor <> ''").groupBy(F.lower("anchor").alias("lemma"), "anchor").count()
+    """Anchors whose words have one stem each in common, shown in their most frequent spelling."""
+    lemma = F.array_join(K.stems(F.filter(F.split(F.lower("anchor"), " "), lambda x: x != "")), " ")
+    g = backlinks(spark, sf_dir).where("anchor <> ''").groupBy(lemma.alias("lemma"), "anchor").count()
     h = g.groupBy("lemma").agg(F.sum("count").alias("links"), F.max_by("anchor", F.struct("count", "anchor")).alias("anchor"))
     return top_k(h, [], [F.desc("links"), F.asc("lemma")], 50).select("rank", "lemma", "anchor", "links")
 
@@ -320,7 +327,7 @@ def d14_summary(spark, sf_dir):
 @query(
     f"""{BL}, {_PROFILE}, {_BEST}, q AS (SELECT target_domain AS competitor_domain, total_links, {rnd_sql("follow_pct * 0.35 + http_2xx_pct * 0.25 + (100.0 - lost_pct) * 0.25 + (100.0 - homepage_pct) * 0.15", 2)} AS quality_score,
  {rnd_sql("coalesce(dr, 0.0) * 0.45 + least(coalesce(backlinks_all, 0.0), 200000.0) / 2000.0 * 0.3 + follow_pct * 0.25", 2)} AS rank_score FROM pr LEFT JOIN best ON target_domain = domain WHERE NOT ({_OWN}))
-SELECT *, CAST(row_number() OVER (ORDER BY rank_score DESC, competitor_domain) AS INTEGER) AS rank FROM q"""
+SELECT *, row_number() OVER (ORDER BY rank_score DESC, competitor_domain) AS rank FROM q"""
 )
 def d15_competitor_scores(spark, sf_dir):
     """Quality of each competitor's links, and rank by authority, volume and follow share."""
@@ -330,10 +337,10 @@ def d15_competitor_scores(spark, sf_dir):
     q = p.select(
         c("target_domain").alias("competitor_domain"),
         "total_links",
-        rnd(c("follow_pct") * 0.35 + c("http_2xx_pct") * 0.25 + (100.0 - c("lost_pct")) * 0.25 + (100.0 - c("homepage_pct")) * 0.15, 2).alias("quality_score"),
+        B.quality_score().alias("quality_score"),
         rnd(F.coalesce("dr", zero) * 0.45 + F.least(F.coalesce("backlinks_all", zero), F.lit(200000.0)) / 2000.0 * 0.3 + c("follow_pct") * 0.25, 2).alias("rank_score"),
     )
-    return top_k(q, [], [F.desc("rank_score"), F.asc("competitor_domain")], 1_000_000)
+    return ranked(q, [F.desc("rank_score"), F.asc("competitor_domain")])
 
 
 _CAND = f"""ca AS (SELECT ds.*, kl.competitors, (SELECT count(DISTINCT target_domain) FROM bl WHERE NOT ({_OWN})) AS n FROM ds JOIN kl USING (domain) WHERE class IN ('single_competitor', 'several_competitors'))"""
@@ -362,14 +369,26 @@ def d17_ready_to_buy(spark, sf_dir):
     return B.ready_to_buy(B.opportunities(backlinks(spark, sf_dir), OUR))
 
 
+_CHECKS = {
+    "rows": ("count(*) > 0", "count(*) > 0"),
+    "dr_range": ("coalesce(min(dr) >= 0 AND max(dr) <= 100, TRUE)",) * 2,
+    "domains_known": ("count(*) FILTER (WHERE source_domain = '') = 0",) * 2,
+    "rows_vs_follow_total": ("count(*) = count(*) FILTER (WHERE follow) + count(*) FILTER (WHERE NOT follow) + count(*) FILTER (WHERE follow IS NULL)",) * 2,
+    "rows_vs_ours_plus_competitors": ("count(*) = count(*) FILTER (WHERE ours) + count(*) FILTER (WHERE NOT ours)",) * 2,
+    "ref_domains_vs_rows": ("count(DISTINCT source_domain) <= count(*)",) * 2,
+    **{f"range_{k}": (f"count(*) FILTER (WHERE {w}) * 100.0 / greatest(1, count(*)) BETWEEN 0 AND 100",) * 2 for k, w in (("dofollow_pct", "follow"), ("nofollow_pct", "NOT follow"), ("lost_pct", "lost"), ("http_2xx_pct", "http_code LIKE '2%'"))},
+}
+
+
 @query(
-    f"""{BL} SELECT check_name, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status FROM (SELECT unnest(['rows', 'dr_range', 'domains_known']) AS check_name, unnest([count(*) > 0, coalesce(min(dr) >= 0 AND max(dr) <= 100, TRUE), count(*) FILTER (WHERE source_domain = '') = 0]) AS ok FROM bl)"""
+    f"""{BL}, o AS (SELECT *, {_OWN} AS ours FROM bl), a AS (SELECT {", ".join(f"{v[0]} AS {k}" for k, v in _CHECKS.items())} FROM o), u AS (UNPIVOT a ON {", ".join(_CHECKS)} INTO NAME check_name VALUE ok)
+SELECT check_name, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status FROM u"""
 )
 def d19_checks(spark, sf_dir):
-    """Reconciliation checks of the normalised table."""
-    a = backlinks(spark, sf_dir).agg((F.count("*") > 0).alias("rows"), F.coalesce((F.min("dr") >= 0) & (F.max("dr") <= 100), F.lit(True)).alias("dr_range"), (F.count_if(F.col("source_domain") == "") == 0).alias("domains_known"))
-    long = a.unpivot([], ["rows", "dr_range", "domains_known"], "check_name", "ok")
-    return long.select("check_name", F.when(F.col("ok"), "ok").otherwise("failed").alias("status"))
+    """Reconciliation checks of the normalised table, from one pass."""
+    links = backlinks(spark, sf_dir).withColumn("ours", U.is_own(F.col("target_domain"), OUR))
+    a = links.agg(*[F.expr(v[1]).alias(k) for k, v in _CHECKS.items()])
+    return a.unpivot([], list(_CHECKS), "check_name", "ok").select("check_name", F.when(F.col("ok"), "ok").otherwise("error").alias("status"))
 
 
 @query(
@@ -388,3 +407,109 @@ def g3_donor_difference(spark, sf_dir):
     """Donors of competitors that are not ours."""
     links, own = backlinks(spark, sf_dir), U.is_own(F.col("target_domain"), OUR)
     return links.where(~own).select("source_domain").subtract(links.where(own).select("source_domain"))
+
+
+_QUALITY = rnd_sql("follow_pct * 0.35 + http_2xx_pct * 0.25 + (100.0 - lost_pct) * 0.25 + (100.0 - homepage_pct) * 0.15", 2)
+
+
+@query(
+    f"""{BL}, {_PROFILE}, q AS (SELECT target_domain, follow_pct, lost_pct, http_2xx_pct, {_QUALITY} AS quality FROM pr), u AS (UNPIVOT q ON follow_pct, lost_pct, http_2xx_pct, quality INTO NAME metric VALUE v),
+g AS (SELECT metric, {rnd_sql(f"avg(v) FILTER (WHERE {_OWN})", 2)} AS ours, {rnd_sql(f"avg(v) FILTER (WHERE NOT ({_OWN}))", 2)} AS competitors_mean FROM u GROUP BY metric UNION ALL SELECT 'avg_dr', {rnd_sql(f"avg(dr) FILTER (WHERE {_OWN})", 2)}, {rnd_sql(f"avg(dr) FILTER (WHERE NOT ({_OWN}))", 2)} FROM bl)
+SELECT *, {rnd_sql("ours - competitors_mean", 2)} AS difference FROM g"""
+)
+def d14_executive_kpis(spark, sf_dir):
+    """Our shares, authority and quality beside the competitors' means."""
+    return B.executive_kpis(backlinks(spark, sf_dir), OUR)
+
+
+_STRUCTURE = {"naked_pct": ("empty", "naked_url"), "brand_pct": ("brand", "brand_navigational"), "commercial_pct": ("commercial", "brand_commercial"), "navigational_pct": ("navigational", "generic", "other"), "spam_pct": ("spam",)}
+
+
+@query(
+    f"""{BL}, {_PROFILE}, a AS (SELECT {", ".join(f"{pct_sql(f'count(*) FILTER (WHERE t IN {tuple(ks) if len(ks) > 1 else chr(40) + chr(39) + ks[0] + chr(39) + chr(41)})', 'count(*)')} AS {k}" for k, ks in _STRUCTURE.items())} FROM (SELECT {_ANCHOR} AS t FROM {_X})),
+r AS (SELECT a.*, coalesce((SELECT homepage_follow_pct FROM pr WHERE {_OWN}), 0.0) AS follow_to_home_pct, coalesce((SELECT internal_follow_pct FROM pr WHERE {_OWN}), 0.0) AS follow_to_inner_pct FROM a)
+SELECT * FROM (UNPIVOT r ON {", ".join(_STRUCTURE)}, follow_to_home_pct, follow_to_inner_pct INTO NAME metric VALUE value)"""
+)
+def d14_profile_structure(spark, sf_dir):
+    """Kinds of anchors as shares, and where our followed links lead."""
+    links = _classed(spark, sf_dir)
+    n = F.count("*")
+    a = links.agg(*[pct(F.count_if(F.col("anchor_type").isin(*ks)), n).alias(k) for k, ks in _STRUCTURE.items()])
+    ours = B.target_profile(links).where(U.is_own(F.col("target_domain"), OUR)).agg(F.coalesce(F.max("homepage_follow_pct"), F.lit(0.0)).alias("follow_to_home_pct"), F.coalesce(F.max("internal_follow_pct"), F.lit(0.0)).alias("follow_to_inner_pct"))
+    return a.crossJoin(F.broadcast(ours)).unpivot([], [*_STRUCTURE, "follow_to_home_pct", "follow_to_inner_pct"], "metric", "value")
+
+
+@query(
+    f"""{BL}, m AS (SELECT source_domain AS domain, bool_or({_OWN}) AS has_ours, count(*) FILTER (WHERE NOT ({_OWN})) AS competitors, count(*) AS targets, coalesce(array_to_string(list_sort(list(target_domain) FILTER (WHERE NOT ({_OWN})))[1:8], ', '), '') AS competitor_list FROM (SELECT DISTINCT source_domain, target_domain FROM bl) GROUP BY 1)
+SELECT *, CASE WHEN NOT has_ours AND competitors >= 2 THEN 'gap' WHEN has_ours AND competitors > 0 THEN 'shared' ELSE 'single' END AS gap_type FROM m"""
+)
+def c4_overlap_matrix(spark, sf_dir):
+    """Every donor with its competitors and what kind of gap it is."""
+    return B.overlap_matrix(backlinks(spark, sf_dir), OUR)
+
+
+_BT = ["dr", "backlinks_all", "ref_domains_all", "follow_pct", "lost_pct", "http_2xx_pct", "homepage_pct", "ugc_pct", "sponsored_pct", "rendered_pct", "quality"]
+
+
+def _means_sql(rows: str, names: list[str], where: str = "TRUE") -> str:
+    row = lambda label, f: f"SELECT '{label}' AS domain, {', '.join(f'{rnd_sql(f + chr(40) + c + chr(41), 2)} AS {c}' for c in names)} FROM {rows} WHERE {where}"
+    return f"SELECT domain, {', '.join(names)} FROM {rows} UNION ALL {row('mean', 'avg')} UNION ALL {row('median', 'median')}"
+
+
+@query(f"{BL}, {_PROFILE}, {_BEST}, r AS (SELECT target_domain AS domain, pr.* EXCLUDE (target_domain), {_QUALITY} AS quality, dr, backlinks_all, ref_domains_all FROM pr LEFT JOIN best ON target_domain = domain) {_means_sql('r', _BT, f'domain <> {chr(39)}{OUR}{chr(39)}')}")
+def d40_benchmark_table(spark, sf_dir):
+    """Targets side by side, with mean and median of the competitors."""
+    return B.benchmark_table(backlinks(spark, sf_dir), domain_metrics(spark, sf_dir), OUR)
+
+
+@query(f"{BL}, {_BEST}, r AS (SELECT domain, dr, backlinks_all, ref_domains_all FROM best WHERE domain IN (SELECT target_domain FROM bl) AND coalesce(dr, backlinks_all, ref_domains_all) IS NOT NULL) {_means_sql('r', ['dr', 'backlinks_all', 'ref_domains_all'])}")
+def d40_core_metrics(spark, sf_dir):
+    """Authority, links and donors of the targets, with mean and median."""
+    return B.core_metrics(backlinks(spark, sf_dir), domain_metrics(spark, sf_dir))
+
+
+_TS = ["homepage_pct", "internal_pct", "follow_pct", "nofollow_pct", "ugc_pct", "sponsored_pct", "rendered_pct", "raw_pct"]
+
+
+@query(f"{BL}, {_PROFILE} SELECT target_domain AS domain, {', '.join(_TS)} FROM pr")
+def d40_target_structure(spark, sf_dir):
+    """What each target's links are made of."""
+    return B.target_profile(backlinks(spark, sf_dir)).select(F.col("target_domain").alias("domain"), *_TS)
+
+
+@query(f"{BL}, {_DONORS}, {_CLASSES}, {_CAND}, {_OPP} SELECT domain, competitors_covered, covered_pct, avg_dr, avg_traffic, follow_pct, lost_pct, opportunity_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY opportunity_score DESC, domain) AS rank FROM op) WHERE rank <= 800")
+def d40_gap_donors(spark, sf_dir):
+    """A report of the eight hundred best donors that only competitors have."""
+    names = ["domain", "competitors_covered", "covered_pct", "avg_dr", "avg_traffic", "follow_pct", "lost_pct", "opportunity_score", "rank"]
+    return top_k(B.opportunities(backlinks(spark, sf_dir), OUR), [], [F.desc("opportunity_score"), F.asc("domain")], 800).select(*names)
+
+
+@query(
+    f"""{BL}, {_DONORS}, {_CLASSES}, {_CAND}, {_BEST}, p AS (SELECT domain, {rnd_sql("avg_dr", 2)} AS avg_dr, {rnd_sql("avg_traffic", 2)} AS avg_traffic, {rnd_sql("avg_dr * 0.5 + avg_ur * 0.3 + avg_traffic * 0.2 / 1000.0", 4)} AS priority_score, nofollow_rate FROM ca WHERE avg_dr > 5),
+f AS (SELECT domain, avg_dr, avg_traffic, priority_score FROM p WHERE CASE WHEN (SELECT count(*) FROM p WHERE avg_dr > 40 AND {rnd_sql("nofollow_rate", 4)} < 0.5) > 0 THEN avg_dr > 40 AND {rnd_sql("nofollow_rate", 4)} < 0.5 ELSE avg_dr > 30 AND {rnd_sql("nofollow_rate", 4)} < 0.7 END),
+i AS (SELECT domain, dr AS avg_dr, traffic AS avg_traffic, dr * 2 AS priority_score FROM best WHERE ref_domains_all = 3)
+SELECT * FROM i UNION ALL SELECT * FROM f WHERE domain NOT IN (SELECT domain FROM i)"""
+)
+def d40_imported_scores(spark, sf_dir):
+    """Priorities where an imported list has its own scores for some domains."""
+    scores = B.priorities(backlinks(spark, sf_dir), OUR).select("domain", "avg_dr", "avg_traffic", "priority_score")
+    imported = B.best_metrics(domain_metrics(spark, sf_dir)).where("ref_domains_all = 3").select("domain", F.col("dr").alias("avg_dr"), F.col("traffic").alias("avg_traffic"), (F.col("dr") * 2).alias("priority_score"))
+    return B.with_imported(scores, imported)
+
+
+_ANCHOR_TYPES = ["empty", "naked_url", "spam", "brand_commercial", "brand_navigational", "brand", "navigational", "commercial", "informational", "generic", "other"]
+
+
+@query(f"{BL} SELECT target_domain, {', '.join(f'count(*) FILTER (WHERE t = {chr(39)}{x}{chr(39)}) AS {x}' for x in _ANCHOR_TYPES)} FROM (SELECT target_domain, {_ANCHOR} AS t FROM {_X}) GROUP BY 1")
+def d8_anchor_matrix(spark, sf_dir):
+    """Kinds of anchors per target."""
+    return _classed(spark, sf_dir).groupBy("target_domain").pivot("anchor_type", _ANCHOR_TYPES).count().fillna(0, _ANCHOR_TYPES)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN TRUE WHEN 'N' THEN FALSE ELSE l_linestatus <> 'F' END AS follow FROM lineitem")
+def b7_follow_flags(spark, sf_dir):
+    """Whether a link is followed: by its own flag, else by the opposite of the nofollow flag."""
+    from crawlframe.sources.readers import flag
+
+    raw = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE l_returnflag WHEN 'R' THEN 'DoFollow' WHEN 'N' THEN ' no ' ELSE '' END AS follow", "CASE l_linestatus WHEN 'F' THEN 'True' ELSE '0' END AS nofollow")
+    return raw.select("l_orderkey", "l_linenumber", F.coalesce(flag(F.col("follow")), ~flag(F.col("nofollow"))).alias("follow"))

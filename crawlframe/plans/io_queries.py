@@ -101,3 +101,80 @@ def a11_report_table(spark, sf_dir):
     donors = backlinks(spark, sf_dir).groupBy("source_domain").agg(F.count("*").alias("links"))
     return W.report_tables({"donors": donors}, {"donors": (20, [F.desc("links"), F.asc("source_domain")])})["donors"]
 
+
+
+_CYRILLIC = "ссылка"
+
+
+@query(f"WITH {BACKLINKS} SELECT source_url, anchor || ' {_CYRILLIC}' AS anchor, dr FROM bl")
+def a1_sniffed_export(spark, sf_dir):
+    """An export in a Windows code page with tabs: both are told from its first bytes."""
+    path = scratch_path(spark, "sniffed")
+    links = backlinks(spark, sf_dir).select(F.col("source_url").alias("Referring page URL"), F.concat_ws(" ", "anchor", F.lit(_CYRILLIC)).alias("Anchor text"), F.col("dr").alias("Domain rating"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    links.write.csv(path, header=True, sep="\t", encoding="windows-1251", ignoreLeadingWhiteSpace=False)
+    got = R.read_export(spark, path)
+    return got.select(F.col("Referring page URL").alias("source_url"), F.col("Anchor text").alias("anchor"), R.number(F.col("Domain rating")).alias("dr"))
+
+
+@query(f"WITH {BACKLINKS} SELECT link_id, source_url, CASE WHEN link_id % 3 = 0 THEN '' WHEN link_id % 3 = 1 THEN anchor ELSE anchor || ';more;text' END AS anchor FROM bl")
+def a1_split_rows(spark, sf_dir):
+    """Rows that no quoting holds together: short ones are filled up, the last field takes what is too much."""
+    path = scratch_path(spark, "lines")
+    tail = F.when(F.col("link_id") % 3 == 0, "").when(F.col("link_id") % 3 == 1, F.concat(F.lit(";"), "anchor")).otherwise(F.concat(F.lit(";"), F.col("anchor"), F.lit(";more;text")))
+    backlinks(spark, sf_dir).select(F.concat(F.col("link_id").cast("string"), F.lit(";"), "source_url", tail).alias("value")).write.text(path)
+    got = R.split_rows(spark.read.text(path).withColumnRenamed("value", "line"), ["link_id", "source_url", "anchor"], ";")
+    return got.select(F.col("link_id").cast("long").alias("link_id"), "source_url", "anchor")
+
+
+@query(f"WITH {KEYWORDS}, g AS (SELECT keyword, CAST(sum(frequency) AS DOUBLE) AS n, row_number() OVER (ORDER BY keyword) % 4 AS r FROM kw GROUP BY keyword) SELECT keyword, CASE r WHEN 1 THEN 1.0 ELSE n END AS frequency FROM g")
+def a3_keyword_blocks(spark, sf_dir):
+    """Typed keyword lists, written as text files and read back: pairs, bare words, and quoted blocks over several lines."""
+    from crawlframe.operators.sampling import ranked
+
+    path = scratch_path(spark, "typed")
+    k = keywords(spark, sf_dir).groupBy("keyword").agg(F.sum("frequency").alias("n"))
+    k = ranked(k, [F.asc("keyword")], "r").withColumn("r", F.col("r") % 4)
+    n, words = F.format_string("%.1f", F.col("n")), F.split("keyword", " ")
+    block = F.concat(F.lit('"'), F.array_join(words, "\n"), F.lit("\n"), n, F.lit('"'))
+    line = F.when(F.col("r") == 0, F.concat("keyword", F.lit("\t"), n)).when(F.col("r") == 1, F.col("keyword")).when(F.col("r") == 2, F.concat("keyword", F.lit("; "), n)).otherwise(block)
+    k.select(line.alias("value")).write.text(path)
+    return R.read_keyword_files(spark, path).select("keyword", "frequency")
+
+
+@query(
+    """SELECT 'https://s.example.com/' || page_id AS loc, '2024-0' || (1 + page_id % 9) || '-01' AS lastmod, CASE WHEN page_id % 2 = 0 THEN 'daily' ELSE 'often' END AS changefreq, 'de>https://s.example.com/de/' || page_id AS alternates, CASE WHEN page_id % 3 = 0 THEN 'https://s.example.com/i' || page_id || '.png' ELSE '' END AS images FROM pages WHERE page_id % 5 < 4"""
+)
+def a6_sitemap_files(spark, sf_dir):
+    """Packed sitemap files that an index lists, with alternates and images; one file that it does not list is left out."""
+    path = scratch_path(spark, "sitemaps")
+    u = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5).alias("part"))
+    xml = F.expr("""concat('<url><loc>https://s.example.com/', page_id, '</loc><lastmod>2024-0', 1 + page_id % 9, '-01</lastmod><changefreq>', CASE WHEN page_id % 2 = 0 THEN 'daily' ELSE 'often' END, '</changefreq><xhtml:link rel="alternate" hreflang="de" href="https://s.example.com/de/', page_id, '"/>',
+      CASE WHEN page_id % 3 = 0 THEN concat('<image:image><image:loc>https://s.example.com/i', page_id, '.png</image:loc></image:image>') ELSE '' END, '</url>')""")
+    ends = spark.range(5).select(F.col("id").alias("part"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("at"))
+    root = F.when(F.col("at") < 0, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml" xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">').otherwise("</urlset>")
+    lines = u.select("part", F.lit(0).alias("at"), xml.alias("value")).unionByName(ends.select("part", "at", root.alias("value")))
+    lines.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(f"{path}/files", compression="gzip")
+    listed = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("<sitemap><loc>https://s.example.com/maps/part="), i.cast("string"), F.lit("</loc></sitemap>"))))
+    spark.range(1).select(F.concat(F.lit("<sitemapindex>"), listed, F.lit("</sitemapindex>")).alias("value")).write.text(f"{path}/index")
+    got = R.read_sitemap_index(spark, f"{path}/index", f"{path}/files")
+    return got.select("loc", "lastmod", "changefreq", F.array_join(F.transform("alternates", lambda a: F.concat_ws(">", a["lang"], a["target"])), ",").alias("alternates"), F.array_join("images", ",").alias("images"))
+
+
+@query(f"WITH {VITALS}, g AS (SELECT site, metric, floor(avg(value)) AS p FROM vt WHERE metric IN ('lcp', 'cls') GROUP BY 1, 2) SELECT site, scope, metric, CASE WHEN metric = 'cls' THEN p / 100.0::DOUBLE ELSE p END AS percentile, CASE WHEN p > 2500 THEN 'slow' ELSE 'fast' END AS category FROM g, (VALUES ('page'), ('origin')) AS s(scope)")
+def a7_field_vitals(spark, sf_dir):
+    """Experience in the field, of the page and of its origin, from JSON reports."""
+    g = vitals(spark, sf_dir).where("metric in ('lcp', 'cls')").groupBy("site", "metric").agg(F.floor(F.avg("value")).cast("double").alias("p"))
+    name = F.when(F.col("metric") == "lcp", "LARGEST_CONTENTFUL_PAINT_MS").otherwise("CUMULATIVE_LAYOUT_SHIFT_SCORE")
+    entry = F.struct(name.alias("name"), F.struct(F.col("p").alias("percentile"), F.when(F.col("p") > 2500, "SLOW").otherwise("FAST").alias("category")).alias("m"))
+    raw = g.groupBy("site").agg(F.map_from_entries(F.collect_list(entry)).alias("metrics")).withColumn("e", F.struct("metrics"))
+    return R.parse_field_vitals(raw.select("site", F.to_json(F.struct(F.col("e").alias("loadingExperience"), F.col("e").alias("originLoadingExperience"))).alias("raw")))
+
+
+@query(f"WITH {VITALS}, g AS (SELECT site, metric, {rnd_sql('least(1.0, avg(value) / 5000.0)', 2)} AS v FROM vt WHERE metric IN ('lcp', 'fcp') GROUP BY 1, 2) SELECT site, CASE metric WHEN 'lcp' THEN 'performance' ELSE 'seo' END AS category, v * 100.0 AS score FROM g")
+def a7_category_scores(spark, sf_dir):
+    """Scores of all categories of JSON reports."""
+    g = vitals(spark, sf_dir).where("metric in ('lcp', 'fcp')").groupBy("site", "metric").agg(rnd(F.least(F.lit(1.0), F.avg("value") / 5000.0), 2).alias("v"))
+    entry = F.struct(F.when(F.col("metric") == "lcp", "performance").otherwise("seo").alias("name"), F.struct(F.col("v").alias("score")).alias("s"))
+    raw = g.groupBy("site").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("categories"))).alias("raw"))
+    return R.category_scores(raw)

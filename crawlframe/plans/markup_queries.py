@@ -104,10 +104,10 @@ _OBJECTS = """ob AS (SELECT page_id, 'article' AS type, page_id % 4 = 3 AS autho
 @query(f"WITH {_OBJECTS} SELECT page_id, type FROM ob")
 def h19_structured_types(spark, sf_dir):
     """Types of the JSON-LD objects of each page; broken scripts give none."""
-    return M.structured_objects(rich_pages(spark, sf_dir)).select("page_id", "type")
+    return M.structured_objects(rich_pages(spark, sf_dir)).select("page_id", F.explode("types").alias("type"))
 
 
-@query(f"WITH {_OBJECTS} SELECT page_id, type, 'article_missing_author' AS code FROM ob WHERE type = 'article' AND NOT author UNION ALL SELECT page_id, type, 'organization_missing_url' FROM ob WHERE type = 'organization'")
+@query(f"WITH {_OBJECTS} SELECT page_id, 'article_missing_author' AS code FROM ob WHERE type = 'article' AND NOT author UNION ALL SELECT page_id, 'article_missing_date_published' FROM ob WHERE type = 'article' UNION ALL SELECT page_id, 'organization_missing_url' FROM ob WHERE type = 'organization' UNION ALL SELECT page_id, 'product_missing_offers' FROM ob WHERE type = 'product'")
 def h19_structured_issues(spark, sf_dir):
     return M.structured_issues(M.structured_objects(rich_pages(spark, sf_dir)))
 
@@ -115,7 +115,7 @@ def h19_structured_issues(spark, sf_dir):
 @query(f"WITH {_OBJECTS}, r AS (SELECT page_id, list_sort(list(DISTINCT type)) AS t FROM ob GROUP BY 1) SELECT page_id, array_to_string(t, ',') AS raw_types, array_to_string(list_filter(t, lambda x: x <> 'organization'), ',') AS rendered_types, CASE WHEN list_contains(t, 'organization') THEN 'organization' ELSE '' END AS raw_only FROM r")
 def c14_structured_split(spark, sf_dir):
     """Types of the raw page against those of a rendering that drops organisations."""
-    o = M.structured_objects(rich_pages(spark, sf_dir)).groupBy("page_id").agg(F.array_sort(F.collect_set("type")).alias("raw"))
+    o = M.structured_objects(rich_pages(spark, sf_dir)).groupBy("page_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("raw"))
     o = o.withColumn("rendered", F.filter("raw", lambda x: x != "organization"))
     return o.select("page_id", F.array_join("raw", ",").alias("raw_types"), F.array_join("rendered", ",").alias("rendered_types"), F.array_join(F.array_except("raw", "rendered"), ",").alias("raw_only"))
 

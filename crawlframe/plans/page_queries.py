@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
 from crawlframe.functions.common import over_the_cluster, pct, pct_sql, rnd, rnd_sql, top_k
-from crawlframe.functions.rules import Rule, health, issues
 from crawlframe.functions.text import all_of
 from crawlframe.operators import html as H
 from crawlframe.plans.registry import query, table
@@ -127,67 +126,6 @@ def b18_page_type(spark, sf_dir):
     return d.select("page_id", kind.when(has("t", _LEGAL), "legal").when(has("p", _TYPES[3][1]), "service").otherwise("other").alias("page_type"))
 
 
-def _rules() -> list[Rule]:
-    h, t = F.col("html"), H.title(F.col("html"))
-    return [
-        Rule("missing_title", "warning", 20, t == ""),
-        Rule("missing_meta_description", "info", 8, ~h.rlike('(?i)<meta[^>]+name="description"')),
-        Rule("missing_charset_meta", "info", 2, ~h.rlike("(?i)<meta[^>]+charset")),
-        Rule("missing_viewport_meta", "info", 2, ~h.rlike('(?i)<meta[^>]+name="viewport"')),
-        Rule("missing_h1", "warning", 10, H.count_tag(h, "h1") == 0),
-        Rule("multiple_h1", "info", 4, H.count_tag(h, "h1") > 1),
-        Rule("title_too_long", "info", 3, F.length(t) > 60),
-        Rule("thin_content", "warning", 12, F.size(F.split(H.visible_text(h), " ")) < 150),
-        Rule("url_with_parameters", "info", 1, F.contains("url", F.lit("?"))),
-        Rule("not_https", "warning", 5, F.col("url").startswith("http://")),
-    ]
-
-
-_RULE_SQL = [
-    ("missing_title", "warning", 20, f"{_TITLE} = ''"),
-    ("missing_meta_description", "info", 8, "NOT regexp_matches(html, '(?i)<meta[^>]+name=\"description\"')"),
-    ("missing_charset_meta", "info", 2, "NOT regexp_matches(html, '(?i)<meta[^>]+charset')"),
-    ("missing_viewport_meta", "info", 2, "NOT regexp_matches(html, '(?i)<meta[^>]+name=\"viewport\"')"),
-    ("missing_h1", "warning", 10, "len(regexp_extract_all(html, '(?i)<h1[ >]')) = 0"),
-    ("multiple_h1", "info", 4, "len(regexp_extract_all(html, '(?i)<h1[ >]')) > 1"),
-    ("title_too_long", "info", 3, f"length({_TITLE}) > 60"),
-    ("thin_content", "warning", 12, f"len(string_split({_TEXT}, ' ')) < 150"),
-    ("url_with_parameters", "info", 1, "contains(url, '?')"),
-    ("not_https", "warning", 5, "starts_with(url, 'http://')"),
-]
-_ISSUES = "iss AS (" + " UNION ALL ".join(f"SELECT page_id, '{c}' AS code, '{s}' AS severity, {p}.0::DOUBLE AS penalty FROM pages WHERE {w}" for c, s, p, w in _RULE_SQL) + ")"
-
-
-@query(f"WITH {_ISSUES} SELECT * FROM iss")
-def b24_page_issues(spark, sf_dir):
-    """Issues of each page by the rule catalogue."""
-    return issues(pages(spark, sf_dir), _rules(), ["page_id"]).select("page_id", "code", "severity", "penalty")
-
-
-@query(f"WITH {_ISSUES} SELECT page_id, greatest(0.0, 100.0 - coalesce(sum(penalty), 0.0)) AS health, count(code) AS n_issues FROM pages LEFT JOIN iss USING (page_id) GROUP BY page_id")
-def h25_page_health(spark, sf_dir):
-    return health(pages(spark, sf_dir), _rules()).select("page_id", "health", F.size("issues").cast("long").alias("n_issues"))
-
-
-@query(f"WITH {_ISSUES}, h AS (SELECT page_id, greatest(0.0, 100.0 - coalesce(sum(penalty), 0.0)) AS health FROM pages LEFT JOIN iss USING (page_id) GROUP BY page_id) SELECT (SELECT count(*) FROM iss WHERE severity = 'warning') AS warnings, (SELECT count(*) FROM iss WHERE severity = 'info') AS infos, {rnd_sql('avg(health)', 2)} AS mean_health, count(*) AS pages FROM h")
-def d20_site_summary(spark, sf_dir):
-    """Issues by severity and the mean health of the site."""
-    d = health(pages(spark, sf_dir), _rules())
-    n = lambda s: F.sum(F.size(F.filter("issues", lambda x: x["severity"] == s))).cast("long")
-    return d.agg(n("warning").alias("warnings"), n("info").alias("infos"), rnd(F.avg("health"), 2).alias("mean_health"), F.count("*").alias("pages"))
-
-
-_AREAS = {"missing_title": "meta", "missing_meta_description": "meta", "missing_charset_meta": "technical", "missing_viewport_meta": "technical", "missing_h1": "content", "multiple_h1": "content", "title_too_long": "meta", "thin_content": "content", "url_with_parameters": "technical", "not_https": "technical"}
-
-
-@query(f"WITH {_ISSUES}, a(code, area) AS (VALUES {', '.join(f'''('{k}', '{v}')''' for k, v in _AREAS.items())}) SELECT area, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM iss JOIN a USING (code) GROUP BY area")
-def d41_issue_heat_map(spark, sf_dir):
-    """Issues by area and severity."""
-    areas = F.broadcast(spark.createDataFrame(list(_AREAS.items()), "code string, area string"))
-    levels = ["critical", "warning", "info"]
-    return b24_page_issues(spark, sf_dir).join(areas, "code").groupBy("area").pivot("severity", levels).count().fillna(0, levels)
-
-
 @query(f"SELECT page_id, count(*) OVER (PARTITION BY lower(t)) > 1 AS duplicate_title, count(*) OVER (PARTITION BY lower(t)) AS same FROM (SELECT page_id, {_TITLE} AS t FROM pages) WHERE t <> ''")
 def c15_duplicate_titles(spark, sf_dir):
     d = pages(spark, sf_dir).select("page_id", H.title(F.col("html")).alias("t")).where("t <> ''")
@@ -225,18 +163,31 @@ def h10_keyword_audit(spark, sf_dir):
     return d.join(kw, "keyword").groupBy("page_id", "keyword").agg(F.count("*").alias("occurrences"), rnd(F.count("*") / F.first("n") * 100.0, 4).alias("density"), F.bool_or(F.contains("title", F.col("keyword"))).alias("in_title"))
 
 
-_NO_NAV = "regexp_replace(html, '(?is)<nav>.*?</nav>', '', 'g')"
-_HREFS = """list_sort(list_distinct(regexp_extract_all({0}, '(?i)href="([^"]*)"', 1)))"""
+# The raw page lacks its article's first paragraphs and some of its head; the rendered one is the page.
+_RAW = """regexp_replace(CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?is)<title>.*?</title>', '<title>Loading</title>') WHEN page_id % 3 = 1 THEN regexp_replace(html, '(?is)<h1.*?</h1>', '') ELSE html END, '(?is)<nav>.*?</nav>', '')"""
+_SIDE = """length({t}) AS n, list_sort(list_distinct(regexp_extract_all({h}, '(?i)href="([^"]*)"', 1))) AS l, list_distinct(list_transform(regexp_extract_all({h}, '(?is)<h[1-6](?:\\s[^>]*)?>([^<]*)', 1), lambda x: trim(x))) AS hd, trim(regexp_extract({h}, '(?is)<title>(.*?)</title>', 1)) AS title, regexp_extract({h}, '(?i)<meta[^>]*charset="?([^">]*)', 1) AS charset"""
 
 
 @query(
-    f"""SELECT page_id, CAST(length({_TEXT}) AS INTEGER) AS raw_chars, CAST(length({_TEXT.replace("html,", _NO_NAV + ",")}) AS INTEGER) AS rendered_chars, 0 AS links_added,
- CAST(len(list_filter({_HREFS.format("html")}, lambda x: NOT list_contains({_HREFS.format(_NO_NAV)}, x))) AS INTEGER) AS links_removed, length({_TEXT}) = length({_TEXT.replace("html,", _NO_NAV + ",")}) AS same_length FROM pages"""
+    f"""WITH a AS (SELECT page_id, {_SIDE.format(t=_TEXT, h="html")} FROM (SELECT page_id, {_RAW} AS html FROM pages)), b AS (SELECT page_id, {_SIDE.format(t=_TEXT, h="html")} FROM pages),
+j AS (SELECT a.page_id, a.n AS raw_chars, b.n AS rendered_chars, len(list_filter(b.l, lambda x: NOT list_contains(a.l, x))) AS links_added, len(list_filter(a.l, lambda x: NOT list_contains(b.l, x))) AS links_removed, len(list_filter(b.hd, lambda x: NOT list_contains(a.hd, x))) AS headings_added, len(list_filter(a.hd, lambda x: NOT list_contains(b.hd, x))) AS headings_removed,
+ CAST(a.title <> '' AND b.title = a.title AS INTEGER) + CAST(a.charset <> '' AND b.charset = a.charset AS INTEGER) AS meta_same, CAST(a.title <> '' AND b.title <> '' AND b.title <> a.title AS INTEGER) + CAST(a.charset <> '' AND b.charset <> '' AND b.charset <> a.charset AS INTEGER) AS meta_changed,
+ CAST(a.title <> '' AND b.title = '' AS INTEGER) + CAST(a.charset <> '' AND b.charset = '' AS INTEGER) AS meta_raw_only, CAST(b.title <> '' AND a.title = '' AS INTEGER) + CAST(b.charset <> '' AND a.charset = '' AS INTEGER) AS meta_rendered_only, len(b.l) AS nl, len(b.hd) AS nh FROM a JOIN b USING (page_id))
+SELECT page_id, CAST(raw_chars AS INTEGER) AS raw_chars, CAST(rendered_chars AS INTEGER) AS rendered_chars, CAST(links_added AS INTEGER) AS links_added, CAST(links_removed AS INTEGER) AS links_removed, CAST(headings_added AS INTEGER) AS headings_added, CAST(headings_removed AS INTEGER) AS headings_removed, meta_same, meta_changed, meta_raw_only, meta_rendered_only,
+ floor(least(1e0, raw_chars / greatest(1, rendered_chars)) * 10000e0 + 0.5e0) / 10000e0 AS coverage,
+ floor((100e0 - (greatest(0, rendered_chars - raw_chars) / greatest(1, rendered_chars) * 40e0 + links_added / greatest(1, nl) * 25e0 + headings_added / greatest(1, nh) * 20e0 + (meta_changed + meta_rendered_only) / greatest(1, meta_same + meta_changed + meta_raw_only + meta_rendered_only) * 15e0)) * 10e0 + 0.5e0) / 10e0 AS score FROM j"""
 )
 def c13_snapshot_diff(spark, sf_dir):
-    """Pages as they are against pages without navigation."""
-    side = lambda h: pages(spark, sf_dir).select("page_id", H.visible_text(h).alias("text"), F.array_distinct(F.regexp_extract_all(h, F.lit('(?i)href="([^"]*)"'), F.lit(1))).alias("hrefs"))
-    return H.snapshot_diff(side(F.col("html")), side(F.regexp_replace("html", "(?is)<nav>.*?</nav>", "")))
+    """Pages without navigation and parts of their heads against pages as they are."""
+    h = F.col("html")
+
+    def side(p):
+        meta = F.create_map(F.lit("title"), H.title(h), F.lit("charset"), F.regexp_extract(h, '(?i)<meta[^>]*charset="?([^">]*)', 1))
+        headings = F.array_distinct(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>([^<]*)"), F.lit(1)), F.trim))
+        return p.select("page_id", H.visible_text(h).alias("text"), F.array_distinct(F.regexp_extract_all(h, F.lit('(?i)href="([^"]*)"'), F.lit(1))).alias("hrefs"), headings.alias("headings"), meta.alias("meta"))
+
+    full = pages(spark, sf_dir)
+    return H.snapshot_diff(side(full.withColumn("html", F.expr(_RAW))), side(full))
 
 
 @query("SELECT host, CAST(position AS INTEGER) AS position, page_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS position FROM (SELECT page_id, lower(regexp_extract(url, '//([^/?#:]*)', 1)) AS host FROM pages)) WHERE position = 1")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import text as T
 from crawlframe.functions.common import rnd, rnd_sql, top_k
-from crawlframe.functions.rules import Rule, issue_array
 from crawlframe.operators import corpus
 from crawlframe.operators import html as H
 from crawlframe.operators import scores as S
@@ -99,39 +98,6 @@ def d39_calibration(spark, sf_dir):
     return c.select("page_id", "detector", rnd(F.col("confidence"), 4).alias("confidence"), "calibrated", "downgraded")
 
 
-LIMITS = {"title_min": 20, "title_max": 60, "words_min": 200, "links_max": 15}
-
-
-def _onpage() -> list[Rule]:
-    c = F.col
-    return [
-        Rule("title_short", "warning", 6, F.length("title") < LIMITS["title_min"]),
-        Rule("title_long", "info", 3, F.length("title") > LIMITS["title_max"]),
-        Rule("text_short", "critical", 15, c("words") < LIMITS["words_min"]),
-        Rule("many_links", "info", 3, c("a") > LIMITS["links_max"]),
-        Rule("heading_count", "warning", 6, c("h1") != 1),
-    ]
-
-
-_ONPAGE = [("title_short", "warning", f"length(title) < {LIMITS['title_min']}"), ("title_long", "info", f"length(title) > {LIMITS['title_max']}"), ("text_short", "critical", f"words < {LIMITS['words_min']}"), ("many_links", "info", f"a > {LIMITS['links_max']}"), ("heading_count", "warning", "h1 <> 1")]
-_OP = "oi AS (" + " UNION ALL ".join(f"SELECT page_id, '{c}' AS code, '{s}' AS severity FROM fa WHERE {w}" for c, s, w in _ONPAGE) + ")"
-
-
-@query(f"WITH {FACTS}, {_OP} SELECT * FROM oi")
-def b25_onpage_issues(spark, sf_dir):
-    """On-page issues by limits from a table of settings."""
-    return _facts(spark, sf_dir).select("page_id", F.explode(issue_array(_onpage())).alias("i")).select("page_id", "i.code", "i.severity")
-
-
-@query(f"WITH {FACTS}, {_OP}, g AS (SELECT page_id, count(code) FILTER (WHERE severity = 'critical') AS critical, count(code) FILTER (WHERE severity = 'warning') AS warning, count(code) FILTER (WHERE severity = 'info') AS info FROM fa LEFT JOIN oi USING (page_id) GROUP BY page_id) SELECT *, greatest(0, 100 - 20 * critical - 8 * warning - 2 * info) AS score FROM g")
-def d35_onpage_score(spark, sf_dir):
-    """Issues by severity as a score."""
-    d = _facts(spark, sf_dir).select("page_id", issue_array(_onpage()).alias("i"))
-    n = lambda s: F.size(F.filter("i", lambda x: x["severity"] == s)).cast("long").alias(s)
-    d = d.select("page_id", n("critical"), n("warning"), n("info"))
-    return d.withColumn("score", F.greatest(F.lit(0), 100 - 20 * F.col("critical") - 8 * F.col("warning") - 2 * F.col("info")))
-
-
 @query(f"WITH {FACTS} SELECT page_id, CASE WHEN h1 = 0 THEN 'add_heading' WHEN words < 200 THEN 'extend_text' WHEN length(title) > 60 THEN 'shorten_title' WHEN a = 0 THEN 'add_links' ELSE 'none' END AS recommendation FROM fa")
 def h26_recommendation(spark, sf_dir):
     """The first recommendation that applies to a page."""
@@ -178,18 +144,18 @@ _UTILITY = "(privacy|cookie|terms|subscribe|copyright)"
 
 
 @query(
-    rf"""WITH {_CHUNKS}, c AS (SELECT doc_id * 100 + idx AS b, chunk FROM ch), n AS (SELECT count(*) AS n FROM c),
+    rf"""WITH {_CHUNKS}, c AS (SELECT struct_pack(doc_id := doc_id, idx := idx) AS b, chunk FROM ch), n AS (SELECT count(*) AS n FROM c),
 l AS (SELECT item_id AS a, x, CAST(count(*) AS DOUBLE) AS w FROM (SELECT item_id, unnest({_content("text")}) AS x FROM benchmark) GROUP BY 1, 2), r AS (SELECT b, x, CAST(count(*) AS DOUBLE) AS w FROM (SELECT b, unnest({_content("chunk")}) AS x FROM c) GROUP BY 1, 2),
 f AS (SELECT x, count(*) AS df FROM r GROUP BY x), lw AS (SELECT a, x, w * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1.0) AS w FROM l LEFT JOIN f USING (x), n), rw AS (SELECT b, x, w * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1.0) AS w FROM r LEFT JOIN f USING (x), n),
 p AS (SELECT a, b, sum(lw.w * rw.w) AS dot FROM lw JOIN rw USING (x) GROUP BY 1, 2), na AS (SELECT a, sum(w * w) AS q FROM lw GROUP BY a), nb AS (SELECT b, sum(w * w) AS q FROM rw GROUP BY b),
 m AS (SELECT b, least(1.0, CAST(len(list_filter(regexp_extract_all(chunk, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[A-ZА-Я][A-Za-zА-Яа-я0-9]{{2,}}$'))) AS DOUBLE) / greatest(1, len(regexp_extract_all(chunk, '[A-Za-zА-Яа-я0-9]+')))) AS entity,
  least(1.0, CAST(len(regexp_extract_all(chunk, '[A-Za-zА-Яа-я0-9]')) AS DOUBLE) / greatest(1, length(chunk))) AS ratio, regexp_matches(lower(chunk), '{_UTILITY}') OR len({_content("chunk")}) < 35 AS utility FROM c),
 s AS (SELECT a, b, {rnd_sql("(0.65::DOUBLE * dot / sqrt(na.q * nb.q) + 0.2::DOUBLE * entity + 0.15::DOUBLE * ratio) * CASE WHEN utility THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END", 4)} AS score FROM p JOIN na USING (a) JOIN nb USING (b) JOIN m USING (b))
-SELECT a AS item_id, b AS chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s) WHERE rank <= 3"""
+SELECT a AS item_id, b.doc_id AS doc_id, CAST(b.idx AS INTEGER) AS idx, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s) WHERE rank <= 3"""
 )
 def h16_chunk_ranking(spark, sf_dir):
     """The three best chunks for each item, by rare common terms, entities and content."""
-    c = corpus.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), most=10).select((F.col("doc_id") * 100 + F.col("idx")).alias("doc_id"), F.col("chunk").alias("text"))
+    c = corpus.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.struct("doc_id", "idx").alias("doc_id"), F.col("chunk").alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     x, one = F.col("text"), F.lit(1.0)
     e = F.filter(T.all_of(x, T.RUN), lambda v: v.rlike("^[A-ZА-Я][A-Za-zА-Яа-я0-9]{2,}$"))
@@ -199,7 +165,7 @@ def h16_chunk_ranking(spark, sf_dir):
     m = c.select(F.col("doc_id").alias("b"), entity.alias("entity"), ratio.alias("ratio"), F.when(utility, 0.55).otherwise(1.0).alias("factor"))
     s = corpus.cosine_join(items, c, tf_idf=True).join(m, "b")
     s = s.select("a", "b", rnd((0.65 * F.col("cosine") + 0.2 * F.col("entity") + 0.15 * F.col("ratio")) * F.col("factor"), 4).alias("score"))
-    return top_k(s, ["a"], [F.desc("score"), F.asc("b")], 3).select(F.col("a").alias("item_id"), F.col("b").alias("chunk_id"), "score", "rank")
+    return top_k(s, ["a"], [F.desc("score"), F.asc("b")], 3).select(F.col("a").alias("item_id"), "b.doc_id", "b.idx", "score", "rank")
 
 
 @query()

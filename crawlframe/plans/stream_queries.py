@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd, rnd_sql
 from crawlframe.plans.registry import query
+from crawlframe.sources.scratch import scratch_path
 from crawlframe.streaming import jobs as J
 
 
@@ -44,10 +45,17 @@ def s5_sessions(spark, sf_dir):
     return s.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "events")
 
 
-@query("SELECT DISTINCT user_id, date_trunc('day', ts) AS day FROM events")
+@query(
+    f"""WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, value, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS r FROM events),
+h AS (SELECT user_id, day, value, lag(value) OVER (PARTITION BY user_id ORDER BY day) AS previous, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS age FROM s WHERE r = 1)
+SELECT user_id, day, {rnd_sql("value", 4)} AS value, {rnd_sql("value - previous", 4)} AS delta FROM h WHERE age <= 50"""
+)
 def s2_daily_snapshots(spark, sf_dir):
-    """One snapshot per user and day."""
-    return J.run_available(J.daily_snapshots(_events(spark, sf_dir)), "s2").withColumn("day", F.col("day").cast("timestamp_ntz"))
+    """The last event of each user and day, replaced as later ones come, with the change to the day before."""
+    path = scratch_path(spark, "snapshots")
+    J.keep_daily_snapshots(_events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), path)
+    history = J.snapshot_history(spark.read.parquet(path))
+    return history.select("user_id", "day", rnd(F.col("value"), 4).alias("value"), rnd(F.col("delta"), 4).alias("delta"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, ts, value, previous FROM (SELECT user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events) WHERE value - previous <= -200")

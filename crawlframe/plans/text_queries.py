@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlframe.functions import text as T
 from crawlframe.functions.common import clamp, over_the_cluster, pct, pct_sql, rnd, rnd_sql, top_k
 from crawlframe.operators import corpus
+from crawlframe.operators.graph import cut
 from crawlframe.plans.registry import query, table
 
 
@@ -284,15 +285,13 @@ def h14_tfidf_cosine(spark, sf_dir):
     return _best5(corpus.cosine_join(_items(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "text"), tf_idf=True))
 
 
-#: Windows of a text that the SQL below reads.
-MOST_CHUNKS = 10
-_CHUNKS = "ch AS (SELECT doc_id, i AS idx, substr(text, 1 + (i - 1) * 1100, 1200) AS chunk FROM (SELECT doc_id, text, unnest(range(1, least(10, (greatest(1, length(text) - 100) - 1) // 1100 + 1) + 1)) AS i FROM documents WHERE text IS NOT NULL AND text <> ''))"
+_CHUNKS = "ch AS (SELECT doc_id, i AS idx, substr(text, 1 + (i - 1) * 1100, 1200) AS chunk FROM (SELECT doc_id, text, unnest(range(1, (greatest(1, length(text) - 100) - 1) // 1100 + 1 + 1)) AS i FROM documents WHERE text IS NOT NULL AND text <> ''))"
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, CAST(idx AS INTEGER) AS idx, length(chunk) AS chars, md5(chunk) AS digest FROM ch")
 def h15_chunks(spark, sf_dir):
     """Overlapping windows of each text."""
-    return corpus.chunks(docs(spark, sf_dir), most=MOST_CHUNKS).select("doc_id", "idx", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("digest"))
+    return corpus.chunks(docs(spark, sf_dir)).select("doc_id", "idx", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 @query(
@@ -301,7 +300,7 @@ SELECT doc_id, count(*) AS chunks, count(*) FILTER (WHERE run <= 512) AS survive
 )
 def e4_token_budget(spark, sf_dir):
     """Whole chunks within token budgets."""
-    return corpus.survivors(corpus.chunks(docs(spark, sf_dir), most=MOST_CHUNKS))
+    return corpus.survivors(corpus.chunks(docs(spark, sf_dir)))
 
 
 @query(
@@ -312,7 +311,7 @@ SELECT n.doc_id, CAST(n.idx AS INTEGER) AS idx, exact OR m.idx IS NOT NULL AS du
 )
 def e9_chunk_dedupe(spark, sf_dir):
     """Chunks that repeat an earlier one."""
-    return corpus.chunk_duplicates(corpus.chunks(docs(spark, sf_dir), most=MOST_CHUNKS))
+    return corpus.chunk_duplicates(corpus.chunks(docs(spark, sf_dir)))
 
 
 _TFIDF = f"""w AS (SELECT doc_id, list_filter({_words("lower(text)")}, lambda x: length(x) >= 4) AS w FROM documents),
@@ -354,18 +353,24 @@ def d25_top_trigrams(spark, sf_dir):
     return corpus.top_terms(docs(spark, sf_dir), T.tokens(F.col("text")), 3, 5)
 
 
-MOST_DOCS = 50
+_LINKED = """q AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS relevance, min(a.term) AS suggested_anchor FROM tfidf a JOIN tfidf b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+li AS (SELECT src, dst, relevance, suggested_anchor, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY relevance DESC, dst) AS rank FROM q) WHERE rank <= 20)"""
+
+
+@query(f"WITH {_TFIDF}, {_LINKED} SELECT * FROM li")
+def c9_semantic_links(spark, sf_dir):
+    """Documents that share their best terms: the twenty that share the most, for each."""
+    return corpus.semantic_links(corpus.tfidf(docs(spark, sf_dir).select("doc_id", "text"))).select("src", "dst", "relevance", "suggested_anchor", "rank")
 
 
 @query(
-    f"""WITH {_TFIDF}, k AS (SELECT term FROM tfidf GROUP BY term HAVING count(*) BETWEEN 2 AND {MOST_DOCS}),
-t AS (SELECT doc_id, term FROM tfidf JOIN k USING (term)),
-q AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS relevance, min(a.term) AS suggested_anchor FROM t a JOIN t b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2)
-SELECT src, dst, relevance, suggested_anchor, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY relevance DESC, dst) AS rank FROM q) WHERE rank <= 20"""
+    f"""WITH {_TFIDF}, {_LINKED}, b AS (SELECT src AS doc_id, count(*) AS n, min_by(suggested_anchor, rank) AS anchor FROM li GROUP BY 1)
+SELECT d.doc_id, coalesce(anchor, t.term, 'misc') AS topic_label, coalesce(n, 0) >= 3 AS topic_hub FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN tfidf t ON t.doc_id = d.doc_id AND t.rank = 1"""
 )
-def c9_semantic_links(spark, sf_dir):
-    """Documents that share their best terms."""
-    return corpus.semantic_links(corpus.tfidf(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "term"), MOST_DOCS).select("src", "dst", "relevance", "suggested_anchor", "rank")
+def c9_topic_labels(spark, sf_dir):
+    """Topic of each document by its links, and whether it is a hub of its topic."""
+    terms = cut(corpus.tfidf(docs(spark, sf_dir).select("doc_id", "text")))
+    return corpus.topic_labels(corpus.semantic_links(terms), terms, docs(spark, sf_dir))
 
 
 _SIMHASH = rf"""w AS (SELECT doc_id, unnest(list_filter({_words("lower(text)")}, lambda x: length(x) >= 3 AND x NOT IN {_list(T.STOP_WORDS)})) AS t FROM documents),

@@ -20,14 +20,70 @@ ALIASES = {
 }
 
 
-def read_export(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """An export as strings; malformed rows are kept with what could be read."""
+SEPARATORS = ["\t", ";", ",", "|"]
+HEAD_BYTES = 8192
+#: Charsets that Spark reads by itself.
+OWN_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of the first file under a path, wherever Spark can read it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in store.listStatus(target) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"]
+    if not found:
+        return b""
+    stream = store.open(min(found, key=lambda p: p.getName()))
+    try:
+        return bytes(stream.readNBytes(HEAD_BYTES))
+    finally:
+        stream.close()
+
+
+def encoding_of(head: bytes) -> str:
+    """By its mark, by zero bytes, else UTF-8 if that can be read and Windows-1251 if not."""
+    if head.startswith(b"\xef\xbb\xbf"):
+        return "UTF-8"
+    if head.startswith((b"\xff\xfe", b"\xfe\xff")) or head.count(0) > 0.1 * len(head):
+        return "UTF-16" if head.startswith((b"\xff\xfe", b"\xfe\xff")) else "UTF-16LE"
+    for cut in range(4):  # the head may end within a character
+        try:
+            head[: len(head) - cut].decode("utf-8")
+            return "UTF-8"
+        except UnicodeDecodeError:
+            continue
+    return "windows-1251"
+
+
+def separator_of(head: str) -> str:
+    """What parts the first line that is not empty: a tab if no other mark is more frequent, else the most frequent one."""
+    line = next((x for x in head.lstrip("\ufeff").splitlines() if x.strip()), "")
+    return max(SEPARATORS, key=line.count) if any(map(line.count, SEPARATORS)) else ","
+
+
+def read_export(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """An export as strings; malformed rows are kept with what could be read.
+
+    Encoding and separator that are not given are told from the first bytes.
+    """
+    if sep is None or encoding is None:
+        head = _head(spark, path)
+        encoding = encoding or encoding_of(head)
+        sep = sep or separator_of(head.decode(encoding, "ignore"))
+    if encoding.lower() not in OWN_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # other code pages, as exports have them
     return spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, mode="PERMISSIVE", escape='"')
 
 
+def split_rows(lines: DataFrame, headers: list[str], sep: str) -> DataFrame:
+    """``lines(line)`` cut at every separator: short rows are filled up, what is too much stays in the last field."""
+    parts = F.split("line", rf"\Q{sep}\E", len(headers))
+    return lines.where(F.trim("line") != "").select(*[F.coalesce(F.get(parts, i), F.lit("")).alias(h) for i, h in enumerate(headers)])
+
+
 def pick_fields(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """The wanted fields, each from the first of its headers that is there and not empty; null without any."""
-    have = {c.strip().lower(): c for c in df.columns}
+    have = {c.strip().lstrip("\ufeff").lower(): c for c in df.columns}
 
     def pick(names: list[str]) -> Column:
         found = [F.when(F.trim(df[f"`{have[n]}`"]) != "", F.trim(df[f"`{have[n]}`"])) for n in names if n in have]
@@ -56,6 +112,38 @@ def parse_keyword_lines(lines: DataFrame) -> DataFrame:
     return rows.where(~F.col("keyword").rlike(r"^[0-9.,]+$")).select("pos", "keyword", "frequency")
 
 
+_BLOCK = r"(?m)^[ \t]*[\"'](?![^\n]*[\"'][ \t]*$)[\s\S]*?[\"'][ \t]*$|^[^\n]*\S[^\n]*$"
+
+
+def keyword_rows(texts: DataFrame) -> DataFrame:
+    """``texts(file, text)`` -> ``(file, pos, line)``: lines, where a quoted block over several lines is one."""
+    rows = F.regexp_extract_all(F.replace("text", F.lit("\r"), F.lit("\n")), F.lit(_BLOCK), F.lit(0))
+    return texts.select("file", F.posexplode(rows).alias("pos", "line"))
+
+
+def parse_keyword_rows(rows: DataFrame) -> DataFrame:
+    """``rows(pos, line)`` -> ``(pos, keyword, frequency)``; of a block the last line is the number, if it is one."""
+    block = F.contains("line", F.lit("\n"))
+    bare = F.regexp_replace(F.trim("line"), "^[\"']|[\"']$", "")
+    parts = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", ""))), lambda x: x != "")
+    b = rows.where(block).select("pos", parts.alias("parts")).where(F.size("parts") > 0)
+    last = number(F.element_at("parts", -1))
+    whole = (F.size("parts") < 2) | last.isNull()
+    found = b.select("pos", F.when(whole, F.array_join("parts", " ")).otherwise(F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), " ")).alias("keyword"), F.when(whole, 1.0).otherwise(F.least(last, F.lit(1e9))).alias("frequency"))
+    return found.unionByName(parse_keyword_lines(rows.where(~block)))
+
+
+def read_keyword_files(spark: SparkSession, path: str) -> DataFrame:
+    """Keyword lists as whole files, as people type them; each is small, and there may be many."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    rows = keyword_rows(texts).select(F.struct("file", "pos").alias("pos"), "line")
+    return parse_keyword_rows(rows).select("pos.file", "pos.pos", "keyword", "frequency")
+
+
+#: A url element with what may stand in it; namespaces are left out of the names.
+SITEMAP_URL = "loc string, lastmod string, changefreq string, priority string, link array<struct<_hreflang: string, _href: string>>, image array<struct<loc: string>>"
+
+
 def parse_sitemap_urls(rows: DataFrame) -> DataFrame:
     """Adds loc, lastmod, changefreq and priority from ``xml``, a url element per row."""
     schema = "loc string, lastmod string, changefreq string, priority string"
@@ -64,13 +152,47 @@ def parse_sitemap_urls(rows: DataFrame) -> DataFrame:
     return reduce(lambda d, c: d.withColumn(c, F.coalesce(F.col(c), F.lit(""))), ["loc", "lastmod"], out)
 
 
-def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """Sitemap files (gzip too), one row per url element."""
-    return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, changefreq string, priority string").load(path)
+def read_sitemaps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Sitemap files (gzip too), one row per url element: ``(file, loc, lastmod, changefreq, priority, alternates, images)``."""
+    rows = spark.read.format("xml").option("rowTag", "url").option("ignoreNamespace", True).option("inferSchema", False).schema(SITEMAP_URL).load(paths)
+    alternates = F.transform(F.coalesce("link", F.array()), lambda x: F.struct(x["_hreflang"].alias("lang"), x["_href"].alias("target")))
+    images = F.transform(F.coalesce("image", F.array()), lambda x: x["loc"])
+    return rows.select(F.input_file_name().alias("file"), "loc", "lastmod", "changefreq", "priority", alternates.alias("alternates"), images.alias("images"))
+
+
+def read_sitemap_index(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """The urls of all sitemaps that an index lists, by the names that its addresses end with in a folder.
+
+    An index lists at most 50,000 files by its own standard, so their names come to the driver.
+    """
+    listed = spark.read.format("xml").option("rowTag", "sitemap").option("ignoreNamespace", True).schema("loc string").load(path)
+    names = sorted(r[0] for r in listed.select(F.regexp_extract("loc", "([^/]+)$", 1)).distinct().collect())
+    return read_sitemaps(spark, [f"{folder}/{n}" for n in names])
 
 
 def parse_vitals(reports: DataFrame) -> DataFrame:
     """``reports(site, raw)`` -> ``(site, score, metric, value)``: fixed parts by schema, the open map of audits as variant."""
     r = reports.select("site", F.from_json("raw", "categories struct<performance: struct<score: double>>").alias("c"), F.parse_json(F.get_json_object("raw", "$.audits")).alias("audits"))
-    r.createOrReplaceTempView("__vitals_reports")
-    return reports.sparkSession.sql("SELECT site, c.categories.performance.score AS score, a.key AS metric, try_variant_get(a.value, '$.numericValue', 'double') AS value FROM __vitals_reports, LATERAL variant_explode(audits) AS a")
+    entries = F.try_variant_get("audits", "$", "map<string,variant>")
+    return r.select("site", F.col("c.categories.performance.score").alias("score"), F.explode(entries).alias("metric", "v")).select("site", "score", "metric", F.try_variant_get("v", "$.numericValue", "double").alias("value"))
+
+
+# Metrics of field reports. A layout shift is given in hundredths.
+FIELD_METRICS = {"LARGEST_CONTENTFUL_PAINT_MS": "lcp", "INTERACTION_TO_NEXT_PAINT": "inp", "CUMULATIVE_LAYOUT_SHIFT_SCORE": "cls", "FIRST_CONTENTFUL_PAINT_MS": "fcp", "EXPERIMENTAL_TIME_TO_FIRST_BYTE": "ttfb"}
+
+
+def parse_field_vitals(reports: DataFrame) -> DataFrame:
+    """``reports(site, raw)`` -> ``(site, scope, metric, percentile, category)`` of page and origin experience in the field."""
+    names = F.create_map(*[F.lit(x) for kv in FIELD_METRICS.items() for x in kv])
+    kind = "map<string,struct<percentile: double, category: string>>"
+    parts = {"page": "$.loadingExperience.metrics", "origin": "$.originLoadingExperience.metrics"}
+    rows = [reports.select("site", F.lit(scope).alias("scope"), F.explode(F.from_json(F.get_json_object("raw", path), kind)).alias("name", "m")) for scope, path in parts.items()]
+    all_ = reduce(DataFrame.unionByName, rows).withColumn("metric", names[F.col("name")]).where("metric is not null")
+    value = F.when(F.col("metric") == "cls", F.col("m.percentile") / 100.0).otherwise(F.col("m.percentile"))
+    return all_.select("site", "scope", "metric", value.alias("percentile"), F.lower("m.category").alias("category"))
+
+
+def category_scores(reports: DataFrame) -> DataFrame:
+    """``reports(site, raw)`` -> ``(site, category, score)``, scores out of a hundred."""
+    scores = F.from_json(F.get_json_object("raw", "$.categories"), "map<string,struct<score: double>>")
+    return reports.select("site", F.explode(scores).alias("category", "s")).select("site", "category", (F.col("s.score") * 100.0).alias("score"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlframe.sources.scratch import scratch_path
@@ -50,10 +50,42 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") ->
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "events")
 
 
-def daily_snapshots(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first event of each subject and day: replacements of the same day are dropped within the watermark."""
-    d = events.withColumn("day", F.date_trunc("day", "ts")).withWatermark("day", delay)
-    return d.dropDuplicatesWithinWatermark(["user_id", "day"]).select("user_id", "day")
+def newest_of_day(snapshots: DataFrame) -> DataFrame:
+    """``(user_id, day, ts, event_id, value)``: the newest of each subject and day."""
+    g = snapshots.groupBy("user_id", "day").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("r"))
+    return g.select("user_id", "day", "r.*")
+
+
+def keep_daily_snapshots(events: DataFrame, path: str) -> None:
+    """Drive a stream of events into a table of daily snapshots, a later event of a day replacing the earlier one.
+
+    Each batch merges the days that it holds and overwrites these partitions. A batch that runs again changes nothing.
+    """
+    from crawlframe.operators.graph import cut
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = cut(newest_of_day(batch.withColumn("day", F.to_date("ts")).select("user_id", "day", "ts", "event_id", "value")))
+        if number or _exists(spark, path):
+            days = fresh.select("day").distinct()
+            kept = spark.read.schema(fresh.schema).parquet(path).join(F.broadcast(days), "day", "left_semi")
+            fresh = cut(newest_of_day(kept.select(*fresh.columns).unionByName(fresh)))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    stream = events.writeStream.foreachBatch(merge).option("checkpointLocation", scratch_path(events.sparkSession, "snapshots-state")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def snapshot_history(snapshots: DataFrame, keep: int = 50) -> DataFrame:
+    """The newest snapshots of each subject, with the change to the one before."""
+    order = Window.partitionBy("user_id")
+    rows = snapshots.withColumns({"age": F.row_number().over(order.orderBy(F.desc("day"))), "previous": F.lag("value").over(order.orderBy("day"))})
+    return rows.where(F.col("age") <= keep).select("user_id", "day", "value", (F.col("value") - F.col("previous")).alias("delta"))
 
 
 def drop_alerts(daily: DataFrame, least: float = 3.0) -> DataFrame:
