@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -57,3 +57,18 @@ def is_homepage(url: Column) -> Column:
 
 def is_own(target: Column, own: str) -> Column:
     return (target == own) | target.endswith(f".{own}")
+
+
+def policy(pages: DataFrame, allowed: list[str], needed: list[str]) -> DataFrame:
+    """``pages(page_id, url)`` against a policy: letters, index files, slashes, parameters that are too many or lacking."""
+    p, url = path(F.col("url")), F.col("url")
+    keys = F.transform(F.filter(F.split(query_string(url), "&"), lambda x: x != ""), lambda x: F.get(F.split(x, "="), 0))
+    names = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return pages.select(
+        "page_id",
+        p.rlike("[A-Z]").alias("upper_case"),
+        p.rlike(r"/(index|default)\.[a-z]+$").alias("index_file"),
+        p.rlike("//").alias("double_slash"),
+        F.array_join(F.array_sort(F.array_except(keys, names(allowed))), ",").alias("extra_params"),
+        ((F.size(keys) > 0) & (F.size(F.array_except(names(needed), keys)) > 0)).alias("lacks_params"),
+    )

@@ -29,7 +29,8 @@ def term_arrays(docs: DataFrame, terms: Column) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
     """``(doc_id, term, n, first, total)``: occurrences of each term, its first position, and terms of the document."""
-    rows = term_arrays(docs, terms).select("doc_id", "total", F.explode("counted").alias("c"))
+    # An inner explode lets Spark infer a filter on the array, which would work the array out a second time and worse.
+    rows = term_arrays(docs, terms).select("doc_id", "total", F.explode_outer("counted").alias("c")).where("c is not null")
     return rows.select("doc_id", "c.term", "c.n", "c.first", "total")
 
 
@@ -66,7 +67,7 @@ def top_terms(docs: DataFrame, terms: Column, n: int, k: int) -> DataFrame:
         grams = F.zip_with(grams, F.slice("t", F.lit(i + 1), F.greatest(F.lit(0), size - i)), lambda x, y: F.concat_ws(" ", x, y))
     grams = F.slice(grams, F.lit(1), F.greatest(F.lit(0), size - (n - 1)))
     based = docs.select("doc_id", terms.alias("t")).select("doc_id", "t", grams.alias("g"))
-    best = term_arrays(based, F.col("g")).select("doc_id", "total", F.posexplode(most_frequent(F.col("counted"), k)).alias("pos", "o"))
+    best = term_arrays(based, F.col("g")).select("doc_id", "total", F.posexplode_outer(most_frequent(F.col("counted"), k)).alias("pos", "o")).where("o is not null")
     return best.select("doc_id", (F.col("pos") + 1).alias("rank"), "o.term", F.col("o.n").alias("count"), rnd(F.col("o.n") / F.col("total") * 100.0, 3).alias("pct"))
 
 

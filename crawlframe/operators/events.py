@@ -64,6 +64,17 @@ def against_primary(sites: DataFrame, primary) -> DataFrame:
     return j.select("site", *[rnd(F.col(c) - F.col(f"p_{c}"), 4).alias(f"delta_{c}") for c in ("score", *CORE)], (F.col("score") > F.col("p_score")).alias("ahead"))
 
 
+def against_median(sites: DataFrame, primary) -> DataFrame:
+    """``(metric, ours, competitors_median, gap, verdict)`` of one site beside all others; only the score is better when higher."""
+    names = ["score", *CORE]
+    long = sites.select("site", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["site"], names, "metric", "v")
+    mine = F.col("site") == primary
+    g = long.groupBy("metric").agg(F.max(F.when(mine, F.col("v"))).alias("ours"), F.median(F.when(~mine, F.col("v"))).alias("m"))
+    better = F.when(F.col("metric") == "score", F.col("ours") > F.col("m")).otherwise(F.col("ours") < F.col("m"))
+    verdict = F.when(F.col("ours").isNull() | F.col("m").isNull(), "unknown").when(F.col("ours") == F.col("m"), "even").when(better, "strength").otherwise("gap")
+    return g.select("metric", rnd(F.col("ours"), 4).alias("ours"), rnd(F.col("m"), 4).alias("competitors_median"), rnd(F.col("ours") - F.col("m"), 4).alias("gap"), verdict.alias("verdict"))
+
+
 def baseline_diff(current: DataFrame, baseline: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Long table ``(*keys, metric, current, baseline, delta)``."""
     c, b = (x.unpivot(keys, metrics, "metric", v) for x, v in ((current, "current"), (baseline, "baseline")))

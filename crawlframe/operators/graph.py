@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlframe.functions import urls as U
 from crawlframe.functions.common import rnd
 from crawlframe.sources.scratch import scratch_path
 
@@ -94,7 +95,7 @@ def unlinked_topics(topics: DataFrame, edges: DataFrame, k: int = 10) -> DataFra
 
 
 def redirect_chains(hops: DataFrame) -> DataFrame:
-    """``hops(from, to, status)`` -> ``(start, hops, final, loop, statuses, permanent, temporary)``.
+    """``hops(from, to, status)`` -> ``(start, hops, final, path, loop, statuses, permanent, temporary)``.
 
     Every step joins the open ends with the hop table; a chain ends where there is no hop, or at a page it has been to, so
     every chain ends. A page has one hop at most.
@@ -122,8 +123,24 @@ def redirect_chains(hops: DataFrame) -> DataFrame:
         "start",
         F.size("codes").alias("hops"),
         F.col("at").alias("final"),
+        "path",
         "loop",
         F.array_join(F.transform("codes", lambda x: x.cast("string")), ">").alias("statuses"),
         F.exists("codes", lambda x: x.isin(301, 308)).alias("permanent"),
         F.exists("codes", lambda x: x.isin(302, 303, 307)).alias("temporary"),
     )
+
+
+def redirect_ends(chains: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(start, final, cross_domain, soft_404, broken)`` of chains, with ``pages(url, code, title)`` for where they end."""
+    domain = lambda c: U.registrable(U.host(F.col(c)))
+    j = chains.select("start", "final").join(pages.withColumnRenamed("url", "final"), "final", "left")
+    lost = (F.col("code") == 200) & F.lower("title").rlike("not found|404|does not exist")
+    return j.select("start", "final", (domain("start") != domain("final")).alias("cross_domain"), F.coalesce(lost, F.lit(False)).alias("soft_404"), F.coalesce(F.col("code") >= 400, F.lit(False)).alias("broken"))
+
+
+def hop_times(chains: DataFrame, hops: DataFrame) -> DataFrame:
+    """``(start, hops, ms)``: the time of all ``hops(from, ms)`` of a chain; pages of a chain are those that it goes through."""
+    steps = chains.select("start", F.explode("path").alias("from")).join(hops.select("from", "ms"), "from")
+    total = steps.groupBy("start").agg(F.sum("ms").alias("ms"))
+    return chains.select("start", "hops").join(total, "start")

@@ -100,3 +100,26 @@ def first_file(urls: DataFrame) -> DataFrame:
     order = F.struct("file", "pos")
     g = urls.groupBy("loc").agg(F.min_by("file", order).alias("first_file"), (F.count("*") - 1).alias("later"))
     return g.where("later > 0")
+
+
+def overlapping(rules: DataFrame) -> DataFrame:
+    """``(host, agent, allow, disallow, allow_is_longer)``: paths of an agent of which one begins with the other."""
+    ua = rules.where("key = 'user-agent'").select("host", "group_id", F.lower("value").alias("agent"))
+    r = rules.where("key in ('allow', 'disallow') and value <> ''").join(ua, ["host", "group_id"])
+    allow, disallow = (r.where(F.col("key") == k).select("host", "agent", F.col("value").alias(k)) for k in ("allow", "disallow"))
+    j = allow.join(disallow, ["host", "agent"]).where("allow <> disallow and (startswith(disallow, allow) or startswith(allow, disallow))")
+    return j.select("host", "agent", "allow", "disallow", F.startswith("allow", "disallow").alias("allow_is_longer")).distinct()
+
+
+def missing_bots(rules: DataFrame, bots: list[str]) -> DataFrame:
+    """``(host, bot)`` for bots that no user agent of a host names."""
+    spoken = F.filter(F.array(*[F.lit(b) for b in bots]), lambda b: ~F.exists("agents", lambda a: F.contains(a, b)))
+    g = rules.groupBy("host").agg(F.collect_set(F.when(F.col("key") == "user-agent", F.lower("value"))).alias("agents"))
+    return g.select("host", F.explode(spoken).alias("bot"))
+
+
+def uniform_lastmod(urls: DataFrame, least: int = 20, share: float = 0.9) -> DataFrame:
+    """``(file, dated, most, uniform)``: how many urls of a file are dated, and how many by the most frequent date."""
+    dated = urls.where(F.try_to_date(F.substring("lastmod", 1, 10), "yyyy-MM-dd").isNotNull()).groupBy("file", "lastmod").agg(F.count("*").alias("n"))
+    g = dated.groupBy("file").agg(F.sum("n").alias("dated"), F.max("n").alias("most"))
+    return g.withColumn("uniform", (F.col("dated") >= least) & (F.col("most") / F.col("dated") >= share))

@@ -111,7 +111,7 @@ def hops(spark, sf_dir) -> DataFrame:
 
 @query(f"{_CHAIN} SELECT start, CAST(hops AS INTEGER) AS hops, final, loop, statuses, permanent, temporary FROM ch")
 def c22_redirect_chains(spark, sf_dir):
-    return G.redirect_chains(hops(spark, sf_dir))
+    return G.redirect_chains(hops(spark, sf_dir)).drop("path")
 
 
 _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END"
