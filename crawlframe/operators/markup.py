@@ -16,6 +16,8 @@ GENERIC_ALT = ["image", "photo", "picture", "img", "фото", "картинка
 LANGUAGE_CODE = "^(x-default|[a-z]{2}(-[A-Z]{2})?)$"
 HIDDEN = r"display:\s*none|visibility:\s*hidden|opacity:\s*0|text-indent:-|left:\s*-9999|clip:rect\(0|height:0"
 CHALLENGE = ["/cdn-cgi/challenge-platform", "cf-chl", "attention required", "verify you are human", "checking your browser", "captcha", "hcaptcha", "g-recaptcha", "bot protection", "just a moment...", "access denied"]
+STRONG_CHALLENGE = ["/cdn-cgi/challenge-platform", "cf-chl", "hcaptcha", "g-recaptcha"]
+CHALLENGE_SCRIPT = "challenge-platform|cf_chl|turnstile|hcaptcha|recaptcha"
 WAF_HEADERS = ["cf-ray", "cf-mitigated", "x-sucuri-id", "x-ddos", "x-akamai"]
 TINY = r"font-size\s*:\s*[0-4](?:\.[0-9]+)?\s*px"
 HIDDEN_ELEMENT = rf'(?is)<[a-z][a-z0-9]*(?:\s[^>]*)?(?:style="[^"]*(?:{HIDDEN}|{TINY})[^"]*"|\shidden|\saria-hidden="true")[^>]*>[^<]*<'
@@ -180,15 +182,38 @@ def cloaking(hidden: Column, text_chars: Column) -> Column:
 
 
 def challenge(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, code, headers, html)`` -> score and verdict of challenge pages."""
+    """``pages(page_id, code, headers, html)`` -> score, verdict, status, risk and marks of challenge pages.
+
+    Points for the answer's code, for headers of a firewall, for marks in the body (more for those that are never said in
+    passing), and for scripts of a challenge.
+    """
     low = F.lower("html")
     status = F.when(F.col("code").isin(403, 429, 503), 0.35).when(F.col("code") == 401, 0.18).otherwise(0.0)
     keys = F.transform(F.map_keys("headers"), F.lower)
-    headers = F.when(F.arrays_overlap(keys, F.array(*[F.lit(h) for h in WAF_HEADERS])), 0.28).otherwise(0.0)
+    server = F.exists(F.map_entries("headers"), lambda e: (F.lower(e["key"]) == "server") & F.contains(F.lower(e["value"]), F.lit("akamai")))
+    headers = F.when(F.arrays_overlap(keys, F.array(*[F.lit(h) for h in WAF_HEADERS])) | server, 0.28).otherwise(0.0)
     marks = sum([low.contains(m).cast("int") for m in CHALLENGE[1:]], low.contains(CHALLENGE[0]).cast("int"))
-    body = F.least(F.lit(0.6), marks * 0.2)
-    score = rnd(F.least(F.lit(1.0), status + headers + body), 2)
-    return pages.select("page_id", score.alias("score"), (score >= 0.55).alias("challenge"), marks.alias("marks"))
+    strong = reduce(lambda a, b: a | b, [low.contains(m) for m in STRONG_CHALLENGE])
+    body = F.when(strong, 0.44).when(marks > 0, 0.24).otherwise(0.0)
+    scripts = F.when(low.rlike(CHALLENGE_SCRIPT), 0.22).otherwise(0.0)
+    p = pages.select("page_id", rnd(F.least(F.lit(1.0), status + headers + body + scripts), 3).alias("score"), marks.alias("marks"))
+    score = F.col("score")
+    return p.select(
+        "page_id",
+        "score",
+        (score >= 0.55).alias("challenge"),
+        F.when(score >= 0.55, "detected").when(score >= 0.35, "suspected").otherwise("none").alias("status"),
+        F.when(score >= 0.8, "high").when(score >= 0.55, "medium").otherwise("low").alias("risk"),
+        "marks",
+    )
+
+
+def picture_sources(pages: DataFrame) -> DataFrame:
+    """``(page_id, src, descriptor)``: every candidate of the source sets of pictures and images."""
+    sets = F.regexp_extract_all("html", F.lit(r"(?is)<(?:source|img)[^>]*\ssrcset\s*=\s*[\"']([^\"']*)"), F.lit(1))
+    each = F.transform(F.flatten(F.transform(sets, lambda s: F.split(s, ","))), lambda x: F.trim(x))
+    rows = pages.select("page_id", F.explode(F.filter(each, lambda x: x != "")).alias("x"))
+    return rows.select("page_id", F.regexp_extract("x", r"^(\S+)", 1).alias("src"), F.trim(F.regexp_extract("x", r"^\S+(.*)$", 1)).alias("descriptor"))
 
 
 def three_way_difference(cosines: DataFrame) -> DataFrame:

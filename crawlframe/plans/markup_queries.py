@@ -129,17 +129,29 @@ def h20_hidden_content(spark, sf_dir):
     return p.select("page_id", "h.nodes", "h.chars", M.cloaking(F.col("h"), F.col("n")).alias("cloaked"))
 
 
-_MARKS = " + ".join(f"CAST(contains(lower(html), '{m}') AS INTEGER)" for m in M.CHALLENGE)
+_SAID = "html || CASE page_id % 12 WHEN 5 THEN ' <script src=/cdn-cgi/challenge-platform/x>' WHEN 7 THEN ' turnstile' WHEN 9 THEN ' Access denied' ELSE '' END"
+_MARKS = " + ".join(f"CAST(contains(low, '{m}') AS INTEGER)" for m in M.CHALLENGE)
+_STRONG = " OR ".join(f"contains(low, '{m}')" for m in M.STRONG_CHALLENGE)
 
 
 @query(
-    f"""WITH {RICH}, s AS (SELECT page_id, {_MARKS} AS marks, CASE WHEN code IN (403, 429, 503) THEN 0.35::DOUBLE WHEN code = 401 THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN page_id % 3 = 0 THEN 0.28::DOUBLE ELSE 0.0::DOUBLE END AS b FROM rp)
-SELECT page_id, score, score >= 0.55 AS challenge, marks FROM (SELECT *, {rnd_sql("least(1.0::DOUBLE, b + least(0.6::DOUBLE, marks * 0.2::DOUBLE))", 2)} AS score FROM s)"""
+    f"""WITH {RICH}, l AS (SELECT page_id, code, lower({_SAID}) AS low FROM rp), s AS (SELECT page_id, {_MARKS} AS marks, CASE WHEN code IN (403, 429, 503) THEN 0.35e0 WHEN code = 401 THEN 0.18e0 ELSE 0e0 END + CASE WHEN page_id % 3 = 0 OR page_id % 7 = 1 THEN 0.28e0 ELSE 0e0 END
+ + CASE WHEN {_STRONG} THEN 0.44e0 WHEN {_MARKS} > 0 THEN 0.24e0 ELSE 0e0 END + CASE WHEN regexp_matches(low, '{M.CHALLENGE_SCRIPT}') THEN 0.22e0 ELSE 0e0 END AS b FROM l), r AS (SELECT page_id, marks, {rnd_sql("least(1e0, b)", 3)} AS score FROM s)
+SELECT page_id, score, score >= 0.55 AS challenge, CASE WHEN score >= 0.55 THEN 'detected' WHEN score >= 0.35 THEN 'suspected' ELSE 'none' END AS status, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS risk, marks FROM r"""
 )
 def b27_challenge_pages(spark, sf_dir):
-    """Challenge score from status, headers and body."""
-    headers = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("CF-Ray"), F.lit("1"))).otherwise(F.create_map(F.lit("Server"), F.lit("x")))
-    return M.challenge(rich_pages(spark, sf_dir).withColumn("headers", headers))
+    """Challenge score from status, headers, body and scripts."""
+    headers = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("CF-Ray"), F.lit("1"))).when(F.col("page_id") % 7 == 1, F.create_map(F.lit("Server"), F.lit("AkamaiGHost"))).otherwise(F.create_map(F.lit("Server"), F.lit("x")))
+    return M.challenge(rich_pages(spark, sf_dir).withColumns({"headers": headers, "html": F.expr(_SAID)}))
+
+
+_SETS = "html || CASE WHEN page_id % 4 = 0 THEN '<picture><source type=\"image/avif\" srcset=\"/p.avif 1x, /q.avif  2x\"><img src=\"/p.png\" srcset=\"/r.png 480w\"></picture>' ELSE '<source srcset=\"/one.webp\">' END"
+
+
+@query(f"WITH {RICH}, x AS (SELECT page_id, trim(unnest(list_filter(flatten(list_transform(regexp_extract_all({_SETS}, '(?is)<(?:source|img)[^>]*\\ssrcset\\s*=\\s*[\"'']([^\"'']*)', 1), lambda s: string_split(s, ','))), lambda y: trim(y) <> ''))) AS x FROM rp) SELECT page_id, regexp_extract(x, '^(\\S+)', 1) AS src, trim(regexp_extract(x, '^\\S+(.*)$', 1)) AS descriptor FROM x")
+def b3_picture_sources(spark, sf_dir):
+    """Candidates of source sets."""
+    return M.picture_sources(rich_pages(spark, sf_dir).withColumn("html", F.expr(_SETS)))
 
 
 _SIGNALS = {"contact": r"(\+?\d[\d\s\-()]{7,}\d)|([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})|contact|phone|call us|support|help center|e-?mail", "legal": "privacy|terms|policy|cookie|gdpr|ccpa|disclaimer", "author": "author|written by|reviewed by|editor", "reviews": "review|rating|testimonial", "badges": "certified|award|guarantee|verified"}

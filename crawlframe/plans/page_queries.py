@@ -183,7 +183,7 @@ def c13_snapshot_diff(spark, sf_dir):
 
     def side(p):
         meta = F.create_map(F.lit("title"), H.title(h), F.lit("charset"), F.regexp_extract(h, '(?i)<meta[^>]*charset="?([^">]*)', 1))
-        headings = F.array_distinct(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>([^<]*)"), F.lit(1)), F.trim))
+        headings = F.array_distinct(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>([^<]*)"), F.lit(1)), lambda x: F.trim(x)))
         return p.select("page_id", H.visible_text(h).alias("text"), F.array_distinct(F.regexp_extract_all(h, F.lit('(?i)href="([^"]*)"'), F.lit(1))).alias("hrefs"), headings.alias("headings"), meta.alias("meta"))
 
     full = pages(spark, sf_dir)
