@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences: language ID, line dedup, near duplicates, decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that its predecessor kept. All but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever further columns there are and whatever their names.
+
+In every stage an empty table gives an empty one. Nulls in columns other than text and doc_id change nothing and are carried;
+each stage says what it does with a null text, a null doc_id and repeated rows.
 """
 
 from __future__ import annotations
@@ -16,27 +19,45 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those of which the network makes no language, go."""
+    """Documents without letters (a null or empty text has none), and those of which the network makes no language, go.
+
+    Repeated rows and rows with a null doc_id are each judged by their text. Without a labelled document all go. Languages
+    with equal scores: the first by name, which decides nothing here.
+    """
     return language_id.keep_identified(docs, LEAST_LANGUAGE_SCORE)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go, and with them documents that are nothing else."""
+    """Lines whose template recurs go, and with them documents that are nothing else.
+
+    A null text stays; equal texts are treated alike and count as one, so repeated rows stay as often as they came; ids play
+    no part. Templates that fit a line equally well: the first in text order.
+    """
     return line_templates.drop_recurring(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarity the one with the least doc_id stays."""
+    """Of each group of documents linked by similarity the one with the least doc_id stays.
+
+    Rows with one doc_id stay or go together, so repeated rows stay; rows with a null doc_id and rows without words stay.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    A null text holds none; repeated rows go or stay together; ids play no part. An empty benchmark drops nothing.
+    """
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences."""
+    """Every document's pieces and their places in sequences.
+
+    A null text is its end token; every row is packed, repeated ones too; a null doc_id is carried. Open sequences with equal
+    space: the one that came to it last.
+    """
     return packing.pack(docs)
 
 

@@ -14,6 +14,10 @@ before it, and none the same line after it, where an edited copy shares one of t
 by what lies beyond these, so blocks of several lines go from their ends inwards, in rounds until none is found. Lines of
 fewer than min_tokens tokens are kept.
 
+A document of which recurring lines are nearly all, COPY_SHARE of more than COPY_WORDS words, is itself what recurs: it keeps
+its lines, so that of a text with many edited copies one can stay (which one, a near-duplicate stage tells). Documents of a
+few words that are nothing but boilerplate do lose them.
+
 Leaves and counts are aggregated before they are shuffled, and the text is shuffled at most once, to drop the lines.
 
 Defined cases: a null text stays null and has no lines; empty lines are kept; equal texts are treated alike, whatever their
@@ -38,6 +42,8 @@ SIMILARITY = 0.7
 #: Different lines of a leaf that go to one task at most.
 LEAF_LINES = 2000
 NEW_PLACES = 0.5
+COPY_SHARE = 0.9
+COPY_WORDS = 50
 WILDCARD = "<*>"
 
 
@@ -199,8 +205,17 @@ def mark_lines(docs: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
     drop = lines.join(recurring.select("line"), "line", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("dropped"))
     drop = save(drop, "drop")  # so that copies of one text, a row each, can be split over tasks
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("doc"))
-    found = keyed.join(drop, "doc", "left")
-    return found.select("row", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    found = keyed.join(drop, "doc", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    none = (F.size("dropped") > 0) & _is_copy(F.col("row.text"), F.col("dropped"))
+    return found.select("row", F.when(none, F.array().cast("array<int>")).otherwise(F.col("dropped")).alias("dropped"))
+
+
+def _is_copy(text: Column, dropped: Column) -> Column:
+    """Whether the lines to drop are nearly all of a text that is more than some words."""
+    words = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(r"\S+")))
+    lines = F.split(text, "\n", -1)
+    gone = words(F.filter(lines, lambda x, i: F.array_contains(dropped, i)))
+    return (gone > COPY_WORDS) & (gone >= COPY_SHARE * words(lines))
 
 
 def kept_text(text: Column, dropped: Column) -> Column:

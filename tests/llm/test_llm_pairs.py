@@ -250,8 +250,14 @@ def plain_recurring(rows):
             places.setdefault(template[m], set()).add((masked[before] if before >= 0 else None, masked[after] if after < len(masked) else None))
         more = {t for t in docs if len(places[t]) >= 5 and (len(places[t]) >= 0.5 * len(docs[t]) or plain_independent(places[t]))}
         if not more:
-            return {(text, i) for text, i, m, _ in lines if template[m] in recurs}
+            break
         recurs |= more
+    dropped = {(text, i) for text, i, m, _ in lines if template[m] in recurs}
+    words = {}
+    for text, i in dropped:
+        words[text] = words.get(text, 0) + len(text.split("\n")[i].split())
+    copies = {t for t, n in words.items() if n > 50 and n >= 0.9 * len(t.split())}
+    return {(t, i) for t, i in dropped if t not in copies}
 
 
 def plain_independent(places):
@@ -325,6 +331,18 @@ def test_all_lines_of_a_recurring_block_are_dropped(spark):
     assert all(found[i] == "3,4,5,6" for i in range(14)) and not any(found[100 + i] for i in range(18))
 
 
+def test_texts_that_recur_as_a_whole_are_kept(spark):
+    """Edited copies: every line has many places, but of the text one is to stay. A short notice alone is no text."""
+    copy = texts(9, 990, 14)
+    rng = random.Random(7)
+    rows = [(i, "\n".join(x if rng.random() < 0.5 else f"{x} {WORDS[rng.randrange(32)]}{i}" for x in copy)) for i in range(40)]
+    rows += [(100 + i, "\n".join(copy)) for i in range(5)] + [(200, copy[0])]
+    found = {r.doc_id: r for r in line_templates.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(found[100 + i].dropped for i in range(5))
+    kept = {r.doc_id for r in line_templates.drop_recurring(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {100 + i for i in range(5)} <= kept
+
+
 def test_copies_do_not_hide_a_recurring_line(spark):
     line = "Read the rest of it on our site"
     rows = [(i, "\n".join([*texts(2, 300 + i, 12), line, *texts(2, 400 + i, 12)])) for i in range(8)]

@@ -59,3 +59,51 @@ def test_stages_equal_plain_versions(spark):
     kept = {r.doc_id for r in docs.collect()}
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in packed} == kept and all(r.length <= 1024 for r in packed)
+
+
+def write(spark, rows, schema, items):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_of_empty_tables(spark):
+    folder = write(spark, [], COLUMNS, [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns and stage(spark, docs, folder).count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_pipeline_with_odd_rows_and_clashing_columns(spark):
+    """Nulls in every column, repeated rows, and columns that are called as the stages' own."""
+    schema = COLUMNS + ", node string, row int, spans string, dropped int, lang_pred string, score double, piece int, component_id long"
+    more = ("n", 1, "s", None, "xx", 0.5, 7, None)
+    plain = [(d, t, lang, "s", len(t)) for d, t, lang in ((i, " ".join(texts(1, 70 + i, 40)), "xx") for i in range(25))]
+    rows = [(*r, *more) for r in plain]
+    odd = [plain[3], plain[3], (None, plain[4][1], "xx", None, None), (None, None, None, None, None), (77, None, "xx", "s", 0), (78, "", None, "s", 0), (79, "word " * 3000, None, None, None)]
+    rows += [(*r, *[None] * len(more)) for r in odd]
+    folder = write(spark, rows, schema, [(1, None), (None, "never seen here at all by anyone who reads this line")])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = common.save(stage(spark, kept, folder), name)
+        assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sum(r.doc_id == 3 for r in got) == 3 and sum(r.doc_id is None for r in got) == 1
+    assert not any(r.text is None or r.text == "" for r in got) and {r.doc_id for r in got} >= {79, *range(25)}
+    assert all(r.row == 1 for r in got if r.doc_id in range(25) and r.node is not None)
+    packed = corpus_pipeline.run(spark, folder).collect()
+    # Every document's pieces are whole and in order, and sequences are gapless.
+    by_doc, by_sequence = {}, {}
+    for r in packed:
+        by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(by_doc[79])[1:] and all(n == 1024 for _, _, n in sorted(by_doc[79])[1:])
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
