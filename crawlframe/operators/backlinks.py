@@ -60,14 +60,15 @@ def brand_tokens(domains: DataFrame) -> DataFrame:
 
 
 def donor_stats(links: DataFrame) -> DataFrame:
-    """Means that ignore nulls and rates per donor."""
+    """Means that ignore nulls and rates per donor; exports without a count of external links have 0 there."""
+    external = F.col("external_links") if "external_links" in links.columns else F.lit(None).cast("double")
     share = lambda c: F.count_if(c) / F.count("*")
     return links.groupBy(F.col("source_domain").alias("domain")).agg(
         F.count("*").alias("links"),
         F.coalesce(F.avg("dr"), F.lit(0.0)).alias("avg_dr"),
         F.coalesce(F.avg("ur"), F.lit(0.0)).alias("avg_ur"),
         F.coalesce(F.avg("traffic"), F.lit(0.0)).alias("avg_traffic"),
-        F.coalesce(F.avg("external_links"), F.lit(0.0)).alias("avg_external_links"),
+        F.coalesce(F.avg(external), F.lit(0.0)).alias("avg_external_links"),
         share(F.col("follow") == F.lit(False)).alias("nofollow_rate"),
         share(F.col("lost")).alias("lost_rate"),
         share(F.col("http_code").startswith("2")).alias("http2xx_rate"),
@@ -75,7 +76,8 @@ def donor_stats(links: DataFrame) -> DataFrame:
 
 
 def target_profile(links: DataFrame) -> DataFrame:
-    """Totals and shares per target."""
+    """Totals and shares per target; flags that an export does not have count as unset."""
+    links = links.withColumns({c: F.lit(None).cast("boolean") for c in ("rendered", "raw") if c not in links.columns})
     home = is_homepage(F.col("target_url"))
     yes, no = F.coalesce("follow", F.lit(False)), F.coalesce(~F.col("follow"), F.lit(False))
     counted = links.groupBy("target_domain").agg(

@@ -161,26 +161,37 @@ def merged(e: DataFrame, assigned: DataFrame, threshold: float, method: str = "j
 
 
 def group_summary(e: DataFrame, assigned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Size, demand, share, exact cohesion, density, label, intent and priority of each group.
-
-    Cohesion is the mean similarity of all pairs, those below the threshold counting 0; density the share of similar pairs.
-    """
+    """Size, demand, share, exact cohesion and quality of each group."""
     g = assigned.select("norm", "leader")
+    out = _cohesion(_sizes(e, g, []), g, pairs)
+    return out.select("leader", "size", "demand", "share", "cohesion", "quality")
+
+
+def _sizes(e: DataFrame, g: DataFrame, sums: list[str]) -> DataFrame:
+    sizes = e.join(g, "norm").groupBy("leader").agg(F.count("*").alias("size"), F.sum("demand").alias("demand"), *[F.sum(c).alias(c) for c in sums])
+    total = sizes.agg(F.sum("demand").alias("total"))
+    return sizes.crossJoin(F.broadcast(total)).withColumn("share", rnd(F.col("demand") / F.col("total") * 100.0, 2)).drop("total")
+
+
+def _cohesion(sizes: DataFrame, g: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds the mean similarity of all pairs of a group, those below the threshold counting 0, and the share of similar pairs."""
     inner = pairs.join(g.select(F.col("norm").alias("a"), F.col("leader").alias("la")), "a").join(g.select(F.col("norm").alias("b"), F.col("leader").alias("lb")), "b").where("la = lb")
     edges = inner.groupBy(F.col("la").alias("leader")).agg(F.sum("sim").alias("sims"), F.count("*").alias("links"))
-    sizes = e.join(g, "norm").groupBy("leader").agg(F.count("*").alias("size"), F.sum("occurrences").alias("occurrences"), F.sum("demand").alias("demand"))
-    total = sizes.agg(F.sum("demand").alias("total"))
-    possible = F.col("size") * (F.col("size") - 1) / 2.0
+    possible, single = F.col("size") * (F.col("size") - 1) / 2.0, F.col("size") == 1
+    out = sizes.join(edges, "leader", "left").withColumns({"cohesion": F.when(single, 1.0).otherwise(rnd(F.coalesce("sims", F.lit(0.0)) / possible, 4)), "density": F.when(single, 0.0).otherwise(rnd(F.coalesce("links", F.lit(0)) / possible, 4))})
+    return out.withColumn("quality", F.when(F.col("cohesion") >= 0.78, "high").when(F.col("cohesion") >= 0.62, "medium").otherwise("low"))
+
+
+def group_profile(e: DataFrame, assigned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What group_summary says, and occurrences, density, label, intent and priority of each group."""
+    g = assigned.select("norm", "leader")
     counts = cut(stem_counts(e, assigned))
     kinds = intents(counts.groupBy(F.col("leader").alias("norm")).agg(F.collect_set("stem").alias("stems"))).select(F.col("norm").alias("leader"), "intent")
-    single = F.col("size") == 1
-    out = sizes.crossJoin(F.broadcast(total)).join(edges, "leader", "left").join(centroids(counts, 3), "leader").join(kinds, "leader")
-    out = out.withColumns({"share": rnd(F.col("demand") / F.col("total") * 100.0, 2), "cohesion": F.when(single, 1.0).otherwise(rnd(F.coalesce("sims", F.lit(0.0)) / possible, 4)), "density": F.when(single, 0.0).otherwise(rnd(F.coalesce("links", F.lit(0)) / possible, 4))})
+    out = _cohesion(_sizes(e, g, ["occurrences"]), g, pairs).join(centroids(counts, 3), "leader").join(kinds, "leader")
     base = F.array_join("top", " / ")
     label = F.when(F.col("intent") == "mixed", base).otherwise(F.concat_ws(": ", "intent", base))
-    quality = F.when(F.col("cohesion") >= 0.78, "high").when(F.col("cohesion") >= 0.62, "medium").otherwise("low")
     priority = rnd(F.col("demand") * 0.55 + F.col("size") * 0.25 + F.col("cohesion") * 20.0, 2)
-    return out.select("leader", "size", "occurrences", "demand", "share", "cohesion", "density", quality.alias("quality"), label.alias("label"), "intent", priority.alias("priority"))
+    return out.select("leader", "size", "occurrences", "demand", "share", "cohesion", "density", "quality", label.alias("label"), "intent", priority.alias("priority"))
 
 
 def phrase_bonus(display: Column) -> Column:

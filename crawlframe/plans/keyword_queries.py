@@ -132,7 +132,7 @@ SELECT leader, size, occurrences, demand, share, cohesion, density, CASE WHEN co
 )
 def d26_group_summary(spark, sf_dir):
     e, pairs, assigned = _merged(spark, sf_dir)
-    return K.group_summary(e, assigned, pairs)
+    return K.group_profile(e, assigned, pairs)
 
 
 _LIST = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"

@@ -134,7 +134,7 @@ def test_merge_pass_joins_similar_leaders(spark):
     merged = {r.norm: r.leader for r in keywords.merged(e, first, 0.6, frequent=1.0).collect()}
     assert set(merged) == {k for k, _ in rows} and len(set(merged.values())) <= first.select("leader").distinct().count()
     assert merged["red lamp shop berlin"] == merged["red lamp shop"] and merged["green tea"] == "green tea"
-    summary = {r.leader: r for r in keywords.group_summary(e, first, pairs).collect()}
+    summary = {r.leader: r for r in keywords.group_profile(e, first, pairs).collect()}
     assert abs(sum(r.share for r in summary.values()) - 100) < 0.1 and summary["green tea"].label == "green / tea"
     reps = {r.leader: r.representative for r in keywords.representatives(e, first).collect()}
     assert set(reps) == set(summary)
