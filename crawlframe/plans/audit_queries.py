@@ -14,7 +14,6 @@ from crawlframe.functions.common import rnd, rnd_sql, top_k
 from crawlframe.functions.rules import issue_array, issues
 from crawlframe.operators import markup as M
 from crawlframe.operators import page_audit as A
-from crawlframe.operators.graph import cut
 from crawlframe.plans.markup_queries import _SIGNALS, RICH, rich_pages
 from crawlframe.plans.page_queries import _LEGAL, _TEXT, _TITLE, _TYPES
 from crawlframe.plans.registry import query
@@ -134,7 +133,7 @@ def b24_page_issues(spark, sf_dir):
     return issues(features(spark, sf_dir), A.page_rules(), ["page_id"]).select("page_id", "code", "severity", "penalty")
 
 
-_HEALTH = "ph AS (SELECT page_id, greatest(0e0, 100e0 - coalesce(sum(penalty), 0e0)) AS health, count(code) AS n_issues FROM fe LEFT JOIN (SELECT page_id AS pid, code, penalty FROM iss) ON pid = page_id GROUP BY page_id)".replace("count(code)", "count(penalty)").replace("code, penalty", "penalty")
+_HEALTH = "ph AS (SELECT fe.page_id, greatest(0e0, 100e0 - coalesce(sum(iss.penalty), 0e0)) AS health, count(iss.penalty) AS n_issues FROM fe LEFT JOIN iss ON iss.page_id = fe.page_id GROUP BY fe.page_id)"
 
 
 def _with_issues(spark, sf_dir) -> DataFrame:
@@ -321,9 +320,6 @@ def h19_structured_syntaxes(spark, sf_dir):
     return M.structured_types(site_pages(spark, sf_dir))
 
 
-_RISKY = "CASE WHEN hidden_nodes > 0 THEN TRUE ELSE FALSE END"
-
-
 @query(f"{_W} SELECT page_id, hidden_nodes AS nodes, CAST(hidden_sum AS BIGINT) AS chars, cloaked FROM fe")
 def h20_hidden_signals(spark, sf_dir):
     """Hidden elements by style, attribute, assistive flag or tiny letters; icons and code do not count."""
@@ -346,7 +342,3 @@ def h27_text_quality(spark, sf_dir):
         F.when(F.col("all_words") >= 300, "sufficient").when(F.col("all_words") >= 120, "short").otherwise("thin").alias("sufficiency"),
     )
 
-
-def audited(spark, sf_dir) -> DataFrame:
-    """The features, written once for jobs that read them several times."""
-    return cut(features(spark, sf_dir))
