@@ -207,7 +207,9 @@ def mark_lines(docs: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("doc"))
     found = keyed.join(drop, "doc", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     none = (F.size("dropped") > 0) & _is_copy(F.col("row.text"), F.col("dropped"))
-    return found.select("row", F.when(none, F.array().cast("array<int>")).otherwise(F.col("dropped")).alias("dropped"))
+    decided = F.when(none, F.array().cast("array<int>")).otherwise(F.col("dropped"))
+    # A generated column is worked out once a row; as a plain one it would be once a line, in the lambdas that use it.
+    return found.select("row", F.explode_outer(F.array(decided)).alias("dropped"))
 
 
 def _is_copy(text: Column, dropped: Column) -> Column:
