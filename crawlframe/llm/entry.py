@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, licenses, line_templates, packing, pii_crf, token_store, topk_search
+from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, licenses, line_templates, packing, pii_crf, prefix_trie, sharding, token_store, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,9 +107,50 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.low AS compon
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id) m USING (doc_id)"""
 
 
+def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 as common tables: its 256 steps by their rule, then a fold over bytes.
+_CRC = """steps(k, n, v) AS (SELECT 0, n, n FROM range(256) r(n) UNION ALL SELECT k + 1, n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM steps WHERE k = 8)"""
+_CRC_OF = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295)"
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(md5(text), ' ') AS digest, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size FROM documents),
+s AS (SELECT *, sum(size) OVER (ORDER BY digest, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total, max(size) OVER () AS most,
+             sum(size) OVER (PARTITION BY digest) AS alike, row_number() OVER (ORDER BY digest, doc_id NULLS FIRST) AS place FROM d),
+u AS (SELECT *, CASE WHEN alike <= most THEN min(start) OVER (PARTITION BY digest) ELSE start END AS unit_start, CASE WHEN alike <= most THEN alike ELSE size END AS unit_size FROM s),
+p AS (SELECT *, CAST((2 * unit_start + unit_size) * 40 // (2 * total) AS INTEGER) AS shard FROM u)
+SELECT doc_id, size, CAST({_CRC_OF.format(text="text")} AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p, crc"""
+
+
+def op12_vertical_bitmap_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(_table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC},
+t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key, length(coalesce(text, '')) AS chars,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64), md5(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC_OF.format(text="CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+k AS (SELECT c.*, least(h, coalesce(n, 0)) AS taken FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY ALL) USING (base)),
+r AS (SELECT k.conv_id, pos, turn_key, chars FROM k JOIN t ON t.conv_id = base AND pos <= taken UNION ALL SELECT conv_id, pos - h + taken, turn_key, chars FROM k JOIN t USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, coalesce(list(turn_key ORDER BY pos) FILTER (pos IS NOT NULL), []) AS path, coalesce(list(chars ORDER BY pos) FILTER (pos IS NOT NULL), []) AS sizes FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, d, path[1 : d] AS key, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS chars, d = len(path) AS ends FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM p)),
+n AS (SELECT key, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY key, d),
+ch AS (SELECT key[1 : depth - 1] AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (key)),
+s AS (SELECT key[1 : up] AS key, sum(CAST(n_children = 0 AS INTEGER)) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (key) LEFT JOIN f a ON f.depth > 0 AND a.key = f.key[1 : f.depth - 1]"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op3_line_templates, op4_reply_tree_chat, op5_byte_cnn_language_id, op6_license_digests, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op3_line_templates, op4_reply_tree_chat, op5_byte_cnn_language_id, op6_license_digests, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join, op11_sampled_splitters, op12_vertical_bitmap_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op4_reply_tree_chat": OP4_SQL, "op6_license_digests": licenses.SQL, "op7_segment_top_k": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_reply_tree_chat": OP4_SQL, "op6_license_digests": licenses.SQL, "op7_segment_top_k": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_sampled_splitters": OP11_SQL, "op12_vertical_bitmap_trie": OP12_SQL}
