@@ -1,34 +1,30 @@
 """Line dedup with a log-template tree: lines whose template recurs across documents are dropped.
 
 A line is reduced to its tokens, those with a digit becoming ``<*>``. The tree has fixed depth: the number of tokens, then
-the first LEADING tokens. Within a leaf lines join the most similar template, and where they differ the template takes
-``<*>``. A leaf that holds too many different lines for one task is dealt at random, and what templates come of that are
-merged again: by each block of tokens in turn (lines similar enough to join agree on all of one block at least), until the
-leaf fits one task. Only where lines with one block in common are again too many are they dealt at random within it.
-
-A template recurs if it stands in at least min_places different places: a place is what comes before and after it. Copies of
-one document share their places, so the lines of a text that merely has copies are no boilerplate; a template must have new
-places in at least half of the different texts that hold it. A large group of copies can hide a template that does recur
-elsewhere, so it also recurs if that many of its places, and half of them, are independent: no other place has the same line
-before it, and none the same line after it, where an edited copy shares one of them. Lines beside recurring ones are judged
-by what lies beyond these, so blocks of several lines go from their ends inwards, in rounds until none is found. Lines of
-fewer than min_tokens tokens are kept.
-
-A document of which recurring lines are nearly all, COPY_SHARE of more than COPY_WORDS words, is itself what recurs: it keeps
-its lines, so that of a text with many edited copies one can stay (which one, a near-duplicate stage tells). Documents of a
-few words that are nothing but boilerplate do lose them.
+the first LEADING tokens. Within a leaf variable fields are told from constant ones by how many of the leaf's different lines
+have the same token in the same place. A line's support is what its SIMILARITY most frequent tokens have at least; a token
+that fewer than half as many lines have is a field and becomes ``<*>``. So a line keeps at least that share of its tokens, and
+one that is like no other keeps all. This is one aggregation over tokens and their places: the same at every size of a leaf,
+and whatever the order of the lines.
+
+A template recurs if it stands in at least min_places different places: a place is what comes before and after it, lines that
+are alike but for small edits counting as one (the least hash of a line's pairs of tokens). Copies of one document, edited
+ones too, share their places, so the lines of a text that merely has copies are no boilerplate; a template must have new places
+in at least half of the different texts that hold it, or in MANY_PLACES. A large group of copies can hide a template that does recur elsewhere, so
+it also recurs if that many of its places, and half of them, are independent: no other place has the same line before it, and
+none the same line after it, where an edited copy shares one of them. Lines beside recurring ones are
+judged by what lies beyond these, so blocks of several lines go from their ends inwards, in rounds until none is found. Lines
+of fewer than min_tokens tokens are kept.
 
 Leaves and counts are aggregated before they are shuffled, and the text is shuffled at most once, to drop the lines.
 
 Defined cases: a null text stays null and has no lines; empty lines are kept; equal texts are treated alike, whatever their
-ids; repeated rows are answered once each; ties among templates go to the first in text order; an empty table gives no rows;
-other columns are carried as they are.
+ids, and are one text; repeated rows are answered once each; tokens that are equally frequent are treated alike, so there are
+no ties; an empty table gives no rows; other columns are carried as they are.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +33,11 @@ from crawlframe.llm.common import save
 MIN_PLACES = 5
 MIN_TOKENS = 3
 LEADING = 3
-#: Share of equal tokens from which a line joins a template.
+#: Share of a line's tokens that it keeps at least.
 SIMILARITY = 0.7
-#: Different lines of a leaf that go to one task at most.
-LEAF_LINES = 2000
 NEW_PLACES = 0.5
-COPY_SHARE = 0.9
-COPY_WORDS = 50
+#: Places from which a template recurs in any case: there are only so many least hashes, and a footer of a large corpus has them.
+MANY_PLACES = 10_000
 WILDCARD = "<*>"
 
 
@@ -58,90 +52,46 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
-    """``(doc, pos, line, leaf, before, after)``, doc being the key of the text; with the masked line itself if asked for."""
-    base = docs.where("text is not null").select(text_key(F.col("text")).alias("doc"), masked_lines(F.col("text")).alias("m"))
-    base = base.withColumn("h", F.transform("m", lambda x: F.xxhash64(x)))  # of the lines around, which only tell places
-    zero, n = F.array(F.lit(0).cast("long")), F.size("h")
-    zipped = F.arrays_zip("m", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
-    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).select("doc", "pos", F.col("x.m").alias("masked"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
-    tokens = F.split("masked", " ")
-    rows = rows.where(F.size(tokens) >= MIN_TOKENS).withColumns({"line": text_key(F.col("masked")), "leaf": _branch(tokens, LEADING)})
-    return rows if with_text else rows.drop("masked")
-
-
-def _branch(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+def likeness(line: Column) -> Column:
+    """A hash that a line keeps after most small edits: the least of its pairs of neighbouring tokens, or its own."""
+    tokens = F.split(line, " ")
+    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.length(line)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return F.coalesce(F.array_min(pairs), F.xxhash64(line))
 
 
-def templates_of(lines: list[str]) -> list[str]:
-    """The template of each of the different lines of a leaf, taken in text order."""
-    order = sorted(range(len(lines)), key=lines.__getitem__)
-    words: dict[str, int] = {WILDCARD: 0}
-    rows = np.array([[words.setdefault(t, len(words)) for t in lines[i].split(" ")] for i in order])
-    found = np.empty_like(rows)
-    n, own = 0, np.empty(len(rows), int)
-    for r, row in enumerate(rows):
-        same = ((found[:n] == row) & (row > 0)).sum(axis=1)
-        best = int(same.argmax()) if n else -1
-        if n and same[best] >= max(MIN_TOKENS, SIMILARITY * len(row)):
-            found[best][found[best] != row] = 0
-        else:
-            best, n = n, n + 1
-            found[best] = row
-        own[r] = best
-    names = list(words)
-    out = [""] * len(lines)
-    for r, i in enumerate(order):
-        out[i] = " ".join(names[t] for t in found[own[r]])
-    return out
-
-
-def _assign(leaf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"line": leaf["line"], "template": templates_of(list(leaf["masked"]))})
-
-
-def _wider(different: DataFrame, key: Column) -> DataFrame:
-    """``different(leaf, template)`` -> ``(leaf, template, wider)``: templates of the templates that have a key in common."""
-
-    def run(some: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"leaf": some["leaf"], "template": some["template"], "wider": templates_of(list(some["template"]))})
+def _tree(rows: DataFrame) -> DataFrame:
+    """``(masked, ...)`` with ``line`` and ``leaf``, without lines of too few tokens."""
+    tokens = F.split("masked", " ")
+    return rows.where(F.size(tokens) >= MIN_TOKENS).withColumns({"line": text_key(F.col("masked")), "leaf": F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))})
 
-    return different.select("leaf", "template", key.alias("key")).groupBy("key").applyInPandas(run, "leaf long, template string, wider string")
 
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """``(doc, pos, line, leaf, before, after)`` of different texts, doc being the text's key; written once for all later steps."""
+    base = docs.where("text is not null").select(text_key(F.col("text")).alias("doc"), masked_lines(F.col("text")).alias("m"))
+    base = base.withColumn("h", F.transform("m", likeness))
+    zero, n = F.array(F.lit(0).cast("long")), F.size("h")
+    zipped = F.arrays_zip("m", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
+    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).select("doc", "pos", F.col("x.m").alias("masked"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
+    return save(_tree(rows).drop("masked").distinct(), "lines")
 
-def _large_templates(lines: DataFrame) -> DataFrame:
-    """``lines(line, leaf, template)`` of leaves too large for one task, with the template that each line comes to.
 
-    Turn 0 deals a leaf's lines at random, turn i by block i of their tokens; leaves that became small leave the loop.
-    """
-    tokens = F.split("template", " ")
-    n = F.size(tokens)
-    blocks = F.floor(n * (1 - SIMILARITY) + 1e-9) + 1  # one more than the tokens that may differ
-    turn = 0
-    while True:
-        different = lines.select("leaf", "template").distinct()
-        sizes = different.groupBy("leaf").agg(F.count("*").alias("count"), F.first(blocks).alias("blocks"))
-        large = save(sizes.where((F.col("count") > LEAF_LINES) & (F.col("blocks") >= turn)).select("leaf"), "large-leaves")
-        if not large.limit(1).count():
-            break
-        ends = [F.lit(LEADING) + F.floor((n - LEADING) * i / blocks) for i in (turn - 1, turn)]
-        block = F.slice(tokens, (ends[0] + 1).cast("int"), (ends[1] - ends[0]).cast("int")) if turn else F.array().cast("array<string>")
-        keyed = different.join(large, "leaf", "left_semi").withColumn("block", F.xxhash64("leaf", F.lit(turn), block))
-        keyed = keyed.join(keyed.groupBy("block").count(), "block")
-        salt = F.pmod(F.xxhash64("template", F.lit(turn)), F.ceil(F.col("count") / LEAF_LINES))
-        wider = _wider(keyed, F.xxhash64("block", salt))
-        lines = lines.join(wider, ["leaf", "template"], "left").select("line", "leaf", F.coalesce("wider", "template").alias("template"))
-        lines, turn = save(lines, "large-templates"), turn + 1
-    different = lines.select("leaf", "template").distinct()
-    small = different.groupBy("leaf").count().where(F.col("count") <= LEAF_LINES).select("leaf")
-    wider = _wider(different.join(small, "leaf", "left_semi"), F.col("leaf"))
-    return lines.join(wider, ["leaf", "template"], "left").select("line", F.coalesce("wider", "template").alias("template"))
+def different_lines(docs: DataFrame) -> DataFrame:
+    """``(masked, line, leaf)``, with repeats."""
+    return _tree(docs.where("text is not null").select(F.explode(masked_lines(F.col("text"))).alias("masked")))
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """``(doc, pos, line, leaf, before, after)`` of different texts, written once for all later steps."""
-    return save(_lines(docs, False).distinct(), "lines")
+def generalised(texts: DataFrame) -> DataFrame:
+    """Different lines ``(leaf, line, masked)`` -> ``(line, template)`` of those that have a field."""
+    rows = texts.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    counts = save(rows.groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).where("n > 1"), "token-counts")
+    # Frequent tokens are joined with a table that is written, so that Spark can split them.
+    found = rows.join(counts, ["leaf", "place", "token"], "left").select("line", F.struct("place", "token", F.coalesce("n", F.lit(1)).alias("n")).alias("x"))
+    found = found.groupBy("line").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    kept = F.ceil(F.size("x") * SIMILARITY - 1e-9).cast("int")
+    found = found.withColumn("support", F.sort_array(F.col("x.n"), asc=False)[kept - 1])
+    found = found.where(2 * F.array_min(F.col("x.n")) < F.col("support"))
+    template = F.array_join(F.transform("x", lambda t: F.when(2 * t["n"] < F.col("support"), WILDCARD).otherwise(t["token"])), " ")
+    return found.select("line", template.alias("template"))
 
 
 def recurring_lines(docs: DataFrame, lines: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
@@ -149,17 +99,14 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, min_places: int = MIN_PLA
     busy = lines.groupBy("leaf").agg(F.min(F.xxhash64("line")).alias("least"), F.max(F.xxhash64("line")).alias("most"), F.count_distinct("doc").alias("n")).where(F.col("n") >= min_places)
     busy = save(busy.select("leaf", (F.col("least") != F.col("most")).alias("mixed")), "leaves")
 
-    # Different lines of leaves that could generalise.
-    texts = _lines(docs, True).select("leaf", "line", "masked").join(busy.where("mixed").select("leaf"), "leaf", "left_semi")
+    # Different lines of leaves that could generalise: a field is rarer than half of three lines at least.
+    texts = different_lines(docs).join(busy.where("mixed").select("leaf"), "leaf", "left_semi")
     texts = save(texts.groupBy("leaf", "line").agg(F.first("masked").alias("masked")), "leaf-lines")
-    large = save(texts.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"), "large-leaves")
-    assigned = texts.join(large, "leaf", "left_anti").groupBy("leaf").applyInPandas(_assign, "line binary, template string")
-    if large.limit(1).count():
-        assigned = assigned.union(_large_templates(texts.join(large, "leaf", "left_semi").select("line", "leaf", F.col("masked").alias("template"))))
-    assigned = assigned.select("line", text_key(F.col("template")).alias("template"))
-    assigned = save(assigned, "templates")
-
-    seen = lines.join(busy.select("leaf"), "leaf", "left_semi").join(assigned, "line", "left")
+    several = save(texts.groupBy("leaf").count().where("count > 2").select("leaf"), "several")
+    fields = generalised(texts.join(several, "leaf", "left_semi"))
+    fields = save(fields.select("line", text_key(F.col("template")).alias("template")), "templates")
+
+    seen = lines.join(busy.select("leaf"), "leaf", "left_semi").join(fields, "line", "left")
     seen = seen.select("doc", "pos", "before", "after", "line", F.coalesce("template", "line").alias("template"))
     # Joins with counts that are written first: only the frequent side is shuffled by the key, and Spark splits what is skewed.
     often = seen.groupBy("template").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_places)
@@ -178,7 +125,7 @@ def _recurring(seen: DataFrame, min_places: int) -> DataFrame:
     """``(template)`` of ``seen(template, doc, before, after)`` that recur."""
     place = F.xxhash64("before", "after")
     counts = seen.groupBy("template").agg(F.count_distinct("doc").alias("docs"), F.count_distinct(place).alias("places")).where(F.col("places") >= min_places)
-    counts = save(counts.withColumn("clear", F.col("places") >= NEW_PLACES * F.col("docs")), "places")
+    counts = save(counts.withColumn("clear", (F.col("places") >= NEW_PLACES * F.col("docs")) | (F.col("places") >= MANY_PLACES)), "places")
     places = seen.join(counts.where("not clear").select("template"), "template", "left_semi").select("template", "before", "after").distinct()
     alone = places.groupBy("template", "before").agg(F.count("*").alias("n"), F.first("after").alias("after")).where("n = 1 and before <> 0 and after <> 0").drop("n")
     once = places.groupBy("template", "after").agg(F.count("*").alias("n"), F.first("before").alias("before")).where("n = 1").drop("n")
@@ -205,19 +152,7 @@ def mark_lines(docs: DataFrame, min_places: int = MIN_PLACES) -> DataFrame:
     drop = lines.join(recurring.select("line"), "line", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("dropped"))
     drop = save(drop, "drop")  # so that copies of one text, a row each, can be split over tasks
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("doc"))
-    found = keyed.join(drop, "doc", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    none = (F.size("dropped") > 0) & _is_copy(F.col("row.text"), F.col("dropped"))
-    decided = F.when(none, F.array().cast("array<int>")).otherwise(F.col("dropped"))
-    # A generated column is worked out once a row; as a plain one it would be once a line, in the lambdas that use it.
-    return found.select("row", F.explode_outer(F.array(decided)).alias("dropped"))
-
-
-def _is_copy(text: Column, dropped: Column) -> Column:
-    """Whether the lines to drop are nearly all of a text that is more than some words."""
-    words = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(r"\S+")))
-    lines = F.split(text, "\n", -1)
-    gone = words(F.filter(lines, lambda x, i: F.array_contains(dropped, i)))
-    return (gone > COPY_WORDS) & (gone >= COPY_SHARE * words(lines))
+    return keyed.join(drop, "doc", "left").select("row", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
