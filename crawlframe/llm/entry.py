@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, licenses, line_templates, packing, pii_crf, prefix_trie, sharding, token_store, topk_search
+from crawlframe.llm import chat_trees, decontamination, jaccard_join, language_id, licenses, line_templates, packing, pii_crf, prefix_trie, sharding, token_alignment, token_store, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,8 +148,12 @@ SELECT f.conv_id, f.depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children,
 FROM f JOIN s USING (key) LEFT JOIN f a ON f.depth > 0 AND a.key = f.key[1 : f.depth - 1]"""
 
 
+def op13_token_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op3_line_templates, op4_reply_tree_chat, op5_byte_cnn_language_id, op6_license_digests, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join, op11_sampled_splitters, op12_vertical_bitmap_trie)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_skip_chain_pii, op3_line_templates, op4_reply_tree_chat, op5_byte_cnn_language_id, op6_license_digests, op7_segment_top_k, op8_best_fit_packing, op9_token_id_files, op10_ngram_jaccard_join, op11_sampled_splitters, op12_vertical_bitmap_trie, op13_token_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -89,11 +89,11 @@ def _blocks(ids: DataFrame, turns: DataFrame) -> DataFrame:
     return whole.withColumns({"block": F.coalesce("block", F.lit(0)), "start": F.coalesce("start", F.lit("0")), "last": F.coalesce("last", F.lit(True))})
 
 
-def shard_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+def shard_nodes(rows: pd.DataFrame, block_turns: int) -> pd.DataFrame:
     """The nodes of one shard in one block of positions: ``rows(shard, conv_id, block, start, last, turns)``."""
     rows = rows.sort_values("conv_id")
     ids = [int(c) for c in rows["conv_id"]]
-    shard, first = int(rows["shard"].iloc[0]), int(rows["block"].iloc[0]) * BLOCK_TURNS
+    shard, first = int(rows["shard"].iloc[0]), int(rows["block"].iloc[0]) * block_turns
     turns = [[(t["number"], t["chars"]) for t in own] if own is not None else [] for own in rows["turns"]]
     starts: dict[str, int] = {}
     postings: dict[tuple[int, str], int] = {}
@@ -183,7 +183,9 @@ def trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
 
     ``(key, parent, conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)``.
     """
-    parts = save(_blocks(ids, turns).groupBy("shard", "block").applyInPandas(shard_nodes, _NODE), "shard-nodes")
+    block_turns = BLOCK_TURNS
+    parts = _blocks(ids, turns).groupBy("shard", "block").applyInPandas(lambda rows: shard_nodes(rows, block_turns), _NODE)
+    parts = save(parts, "shard-nodes")
     nodes = parts.groupBy("key").agg(F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.sum("n_convs").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.first("chars").alias("chars"))
     children = nodes.where("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("n_children"))
     nodes = save(nodes.join(children, "key", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "nodes")

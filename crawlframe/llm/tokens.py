@@ -36,7 +36,7 @@ class Encoder:
 
     _open: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, vocabulary: str, specials_as_text: bool = False):
+    def __init__(self, vocabulary: str, specials_as_text: bool = False, memo_pieces: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -57,6 +57,7 @@ class Encoder:
         self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters.post_processor = None
         self.memo: dict[str, bytes | None] = {}
+        self.memo_pieces = memo_pieces
         self.line_break = self._ids(["\n"])[0]
         self.ends = {c: self._ids([c])[0] for c in ".,;:!?"}
 
@@ -105,15 +106,26 @@ class Encoder:
             ids[i] = self._ids([texts[i]])[0]
         return ids
 
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
-        if len(self.memo) > MEMO_PIECES:
+    def encode_after_space(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with a space before it; an empty text has none."""
+        if not self.by_pieces:
+            return [ids if t else b"" for t, ids in zip(texts, self._ids([f" {t}" for t in texts]), strict=True)]
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        ids = self._by_pieces(["" if i in marked else t for i, t in enumerate(texts)] if marked else texts, " ")
+        for i in marked:
+            ids[i] = self._ids([f" {texts[i]}"])[0]
+        return ids
+
+    def _by_pieces(self, texts: list[str], before: str = "\n") -> list[bytes]:
+        """``before``: what stands before each text; a line break's ids are left out again."""
+        cut = [(before + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
+        if len(self.memo) > self.memo_pieces:
             self.memo.clear()
         fresh = set().union(*cut) - self.memo.keys()
         self._learn({p for p in fresh if len(p) <= MEMO_CHARS})
         far = {p: None for p in fresh if len(p) > MEMO_CHARS}
         ids = []
-        get, n = self.memo.__getitem__, len(self.line_break)
+        get, n = self.memo.__getitem__, len(self.line_break) if before == "\n" else 0
         for text, pieces in zip(texts, cut, strict=True):
             if not pieces:
                 ids.append(b"")
@@ -121,13 +133,13 @@ class Encoder:
             try:
                 ids.append(b"".join(map(get, pieces))[n:])
             except (TypeError, KeyError):
-                ids.append(self._whole(text, pieces, far))
+                ids.append(self._whole(text, pieces, far, before))
         return ids
 
-    def _whole(self, text: str, pieces: list[str], far: dict) -> bytes:
+    def _whole(self, text: str, pieces: list[str], far: dict, before: str) -> bytes:
         """A text with other white space, or with pieces too long to remember."""
         if any(p not in far and self.memo[p] is None for p in pieces) or any(len(p.split()) != 1 for p in pieces if p in far):
-            return self._ids([text])[0]
+            return self._ids([text if before == "\n" else before + text])[0]
         out = []
         for p in pieces:
             if p in far:
@@ -135,7 +147,7 @@ class Encoder:
                 out.append(self.line_break + body if p[0] == "\n" else body)
             else:
                 out.append(self.memo[p])
-        return b"".join(out)[len(self.line_break) :]
+        return b"".join(out)[len(self.line_break) if before == "\n" else 0 :]
 
 
 def forget_encoders() -> None:
