@@ -1,10 +1,10 @@
 """Alignment of two tokenizations of each text: a byte-level vocabulary (A) and one of sentence pieces (B).
 
-Every text is tokenised whole by both, A with the space in front that B adds by itself. The bytes of the tokens give their
-ends. Where a token of A and one of B that begin with a space begin together, the tokens before them end together: such
-anchors cut a text into windows, mostly of a word. A window's alignment depends on nothing but its ids, so each worker
-remembers it by the two tuples of ids: its groups (the tokens between byte offsets where tokens of both end), its links (the
-tokens that end there) and its bytes. The bytes of a text's windows, put together, must be the text's own.
+Every text is tokenised whole by both, A with the space in front that B adds by itself. The bytes of the tokens of either must
+be the text's own; then they give the tokens' ends. Where a token of A and one of B that begin with a space begin together,
+the tokens before them end together: such anchors cut a text into windows, mostly of a word. A window's alignment depends on
+nothing but its ids, so each worker remembers it by the two tuples of ids: its groups (the tokens between byte offsets where
+tokens of both end) and its links (the tokens that end there). Windows that are not yet known are aligned together, as arrays.
 
 The links of all texts are written as numbers (id of A times the size of B, plus id of B), and Spark counts them. Two tokens
 that end together are one the ending of the other, so there are at most as many pairs of ids as the tokens of both
@@ -18,9 +18,9 @@ come; a null id is carried; an empty table gives no rows; other columns play no
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import in_small_batches, save
-from crawlframe.llm.tokens import MEMO_CHARS, Encoder, default_vocabulary, in_slices
+from crawlframe.llm.tokens import MEMO_CHARS, Encoder, cut_texts, default_vocabulary, in_slices, packed, remembered
 
 #: Pieces of each vocabulary, and windows, that a worker remembers before it starts afresh.
 MEMO_PIECES = 250_000
-MEMO_WINDOWS = 250_000
-#: Tokens of a window that is remembered.
-WINDOW_TOKENS = 48
+MEMO_WINDOWS = 150_000
+#: Characters of texts that are aligned together.
+SLICE_CHARS = 1_000_000
 _SPACE = "▁"
+#: Pieces that depend on what stands around them: none, those with other white space, or with what becomes white space.
+_ODD = re.compile(rf"^\n?$|(?!^\n)\s|{_SPACE}")
 
 
 def default_pieces() -> str:
@@ -66,30 +68,30 @@ class PieceEncoder:
         return self.model.encode(texts, num_threads=1)
 
     def _learn(self, pieces: list[str]) -> None:
+        memo, space = self.memo, self.space
         for piece, ids in zip(pieces, self._ids(pieces), strict=True):
-            if piece.split() != [piece.removeprefix("\n")] or _SPACE in piece:
-                self.memo[piece] = None  # other white space, or what becomes white space
+            if _ODD.search(piece):
+                memo[piece] = None
             elif piece[0] != "\n":
-                self.memo[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                memo[piece] = packed(ids)
             else:  # without the space that the call puts before it
-                self.memo[piece] = struct.pack(f"<{len(ids) - 1}I", *ids[1:]) if ids[0] == self.space else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " \n").split(" ") for t in texts] if self.by_pieces else []
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        self._learn([p for p in set().union(*cut) - self.memo.keys() if len(p) <= MEMO_CHARS])
-        out: list[bytes | None] = []
-        get = self.memo.__getitem__
-        for pieces in cut:
-            try:
-                out.append(b"".join(map(get, pieces)))
-            except (TypeError, KeyError):
-                out.append(None)
-        out = out or [None] * len(texts)
+                memo[piece] = packed(ids[1:]) if ids[0] == space else None
+
+    def encode(self, texts: list[str], cut: list[list[str]] | None = None, pieces: set[str] | None = None) -> list[bytes]:
+        """``cut``, ``pieces``: as ``cut_texts`` gives them."""
+        if cut is None or pieces is None:
+            cut, pieces = cut_texts(texts)
+        out: list[bytes | None] = [None] * len(texts)
+        if self.by_pieces:
+            self.memo = remembered(self.memo, MEMO_PIECES, pieces)
+            self._learn([p for p in pieces - self.memo.keys() if len(p) <= MEMO_CHARS])
+            get = self.memo.__getitem__
+            for i, own in enumerate(cut):
+                with contextlib.suppress(TypeError, KeyError):
+                    out[i] = b"".join(map(get, own))
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = struct.pack(f"<{len(ids)}I", *ids)
+            out[i] = packed(ids)
         return out
 
 
@@ -106,6 +108,36 @@ def piece_bytes(pieces: list[str]) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(_SPACE, " ").encode() for p in pieces]
 
 
+def _texts_of(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The bytes of tokens one after another."""
+    n = sizes[ids]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _mixed(n: np.ndarray) -> np.ndarray:
+    """Numbers spread over 64 bits."""
+    n = (n.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    n ^= n >> np.uint64(29)
+    return n * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def repeated_windows(ids: list[np.ndarray], cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each different one, and for every window which of these it equals, token by token."""
+    sums, places = [], []
+    for own, at in zip(ids, cuts, strict=True):
+        n = np.diff(at)
+        place = np.arange(len(own)) - np.repeat(at[:-1], n)
+        sums.append(np.add.reduceat(_mixed(own) * (_mixed(place) | np.uint64(1)), at[:-1]))
+        places.append((n, place))
+    _, first, same = np.unique(_mixed(sums[0]) ^ (_mixed(sums[1]) >> np.uint64(7)), return_index=True, return_inverse=True)
+    for own, at, (n, place) in zip(ids, cuts, places, strict=True):
+        model = first[same]
+        if (n[model] != n).any() or (own[np.repeat(at[model], n) + place] != own).any():  # two windows with one sum
+            return np.arange(len(n)), np.arange(len(n))
+    return first, same
+
+
 class Aligner:
     """Both encoders, the bytes of their tokens, and the remembered windows."""
 
@@ -114,11 +146,15 @@ class Aligner:
     def __init__(self, vocabulary: str, model: str):
         self.first, self.second = Encoder(vocabulary, True, MEMO_PIECES), PieceEncoder(model)
         tokens = [self.first.tokenizer.id_to_token(i) or "" for i in range(self.first.most_id + 1)]
-        self.bytes = byte_level_bytes(tokens), piece_bytes(self.second.pieces)
-        self.sizes = [np.array([len(t) for t in own], np.int64) for own in self.bytes]
-        self.spaced = [np.array([t[:1] == b" " for t in own]) for own in self.bytes]
-        self.base = len(self.bytes[1])
-        self.memo: dict[tuple[bytes, bytes], tuple[bytes, str, bytes] | None] = {}
+        own = byte_level_bytes(tokens), piece_bytes(self.second.pieces)
+        self.sizes = [np.array([len(t) for t in x], np.int64) for x in own]
+        self.starts = [np.cumsum(n) - n for n in self.sizes]
+        self.flat = [np.frombuffer(b"".join(x), np.uint8) for x in own]
+        self.spaced = [np.array([t[:1] == b" " for t in x]) for x in own]
+        self.base = len(own[1])
+        #: Ids as they stand in groups: of A within and at the end of its part, of B likewise.
+        self.said = [b"%d%s" % (i, mark) for x, marks in zip(own, (b",|", b",;"), strict=True) for mark in (marks[:1], marks[1:]) for i in range(len(x))]
+        self.memo: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
 
     @classmethod
     def of(cls, vocabulary: str, model: str) -> "Aligner":
@@ -126,60 +162,72 @@ class Aligner:
             cls._open[vocabulary, model] = cls(vocabulary, model)
         return cls._open[vocabulary, model]
 
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[bytes, str, bytes] | None:
-        """A window's bytes, its groups as text, and its links; None where the tokens' bytes differ."""
-        whole = b"".join(self.bytes[0][i] for i in a)
-        if whole != b"".join(self.bytes[1][i] for i in b):
-            return None
-        groups, links = [], []
-        i = j = from_a = from_b = at_a = at_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b and i < len(a):
-                at_a += len(self.bytes[0][a[i]])
-                i += 1
-            else:
-                at_b += len(self.bytes[1][b[j]])
-                j += 1
-            if at_a == at_b and from_a < i and from_b < j:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                links.append(a[i - 1] * self.base + b[j - 1])
-                from_a, from_b = i, j
-        return whole, ";".join(groups), np.array(links, "<i8").tobytes()
-
-    def align(self, texts: list[str]) -> Iterator[tuple[int, int, list[str], bytes] | None]:
-        """For each text how many tokens of A and of B, the groups of its windows and its links; None without tokens."""
-        for text, a, b in zip(texts, self.first.encode_after_space(texts), self.second.encode(texts), strict=True):
-            yield self._one(b" " + text.encode(), a, b) if text else None
-
-    def _one(self, raw: bytes, a: bytes, b: bytes) -> tuple[int, int, list[str], bytes] | None:
-        ids = [np.frombuffer(x, "<u4") for x in (a, b)]
-        sizes = [own[i] for own, i in zip(self.sizes, ids, strict=True)]
-        starts = [np.cumsum(s) - s for s in sizes]
-        if any(int(s.sum()) != len(raw) for s in sizes):
-            return None
-        anchors = np.intersect1d(*[at[own[i]] for at, own, i in zip(starts, self.spaced, ids, strict=True)], assume_unique=True)
-        if not len(anchors) or anchors[0]:
-            anchors = np.concatenate([[0], anchors])
-        cuts = [np.append(np.searchsorted(at, anchors), len(at)) * 4 for at in starts]
-        if len(self.memo) > MEMO_WINDOWS:
-            self.memo.clear()
-        found, memo = [], self.memo
-        i = k = 0
-        for j, l in zip(cuts[0][1:].tolist(), cuts[1][1:].tolist(), strict=True):
-            key = a[i:j], b[k:l]
-            try:
-                own = memo[key]
-            except KeyError:
-                own = self.window(*[struct.unpack(f"<{len(x) // 4}I", x) for x in key])
-                if j - i + l - k <= 4 * WINDOW_TOKENS:
-                    memo[key] = own
-            if own is None:
-                return None
-            found.append(own)
+    def windows(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """Groups as text, and links, of windows given by their ids; each window's tokens of A and of B have the same bytes."""
+        ids = [np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1)]
+        ends = [np.cumsum(n[i]) for n, i in zip(self.sizes, ids, strict=True)]
+        # The last token of a group, in either list, ends where one of the other does.
+        last = [np.isin(x, y, assume_unique=True) for x, y in (ends, ends[::-1])]
+        links = (ids[0][last[0]] * self.base + ids[1][last[1]]).astype("<i8")
+        group = [np.cumsum(x) - x for x in last]
+        until = [np.concatenate([[0], np.flatnonzero(x) + 1]) for x in last]
+        # Each group's tokens of A, then its tokens of B.
+        said = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        said[np.arange(len(ids[0])) + until[1][group[0]]] = ids[0] + len(self.sizes[0]) * last[0]
+        said[np.arange(len(ids[1])) + until[0][group[1] + 1]] = 2 * len(self.sizes[0]) + ids[1] + self.base * last[1]
+        words = list(map(self.said.__getitem__, said.tolist()))
+        tokens = [np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1)]
+        till = (tokens[0] + tokens[1]).tolist()
+        links_till = (np.cumsum(last[0])[tokens[0] - 1] * 8).tolist()
+        links, out, i, k = links.tobytes(), [], 0, 0
+        for j, l in zip(till, links_till, strict=True):
+            out.append((b"".join(words[i:j])[:-1], links[k:l]))
             i, k = j, l
-        if b"".join([w[0] for w in found]) != raw:
-            return None
-        return len(ids[0]), len(ids[1]), [w[1] for w in found], b"".join([w[2] for w in found])
+        return out
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, bytes, bytes] | None]:
+        """For each text how many tokens of A and of B, its groups and its links; None without tokens."""
+        cut, pieces = cut_texts(texts)
+        codes = [self.first.encode_after_space(texts, cut, pieces), self.second.encode(texts, cut, pieces)]
+        del cut, pieces
+        raw = [b" " + t.encode() if t else b"" for t in texts]
+        fit = [i for i, t in enumerate(texts) if t]
+        for side in (0, 1):  # first by length, then byte by byte
+            n = self.sizes[side]
+            fit = [i for i in fit if int(n[np.frombuffer(codes[side][i], "<u4")].sum()) == len(raw[i])]
+        whole = np.frombuffer(b"".join([raw[i] for i in fit]), np.uint8)
+        ids = [np.frombuffer(b"".join([x[i] for i in fit]), "<u4") for x in codes]
+        bad = sum(_texts_of(i, *of) != whole for i, of in zip(ids, zip(self.sizes, self.starts, self.flat, strict=True), strict=True))
+        if bad.any():
+            sizes = np.array([len(raw[i]) for i in fit])
+            wrong = np.add.reduceat(bad, np.cumsum(sizes) - sizes) > 0
+            fit = [i for i, x in zip(fit, wrong.tolist(), strict=True) if not x]
+            ids = [np.frombuffer(b"".join([x[i] for i in fit]), "<u4") for x in codes]
+        out: list[tuple[int, int, bytes, bytes] | None] = [None] * len(texts)
+        if not fit:
+            return out
+        # Every text begins with a space, so its beginning is an anchor.
+        starts = [np.cumsum(n[i]) - n[i] for n, i in zip(self.sizes, ids, strict=True)]
+        anchors = np.intersect1d(*[at[own[i]] for at, own, i in zip(starts, self.spaced, ids, strict=True)], assume_unique=True)
+        cuts = [np.append(np.searchsorted(at, anchors), len(at)) for at in starts]
+        a, b = (b"".join([x[i] for i in fit]) for x in codes)
+        first, same = repeated_windows(ids, cuts)
+        bounds = [(4 * x).tolist() for c in cuts for x in (c[first], c[first + 1])]
+        keys = [(a[i:j], b[k:l]) for i, j, k, l in zip(*bounds, strict=True)]
+        memo = self.memo = remembered(self.memo, MEMO_WINDOWS, keys)
+        fresh = [k for k in dict.fromkeys(keys) if k not in memo]
+        if fresh:
+            memo.update(zip(fresh, self.windows(fresh), strict=True))
+        known = [memo[k] for k in keys]
+        same = same.tolist()
+        # Windows of each text.
+        till = np.searchsorted(cuts[0], np.cumsum([len(codes[0][i]) // 4 for i in fit])).tolist()
+        first = 0
+        for i, last in zip(fit, till, strict=True):
+            own = [known[k] for k in same[first:last]]
+            out[i] = len(codes[0][i]) // 4, len(codes[1][i]) // 4, b";".join([w[0] for w in own]), b"".join([w[1] for w in own])
+            first = last
+        return out
 
 
 def _aligned(vocabulary: str, model: str):
@@ -187,7 +235,7 @@ def _aligned(vocabulary: str, model: str):
         aligner = Aligner.of(vocabulary, model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for start, end in in_slices(texts):
+            for start, end in in_slices(texts, SLICE_CHARS):
                 counts, digests, links = [], [], []
                 for one in aligner.align([t or "" for t in texts[start:end]]):
                     if one is None:
@@ -196,7 +244,7 @@ def _aligned(vocabulary: str, model: str):
                         links.append(b"")
                         continue
                     counts.append((one[0], one[1], len(one[3]) // 8))
-                    digests.append(hashlib.sha256(";".join(one[2]).encode()).hexdigest())
+                    digests.append(hashlib.sha256(one[2]).hexdigest())
                     links.append(one[3])
                 offsets = np.cumsum([0, *(len(x) // 8 for x in links)]).astype(np.int32)
                 codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(links), "<i8")))

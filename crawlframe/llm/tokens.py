@@ -14,7 +14,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Iterable
 
 #: Pieces a worker remembers before it starts afresh, and the longest that it remembers.
@@ -31,6 +32,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
+def remembered(memo: dict, most: int, used: set) -> dict:
+    """What a worker goes on remembering: all, or where that has become too much, what it uses just now."""
+    return memo if len(memo) <= most else {k: memo[k] for k in used if k in memo}
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -71,7 +85,7 @@ class Encoder:
 
     def _ids(self, texts: list[str], letters: bool = False) -> list[bytes]:
         found = (self.letters if letters else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+        return [packed(e.ids) for e in found]
 
     def _learn(self, pieces: set[str]) -> None:
         """A piece stands for itself after a space, or after a line break where it begins with one."""
@@ -106,22 +120,25 @@ class Encoder:
             ids[i] = self._ids([texts[i]])[0]
         return ids
 
-    def encode_after_space(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with a space before it; an empty text has none."""
+    def encode_after_space(self, texts: list[str], cut: list[list[str]] | None = None, pieces: set[str] | None = None) -> list[bytes]:
+        """Ids of each text with a space before it; an empty text has none. ``cut``, ``pieces``: as ``cut_texts`` gives them."""
         if not self.by_pieces:
             return [ids if t else b"" for t, ids in zip(texts, self._ids([f" {t}" for t in texts]), strict=True)]
         marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        ids = self._by_pieces(["" if i in marked else t for i, t in enumerate(texts)] if marked else texts, " ")
+        if cut is None or pieces is None:
+            cut, pieces = cut_texts(texts)
+        ids = self._by_pieces(texts, " ", cut, pieces)
         for i in marked:
             ids[i] = self._ids([f" {texts[i]}"])[0]
         return ids
 
-    def _by_pieces(self, texts: list[str], before: str = "\n") -> list[bytes]:
+    def _by_pieces(self, texts: list[str], before: str = "\n", cut: list[list[str]] | None = None, pieces: set[str] | None = None) -> list[bytes]:
         """``before``: what stands before each text; a line break's ids are left out again."""
-        cut = [(before + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
-        if len(self.memo) > self.memo_pieces:
-            self.memo.clear()
-        fresh = set().union(*cut) - self.memo.keys()
+        if cut is None or pieces is None:
+            cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
+            pieces = set().union(*cut)
+        self.memo = remembered(self.memo, self.memo_pieces, pieces)
+        fresh = pieces - self.memo.keys()
         self._learn({p for p in fresh if len(p) <= MEMO_CHARS})
         far = {p: None for p in fresh if len(p) > MEMO_CHARS}
         ids = []
@@ -150,6 +167,12 @@ class Encoder:
         return b"".join(out)[len(self.line_break) if before == "\n" else 0 :]
 
 
+def cut_texts(texts: list[str]) -> tuple[list[list[str]], set[str]]:
+    """The pieces of each text between single spaces, line breaks standing before the piece after them; and all of them."""
+    cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+    return cut, set().union(*cut)
+
+
 def forget_encoders() -> None:
     """Called by tasks of other operators: a worker that turns from encoding to something else gives its memory back."""
     Encoder._open.clear()
