@@ -166,17 +166,3 @@ def h16_chunk_ranking(spark, sf_dir):
     s = corpus.cosine_join(items, c, tf_idf=True).join(m, "b")
     s = s.select("a", "b", rnd((0.65 * F.col("cosine") + 0.2 * F.col("entity") + 0.15 * F.col("ratio")) * F.col("factor"), 4).alias("score"))
     return top_k(s, ["a"], [F.desc("score"), F.asc("b")], 3).select(F.col("a").alias("item_id"), "b.doc_id", "b.idx", "score", "rank")
-
-
-@query()
-def h21_blocks(spark, sf_dir):
-    """Blocks of each page by class, from the tokenizer: kind, text length and share of the page."""
-    from pyspark.sql import Window
-
-    el = H.elements(table(spark, sf_dir, "pages"))
-    kind = F.when(F.col("tag") == "nav", "nav").when(F.col("tag") == "footer", "boilerplate").when((F.col("tag") == "div") & (F.col("attrs")["class"] == "ad"), "ads").when(F.col("tag") == "article", "main")
-    root = F.last(kind, True).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    t = el.withColumn("block", F.coalesce(root, F.lit("head"))).where(~F.col("tag").isin("script", "style"))
-    g = t.groupBy("page_id", "block").agg(F.count("*").alias("elements"), F.sum(F.length("text")).alias("chars"))
-    total = F.sum("chars").over(Window.partitionBy("page_id"))
-    return g.withColumn("share", rnd(F.col("chars") / F.greatest(F.lit(1), total) * 100.0, 2))
