@@ -43,7 +43,10 @@ WILDCARD = "<*>"
 
 def masked_lines(text: Column) -> Column:
     """Lines of a text with single spaces, and a wildcard for each token that has a digit."""
-    plain = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    lines = F.split(text, "\n", -1)
+    # Most texts have no other space than single ones within lines, and need no replacing line by line.
+    spaced = text.rlike(r"[ \t\x0B\f\r]{2}|[\t\x0B\f\r]|(?m:^ | $)")
+    plain = F.when(spaced, F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))).otherwise(lines)
     return F.when(text.rlike("[0-9]"), F.transform(plain, lambda x: F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*", WILDCARD))).otherwise(plain)
 
 
@@ -52,32 +55,33 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def likeness(line: Column) -> Column:
-    """A hash that a line keeps after most small edits: the least of its pairs of neighbouring tokens, or its own."""
-    tokens = F.split(line, " ")
-    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.length(line)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.coalesce(F.array_min(pairs), F.xxhash64(line))
+def likeness(tokens: Column) -> Column:
+    """A hash that a line keeps after most small edits: the least of its pairs of neighbouring tokens, or of its only one."""
+    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return F.coalesce(F.array_min(pairs), F.xxhash64(tokens[0]))
 
 
-def _tree(rows: DataFrame) -> DataFrame:
-    """``(masked, ...)`` with ``line`` and ``leaf``, without lines of too few tokens."""
-    tokens = F.split("masked", " ")
-    return rows.where(F.size(tokens) >= MIN_TOKENS).withColumns({"line": text_key(F.col("masked")), "leaf": F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))})
+def _tree(docs: DataFrame, *more: str) -> DataFrame:
+    """``(doc, pos, masked, n, leaf)`` and, if asked for, ``h`` of each line of a text; tokens are cut once a line."""
+    base = docs.where("text is not null").select(text_key(F.col("text")).alias("doc"), masked_lines(F.col("text")).alias("m"))
+    of = {"n": F.size, "leaf": lambda w: F.xxhash64(F.size(w), F.slice(w, 1, LEADING)), "h": likeness}
+    told = F.transform(F.transform("m", lambda x: F.split(x, " ")), lambda w: F.struct(*[of[k](w).alias(k) for k in ("n", "leaf", *more)]))
+    return base.withColumn("told", told)
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """``(doc, pos, line, leaf, before, after)`` of different texts, doc being the text's key; written once for all later steps."""
-    base = docs.where("text is not null").select(text_key(F.col("text")).alias("doc"), masked_lines(F.col("text")).alias("m"))
-    base = base.withColumn("h", F.transform("m", likeness))
+    base = _tree(docs, "h").withColumn("h", F.col("told.h"))
     zero, n = F.array(F.lit(0).cast("long")), F.size("h")
-    zipped = F.arrays_zip("m", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
-    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).select("doc", "pos", F.col("x.m").alias("masked"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
-    return save(_tree(rows).drop("masked").distinct(), "lines")
+    zipped = F.arrays_zip("m", "told", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
+    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).where(F.col("x.told.n") >= MIN_TOKENS)
+    return save(rows.select("doc", "pos", text_key(F.col("x.m")).alias("line"), "x.told.leaf", "x.before", "x.after").distinct(), "lines")
 
 
 def different_lines(docs: DataFrame) -> DataFrame:
     """``(masked, line, leaf)``, with repeats."""
-    return _tree(docs.where("text is not null").select(F.explode(masked_lines(F.col("text"))).alias("masked")))
+    rows = _tree(docs).select(F.explode(F.arrays_zip("m", "told")).alias("x")).where(F.col("x.told.n") >= MIN_TOKENS)
+    return rows.select(F.col("x.m").alias("masked"), "x.told.leaf").withColumn("line", text_key(F.col("masked")))
 
 
 def generalised(texts: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ from crawlframe.llm.tokens import Encoder, default_vocabulary, in_slices
 MAGIC = b"CFIDS001"
 NULL_KEY = -(2**63)
 END_ID = 0
+#: Files whose bounds are sent to all tasks at most.
+MAX_FILES = 10_000_000
 SHARD_BYTES = 32_000_000
 GAMMA = 2.0
 
@@ -259,8 +261,9 @@ def read_ids(files: DataFrame) -> DataFrame:
 def fetch(files: DataFrame, keys: DataFrame) -> DataFrame:
     """``(doc_id, ids)`` for ``keys(doc_id)``: the first document of each different key, fetched through the index.
 
-    A key goes to the files whose range of keys holds it (one, but for a key that two files share). Unknown and null keys
-    have no row. The files table has a row per 32 MB shard; it is broadcast while it is small and joined by range.
+    A key goes to the first file whose range of keys holds it, found by halving in the files' bounds: 16 bytes for each file,
+    which is 32 MB of ids, so that MAX_FILES are 160 MB and stand for 320 TB. More files than that are joined by their ranges.
+    Unknown and null keys have no row.
     """
 
     def run(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -272,7 +275,23 @@ def fetch(files: DataFrame, keys: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": [k for k, _ in got], "path": [pairs["path"].iloc[0]] * len(got), "ids": [x for _, x in got]})
 
     wanted = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    places = wanted.join(files.select("path", "least_key", "most_key"), F.col("doc_id").between(F.col("least_key"), F.col("most_key")))
+    known = files.where("least_key is not null").select("path", "least_key", "most_key")
+    if known.count() <= MAX_FILES:
+        bounds = known.toPandas().sort_values("path")
+        shared = keys.sparkSession.sparkContext.broadcast((bounds["path"].to_numpy(str), bounds["least_key"].to_numpy(np.int64), bounds["most_key"].to_numpy(np.int64)))
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            paths, least, most = shared.value
+            for batch in batches:
+                ask = batch["doc_id"].to_numpy(np.int64)
+                at = np.searchsorted(most, ask)
+                held = at < len(most)
+                held[held] = least[at[held]] <= ask[held]
+                yield pd.DataFrame({"doc_id": ask[held], "path": paths[at[held]]})
+
+        places = wanted.mapInPandas(place, "doc_id long, path string")
+    else:
+        places = wanted.join(known, F.col("doc_id").between(F.col("least_key"), F.col("most_key")))
     found = places.select("doc_id", "path").groupBy("path").applyInPandas(run, "doc_id long, path string, ids array<long>")
     return found.groupBy("doc_id").agg(F.min_by("ids", "path").alias("ids"))
 
