@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd
 from crawlframe.functions.text import all_of
-from crawlframe.operators.html import VOID
+from crawlframe.operators.html import BATCH_CHARS, VOID
+from crawlframe.sources.shipping import ship
 
 NODES = "page_id long, pos int, leave int, tag string, attrs map<string,string>, text string, depth int, parent int"
 
@@ -93,10 +94,6 @@ class _Nodes(HTMLParser):
             self.parted = False
 
 
-#: Characters of pages whose rows are handed over together.
-BATCH_CHARS = 2_000_000
-
-
 def page_nodes(page_id: int, html: str | None) -> list[list]:
     """Rows of one page; what the tokenizer gives up on ends its page there, not the job."""
     parser = _Nodes(page_id)
@@ -124,6 +121,7 @@ def nodes(pages: DataFrame) -> DataFrame:
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
+    ship(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(run, NODES)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
 from crawlframe.functions.text import all_of
+from crawlframe.sources.shipping import ship
 
 ELEMENTS = "page_id long, pos int, tag string, attrs map<string,string>, text string, depth int, parent int"
 # Elements without content.
@@ -41,8 +42,8 @@ class _Elements(HTMLParser):
             self.rows[self.open[-1]][4].append(data)
 
 
-#: Pages of an Arrow batch: a page may have some MB, where Spark's default of 10,000 rows would be tens of GB.
-PAGE_ROWS = 100
+#: Characters of pages whose rows are handed over together.
+BATCH_CHARS = 2_000_000
 
 
 def parsed(page_id: int, html: str | None) -> list[list]:
@@ -58,14 +59,18 @@ def parsed(page_id: int, html: str | None) -> list[list]:
 
 def elements(pages: DataFrame) -> DataFrame:
     """``pages(page_id, html)`` -> one row per element, in document order; a null page has none."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGE_ROWS))
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ELEMENTS.replace("<string,string>", "").split(", ")]
-        for batch in batches:
-            rows = []
+        for batch in batches:  # of 64 MB at most, Spark's own bound
+            rows, size = [], 0
             for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
                 rows += parsed(page_id, html)
+                size += len(html or "")
+                if size >= BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(run, ELEMENTS)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from crawlframe.sources.shipping import ship
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder, removed when the session's JVM ends.
@@ -14,6 +16,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     ``spark.checkpoint.dir`` names that folder. Where it is unset a session in one process (a local test) gets a temporary
     one; a cluster, whose machines would not share that, gets an error.
     """
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
