@@ -71,13 +71,19 @@ def top_terms(docs: DataFrame, terms: Column, n: int, k: int) -> DataFrame:
     return best.select("doc_id", (F.col("pos") + 1).alias("rank"), "o.term", F.col("o.n").alias("count"), rnd(F.col("o.n") / F.col("total") * 100.0, 3).alias("pct"))
 
 
-def semantic_links(terms: DataFrame, k: int = 20, rare: int = 50) -> DataFrame:
+#: Frequent terms of a document up to which its sets of them are listed: 4,095 sets at most.
+LISTED_TERMS = 12
+
+
+def semantic_links(terms: DataFrame, k: int = 20, rare: int = 50, listed: int = LISTED_TERMS) -> DataFrame:
     """Pairs of documents that share terms of ``terms(doc_id, term)``; the k with the most for each, lower ids first of equals.
 
     Exact without all pairs of a frequent term. Documents with a common term of at most ``rare`` documents are paired by it.
     What else could be among a document's k best shares frequent terms only; of all documents that hold a set of frequent
     terms, only the k + 1 with the lowest ids can be, as these share at least as much. So each set of a document's frequent
-    terms is looked up in a list of k + 1 ids. Terms per document are few, so these sets are.
+    terms is looked up in a list of k + 1 ids. A set is listed only if another document holds each pair of its terms, so that
+    where little is shared there are few sets. Documents with more than ``listed`` frequent terms are counted against all that
+    share one of these, in sums by pair, since their sets would be too many.
     """
     t = cut(terms.select("doc_id", "term").distinct())
     df = cut(t.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
@@ -85,10 +91,25 @@ def semantic_links(terms: DataFrame, k: int = 20, rare: int = 50) -> DataFrame:
     sets = cut(t.groupBy("doc_id").agg(F.collect_set("term").alias("terms"), F.array_sort(F.collect_set(F.when(F.col("df") > rare, F.col("term")))).alias("often")))
     few = t.where(F.col("df") <= rare)
     near = few.select(F.col("doc_id").alias("src"), "term").join(few.select(F.col("doc_id").alias("dst"), "term"), "term").where("src <> dst").select("src", "dst")
-    subsets = F.aggregate("often", F.array(F.array().cast("array<string>")), lambda found, x: F.concat(found, F.transform(found, lambda s: F.array_append(s, x))))
-    keyed = sets.where(F.size("often") > 0).select("doc_id", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("held"))
+    own = sets.where((F.size("often") > 0) & (F.size("often") <= listed)).select("doc_id", "often")
+    two = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.concat_ws("\u0001", x, y))))
+    held = cut(own.select("doc_id", F.explode(two).alias("two")))
+    shared = cut(held.groupBy("two").agg(F.count("*").alias("n")).where("n > 1").select("two"))
+    kept = held.join(shared, "two").groupBy("doc_id").agg(F.collect_set("two").alias("kept"))
+    own = own.join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<string>")))
+    joins = lambda x: lambda s: F.forall(s, lambda y: F.array_contains("kept", F.concat_ws("\u0001", y, x)))
+    subsets = F.aggregate("often", F.array(F.array().cast("array<string>")), lambda found, x: F.concat(found, F.transform(F.filter(found, joins(x)), lambda s: F.array_append(s, x))))
+    keyed = own.select("doc_id", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("held"))
     lists = cut(top_k(keyed, ["held"], [F.asc("doc_id")], k + 1).select("held", F.col("doc_id").alias("dst")))
     far = keyed.select(F.col("doc_id").alias("src"), "held").join(lists, "held").where("src <> dst").select("src", "dst")
+    many = cut(sets.where(F.size("often") > listed).select("doc_id", F.explode("often").alias("term")))
+    if many.limit(1).count():
+        often = t.where(F.col("df") > rare).select(F.col("doc_id").alias("b"), "term")
+        met = many.select(F.col("doc_id").alias("a"), "term").join(often, "term").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+        met = cut(met)
+        # Either of the two may be the one whose best are asked for.
+        best = [top_k(met.select(F.col(x).alias("src"), F.col(y).alias("dst"), "n"), ["src"], [F.desc("n"), F.asc("dst")], k).select("src", "dst") for x, y in (("a", "b"), ("b", "a"))]
+        far = far.union(best[0]).union(best[1])
     pairs = near.union(far).distinct()
     both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("terms").alias("a")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("terms").alias("b")), "dst")
     shared = F.array_intersect("a", "b")

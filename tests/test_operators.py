@@ -1,5 +1,6 @@
 """Small literal cases of the web operators."""
 
+import random
 from datetime import date
 
 import pytest
@@ -212,3 +213,16 @@ def test_spread(spark, n):
     k = 5
     want = sorted({int(i * (n - 1) / (k - 1) + 0.5) for i in range(k)}) if n else []
     assert [r.id for r in sampling.spread(df, ["id"], k).orderBy("id").collect()] == want
+
+
+@pytest.mark.parametrize("n, words, listed", [(6, 40, 12), (30, 60, 12), (9, 14, 5), (10, 12, 12)])
+def test_semantic_links_equal_all_pairs_where_terms_are_frequent(spark, n, words, listed):
+    rng = random.Random(n)
+    rows = [(d, f"w{t:02}") for d in range(70) for t in rng.sample(range(words), n)] + [(100 + d, f"w{t:02}") for d in range(6) for t in range(3)] + [(200, "alone"), (201, "rare"), (202, "rare")]
+    got = corpus.semantic_links(spark.createDataFrame(rows, "doc_id long, term string"), k=5, rare=3, listed=listed).collect()
+    held = {}
+    for d, t in rows:
+        held.setdefault(d, set()).add(t)
+    for d, own in held.items():
+        best = sorted(((-len(own & other), e, min(own & other)) for e, other in held.items() if e != d and own & other))[:5]
+        assert [(r.dst, r.relevance, r.suggested_anchor) for r in sorted(got, key=lambda r: r.rank) if r.src == d] == [(e, -m, a) for m, e, a in best], d
