@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("text_queries", "backlink_queries", "graph_queries", "keyword_queries", "event_queries", "page_queries", "markup_queries", "audit_queries", "score_queries", "site_queries", "stream_queries", "io_queries", "policy_queries", "block_queries", "robots_queries", "entity_queries")
+_MODULES = ("text_queries", "backlink_queries", "graph_queries", "keyword_queries", "event_queries", "page_queries", "markup_queries", "audit_queries", "score_queries", "site_queries", "stream_queries", "io_queries", "policy_queries", "block_queries", "robots_queries", "entity_queries", "site_audit_queries")
 
 
 def query(sql: str | None = None):
