@@ -91,7 +91,7 @@ def history(snapshots: DataFrame, keep: int = 50) -> DataFrame:
 
 def weighted_score(parts: DataFrame, weights: DataFrame) -> DataFrame:
     """``parts(id, part, value)`` with ``weights(part, weight)``: weights count over the parts that are there."""
-    j = parts.where("value is not null").join(F.broadcast(weights), "part")
+    j = parts.where("value is not null").join(weights, "part")
     return j.groupBy("id").agg(rnd(F.sum(F.col("value") * F.col("weight")) / F.sum("weight"), 2).alias("score"), F.count("*").alias("parts"))
 
 

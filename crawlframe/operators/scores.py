@@ -56,7 +56,7 @@ def coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def calibrated(rows: DataFrame, profile: DataFrame) -> DataFrame:
     """``rows(page_type, detector, confidence)`` by ``profile(page_type, detector, multiplier, floor)``; unlisted ones stay."""
-    j = rows.join(F.broadcast(profile), ["page_type", "detector"], "left")
+    j = rows.join(profile, ["page_type", "detector"], "left")
     value = rnd(F.least(F.lit(1.0), F.col("confidence") * F.coalesce("multiplier", F.lit(1.0))), 4)
     kept = F.when(value < F.coalesce("floor", F.lit(0.0)), 0.0).otherwise(value)
     return j.withColumn("calibrated", kept).withColumn("downgraded", F.col("calibrated") < F.col("confidence")).drop("multiplier", "floor")

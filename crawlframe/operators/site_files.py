@@ -50,14 +50,22 @@ def under_heads(paths: DataFrame, heads: DataFrame) -> DataFrame:
     return paths.join(lengths, "host").select(*paths.columns, fitting.alias("n")).withColumn("head", F.expr("substring(path, 1, n)")).drop("n")
 
 
+#: Bots that are asked for at once.
+BOTS = 1000
+
+
 def access(rules: DataFrame, bots: DataFrame, paths: DataFrame) -> DataFrame:
     """``(host, path, bot, allowed, rule)``: the group that fits the bot best, its longest matching pattern, allow on ties.
 
-    ``bots(bot)`` is a short list. An empty disallow allows everything. Bots without a group may go anywhere. Rules are found
+    ``bots(bot)`` is a list of BOTS at most. An empty disallow allows everything. Bots without a group may go anywhere. Rules are found
     by the literal beginning of their patterns, as in a prefix tree; only what follows a wildcard is matched as a pattern.
     """
     ua, bot = F.lower("value"), F.lower("bot")
-    agents = rules.where("key = 'user-agent' and value <> ''").select("host", "group_id", "value").crossJoin(F.broadcast(bots))
+    names = [r["bot"] for r in bots.select("bot").limit(BOTS + 1).collect()]
+    if len(names) > BOTS:
+        raise ValueError(f"more than {BOTS} bots")
+    each = F.explode(F.array(*[F.lit(b) for b in names]).cast("array<string>"))
+    agents = rules.where("key = 'user-agent' and value <> ''").select("host", "group_id", "value", each.alias("bot"))
     score = F.when(ua == "*", 1).when(ua == bot, 100 + F.length(ua)).when(F.contains(bot, ua), 60 + F.length(ua)).when(F.contains(ua, bot), 40 + F.length(bot))
     groups = agents.withColumn("score", score).where("score is not null").groupBy("host", "bot").agg(F.max_by("group_id", F.struct("score", -F.col("group_id"))).alias("group_id"))
     own = rules.where("key in ('allow', 'disallow') and value <> ''").select("host", "group_id", "key", "value", literal_head(F.col("value")).alias("head"), pattern_regex(F.col("value")).alias("rx"), F.length(F.replace("value", F.lit("*"), F.lit(""))).alias("n"))
@@ -65,7 +73,7 @@ def access(rules: DataFrame, bots: DataFrame, paths: DataFrame) -> DataFrame:
     hits = under_heads(paths, own).join(own, ["host", "head"]).where((F.col("head") == F.col("value")) | F.expr("path rlike rx"))
     best = hits.groupBy("host", "path", "group_id").agg(F.max_by(F.struct("key", "value"), F.struct(F.col("n"), (F.col("key") == "allow"), "value")).alias("r"))
     best = best.join(groups, ["host", "group_id"]).select("host", "path", "bot", "r")
-    every = paths.crossJoin(F.broadcast(bots)).join(best, ["host", "path", "bot"], "left")
+    every = paths.select("host", "path", each.alias("bot")).join(best, ["host", "path", "bot"], "left")
     return every.select("host", "path", "bot", (F.coalesce(F.col("r.key"), F.lit("allow")) == "allow").alias("allowed"), F.coalesce(F.concat_ws(" ", "r.key", "r.value"), F.lit("")).alias("rule"))
 
 

@@ -282,8 +282,10 @@ _LINKED = "page_id % 5 AS incoming, CASE WHEN title = '' THEN 0 ELSE count(*) OV
 def h25_site_health(spark, sf_dir):
     """Health of each page within its site, from indexability, speed, text, head and links."""
     f = features(spark, sf_dir).withColumn("incoming", F.col("page_id") % 5)
-    same = lambda c: F.when(F.col(c) == "", 0).otherwise(F.count("*").over(Window.partitionBy(F.lower(c))))
-    f = f.withColumns({"same_title": same("title"), "same_description": same("description")})
+    for c in ("title", "description"):  # counts by value, so that pages are not gathered by a title that many have
+        f = f.withColumn("value", F.lower(c))
+        same = f.where("value <> ''").groupBy("value").agg(F.count("*").alias(f"same_{c}")).where(F.col(f"same_{c}") > 1)
+        f = f.join(same, "value", "left").withColumn(f"same_{c}", F.coalesce(f"same_{c}", F.when(F.col("value") == "", 0).otherwise(1))).drop("value")
     return f.select("page_id", A.site_health().alias("site_health"))
 
 

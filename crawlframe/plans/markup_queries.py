@@ -184,10 +184,9 @@ SELECT page_id, 'duplicate_title' AS code FROM t JOIN n ON lower(t) = k WHERE n
 )
 def b29_site_issues(spark, sf_dir):
     """Rules that need other pages: repeated titles; and per page on status, images and description."""
-    from pyspark.sql import Window
-
-    p = rich_pages(spark, sf_dir).withColumn("t", F.regexp_extract("html", "<title>(.*?)</title>", 1))
-    p = p.withColumn("same", F.count("*").over(Window.partitionBy(F.lower("t"))))
+    p = rich_pages(spark, sf_dir).withColumn("t", F.lower(F.regexp_extract("html", "<title>(.*?)</title>", 1)))
+    same = p.groupBy("t").agg(F.count("*").alias("same")).where("same > 1")
+    p = p.join(same, "t", "left")
     rules = [
         Rule("duplicate_title", "warning", 5, F.col("same") > 1),
         Rule("broken_page", "critical", 30, F.col("code") >= 400),

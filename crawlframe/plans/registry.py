@@ -28,6 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(select_list: str) -> list[str]:
+    """Columns of a select list, cut at commas outside of brackets and quotes, for ``selectExpr``."""
+    out, depth, quoted, own = [], 0, False, ""
+    for c in select_list:
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out, own = [*out, own], ""
+        else:
+            own += c
+    return [*out, own]
+
+
 def _load() -> None:
     for name in _MODULES:
         importlib.import_module(f"crawlframe.plans.{name}")

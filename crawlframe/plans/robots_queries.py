@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd_sql as R
 from crawlframe.operators import site_files as S
-from crawlframe.plans.registry import query, table
+from crawlframe.plans.registry import columns_of, query, table
 from crawlframe.plans.site_queries import _ACCESS, _BOTS, _DIRECTIVES, bots, rules
 
 _CLEAN_TEXT = """concat('User-agent: ', CASE s_suppkey % 3 WHEN 0 THEN 'Yandex' ELSE '*' END, '
@@ -79,19 +79,6 @@ SELECT page_id, bot, CASE WHEN NOT allowed THEN 'blocked' WHEN restricted THEN '
 )
 def c24_visibility_matrix(spark, sf_dir):
     """Each page and bot: access, status of its directives, visibility, and what the bot got less than a browser."""
-    p = table(spark, sf_dir, "pages").selectExpr(*_split(_VISITED))
+    p = table(spark, sf_dir, "pages").selectExpr(*columns_of(_VISITED))
     allowed = S.access(rules(spark, sf_dir), bots(spark), p.select("host", "path").distinct())
     return S.visibility(p, allowed)
-
-
-def _split(columns: str) -> list[str]:
-    """Columns of a select list, cut at commas outside of brackets and quotes."""
-    out, depth, quoted, own = [], 0, False, ""
-    for c in columns:
-        quoted ^= c == "'"
-        depth += 0 if quoted else (c == "(") - (c == ")")
-        if c == "," and not depth and not quoted:
-            out, own = [*out, own], ""
-        else:
-            own += c
-    return [*out, own]

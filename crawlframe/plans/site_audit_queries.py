@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd_sql as R
 from crawlframe.operators import site_audit as A
-from crawlframe.plans.registry import query, table
+from crawlframe.plans.registry import columns_of, query, table
 
 # Columns of a crawled site from the page table, the same in both engines; ten sites.
 _PAGE = """page_id, CAST(page_id % 10 AS {S}) AS site, url, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'One title' ELSE concat('Title ', CAST(page_id % 37 AS {S})) END AS title, CASE page_id % 4 WHEN 0 THEN 'Same words' WHEN 1 THEN NULL ELSE concat('About ', CAST(page_id AS {S})) END AS description,
@@ -17,9 +17,7 @@ _IMAGE = "CAST(p_partkey % 10 AS {S}) AS site, concat('/i/', CAST(p_partkey % 70
 
 
 def _rows(spark, sf_dir, name: str, columns: str) -> DataFrame:
-    from crawlframe.plans.robots_queries import _split
-
-    return table(spark, sf_dir, name).selectExpr(*_split(columns.format(S="STRING")))
+    return table(spark, sf_dir, name).selectExpr(*columns_of(columns.format(S="STRING")))
 
 
 _CODES = "CASE code " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in A.SITE_CODES.items()) + " END"
@@ -53,9 +51,7 @@ SELECT page_id, CAST(CASE WHEN o IS NULL THEN 0 ELSE row_number() OVER (PARTITIO
 )
 def h28_projected_waterfall(spark, sf_dir):
     """What a page could win step by step, each step with what those before it left."""
-    from crawlframe.plans.robots_queries import _split
-
-    return A.waterfall(table(spark, sf_dir, "pages").selectExpr(*_split(_SCORED)), "score")
+    return A.waterfall(table(spark, sf_dir, "pages").selectExpr(*columns_of(_SCORED)), "score")
 
 
 

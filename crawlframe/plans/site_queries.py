@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.operators import site_files as S
-from crawlframe.plans.registry import query, table
+from crawlframe.plans.registry import columns_of, query, table
 
 _TEXT = """concat('# rules of ', s_name, '
 User-agent: *
@@ -98,9 +98,7 @@ _SITEMAP = f"sm AS (SELECT {_URL.replace('STRING', 'VARCHAR')} FROM orders)"
 
 
 def sitemap_urls(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
-    o.createOrReplaceTempView("__orders_as_urls")
-    return spark.sql(f"SELECT {_URL} FROM __orders_as_urls")
+    return table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate")).selectExpr(*columns_of(_URL))
 
 
 _CAPPED = " - ".join(["100.0", "least(40.0, invalid * 1.0::DOUBLE / urls * 100.0)", *(f"least(20.0, {x} * 1.0::DOUBLE / urls * 100.0 * 0.5)" for x in ("duplicates", "missing_lastmod", "bad_lastmod", "future", "bad_changefreq", "bad_priority"))])

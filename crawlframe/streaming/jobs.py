@@ -68,7 +68,7 @@ def keep_daily_snapshots(events: DataFrame, path: str) -> None:
         fresh = cut(newest_of_day(batch.withColumn("day", F.to_date("ts")).select("user_id", "day", "ts", "event_id", "value")))
         if number or _exists(spark, path):
             days = fresh.select("day").distinct()
-            kept = spark.read.schema(fresh.schema).parquet(path).join(F.broadcast(days), "day", "left_semi")
+            kept = spark.read.schema(fresh.schema).parquet(path).join(days, "day", "left_semi")
             fresh = cut(newest_of_day(kept.select(*fresh.columns).unionByName(fresh)))
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
