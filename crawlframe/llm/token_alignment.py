@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import in_small_batches, save
-from crawlframe.llm.tokens import MEMO_CHARS, Encoder, cut_texts, default_vocabulary, in_slices, packed, remembered
+from crawlframe.llm.tokens import MEMO_CHARS, Encoder, byte_level_bytes, cut_texts, default_vocabulary, in_slices, packed, remembered
 
 #: Pieces of each vocabulary, and windows, that a worker remembers before it starts afresh.
 MEMO_PIECES = 250_000
@@ -95,14 +95,6 @@ class PieceEncoder:
         return out
 
 
-def byte_level_bytes(tokens: list[str]) -> list[bytes]:
-    """Bytes of tokens in the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on, in order."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    return [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in tokens]
-
-
 def piece_bytes(pieces: list[str]) -> list[bytes]:
     """Bytes of sentence pieces: ``<0xHH>`` is a byte, U+2581 a space."""
     return [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(_SPACE, " ").encode() for p in pieces]

@@ -45,6 +45,26 @@ def remembered(memo: dict, most: int, used: set) -> dict:
     return memo if len(memo) <= most else {k: memo[k] for k in used if k in memo}
 
 
+def byte_level_bytes(tokens: list[str]) -> list[bytes]:
+    """Bytes of tokens in the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    return [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in tokens]
+
+
+def _by_ranks(model: dict):
+    """An encoder of single runs that takes an id for its rank, which is quicker; None where merges are not in the order of ids."""
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = model["vocab"]
+    if model.get("type") != "BPE" or [ids.get(m) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    import tiktoken
+
+    known = [t for t, i in ids.items() if i < 256 + len(merges)]
+    return tiktoken.Encoding("runs", pat_str=r"[\s\S]+", mergeable_ranks=dict(zip(byte_level_bytes(known), (ids[t] for t in known), strict=True)), special_tokens={})
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -66,12 +86,14 @@ class Encoder:
         self.most_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         if not self.by_pieces:
             return
-        #: For runs of letters, which the vocabulary's pre-tokeniser never cuts.
-        self.letters = Tokenizer.from_file(vocabulary)
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters.post_processor = None
         self.memo: dict[str, bytes | None] = {}
         self.memo_pieces = memo_pieces
+        #: For runs of letters, which the vocabulary's pre-tokeniser never cuts.
+        self.ranked = _by_ranks(kind["model"])
+        if not self.ranked:
+            self.letters = Tokenizer.from_file(vocabulary)
+            self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.letters.post_processor = None
         self.line_break = self._ids(["\n"])[0]
         self.ends = {c: self._ids([c])[0] for c in ".,;:!?"}
 
@@ -84,6 +106,9 @@ class Encoder:
         return cls._open[key]
 
     def _ids(self, texts: list[str], letters: bool = False) -> list[bytes]:
+        if letters and self.ranked:
+            encode = self.ranked.encode_ordinary
+            return [packed(encode(t)) for t in texts]
         found = (self.letters if letters else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [packed(e.ids) for e in found]
 
