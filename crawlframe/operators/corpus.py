@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions.common import rnd, top_k
 from crawlframe.functions.text import STOP_WORDS, all_of, in_list, words
 from crawlframe.operators.graph import cut
+from crawlframe.sources.shipping import ship
 
 
 def term_arrays(docs: DataFrame, terms: Column) -> DataFrame:
@@ -202,3 +206,85 @@ def cosine_join(left: DataFrame, right: DataFrame, tf_idf: bool = False) -> Data
     dots = l.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa")).join(r.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb")), "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     joined = dots.join(nl.select(F.col("doc_id").alias("a"), F.col("q").alias("qa")), "a").join(nr.select(F.col("doc_id").alias("b"), F.col("q").alias("qb")), "b")
     return joined.select("a", "b", "dot", (F.col("dot") / F.sqrt(F.col("qa") * F.col("qb"))).alias("cosine"))
+
+
+#: Different (item, term) pairs whose weights are sent to all tasks at most: some 100 MB.
+ITEM_TERMS = 4_000_000
+
+
+def best_matches(items: DataFrame, docs: DataFrame, k: int, tf_idf: bool = False, share: float = 1.0, digits: int | None = None) -> DataFrame:
+    """``(a, b, score, rank, scored)``: for each of ``items(doc_id, text)`` the k documents of ``docs`` with the highest score.
+
+    The score is ``(share * cosine + bonus) * factor``, where ``docs(doc_id, text, bonus, factor)`` has these, rounded to so
+    many digits; lower ids first of equals. Documents that share no term with an item are no candidates. Items are a small set:
+    their weights go to every task as postings by term, a document's products are added up in its own row, and each task hands
+    on its k best of an item only, so no pairs are shuffled. A document is left out early where its terms' greatest weights
+    cannot bring it among the k best that a task has. ``scored`` counts a task's documents that were scored for the item.
+    """
+    arrays = {n: cut(term_arrays(x, content_tokens(F.col("text")))) for n, x in (("items", items), ("docs", docs))}
+    rows = {n: x.select("doc_id", F.explode("counted").alias("c")).select("doc_id", "c.term", F.col("c.n").cast("double").alias("w")) for n, x in arrays.items()}
+    if tf_idf:
+        df = document_frequencies(arrays["docs"])
+        n = F.broadcast(arrays["docs"].agg(F.count("*").alias("docs")))
+        idf = F.log((F.col("docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0
+        rows = {m: x.join(df, "term", "left").crossJoin(n).select("doc_id", "term", (F.col("w") * idf).alias("w")) for m, x in rows.items()}
+    left = cut(rows["items"])
+    if (size := left.count()) > ITEM_TERMS:
+        raise ValueError(f"{size} terms of items; ask for at most {ITEM_TERMS} at once")
+    given = left.toPandas().sort_values(["term", "doc_id"])
+    ids = np.unique(given["doc_id"].to_numpy(np.int64))
+    at = np.searchsorted(ids, given["doc_id"].to_numpy(np.int64))
+    norms = np.sqrt(np.bincount(at, given["w"].to_numpy() ** 2, len(ids)))
+    terms, starts = np.unique(given["term"].to_numpy(str), return_index=True)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, terms, np.append(starts, len(given)), at.astype(np.int32), given["w"].to_numpy() / norms[at]))
+    asked = cut(left.select("term").distinct()).withColumn("asked", F.lit(True))
+    held = rows["docs"].join(asked, "term", "left").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q"), F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("t"))
+    held = held.where(F.size("t") > 0)
+    more = [c for c in ("bonus", "factor") if c in docs.columns]
+    held = held.join(docs.select("doc_id", *more), "doc_id") if more else held
+    kind = docs.schema["doc_id"].dataType
+    held = held.select("doc_id", F.sqrt("q").alias("norm"), F.col("t.term").alias("terms"), F.col("t.w").alias("w"), *[F.col(c).cast("double").alias(c) for c in more])
+    ship(docs.sparkSession)
+    flat = kind.simpleString().startswith("struct")
+    fields = [f"doc_id.{f.name}" for f in kind.fields] if flat else ["doc_id"]
+    keys = [f"k{i}" for i in range(len(fields))]
+    held = held.select(*[F.col(f).cast("long").alias(c) for f, c in zip(fields, keys, strict=True)], *[c for c in held.columns if c != "doc_id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, terms, starts, at, weights = shared.value
+        of = {t: i for i, t in enumerate(terms.tolist())}
+        most = np.maximum.reduceat(weights, starts[:-1]) if len(weights) else weights
+        best: list[list[tuple]] = [[] for _ in ids]
+        margin = 10.0**-digits if digits is not None else 1e-9
+        floor, scored = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            bonus = batch["bonus"].to_numpy() if "bonus" in batch else np.zeros(len(batch))
+            factor = batch["factor"].to_numpy() if "factor" in batch else np.ones(len(batch))
+            for key, norm, own, w, plus, times in zip(batch[keys].itertuples(index=False, name=None), batch["norm"], batch["terms"], batch["w"], bonus, factor, strict=True):
+                known = [of[t] for t in own]
+                w = np.asarray(w) / norm
+                # No item's product can be greater than this.
+                if (share * min(1.0, float((w * most[known]).sum())) + plus) * times + margin < floor.min():
+                    continue
+                parts = [slice(starts[i], starts[i + 1]) for i in known]
+                met = np.concatenate([at[p] for p in parts])
+                dots = np.bincount(met, np.concatenate([weights[p] * x for p, x in zip(parts, w, strict=True)]), len(ids))
+                hit = np.flatnonzero(np.bincount(met, minlength=len(ids)))
+                score = (share * dots[hit] + plus) * times
+                if digits is not None:
+                    score = np.floor(score * 10.0**digits + 0.5) / 10.0**digits
+                scored[hit] += 1
+                for i, s in zip(hit[score >= floor[hit]].tolist(), score[score >= floor[hit]].tolist(), strict=True):
+                    mine = best[i]
+                    mine.append((-s, key))
+                    if len(mine) > k:
+                        mine.sort()
+                        mine.pop()
+                        floor[i] = -mine[-1][0]
+        rows = [(int(ids[i]), *key, -s, int(scored[i])) for i, mine in enumerate(best) for s, key in mine]
+        yield pd.DataFrame(rows, columns=["a", *keys, "score", "scored"])
+
+    found = held.mapInPandas(run, f"a long, {', '.join(f'{c} long' for c in keys)}, score double, scored long")
+    b = F.struct(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(keys, kind.fields, strict=True)]) if flat else F.col("k0")
+    found = cut(found.select("a", b.alias("b"), "score", "scored"))
+    return top_k(found, ["a"], [F.desc("score"), F.asc("b")], k)

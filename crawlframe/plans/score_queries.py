@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.functions import text as T
-from crawlframe.functions.common import rnd, rnd_sql, top_k
+from crawlframe.functions.common import rnd, rnd_sql
 from crawlframe.operators import corpus
 from crawlframe.operators import html as H
 from crawlframe.operators import scores as S
@@ -162,7 +162,6 @@ def h16_chunk_ranking(spark, sf_dir):
     entity = F.least(one, T.ratio(F.size(e), F.size(T.all_of(x, "[A-Za-zА-Яа-я0-9]+"))))
     ratio = F.least(one, T.ratio(F.size(T.all_of(x, "[A-Za-zА-Яа-я0-9]")), F.length(x)))
     utility = F.lower(x).rlike(_UTILITY) | (F.size(corpus.content_tokens(x)) < 35)
-    m = c.select(F.col("doc_id").alias("b"), entity.alias("entity"), ratio.alias("ratio"), F.when(utility, 0.55).otherwise(1.0).alias("factor"))
-    s = corpus.cosine_join(items, c, tf_idf=True).join(m, "b")
-    s = s.select("a", "b", rnd((0.65 * F.col("cosine") + 0.2 * F.col("entity") + 0.15 * F.col("ratio")) * F.col("factor"), 4).alias("score"))
-    return top_k(s, ["a"], [F.desc("score"), F.asc("b")], 3).select(F.col("a").alias("item_id"), "b.doc_id", "b.idx", "score", "rank")
+    c = c.withColumns({"bonus": 0.2 * entity + 0.15 * ratio, "factor": F.when(utility, 0.55).otherwise(1.0)})
+    found = corpus.best_matches(items, c, 3, tf_idf=True, share=0.65, digits=4)
+    return found.select(F.col("a").alias("item_id"), "b.doc_id", "b.idx", "score", "rank")

@@ -265,14 +265,13 @@ def _items(spark, sf_dir):
 
 
 def _best5(found: DataFrame) -> DataFrame:
-    rounded = found.select("a", "b", rnd(F.col("cosine"), 4).alias("cosine"))
-    return top_k(rounded, ["a"], [F.desc("cosine"), F.asc("b")], 5).select(F.col("a").alias("item_id"), "rank", F.col("b").alias("doc_id"), "cosine")
+    return found.select(F.col("a").alias("item_id"), "rank", F.col("b").alias("doc_id"), F.col("score").alias("cosine"))
 
 
 @query(f"WITH {_TF}, lw AS (SELECT * FROM l), rw AS (SELECT * FROM r), {_COSINE} {_BEST5}")
 def h14_text_cosine(spark, sf_dir):
     """The five documents most similar to each benchmark item, by term counts."""
-    return _best5(corpus.cosine_join(_items(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "text")))
+    return _best5(corpus.best_matches(_items(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "text"), 5, digits=4))
 
 
 @query(
@@ -282,7 +281,7 @@ rw AS (SELECT b, x, w * (ln((k.n + 1) / (coalesce(df, 0) + 1)) + 1.0) AS w FROM
 )
 def h14_tfidf_cosine(spark, sf_dir):
     """The same with weights by rarity."""
-    return _best5(corpus.cosine_join(_items(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "text"), tf_idf=True))
+    return _best5(corpus.best_matches(_items(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "text"), 5, tf_idf=True, digits=4))
 
 
 _CHUNKS = "ch AS (SELECT doc_id, i AS idx, substr(text, 1 + (i - 1) * 1100, 1200) AS chunk FROM (SELECT doc_id, text, unnest(range(1, (greatest(1, length(text) - 100) - 1) // 1100 + 1 + 1)) AS i FROM documents WHERE text IS NOT NULL AND text <> ''))"

@@ -226,3 +226,20 @@ def test_semantic_links_equal_all_pairs_where_terms_are_frequent(spark, n, words
     for d, own in held.items():
         best = sorted(((-len(own & other), e, min(own & other)) for e, other in held.items() if e != d and own & other))[:5]
         assert [(r.dst, r.relevance, r.suggested_anchor) for r in sorted(got, key=lambda r: r.rank) if r.src == d] == [(e, -m, a) for m, e, a in best], d
+
+
+def test_best_matches_equal_the_join_of_all(spark):
+    rng = random.Random(3)
+    words = [a + b + c for a in "bcdfg" for b in "aei" for c in "klmn"]
+    some = lambda n: [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(n)]
+    items, docs = spark.createDataFrame([(i + 100, t) for i, t in some(12)], "doc_id long, text string"), spark.createDataFrame([*some(300), (900, None), (901, "")], "doc_id long, text string").repartition(5)
+    for tf_idf in (False, True):
+        want = {}
+        for r in corpus.cosine_join(items, docs, tf_idf).collect():
+            want.setdefault(r.a, []).append((-r.cosine, r.b))
+        got = {}
+        for r in sorted(corpus.best_matches(items, docs, 4, tf_idf).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.a, []).append((-r.score, r.b))
+        for a, best in want.items():
+            assert [b for _, b in got[a]] == [b for _, b in sorted((round(c, 12), b) for c, b in best)[:4]]
+    assert corpus.best_matches(items.limit(0), docs, 4).count() == 0

@@ -28,7 +28,7 @@ def duck():
     return con
 
 
-SOME = ["h2_readability", "h8_style_metrics", "d24_tfidf_top_terms", "c10_near_duplicates", "c3_overlap", "d5_benchmark", "i1_pagerank", "c22_redirect_chains", "c11_similar_keywords", "c12_robots_access", "d32_sitemap_quality", "b24_page_issues", "e2_leaderboard", "s5_sessions", "a1_backlink_export"]
+SOME = ["h2_readability", "h8_style_metrics", "d24_tfidf_top_terms", "c10_near_duplicates", "c3_overlap", "d5_benchmark", "i1_pagerank", "c22_redirect_chains", "c11_similar_keywords", "c12_robots_access", "d32_sitemap_quality", "b24_page_issues", "e2_leaderboard", "s5_sessions", "a1_backlink_export", "h21_blocks", "h21_segmentation", "h19_dom_properties", "h19_dom_entities", "d33_merged_parameters", "d33_parameter_issues", "c24_visibility_matrix", "d37_entity_groups", "h30_linked_groups", "b29_site_codes", "h28_projected_waterfall", "c28_aligned_snapshots", "h16_chunk_ranking", "c9_semantic_links"]
 
 
 @pytest.mark.parametrize("name", SOME)
