@@ -1,5 +1,6 @@
 """Small literal cases of the web operators."""
 
+import math
 import random
 from datetime import date
 
@@ -238,8 +239,8 @@ def test_best_matches_equal_the_join_of_all(spark):
         for r in corpus.cosine_join(items, docs, tf_idf).collect():
             want.setdefault(r.a, []).append((-r.cosine, r.b))
         got = {}
-        for r in sorted(corpus.best_matches(items, docs, 4, tf_idf).collect(), key=lambda r: r["rank"]):
+        for r in sorted(corpus.best_matches(items, docs, 4, tf_idf, digits=6).collect(), key=lambda r: r["rank"]):
             got.setdefault(r.a, []).append((-r.score, r.b))
         for a, best in want.items():
-            assert [b for _, b in got[a]] == [b for _, b in sorted((round(c, 12), b) for c, b in best)[:4]]
+            assert [b for _, b in got[a]] == [b for _, b in sorted((-math.floor(-c * 1e6 + 0.5), b) for c, b in best)[:4]]
     assert corpus.best_matches(items.limit(0), docs, 4).count() == 0
