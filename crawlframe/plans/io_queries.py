@@ -27,13 +27,38 @@ def a1_backlink_export(spark, sf_dir):
     return got.select("source_url", "target_url", R.number(F.col("dr")).alias("dr"), R.flag(F.col("follow")).alias("follow"), "http_code")
 
 
-@query(f"WITH {BACKLINKS} SELECT link_id % 2 AS part, source_url, dr, CASE WHEN link_id % 2 = 0 THEN anchor END AS anchor FROM bl")
+@query(f"WITH {BACKLINKS} SELECT CASE link_id % 2 WHEN 0 THEN 'first.csv' ELSE 'second.csv' END AS file, source_url, dr, CASE WHEN link_id % 2 = 0 THEN nullif(trim(anchor), '') END AS anchor FROM bl")
 def g1_union_of_exports(spark, sf_dir):
-    """Two exports with different columns as one table, with the part each row came from."""
-    links = backlinks(spark, sf_dir)
-    a = links.where("link_id % 2 = 0").select(F.lit(0).cast("long").alias("part"), "source_url", "dr", "anchor")
-    b = links.where("link_id % 2 = 1").select(F.lit(1).cast("long").alias("part"), "source_url", "dr")
-    return a.unionByName(b, allowMissingColumns=True)
+    """Two exports with different columns and separators, written and read as one table, with the file each row came from."""
+    links, path = backlinks(spark, sf_dir), scratch_path(spark, "exports")
+    links.where("link_id % 2 = 0").select("source_url", F.col("dr").alias("Domain Rating"), F.col("anchor").alias("Anchor Text")).write.csv(f"{path}/first.csv", header=True, sep=";")
+    links.where("link_id % 2 = 1").select(F.col("source_url").alias("Referring Page URL"), "dr").write.csv(f"{path}/second.csv", header=True, sep="\t")
+    rows = R.read_exports(spark, [f"{path}/first.csv", f"{path}/second.csv"])
+    got = R.pick_fields(rows, {"file": ["file"], **{k: R.ALIASES[k] for k in ("source_url", "dr", "anchor")}})
+    return got.select(F.regexp_extract("file", "/([^/]*)/[^/]*$", 1).alias("file"), "source_url", R.number(F.col("dr")).alias("dr"), "anchor")
+
+
+@query(f"WITH {BACKLINKS} SELECT source_url, target_url, dr, CASE WHEN link_id % 3 = 0 THEN TRUE WHEN link_id % 3 = 1 THEN FALSE END AS follow, CASE link_id % 4 WHEN 0 THEN 'not found' WHEN 1 THEN 'lost' END AS lost_status, CAST(link_id % 50 AS DOUBLE) AS external_links, 'en' AS language, '301,200' AS redirect_chain_status, CAST(NULL AS DOUBLE) AS ur, link_id % 2 = 0 AS ugc FROM bl")
+def b6_backlink_headers(spark, sf_dir):
+    """A backlink export under foreign headers, all fields typed."""
+    nofollow = F.when(F.col("link_id") % 3 == 0, "false").when(F.col("link_id") % 3 == 1, "true")
+    raw = backlinks(spark, sf_dir).select(
+        F.col("source_url").alias("Referrer"), F.col("target_url").alias("URL target"), F.col("dr").cast("string").alias("Ahrefs_DR"), nofollow.alias("Nofollow"),
+        F.when(F.col("link_id") % 4 == 0, "Not Found").alias("Drop reason"), F.when(F.col("link_id") % 4 == 1, "true").otherwise("false").alias("Lost"),
+        F.concat((F.col("link_id") % 50).cast("string"), F.lit(",0")).alias("External links"), F.lit(" EN ").alias("Lang"), F.lit("301,200").alias("Redirect status"), F.when(F.col("link_id") % 2 == 0, "yes").otherwise("no").alias("UGC"),
+    )
+    return R.backlink_rows(raw).select("source_url", "target_url", "dr", "follow", "lost_status", "external_links", "language", "redirect_chain_status", "ur", "ugc")
+
+
+@query("SELECT 's' || s_suppkey || '.example.com' AS domain, CAST(s_suppkey % 90 AS DOUBLE) AS dr, CAST(s_suppkey * 10 AS DOUBLE) AS backlinks_all, CAST(s_suppkey % 7 AS DOUBLE) AS ref_domains_not_followed, CAST(s_suppkey % 5 AS DOUBLE) + 0.5 AS organic_keywords_4_10, CAST(NULL AS DOUBLE) AS paid_traffic, CAST(s_suppkey % 3 AS DOUBLE) AS outgoing_links_all_time FROM supplier")
+def b6_metric_headers(spark, sf_dir):
+    """Domain metrics under foreign headers."""
+    n = lambda e: F.expr(e).cast("string")
+    raw = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("https://WWW.S"), "s_suppkey", F.lit(".example.com/x?y")).alias("Host"), n("s_suppkey % 90").alias("Domain Rating"), n("s_suppkey * 10").alias("Total Backlinks"), n("s_suppkey % 7").alias("Ref. domains / Not followed"),
+        F.concat(n("s_suppkey % 5"), F.lit(",5")).alias("Organic / Keywords (4-10)"), F.lit("n/a").alias("Paid / Traffic"), n("s_suppkey % 3").alias("outgoing_links_all_time"),
+    )
+    return R.metric_rows(raw).select("domain", "dr", "backlinks_all", "ref_domains_not_followed", "organic_keywords_4_10", "paid_traffic", "outgoing_links_all_time")
 
 
 @query(f"WITH {BACKLINKS} SELECT link_id, coalesce(nullif(trim(source_url), ''), NULL) AS source_url, dr, CAST(NULL AS VARCHAR) AS lost FROM bl")
@@ -53,6 +78,14 @@ def a2_keyword_file(spark, sf_dir):
     return got.select("keyword", R.number(F.col("frequency")).alias("frequency"))
 
 
+@query(f"WITH {KEYWORDS} SELECT keyword, CAST(sum(frequency) AS DOUBLE) AS frequency FROM kw GROUP BY keyword")
+def a2_headerless_file(spark, sf_dir):
+    """A keyword table without headers, its numbers first."""
+    path = scratch_path(spark, "keywords")
+    keywords(spark, sf_dir).groupBy("keyword").agg(F.sum("frequency").alias("n")).select("n", "keyword").write.csv(path, header=False, sep=";")
+    return R.read_keyword_table(spark, path)
+
+
 @query(f"WITH {KEYWORDS} SELECT pos, trim(replace(keyword, ',', ' ')) AS keyword, CASE WHEN pos % 3 = 2 THEN 1.0 ELSE frequency END AS frequency FROM kw")
 def a3_keyword_lines(spark, sf_dir):
     """Free text: one keyword a line, with a number in two of three."""
@@ -71,11 +104,14 @@ def a7_vitals_json(spark, sf_dir):
     return R.parse_vitals(raw)
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS rows FROM documents")
+@query(
+    """WITH d AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 400 AS part, doc_id, '{"doc_id":' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE ',"lang":"' || lang || '"' END || ',"chars":' || length(coalesce(text, '')) || '}' || chr(10) AS line FROM documents),
+p AS (SELECT part, count(*) AS rows, string_agg(line, '' ORDER BY doc_id) AS x FROM d GROUP BY 1) SELECT part, rows, CAST(octet_length(encode(x)) AS BIGINT) AS bytes, sha256(x) AS sha256 FROM p"""
+)
 def a8_chunked_json(spark, sf_dir):
-    """Documents as JSON lines in chunks; the manifest's rows in all."""
-    manifest = W.write_chunked_json(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), scratch_path(spark, "chunks"), 400)
-    return manifest.agg(F.sum("rows").alias("rows"))
+    """Facts of documents as JSON lines in chunks: the manifest, file by file."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    return W.write_chunked_json(d, scratch_path(spark, "chunks"), ["doc_id"], 400)
 
 
 @query(f"WITH {BACKLINKS}, g AS (SELECT source_domain, avg(CASE WHEN lost THEN 80.0 ELSE 20.0 END) AS score FROM bl GROUP BY 1) SELECT DISTINCT 'domain:' || source_domain AS value FROM g WHERE score >= 55")

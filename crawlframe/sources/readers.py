@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,14 +10,67 @@ from pyspark.sql import functions as F
 
 # Headers that exports use for a field, in order of preference.
 ALIASES = {
-    "source_url": ["source_url", "referring page url", "source"],
-    "target_url": ["target_url", "target url", "target"],
-    "anchor": ["anchor", "anchor text"],
-    "dr": ["dr", "domain rating"],
-    "traffic": ["traffic", "domain traffic", "organic / traffic"],
-    "follow": ["follow", "dofollow", "type"],
-    "lost": ["lost", "lost status"],
-    "http_code": ["http_code", "referring page http code"],
+    "page_title": ["referring page title", "page title", "title"],
+    "source_url": ["source_url", "referring page url", "referring_url", "source", "url_from", "from", "referrer", "referring page", "source page", "url"],
+    "target_url": ["target_url", "target url", "target", "url_to", "to", "destination", "target page", "url target"],
+    "anchor": ["anchor", "anchor_text", "text", "anchor text"],
+    "follow": ["follow", "link_type", "type", "rel", "is_dofollow", "dofollow"],
+    "nofollow": ["nofollow"],
+    "redirect_chain_status": ["redirect chain status codes", "redirect_status_codes", "redirect status", "status codes"],
+    "link_type": ["type", "link type"],
+    "platform": ["platform"],
+    "http_code": ["http_code", "referring page http code", "http code", "status"],
+    "language": ["language", "lang"],
+    "lost_status": ["lost status", "drop reason", "discovered status"],
+    "drop_reason": ["drop reason"],
+    "discovered_status": ["discovered status"],
+    "first_seen": ["first seen"],
+    "last_seen": ["last seen"],
+    "lost": ["lost"],
+    "content": ["content"],
+    "ugc": ["ugc"],
+    "sponsored": ["sponsored"],
+    "rendered": ["rendered"],
+    "raw": ["raw"],
+    "external_links": ["external links"],
+    "linked_domains": ["linked domains"],
+    "referring_domains": ["referring domains"],
+    "page_traffic": ["page traffic"],
+    "keywords": ["keywords"],
+    "author": ["author"],
+    "links_in_group": ["links in group"],
+    "left_context": ["left context"],
+    "right_context": ["right context"],
+    "redirect_chain_urls": ["redirect chain urls"],
+    "ur": ["ur", "url rating"],
+    "dr": ["dr", "domain rating", "domain_rating", "ahrefs_dr"],
+    "traffic": ["traffic", "domain traffic", "organic / traffic", "organic_traffic", "ahrefs_traffic"],
+}
+FLAGS = ["nofollow", "lost", "ugc", "sponsored", "rendered", "raw"]
+NUMBERS = ["external_links", "linked_domains", "referring_domains", "page_traffic", "keywords", "links_in_group", "ur", "dr", "traffic"]
+LOWER = ["link_type", "platform", "language", "lost_status", "drop_reason", "discovered_status", "content"]
+METRIC_ALIASES = {
+    "domain": ["domain", "target", "referring_domain", "site", "host"],
+    "dr": ["dr", "domain rating", "domain_rating", "ahrefs_dr"],
+    "traffic": ["traffic", "organic / traffic", "domain traffic", "organic_traffic", "ahrefs_traffic"],
+    "backlinks_all": ["backlinks / all", "backlinks_all", "total backlinks"],
+    "backlinks_followed": ["backlinks / followed", "backlinks_followed"],
+    "backlinks_not_followed": ["backlinks / not followed", "backlinks_not_followed"],
+    "backlinks_redirects": ["backlinks / redirects", "backlinks_redirects"],
+    "backlinks_internal": ["backlinks / internal", "backlinks_internal"],
+    "ref_domains_all": ["ref. domains / all", "ref domains all", "ref_domains_all"],
+    "ref_domains_followed": ["ref. domains / followed", "ref_domains_followed"],
+    "ref_domains_not_followed": ["ref. domains / not followed", "ref_domains_not_followed"],
+    "organic_keywords_total": ["organic / total keywords", "organic_keywords_total"],
+    "organic_keywords_top3": ["organic / keywords (top 3)", "organic_keywords_top3"],
+    "organic_keywords_4_10": ["organic / keywords (4-10)", "organic_keywords_4_10"],
+    "organic_keywords_11_20": ["organic / keywords (11-20)", "organic_keywords_11_20"],
+    "paid_keywords": ["paid / keywords", "paid_keywords"],
+    "paid_traffic": ["paid / traffic", "paid_traffic"],
+    "outgoing_domains_followed": ["outgoing domains / followed", "outgoing_domains_followed"],
+    "outgoing_domains_all_time": ["outgoing domains / all time", "outgoing_domains_all_time"],
+    "outgoing_links_followed": ["outgoing links / followed", "outgoing_links_followed"],
+    "outgoing_links_all_time": ["outgoing links / all time", "outgoing_links_all_time"],
 }
 
 
@@ -101,6 +155,55 @@ def flag(x: Column) -> Column:
     return F.when(v.isin("1", "true", "yes", "y", "on", "dofollow", "follow", "lost"), True).when(v.isin("0", "false", "no", "n", "off", "nofollow", "no-follow"), False)
 
 
+def backlink_rows(df: DataFrame) -> DataFrame:
+    """All fields of a backlink export under whatever headers it has, with flags, numbers and lower-case marks.
+
+    A link that is not said to be followed is so if it is said not to be nofollow; one that is flagged as lost has that status.
+    """
+    r = pick_fields(df, ALIASES)
+    typed = {c: flag(F.col(c)) for c in FLAGS} | {c: number(F.col(c)) for c in NUMBERS} | {c: F.lower(c) for c in LOWER}
+    r = r.withColumns(typed | {"follow": flag(F.col("follow"))})
+    return r.withColumns({"follow": F.coalesce("follow", ~F.col("nofollow")), "lost_status": F.coalesce("lost_status", F.when(F.col("lost"), "lost"))})
+
+
+def metric_rows(df: DataFrame) -> DataFrame:
+    """Domain metrics of an export under whatever headers it has, as numbers; the domain in lower case without its ``www.``."""
+    r = pick_fields(df, METRIC_ALIASES)
+    domain = F.regexp_replace(F.regexp_replace(F.lower("domain"), "^[a-z]+://", ""), "^www\\.|[/?#].*$", "")
+    return r.withColumns({c: number(F.col(c)) for c in METRIC_ALIASES if c != "domain"} | {"domain": domain})
+
+
+def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Exports with different columns as one table, each row with the ``file`` that it came from."""
+    read = [read_export(spark, p).withColumn("file", F.col("_metadata.file_path")) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+
+
+#: What the first cell of a table without headers looks like.
+_NUMERIC = r"[+-]?\d+(?:[.,]\d+)?"
+
+
+def read_keyword_table(spark: SparkSession, path: str) -> DataFrame:
+    """``(keyword, frequency)`` of a keyword table. If its first cell is a number it has no headers.
+
+    Then keywords stand in the first column that does not begin with a number, frequencies in the first that does.
+    """
+    head = _head(spark, path)
+    encoding = encoding_of(head)
+    text = head.decode(encoding, "ignore")
+    sep = separator_of(text)
+    first = next((x for x in text.lstrip("\ufeff").splitlines() if x.strip()), "")
+    cells = [c.strip().strip('"') for c in first.split(sep)]
+    if not re.fullmatch(_NUMERIC, cells[0]):
+        got = pick_fields(read_export(spark, path, sep, encoding), {"keyword": ["keyword", "query"], "frequency": ["volume", "frequency"]})
+        return got.select("keyword", number(F.col("frequency")).alias("frequency"))
+    rows = spark.read.csv(path, header=False, sep=sep, encoding=encoding, multiLine=True, mode="PERMISSIVE", escape='"')
+    texts = [i for i, c in enumerate(cells) if not re.fullmatch(_NUMERIC, c)]
+    numbers = [i for i, c in enumerate(cells) if re.fullmatch(_NUMERIC, c)]
+    keyword = F.trim(rows[rows.columns[texts[0] if texts else 0]])
+    return rows.select(keyword.alias("keyword"), number(rows[rows.columns[numbers[0]]]).alias("frequency")).where("keyword <> ''")
+
+
 def parse_keyword_lines(lines: DataFrame) -> DataFrame:
     """``lines(pos, line)`` -> ``(pos, keyword, frequency)``: a keyword and a number after tab, ; > | : or a comma, or a list."""
     line = F.trim("line")

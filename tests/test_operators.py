@@ -1,5 +1,6 @@
 """Small literal cases of the web operators."""
 
+import hashlib
 import math
 import random
 from datetime import date
@@ -202,8 +203,10 @@ def test_export_aliases_and_keyword_lines(spark):
 
 def test_sinks(spark):
     path = scratch_path(spark, "t")
-    manifest = sinks.write_chunked_json(spark.range(25).coalesce(1), path, 10)
-    assert sorted(r["rows"] for r in manifest.collect()) == [5, 10, 10]
+    manifest = sinks.write_chunked_json(spark.range(25).repartition(3), path, ["id"], 10)
+    lines = ["".join(f'{{"id":{i}}}\n' for i in range(a, min(a + 10, 25))) for a in (0, 10, 20)]
+    assert rows(manifest) == [(k, x.count("\n"), len(x), hashlib.sha256(x.encode()).hexdigest()) for k, x in enumerate(lines)]
+    assert rows(spark.read.json(path)) == sorted(((i, i // 10) for i in range(25)), key=repr)  # readers pass over the manifest
     scores = spark.createDataFrame([("b.com", 60.0), ("a.com", 90.0), ("c.com", 10.0), ("a.com", 70.0)], "domain string, score double")
     assert rows(sinks.disavow_lines(scores, 55)) == [("domain:a.com",), ("domain:b.com",)]
 
