@@ -22,6 +22,7 @@ INTENTS = {
 }
 
 
+# Stems that say nothing, prepositions.
 NOISE_STEMS = ["скачать", "скачат", "бесплатн", "download", "watch", "pdf", "torrent", "youtube", "ютуб"]
 PREPOSITIONS = ["к", "ко", "по", "для", "на", "с", "со", "в", "во", "из", "от", "до", "под", "без", "при", "о", "об", "про"]
 #: Stems that stand for a group, and the first of them, its core.

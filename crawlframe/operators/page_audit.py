@@ -148,6 +148,7 @@ DERIVED = {
     "outline": "CASE WHEN first_level IS NOT NULL AND first_level <> 1 THEN 'wrong start' WHEN h1 = 0 THEN 'missing h1' WHEN h1 > 1 THEN 'multiple h1' WHEN level_skips > 0 THEN 'level skip' ELSE 'good' END",
 }
 #: Page rules: code, severity, penalty and condition.
+# Codes, severities, penalties and limits of the page rules.
 RULES = [
     ("http_status_error", "critical", "60", "code >= 400"),
     ("missing_title", "warning", "20", "title = ''"),
@@ -179,6 +180,7 @@ RULES = [
     ("no_lists_tables_on_long_content", "info", "1", "words >= 600 AND lists = 0 AND tables = 0"),
 ]
 #: Rules of a single page with its limits as settings: code, severity and condition.
+# Limits, codes and penalties of the rules on a page's text and head.
 LIMITS = {"words_min": 300, "title_min": 30, "title_max": 60, "description_min": 120, "description_max": 160, "h1_max": 1}
 ONPAGE_RULES = [
     ("title_missing", "critical", "title = ''"),
@@ -226,6 +228,7 @@ ONPAGE_RULES = [
     ("template_repetition_high", "warning", "template_repetition >= 6"),
 ]
 #: Health of a page within its site: points by condition.
+# Points of a page's health within its site.
 HEALTH_POINTS = [
     "CASE WHEN indexable THEN 20e0 ELSE 0e0 END",
     "CASE WHEN https THEN 5e0 ELSE 0e0 END",

@@ -104,6 +104,7 @@ def b20_crawl_budget(spark, sf_dir):
     return d.withColumn("risk", F.when((F.col("params") >= 3) | (F.col("depth") >= 5), "high").when((F.col("params") >= 1) | (F.col("depth") >= 3), "medium").otherwise("low"))
 
 
+# Words of page types and of legal notices.
 _TYPES = [("product", ("product", "shop", "catalog", "товар")), ("article", ("blog", "news", "article", "post", "статья", "новост")), ("category", ("category", "catalog", "collection", "категор")), ("service", ("contact", "about", "company", "контакт", "о-компании"))]
 _LEGAL = ("privacy policy", "terms", "cookie", "политика", "условия", "согласие")
 
