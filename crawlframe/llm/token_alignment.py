@@ -19,6 +19,7 @@ come; a null id is carried; an empty table gives no rows; other columns play no
 from __future__ import annotations
 
 import contextlib
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -222,26 +223,37 @@ class Aligner:
         return out
 
 
+@contextlib.contextmanager
+def _no_garbage() -> Iterator[None]:
+    """Without Python's search for cycles, of which encoders make none: it would go through all that is remembered again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _aligned(vocabulary: str, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner.of(vocabulary, model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in in_slices(texts, SLICE_CHARS):
-                counts, digests, links = [], [], []
-                for one in aligner.align([t or "" for t in texts[start:end]]):
-                    if one is None:
-                        counts.append((0, 0, 0))
-                        digests.append("")
-                        links.append(b"")
-                        continue
-                    counts.append((one[0], one[1], len(one[3]) // 8))
-                    digests.append(hashlib.sha256(one[2]).hexdigest())
-                    links.append(one[3])
-                offsets = np.cumsum([0, *(len(x) // 8 for x in links)]).astype(np.int32)
-                codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(links), "<i8")))
-                columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), *columns, pa.array(digests, pa.string()), codes], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+        with _no_garbage():
+            aligner = Aligner.of(vocabulary, model)
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                for start, end in in_slices(texts, SLICE_CHARS):
+                    counts, digests, links = [], [], []
+                    for one in aligner.align([t or "" for t in texts[start:end]]):
+                        if one is None:
+                            counts.append((0, 0, 0))
+                            digests.append("")
+                            links.append(b"")
+                            continue
+                        counts.append((one[0], one[1], len(one[3]) // 8))
+                        digests.append(hashlib.sha256(one[2]).hexdigest())
+                        links.append(one[3])
+                    offsets = np.cumsum([0, *(len(x) // 8 for x in links)]).astype(np.int32)
+                    codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(links), "<i8")))
+                    columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), *columns, pa.array(digests, pa.string()), codes], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
     return run
 
