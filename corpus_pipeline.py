@@ -31,7 +31,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Lines whose template recurs go, and with them documents that are nothing else.
 
     A null text stays; equal texts are treated alike and count as one, so repeated rows stay as often as they came; ids play
-    no part. Templates that fit a line equally well: the first in text order.
+    no part. Tokens that are equally frequent are treated alike. Copies of one text, edited ones too, do not make its lines
+    recur, so one of its group can stay.
     """
     return line_templates.drop_recurring(docs)
 
