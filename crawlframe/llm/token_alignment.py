@@ -71,7 +71,7 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         memo, space = self.memo, self.space
         for piece, ids in zip(pieces, self._ids(pieces), strict=True):
-            if _ODD.search(piece):
+            if not piece.isalnum() and _ODD.search(piece):
                 memo[piece] = None
             elif piece[0] != "\n":
                 memo[piece] = packed(ids)
@@ -108,6 +108,13 @@ def _texts_of(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.n
     return flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the numbers x are among the sorted numbers y."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def _mixed(n: np.ndarray) -> np.ndarray:
     """Numbers spread over 64 bits."""
     n = (n.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -160,7 +167,7 @@ class Aligner:
         ids = [np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1)]
         ends = [np.cumsum(n[i]) for n, i in zip(self.sizes, ids, strict=True)]
         # The last token of a group, in either list, ends where one of the other does.
-        last = [np.isin(x, y, assume_unique=True) for x, y in (ends, ends[::-1])]
+        last = [_held(x, y) for x, y in (ends, ends[::-1])]
         links = (ids[0][last[0]] * self.base + ids[1][last[1]]).astype("<i8")
         group = [np.cumsum(x) - x for x in last]
         until = [np.concatenate([[0], np.flatnonzero(x) + 1]) for x in last]
@@ -190,7 +197,9 @@ class Aligner:
             fit = [i for i in fit if int(n[np.frombuffer(codes[side][i], "<u4")].sum()) == len(raw[i])]
         whole = np.frombuffer(b"".join([raw[i] for i in fit]), np.uint8)
         ids = [np.frombuffer(b"".join([x[i] for i in fit]), "<u4") for x in codes]
-        bad = sum(_texts_of(i, *of) != whole for i, of in zip(ids, zip(self.sizes, self.starts, self.flat, strict=True), strict=True))
+        bad = _texts_of(ids[1], self.sizes[1], self.starts[1], self.flat[1]) != whole
+        if not self.first.by_pieces:  # else every byte of a text is in a token, as it stands
+            bad |= _texts_of(ids[0], self.sizes[0], self.starts[0], self.flat[0]) != whole
         if bad.any():
             sizes = np.array([len(raw[i]) for i in fit])
             wrong = np.add.reduceat(bad, np.cumsum(sizes) - sizes) > 0
@@ -201,7 +210,8 @@ class Aligner:
             return out
         # Every text begins with a space, so its beginning is an anchor.
         starts = [np.cumsum(n[i]) - n[i] for n, i in zip(self.sizes, ids, strict=True)]
-        anchors = np.intersect1d(*[at[own[i]] for at, own, i in zip(starts, self.spaced, ids, strict=True)], assume_unique=True)
+        spaced = [at[own[i]] for at, own, i in zip(starts, self.spaced, ids, strict=True)]
+        anchors = spaced[0][_held(*spaced)]
         cuts = [np.append(np.searchsorted(at, anchors), len(at)) for at in starts]
         a, b = (b"".join([x[i] for i in fit]) for x in codes)
         first, same = repeated_windows(ids, cuts)
