@@ -144,7 +144,7 @@ _CYRILLIC = "ссылка"
 
 @query(f"WITH {BACKLINKS} SELECT source_url, anchor || ' {_CYRILLIC}' AS anchor, dr FROM bl")
 def a1_sniffed_export(spark, sf_dir):
-    """An export in a Windows code page with tabs: both are told from its first bytes."""
+    """An export in a Windows code page with tabs, both of which are told from what is written."""
     path = scratch_path(spark, "sniffed")
     links = backlinks(spark, sf_dir).select(F.col("source_url").alias("Referring page URL"), F.concat_ws(" ", "anchor", F.lit(_CYRILLIC)).alias("Anchor text"), F.col("dr").alias("Domain rating"))
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")

@@ -109,6 +109,17 @@ def encoding_of(head: bytes) -> str:
     return "windows-1251"
 
 
+def told_encoding(spark: SparkSession, path: str, head: bytes) -> str:
+    """By the first bytes; where these are plain ASCII, which code pages share, by whether all lines are UTF-8.
+
+    The first file may hold a header only, or no other letters for long.
+    """
+    found = encoding_of(head)
+    if found == "UTF-8" and head.isascii() and spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count():
+        return "windows-1251"
+    return found
+
+
 def separator_of(head: str) -> str:
     """What parts the first line that is not empty: a tab if no other mark is more frequent, else the most frequent one."""
     line = next((x for x in head.lstrip("\ufeff").splitlines() if x.strip()), "")
@@ -118,11 +129,11 @@ def separator_of(head: str) -> str:
 def read_export(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
     """An export as strings; malformed rows are kept with what could be read.
 
-    Encoding and separator that are not given are told from the first bytes.
+    Encoding and separator that are not given are told from the first bytes, or from all lines where these do not tell.
     """
     if sep is None or encoding is None:
         head = _head(spark, path)
-        encoding = encoding or encoding_of(head)
+        encoding = encoding or told_encoding(spark, path, head)
         sep = sep or separator_of(head.decode(encoding, "ignore"))
     if encoding.lower() not in OWN_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # other code pages, as exports have them
@@ -189,7 +200,7 @@ def read_keyword_table(spark: SparkSession, path: str) -> DataFrame:
     Then keywords stand in the first column that does not begin with a number, frequencies in the first that does.
     """
     head = _head(spark, path)
-    encoding = encoding_of(head)
+    encoding = told_encoding(spark, path, head)
     text = head.decode(encoding, "ignore")
     sep = separator_of(text)
     first = next((x for x in text.lstrip("\ufeff").splitlines() if x.strip()), "")

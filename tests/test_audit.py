@@ -140,6 +140,17 @@ def test_merge_pass_joins_similar_leaders(spark):
     assert set(reps) == set(summary)
 
 
+@pytest.mark.parametrize("encoding", ["windows-1251", "utf-8"])
+def test_encoding_of_an_export_whose_first_bytes_are_ascii(spark, tmp_path, encoding):
+    (tmp_path / "part-0.csv").write_text("Anchor text\tDomain rating\n")  # a first part without rows
+    (tmp_path / "part-1.csv").write_text("Anchor text\tDomain rating\n" + "plain\t1\n" * 2000 + "ссылка\t2\n", encoding=encoding)
+    got = readers.read_export(spark, str(tmp_path))
+    assert got.count() == 2001 and got.where("`Domain rating` = '2'").first()[0] == "ссылка"
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.csv").write_text("1;plain\n" * 2000 + "2;ссылка\n", encoding=encoding)
+    assert readers.read_keyword_table(spark, str(tmp_path / "lines")).where("frequency = 2").first()[0] == "ссылка"
+
+
 def test_encodings_and_separators():
     assert readers.encoding_of("é".encode()) == "UTF-8" and readers.encoding_of("ссылка".encode("cp1251")) == "windows-1251"
     assert readers.encoding_of("ab".encode("utf-16")) == "UTF-16" and readers.encoding_of("abcd".encode("utf-16-le")) == "UTF-16LE"
