@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlframe.functions.common import rnd, rnd_sql
+from crawlframe.functions.common import exact_mean, exact_mean_sql, rnd, rnd_sql
 from crawlframe.plans.adapters import BACKLINKS, KEYWORDS, backlinks, keywords
 from crawlframe.plans.event_queries import VITALS, vitals
 from crawlframe.plans.registry import query, table
@@ -207,10 +207,10 @@ def a7_field_vitals(spark, sf_dir):
     return R.parse_field_vitals(raw.select("site", F.to_json(F.struct(F.col("e").alias("loadingExperience"), F.col("e").alias("originLoadingExperience"))).alias("raw")))
 
 
-@query(f"WITH {VITALS}, g AS (SELECT site, metric, {rnd_sql('least(1.0, avg(value) / 5000.0)', 2)} AS v FROM vt WHERE metric IN ('lcp', 'fcp') GROUP BY 1, 2) SELECT site, CASE metric WHEN 'lcp' THEN 'performance' ELSE 'seo' END AS category, v * 100.0 AS score FROM g")
+@query(f"WITH {VITALS}, g AS (SELECT site, metric, {rnd_sql(f"least(1.0, ({exact_mean_sql('value')}) / 5000.0)", 2)} AS v FROM vt WHERE metric IN ('lcp', 'fcp') GROUP BY 1, 2) SELECT site, CASE metric WHEN 'lcp' THEN 'performance' ELSE 'seo' END AS category, v * 100.0 AS score FROM g")
 def a7_category_scores(spark, sf_dir):
     """Scores of all categories of JSON reports."""
-    g = vitals(spark, sf_dir).where("metric in ('lcp', 'fcp')").groupBy("site", "metric").agg(rnd(F.least(F.lit(1.0), F.avg("value") / 5000.0), 2).alias("v"))
+    g = vitals(spark, sf_dir).where("metric in ('lcp', 'fcp')").groupBy("site", "metric").agg(rnd(F.least(F.lit(1.0), exact_mean(F.col("value")) / 5000.0), 2).alias("v"))
     entry = F.struct(F.when(F.col("metric") == "lcp", "performance").otherwise("seo").alias("name"), F.struct(F.col("v").alias("score")).alias("s"))
     raw = g.groupBy("site").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("categories"))).alias("raw"))
     return R.category_scores(raw)

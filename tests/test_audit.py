@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from crawlframe.functions import common
 from crawlframe.functions.rules import issues
 from crawlframe.operators import corpus, graph, html, keywords, markup, page_audit, sampling, site_files
 from crawlframe.sources import readers
@@ -151,6 +152,45 @@ def test_encoding_of_an_export_whose_first_bytes_are_ascii(spark, tmp_path, enco
     assert readers.read_keyword_table(spark, str(tmp_path / "lines")).where("frequency = 2").first()[0] == "ссылка"
 
 
+def test_exact_means_do_not_depend_on_the_order(spark):
+    values = [(0, 0.1)] * 300 + [(0, 1e6 + 0.25)] * 300 + [(1, 0.7)] * 7 + [(1, None), (2, None), (3, 2e7), (3, 1.0), (4, -2.5), (4, float("nan"))]
+    import duckdb
+
+    con, want = duckdb.connect(), {0: 500000.175, 1: 0.7, 2: None, 3: 10000000.5}
+    for seed in range(3):
+        random.Random(seed).shuffle(values)
+        got = dict(spark.createDataFrame(values, "g int, v double").repartition(3).groupBy("g").agg(common.exact_mean(F.col("v"))).collect())
+        assert {k: v for k, v in got.items() if k < 4} == want and got[4] != got[4]
+        con.execute("create or replace table t (g int, v double)").executemany("insert into t values (?, ?)", values)
+        assert {k: v for k, v in con.execute(f"select g, {common.exact_mean_sql('v')} from t where g < 4 group by g").fetchall()} == want
+
+
+@pytest.mark.parametrize("name", ["a7_category_scores"])
+def test_means_at_ties_equal_the_sql(spark, tmp_path, name):
+    """Means that lie on a boundary of rounding, of values whose plain sums miss it in one order or the other."""
+    import duckdb
+
+    from crawlframe.plans import registry
+
+    rows = []
+    for site in range(40):
+        for kind, mean in (("click", 35.4 if site % 2 else 37.5), ("error", 50.0), ("view", 52.5), ("purchase", 43.125)):
+            spread = [random.Random(site).randrange(1, 3000) / 100 for _ in range(200)]
+            spread += [-x for x in spread]
+            spread[0] += 0.004 if kind == "error" else 0.0  # a mean of 250.00005
+            rows += [(len(rows) + i, site, kind, round(mean + d, 3), '{"k": 1}') for i, d in enumerate(spread)]
+    random.Random(5).shuffle(rows)
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.lit("2024-01-20").cast("timestamp")).repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()[name])
+    names = sorted(c[0] for c in want.description)
+    at = [[c[0] for c in want.description].index(n) for n in names]
+    got = registry.queries()[name](spark, str(tmp_path))
+    assert sorted(map(repr, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
 def test_encodings_and_separators():
     assert readers.encoding_of("é".encode()) == "UTF-8" and readers.encoding_of("ссылка".encode("cp1251")) == "windows-1251"
     assert readers.encoding_of("ab".encode("utf-16")) == "UTF-16" and readers.encoding_of("abcd".encode("utf-16-le")) == "UTF-16LE"
