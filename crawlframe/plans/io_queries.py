@@ -197,10 +197,10 @@ def a6_sitemap_files(spark, sf_dir):
     return got.select("loc", "lastmod", "changefreq", F.array_join(F.transform("alternates", lambda a: F.concat_ws(">", a["lang"], a["target"])), ",").alias("alternates"), F.array_join("images", ",").alias("images"))
 
 
-@query(f"WITH {VITALS}, g AS (SELECT site, metric, floor(avg(value)) AS p FROM vt WHERE metric IN ('lcp', 'cls') GROUP BY 1, 2) SELECT site, scope, metric, CASE WHEN metric = 'cls' THEN p / 100.0::DOUBLE ELSE p END AS percentile, CASE WHEN p > 2500 THEN 'slow' ELSE 'fast' END AS category FROM g, (VALUES ('page'), ('origin')) AS s(scope)")
+@query(f"WITH {VITALS}, g AS (SELECT site, metric, floor({exact_mean_sql('value')}) AS p FROM vt WHERE metric IN ('lcp', 'cls') GROUP BY 1, 2) SELECT site, scope, metric, CASE WHEN metric = 'cls' THEN p / 100.0::DOUBLE ELSE p END AS percentile, CASE WHEN p > 2500 THEN 'slow' ELSE 'fast' END AS category FROM g, (VALUES ('page'), ('origin')) AS s(scope)")
 def a7_field_vitals(spark, sf_dir):
     """Experience in the field, of the page and of its origin, from JSON reports."""
-    g = vitals(spark, sf_dir).where("metric in ('lcp', 'cls')").groupBy("site", "metric").agg(F.floor(F.avg("value")).cast("double").alias("p"))
+    g = vitals(spark, sf_dir).where("metric in ('lcp', 'cls')").groupBy("site", "metric").agg(F.floor(exact_mean(F.col("value"))).cast("double").alias("p"))
     name = F.when(F.col("metric") == "lcp", "LARGEST_CONTENTFUL_PAINT_MS").otherwise("CUMULATIVE_LAYOUT_SHIFT_SCORE")
     entry = F.struct(name.alias("name"), F.struct(F.col("p").alias("percentile"), F.when(F.col("p") > 2500, "SLOW").otherwise("FAST").alias("category")).alias("m"))
     raw = g.groupBy("site").agg(F.map_from_entries(F.collect_list(entry)).alias("metrics")).withColumn("e", F.struct("metrics"))
