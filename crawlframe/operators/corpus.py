@@ -143,21 +143,51 @@ def simhash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).alias("n_words")).join(hashes, "doc_id", "left").withColumn("simhash", F.coalesce("simhash", F.lit(0).cast("long")))
 
 
-def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int = 9) -> DataFrame:
-    """Pairs of ``(doc_id, simhash)`` within a Hamming distance, as pairs of different hashes and ``(a, b, distance)``.
+def _near_hashes(distinct: DataFrame, most: int, blocks: int) -> DataFrame:
+    """``(a, b, ca, cb, distance)``: pairs of ``distinct(doc_id, simhash, copies)`` within a Hamming distance, each once.
 
     The hash is cut into blocks; two hashes within the distance agree on blocks - most of them at least, so an equi-join on
-    every choice of that many blocks finds all pairs. Equal hashes are collapsed first.
+    every choice of that many blocks finds all pairs. A pair is taken at the first blocks that it agrees on and at no other
+    choice, so that pairs need not be shuffled to make them distinct: what is shuffled grows with the hashes alone.
     """
-    distinct = hashes.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("simhash", lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long")) for lo, hi in zip(edges, edges[1:], strict=False)]
-    keys = F.array(*[F.xxhash64(F.lit(j), *[part[i] for i in chosen]) for j, chosen in enumerate(combinations(range(blocks), blocks - most))])
-    keyed = distinct.select("simhash", "doc_id", F.explode(keys).alias("key"))
-    a = keyed.select("key", F.col("doc_id").alias("a"), F.col("simhash").alias("ha"))
-    b = keyed.select("key", F.col("doc_id").alias("b"), F.col("simhash").alias("hb"))
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.cast("int").alias("distance")).distinct()
+    spans = list(zip(edges, edges[1:], strict=False))
+    part = lambda x, lo, hi: F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long"))
+
+    def choice(chosen: tuple[int, ...]) -> Column:
+        # Named by the blocks before its last one that it leaves out: a pair that agrees on one of these was found by another choice.
+        left_out, bits = sum(1 << i for i in range(chosen[-1]) if i not in chosen), F.lit(0).cast("long")
+        for lo, hi in (spans[i] for i in chosen):
+            bits = F.shiftleft(bits, hi - lo).bitwiseOR(part(F.col("simhash"), lo, hi))
+        return F.struct(F.lit(left_out).alias("left_out"), bits.alias("bits"))
+
+    keyed = distinct.select("simhash", "doc_id", "copies", F.explode(F.array(*[choice(c) for c in combinations(range(blocks), blocks - most)])).alias("k"))
+    a, b = (keyed.select("k.left_out", "k.bits", F.col("doc_id").alias(x), F.col("simhash").alias(f"h{x}"), F.col("copies").alias(f"c{x}")) for x in "ab")
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    found = a.join(b, ["left_out", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= most))
+    for i, (lo, hi) in enumerate(spans[:-1]):
+        found = found.where((F.col("left_out").bitwiseAND(F.lit(1 << i)) == 0) | (part(differ, lo, hi) != 0))
+    return found.select("a", "b", "ca", "cb", F.bit_count(differ).cast("int").alias("distance"))
+
+
+def _different(hashes: DataFrame) -> DataFrame:
+    return hashes.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int = 9) -> DataFrame:
+    """Pairs of ``(doc_id, simhash)`` within a Hamming distance, as pairs of different hashes and ``(a, b, distance)``."""
+    return _near_hashes(_different(hashes), most, blocks).select("a", "b", "distance")
+
+
+def hamming_neighbours(hashes: DataFrame, most: int = 6, blocks: int = 9) -> DataFrame:
+    """``(doc_id, copies, neighbours)`` of each different hash: rows that have it, and other rows within the distance.
+
+    Copies are added up where the pairs are found, so no pairs are shuffled.
+    """
+    k = _different(hashes)
+    ends = F.array(F.struct(F.col("a").alias("doc_id"), F.col("cb").alias("c")), F.struct(F.col("b").alias("doc_id"), F.col("ca").alias("c")))
+    near = _near_hashes(k, most, blocks).select(F.explode(ends).alias("e")).groupBy("e.doc_id").agg(F.sum("e.c").alias("near"))
+    return k.join(near, "doc_id", "left").select("doc_id", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("neighbours"))
 
 
 def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, most: int | None = None) -> DataFrame:

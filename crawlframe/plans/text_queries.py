@@ -383,16 +383,15 @@ u AS (SELECT simhash, min(doc_id) AS doc_id FROM hh WHERE n_words >= 80 AND simh
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM u a JOIN u b ON a.doc_id < b.doc_id AND bit_count(xor(a.simhash, b.simhash)) <= 6)"""
 
 
-def _near(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Hashes of documents of 80 words and more, and near pairs of different hashes."""
-    hashes = corpus.simhash(docs(spark, sf_dir)).where("n_words >= 80 and simhash <> 0")
-    return hashes, corpus.hamming_pairs(hashes)
+def _hashes(spark, sf_dir) -> DataFrame:
+    """Hashes of documents of 80 words and more, written once."""
+    return cut(corpus.simhash(docs(spark, sf_dir)).where("n_words >= 80 and simhash <> 0"))
 
 
 @query(f"WITH {_SIMHASH} SELECT * FROM pairs")
 def c10_near_duplicates(spark, sf_dir):
     """Pairs of different similarity hashes at most six bits apart; equal hashes stand for each other."""
-    return _near(spark, sf_dir)[1]
+    return corpus.hamming_pairs(corpus.simhash(docs(spark, sf_dir)).where("n_words >= 80 and simhash <> 0"))
 
 
 @query(
@@ -403,12 +402,7 @@ SELECT k.doc_id, copies, CAST(copies - 1 + coalesce(near, 0) AS BIGINT) AS neigh
 )
 def i6_duplicate_groups(spark, sf_dir):
     """How many documents are near each different hash that has any."""
-    hashes, pairs = _near(spark, sf_dir)
-    k = hashes.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("simhash")
-    both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("o")).union(pairs.select("b", "a"))
-    near = both.join(k.select(F.col("doc_id").alias("o"), F.col("copies").alias("c")), "o").groupBy("doc_id").agg(F.sum("c").alias("near"))
-    found = k.join(near, "doc_id", "left").where("copies > 1 or near > 0")
-    return found.select("doc_id", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("neighbours"))
+    return corpus.hamming_neighbours(_hashes(spark, sf_dir)).where("neighbours > 0")
 
 
 @query(

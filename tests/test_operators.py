@@ -136,6 +136,22 @@ def test_hamming_pairs_find_all(spark):
     assert rows(corpus.hamming_pairs(df)) == want
 
 
+def test_near_hashes_shuffle_no_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    base = rng.getrandbits(62)
+    values = [base ^ sum(1 << i for i in rng.sample(range(62), 3)) for _ in range(60)] + [base, base]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, simhash long")
+    pairs = corpus.hamming_pairs(df)
+    assert len(rows(pairs)) == len(set(values)) * (len(set(values)) - 1) // 2
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    first = {v: values.index(v) for v in values}
+    near = lambda v: sum(0 < (v ^ w).bit_count() <= 6 for w in values)
+    assert sorted(rows(corpus.hamming_neighbours(df))) == sorted((i, values.count(v), values.count(v) - 1 + near(v)) for v, i in first.items())
+
+
 def test_group_shares_need_no_window_over_all_groups(spark):
     e = spark.createDataFrame([("a", 30), ("b", 30), ("c", 20)], "norm string, demand long")
     assigned = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "norm string, leader string")
