@@ -391,7 +391,7 @@ def _hashes(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_SIMHASH} SELECT * FROM pairs")
 def c10_near_duplicates(spark, sf_dir):
     """Pairs of different similarity hashes at most six bits apart; equal hashes stand for each other."""
-    return corpus.hamming_pairs(corpus.simhash(docs(spark, sf_dir)).where("n_words >= 80 and simhash <> 0"))
+    return corpus.hamming_pairs(_hashes(spark, sf_dir))
 
 
 @query(
