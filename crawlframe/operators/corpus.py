@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -75,50 +76,106 @@ def top_terms(docs: DataFrame, terms: Column, n: int, k: int) -> DataFrame:
     return best.select("doc_id", (F.col("pos") + 1).alias("rank"), "o.term", F.col("o.n").alias("count"), rnd(F.col("o.n") / F.col("total") * 100.0, 3).alias("pct"))
 
 
-#: Frequent terms of a document up to which its sets of them are listed: 4,095 sets at most.
+#: Frequent terms of a document up to which sets of them are looked for.
 LISTED_TERMS = 12
 
 
+def _named(terms: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(terms, "\u0001")))
+
+
+def _frequent_sets(classes: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Two frames ``(cid, key, size)``: sets of ``often`` terms of more than ``rare`` documents, and the smallest ones of fewer.
+
+    Sets grow by one term a round, where all sets of one term less are frequent; one that is not grows no further. A set is a
+    bit mask over the class's terms. Sets of a single class are left out.
+    """
+    bits = F.transform("often", lambda x, i: F.pow(F.lit(2), i).cast("long"))
+    known = lambda s: F.forall("bits", lambda b: (s.bitwiseAND(b) == 0) | F.array_contains("masks", s - b))
+    grown = F.flatten(F.transform("masks", lambda m: F.transform(F.filter("bits", lambda b: (b > m) & known(m + b)), lambda b: m + b)))
+    key = _named(F.filter("often", lambda x, i: F.getbit("m", i) == 1))
+    classes = classes.select("cid", "n", "often", bits.alias("bits"))
+    front, size, levels = classes.select("cid", "n", "often", F.explode("bits").alias("m")), 1, []
+    while True:
+        front = cut(front.select("cid", "n", "m", key.alias("key")))
+        if not front.limit(1).count():
+            break
+        held = front.groupBy("key").agg(F.sum("n").alias("docs"), F.count("*").alias("classes")).where("classes > 1").select("key", "docs")
+        found = cut(front.join(held, "key").select("cid", "key", "m", F.lit(size).alias("size"), (F.col("docs") > rare).alias("frequent")))
+        levels.append(found)
+        front = classes.join(found.where("frequent").groupBy("cid").agg(F.collect_list("m").alias("masks")), "cid").select("cid", "n", "often", F.explode(grown).alias("m"))
+        size += 1
+    every = reduce(DataFrame.union, levels) if levels else classes.select("cid", F.lit(b"").alias("key"), F.lit(0).alias("m"), F.lit(0).alias("size"), F.lit(False).alias("frequent")).limit(0)
+    return tuple(every.where(c).select("cid", "key", "size") for c in ("frequent", "not frequent"))
+
+
+def _shared(own: Column, others: Column, least: Column, k: int) -> Column:
+    """The k best ids of ``others(ids, terms)`` as ``(less, id, anchor)`` by terms shared with ``own``, from ``least`` on."""
+    met = F.transform(others, lambda o: F.struct(o["ids"].alias("ids"), F.array_intersect(own, o["terms"]).alias("both")))
+    met = F.transform(F.filter(met, lambda p: F.size(p["both"]) >= least), lambda p: F.struct(p["ids"].alias("ids"), (-F.size(p["both"])).alias("less"), F.array_min(p["both"]).alias("anchor")))
+    return F.slice(F.sort_array(F.flatten(F.transform(met, lambda p: F.transform(p["ids"], lambda i: F.struct(p["less"].alias("less"), i.alias("id"), p["anchor"].alias("anchor")))))), 1, k)
+
+
 def semantic_links(terms: DataFrame, k: int = 20, rare: int = 50, listed: int = LISTED_TERMS) -> DataFrame:
     """Pairs of documents that share terms of ``terms(doc_id, term)``; the k with the most for each, lower ids first of equals.
 
-    Exact without all pairs of a frequent term. Documents with a common term of at most ``rare`` documents are paired by it.
-    What else could be among a document's k best shares frequent terms only; of all documents that hold a set of frequent
-    terms, only the k + 1 with the lowest ids can be, as these share at least as much. So each set of a document's frequent
-    terms is looked up in a list of k + 1 ids. A set is listed only if another document holds each pair of its terms, so that
-    where little is shared there are few sets. Documents with more than ``listed`` frequent terms are counted against all that
-    share one of these, in sums by pair, since their sets would be too many.
+    Exact without all pairs of a frequent term. Documents with the same terms are one class, of which the k + 1 lowest ids count.
+    Classes meet in groups of at most ``rare`` documents: by a rare term, or by the smallest sets of frequent terms that so few
+    hold. What else could be among a class's k best shares a set that more hold. Its largest such sets say how many terms the k
+    best share at least, so these sets alone are looked up, in lists of the k + 1 lowest ids, and whatever shares less is left
+    out where it is met. No pairs are shuffled, but each class's k + 1 best of a group. Documents with more than ``listed``
+    frequent terms are counted against all that share one of these, in sums by pair, since their sets would be too many.
     """
+    rare = max(rare, k)
     t = cut(terms.select("doc_id", "term").distinct())
     df = cut(t.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"))
-    t = cut(t.join(df, "term"))
-    sets = cut(t.groupBy("doc_id").agg(F.collect_set("term").alias("terms"), F.array_sort(F.collect_set(F.when(F.col("df") > rare, F.col("term")))).alias("often")))
-    few = t.where(F.col("df") <= rare)
-    near = few.select(F.col("doc_id").alias("src"), "term").join(few.select(F.col("doc_id").alias("dst"), "term"), "term").where("src <> dst").select("src", "dst")
-    own = sets.where((F.size("often") > 0) & (F.size("often") <= listed)).select("doc_id", "often")
-    two = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.concat_ws("\u0001", x, y))))
-    held = cut(own.select("doc_id", F.explode(two).alias("two")))
-    shared = cut(held.groupBy("two").agg(F.count("*").alias("n")).where("n > 1").select("two"))
-    kept = held.join(shared, "two").groupBy("doc_id").agg(F.collect_set("two").alias("kept"))
-    own = own.join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<string>")))
-    joins = lambda x: lambda s: F.forall(s, lambda y: F.array_contains("kept", F.concat_ws("\u0001", y, x)))
-    subsets = F.aggregate("often", F.array(F.array().cast("array<string>")), lambda found, x: F.concat(found, F.transform(F.filter(found, joins(x)), lambda s: F.array_append(s, x))))
-    keyed = own.select("doc_id", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("held"))
-    lists = cut(top_k(keyed, ["held"], [F.asc("doc_id")], k + 1).select("held", F.col("doc_id").alias("dst")))
-    far = keyed.select(F.col("doc_id").alias("src"), "held").join(lists, "held").where("src <> dst").select("src", "dst")
+    t = t.join(df, "term")
+    sets = t.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("terms"), F.array_sort(F.collect_list(F.when(F.col("df") > rare, F.col("term")))).alias("often"))
+    sets = cut(sets.withColumn("name", _named(F.col("terms"))))
+    lowest = top_k(sets.select("name", "doc_id"), ["name"], [F.asc("doc_id")], k + 1).groupBy("name").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    alike = sets.groupBy("name").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n"))
+    classes = alike.join(lowest, "name").join(sets.select(F.col("doc_id").alias("cid"), "terms", "often"), "cid")
+    classes = cut(classes.withColumn("rares", F.array_except("terms", "often")))
+    frequent, few = _frequent_sets(classes.where(F.size("often") <= listed), rare)
+    least = frequent.groupBy("cid").agg(F.max("size").alias("least"))
+    asked = cut(frequent.join(least, "cid").where("size = least").select("cid", "key"))
+    classes = cut(classes.join(least, "cid", "left").withColumn("least", F.coalesce("least", F.lit(1))))
+
+    member = F.struct("cid", "ids", "terms", "rares", "least", "by")
+    grouped = classes.withColumn("by", F.explode("rares")).select(_named(F.array("by")).alias("key"), member.alias("c"))
+    grouped = grouped.union(few.join(classes, "cid").withColumn("by", F.lit(None).cast("string")).select("key", member.alias("c")))
+    # Two classes meet by the first rare term that they share; by frequent ones only where they share no rare one.
+    first = lambda a, b: F.when(a["by"].isNull(), ~F.arrays_overlap(a["rares"], b["rares"])).otherwise(F.array_min(F.array_intersect(a["rares"], b["rares"])) == a["by"])
+    grouped = grouped.groupBy("key").agg(F.collect_list("c").alias("g")).where(F.size("g") > 1)
+    met = lambda a: _shared(a["terms"], F.filter("g", lambda b: (b["cid"] != a["cid"]) & first(a, b)), a["least"], k + 1)
+    near = grouped.select(F.explode(F.transform("g", lambda a: F.struct(a["cid"].alias("cid"), met(a).alias("best")))).alias("r")).select("r.cid", "r.best")
+
+    holders = frequent.select("cid", "key").join(asked.select("key").distinct(), "key", "left_semi")
+    lists = top_k(holders, ["key"], [F.asc("cid")], k + 1).join(classes.select("cid", "ids", "terms"), "cid")
+    lists = cut(lists.groupBy("key").agg(F.collect_list(F.struct("ids", "terms")).alias("others")))
+    far = cut(asked.join(classes.select("cid", "terms", "least"), "cid")).join(lists, "key")
+    far = far.select("cid", _shared(F.col("terms"), F.col("others"), F.col("least"), k + 1).alias("best"))
+
+    own = classes.select("cid", _shared(F.col("terms"), F.array(F.struct("ids", "terms")), F.lit(1), k + 1).alias("best"))
+    best = near.union(far).where(F.size("best") > 0).union(own)
+    best = best.groupBy("cid").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
+    once = F.zip_with("best", F.slice("best", F.lit(2), F.size("best")), lambda x, y: F.when(y.isNull() | (x != y), x))
+    best = cut(best.select("cid", F.slice(F.filter(once, lambda x: x.isNotNull()), 1, k + 1).alias("best")))
+    of = cut(sets.select("doc_id", "name").join(alike.select("name", "cid"), "name").select(F.col("doc_id").alias("src"), "cid"))
+    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("src")), 1, k)
+    found = of.join(best, "cid").select("src", F.posexplode(others).alias("pos", "b"))
+    found = found.select("src", F.col("b.id").alias("dst"), (-F.col("b.less")).cast("long").alias("relevance"), F.col("b.anchor").alias("suggested_anchor"), (F.col("pos") + 1).alias("rank"))
     many = cut(sets.where(F.size("often") > listed).select("doc_id", F.explode("often").alias("term")))
-    if many.limit(1).count():
-        often = t.where(F.col("df") > rare).select(F.col("doc_id").alias("b"), "term")
-        met = many.select(F.col("doc_id").alias("a"), "term").join(often, "term").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-        met = cut(met)
-        # Either of the two may be the one whose best are asked for.
-        best = [top_k(met.select(F.col(x).alias("src"), F.col(y).alias("dst"), "n"), ["src"], [F.desc("n"), F.asc("dst")], k).select("src", "dst") for x, y in (("a", "b"), ("b", "a"))]
-        far = far.union(best[0]).union(best[1])
-    pairs = near.union(far).distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("terms").alias("a")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("terms").alias("b")), "dst")
+    if not many.limit(1).count():
+        return found
+    often = sets.select(F.col("doc_id").alias("b"), F.explode("often").alias("term"))
+    met = cut(many.select(F.col("doc_id").alias("a"), "term").join(often, "term").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")))
+    # Either of the two may be the one whose best are asked for.
+    pairs = [top_k(met.select(F.col(x).alias("src"), F.col(y).alias("dst"), "n"), ["src"], [F.desc("n"), F.asc("dst")], k).select("src", "dst") for x, y in (("a", "b"), ("b", "a"))]
+    both = pairs[0].union(pairs[1]).distinct().join(sets.select(F.col("doc_id").alias("src"), F.col("terms").alias("a")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("terms").alias("b")), "dst")
     shared = F.array_intersect("a", "b")
-    found = both.select("src", "dst", F.size(shared).cast("long").alias("relevance"), F.array_min(shared).alias("suggested_anchor"))
-    return top_k(found, ["src"], [F.desc("relevance"), F.asc("dst")], k)
+    more = both.select("src", "dst", F.size(shared).cast("long").alias("relevance"), F.array_min(shared).alias("suggested_anchor"))
+    return top_k(found.drop("rank").union(more).distinct(), ["src"], [F.desc("relevance"), F.asc("dst")], k)
 
 
 def topic_labels(links: DataFrame, terms: DataFrame, docs: DataFrame, hub_links: int = 3) -> DataFrame:

@@ -248,6 +248,19 @@ def test_semantic_links_equal_all_pairs_where_terms_are_frequent(spark, n, words
         assert [(r.dst, r.relevance, r.suggested_anchor) for r in sorted(got, key=lambda r: r.rank) if r.src == d] == [(e, -m, a) for m, e, a in best], d
 
 
+def test_sets_of_frequent_terms_stop_where_few_hold_them(spark):
+    # All pairs of frequent terms are shared, no three terms are: a document's sets must not be all of its terms' subsets.
+    spans = [(i, j) for i in range(10) for j in range(i)]
+    rows = [(n, f"n{n}", [f"w{i}", f"w{j}"]) for n, (i, j) in enumerate(spans * 2)] + [(900, "x", [f"w{i}" for i in range(10)]), (901, "y", [f"w{i}" for i in range(10)])]
+    classes = spark.createDataFrame([(n, 1, sorted(often)) for n, _, often in rows], "cid long, n long, often array<string>")
+    frequent, few = corpus._frequent_sets(classes, 3)
+    assert sorted((r["size"], r["count"]) for r in frequent.groupBy("size").count().collect()) == [(1, 200), (2, 180)]
+    assert [(r["size"], r["count"]) for r in few.groupBy("size").count().collect()] == [(3, 240)]
+    links = corpus.semantic_links(spark.createDataFrame([(n, t) for n, _, often in rows for t in often], "doc_id long, term string"), k=3, rare=3)
+    got = {n: [(r.dst, r.relevance) for r in sorted(links.where(f"src = {n}").collect(), key=lambda r: r["rank"])] for n in (0, 900)}
+    assert got == {0: [(45, 2), (900, 2), (901, 2)], 900: [(901, 10), (0, 2), (1, 2)]}
+
+
 def test_best_matches_equal_the_join_of_all(spark):
     rng = random.Random(3)
     words = [a + b + c for a in "bcdfg" for b in "aei" for c in "klmn"]
