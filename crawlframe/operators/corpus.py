@@ -17,19 +17,19 @@ from crawlframe.operators.graph import cut
 from crawlframe.sources.shipping import ship
 
 
-def term_arrays(docs: DataFrame, terms: Column) -> DataFrame:
-    """``(doc_id, total, counted)``: the different terms of each document as an array of ``(term, n, first)``.
+def term_arrays(docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """``(doc_id, total, counted)`` and columns to keep: the different terms of each document as an array of ``(term, n, first)``.
 
     Terms are counted inside the row: sorted with their positions, equal ones lie side by side. Nothing is shuffled.
     """
-    rows = docs.select("doc_id", terms.alias("t"))
+    rows = docs.select("doc_id", *keep, terms.alias("t"))
     placed = F.sort_array(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
-    rows = rows.select("doc_id", F.coalesce(F.size("t"), F.lit(0)).alias("total"), placed.alias("s"))
+    rows = rows.select("doc_id", *keep, F.coalesce(F.size("t"), F.lit(0)).alias("total"), placed.alias("s"))
     fresh = lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])
     begins = F.when(F.col("total") > 0, F.filter(F.sequence(F.lit(0), F.col("total") - 1), fresh)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("doc_id", "total", "s", begins.alias("b"))
+    rows = rows.select("doc_id", *keep, "total", "s", begins.alias("b"))
     one = lambda i, k: F.struct(F.get("s", i)["term"].alias("term"), (F.coalesce(F.get("b", k + 1), F.col("total")) - i).cast("long").alias("n"), F.get("s", i)["pos"].alias("first"))
-    return rows.select("doc_id", "total", F.transform("b", one).alias("counted"))
+    return rows.select("doc_id", *keep, "total", F.transform("b", one).alias("counted"))
 
 
 def term_counts(docs: DataFrame, terms: Column) -> DataFrame:

@@ -174,20 +174,25 @@ def h8_style_metrics(spark, sf_dir):
     """Hedging, stock phrases, variation of sentence lengths, entropy and density of figures."""
     x = F.col("text")
     d = docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"), "text", T.tokens(x).alias("t"), F.transform(T.sentences(x), lambda s: F.size(T.words(s))).alias("sl"), F.size(T.words(x)).alias("n"))
-    c = d.select("doc_id", F.explode("t").alias("x")).groupBy("doc_id", "x").count()
-    e = c.groupBy("doc_id").agg(F.count("*").alias("kinds"), F.sum("count").alias("total"), F.sum(F.col("count") * F.log("count")).alias("clogc"))
-    total = F.aggregate("sl", F.lit(0.0), lambda s, v: s + v)
-    mean = total / F.greatest(F.lit(1), F.size("sl"))
-    square = F.aggregate("sl", F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.greatest(F.lit(1), F.size("sl"))
-    entropy = (F.log("total") - F.col("clogc") / F.col("total")) / F.log(F.lit(2.0))
     figures = F.size(T.all_of(x, "[0-9]+(?:[.,][0-9]+)?")) + F.size(T.all_of(x, r"[0-9]\s*%"))
-    return d.join(e, "doc_id", "left").select(
+    hedged = T.ratio(F.size(F.filter("t", lambda w: T.in_list(w, T.HEDGES))), F.size("t"))
+    stock = T.ratio(T.occurrences(F.col("low"), T.TEMPLATE_PHRASES) * 1000.0, F.col("n"))
+    # The mean is a column of its own, or every sentence would work it out again.
+    mean = F.aggregate("sl", F.lit(0.0), lambda s, v: s + v) / F.greatest(F.lit(1), F.size("sl"))
+    d = d.select("doc_id", "t", "n", "sl", hedged.alias("hedged"), stock.alias("stock"), mean.alias("mean"), figures.alias("figures"))
+    # Terms are counted inside the row, so nothing is shuffled.
+    d = corpus.term_arrays(d, F.col("t"), "n", "sl", "hedged", "stock", "mean", "figures")
+    d = d.withColumns({"kinds": F.size("counted"), "clogc": F.aggregate("counted", F.lit(0.0), lambda s, v: s + v["n"] * F.log(v["n"]))})
+    square = F.aggregate("sl", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean"))) / F.greatest(F.lit(1), F.size("sl"))
+    total = F.when(F.col("total") > 0, F.col("total").cast("double"))
+    entropy = (F.log(total) - F.col("clogc") / total) / F.log(F.lit(2.0))
+    return d.select(
         "doc_id",
-        rnd(T.ratio(F.size(F.filter("t", lambda w: T.in_list(w, T.HEDGES))), F.size("t")), 4).alias("hedging_ratio"),
-        rnd(T.ratio(T.occurrences(F.col("low"), T.TEMPLATE_PHRASES) * 1000.0, F.col("n")), 2).alias("template_repetition"),
-        rnd(F.sqrt(square) / F.greatest(F.lit(1.0), mean), 4).alias("burstiness_cv"),
+        rnd(F.col("hedged"), 4).alias("hedging_ratio"),
+        rnd(F.col("stock"), 2).alias("template_repetition"),
+        rnd(F.sqrt(square) / F.greatest(F.lit(1.0), F.col("mean")), 4).alias("burstiness_cv"),
         F.coalesce(rnd(1.0 - entropy / F.greatest(F.lit(0.0001), F.log(F.greatest(F.lit(2), F.col("kinds"))) / F.log(F.lit(2.0))), 4), F.lit(1.0)).alias("perplexity_proxy"),
-        rnd(clamp(figures * 100.0 / F.greatest(F.lit(1.0), F.col("n") / 25.0)), 1).alias("claim_specificity"),
+        rnd(clamp(F.col("figures") * 100.0 / F.greatest(F.lit(1.0), F.col("n") / 25.0)), 1).alias("claim_specificity"),
     )
 
 
