@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls as U
 from crawlframe.functions.common import clamp, pct, rnd
-from crawlframe.functions.text import all_of
+from crawlframe.functions.text import all_of, has_any
 
 # Fixed values.
 GENERIC_ALT = ["image", "photo", "picture", "img", "фото", "картинка"]
@@ -242,12 +242,15 @@ def image_inventory(img: DataFrame) -> DataFrame:
 def trust_signals(text: Column) -> Column:
     """Whether a text shows contacts, legal documents, an author, reviews and badges."""
     low = F.lower(text)
+    said = lambda *parts: has_any(low, list(parts))
+    # What stands before a number's first digit or before the last letter of a mail name changes nothing about there being one.
+    number, mail = low.rlike(r"\d[\d\s\-()]{7,}\d"), F.contains(low, F.lit("@")) & low.rlike(r"[a-z0-9._%+-]@[a-z0-9.-]+\.[a-z]{2}")
     return F.struct(
-        low.rlike(r"(\+?\d[\d\s\-()]{7,}\d)|([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})|contact|phone|call us|support|help center|e-?mail").alias("contact"),
-        low.rlike("privacy|terms|policy|cookie|gdpr|ccpa|disclaimer").alias("legal"),
-        low.rlike("author|written by|reviewed by|editor").alias("author"),
-        low.rlike("review|rating|testimonial").alias("reviews"),
-        low.rlike("certified|award|guarantee|verified").alias("badges"),
+        (said("contact", "phone", "call us", "support", "help center", "email", "e-mail") | mail | number).alias("contact"),
+        said("privacy", "terms", "policy", "cookie", "gdpr", "ccpa", "disclaimer").alias("legal"),
+        said("author", "written by", "reviewed by", "editor").alias("author"),
+        said("review", "rating", "testimonial").alias("reviews"),
+        said("certified", "award", "guarantee", "verified").alias("badges"),
     )
 
 

@@ -308,7 +308,7 @@ def text_features(pages: DataFrame) -> DataFrame:
     from crawlframe.operators import markup as M
 
     x, low = F.col("text"), F.lower("text")
-    markers = [low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){m}([^\p{{L}}\p{{N}}_]|$)").cast("int") for m in T.TECH_MARKERS] + [F.contains(low, F.lit(m)).cast("int") for m in T.AI_MARKERS]
+    markers = [T.has_word(low, m).cast("int") for m in T.TECH_MARKERS] + [F.contains(low, F.lit(m)).cast("int") for m in T.AI_MARKERS]
     p = pages.withColumns({"t": T.tokens(x), "w": T.words(low), "s": T.sentences(x), "signals": M.trust_signals(F.concat_ws(" ", "title", "text"))})
     content = F.filter("w", lambda v: (F.length(v) > 2) & ~T.in_list(v, T.STOP_WORDS))
     p = p.withColumn("c", content)
@@ -320,7 +320,7 @@ def text_features(pages: DataFrame) -> DataFrame:
             "markers": sum(markers[1:], markers[0]).cast("long"),
             "toxic_pct": F.floor(share(F.filter("t", lambda v: T.in_list(v, T.TOXIC_WORDS)), "t") * 100.0 * 100.0 + 0.5) / 100.0,
             "filler_ratio": F.floor(share(F.filter("w", lambda v: T.in_list(v, T.FILLER_WORDS)), "w") * 10000.0 + 0.5) / 10000.0,
-            "technical_words": low.rlike(r"(^|[^\p{L}\p{N}_])(api|sdk|json|http|ssl|tls|csp)([^\p{L}\p{N}_]|$)"),
+            "technical_words": T.has_word(low, "api", "sdk", "json", "http", "ssl", "tls", "csp"),
             **{k: F.col(f"signals.{k}") for k in ("contact", "legal", "reviews", "badges")},
             "has_author": F.col("signals.author") | (F.col("author") != ""),
             "unique_pct": F.when(F.size("c") == 0, 0.0).otherwise(F.floor(share(F.array_distinct("c"), "c") * 1000.0 + 0.5) / 10.0),
@@ -328,8 +328,8 @@ def text_features(pages: DataFrame) -> DataFrame:
             "lexical_diversity": F.floor(share(F.array_distinct("w"), "w") * 10000.0 + 0.5) / 10000.0,
             "long_sentence_ratio": F.floor(share(F.filter("s", lambda v: F.size(T.words(v)) > 20), "s") * 10000.0 + 0.5) / 10000.0,
             "stopword_ratio": F.floor((1.0 - share("c", "w")) * 10000.0 + 0.5) / 10000.0,
-            "uppercase_ratio": F.floor(T.ratio(F.regexp_count(x, F.lit(r"\p{Lu}")), F.regexp_count(x, F.lit(r"\p{L}"))) * 10000.0 + 0.5) / 10000.0,
-            "punctuation_ratio": F.floor(T.ratio(F.regexp_count(x, F.lit("[!?.,;:]")), F.length(x)) * 10000.0 + 0.5) / 10000.0,
+            "uppercase_ratio": F.floor(T.ratio(T.count_chars(x, r"\P{Lu}+"), T.count_chars(x, r"\P{L}+")) * 10000.0 + 0.5) / 10000.0,
+            "punctuation_ratio": F.floor(T.ratio(T.count_chars(x, "[^!?.,;:]+"), F.length(x)) * 10000.0 + 0.5) / 10000.0,
             "text_html_ratio": F.floor(T.ratio(F.length(x), F.length("html")) * 10000.0 + 0.5) / 10000.0,
             "duplicate_sentence_ratio": F.floor(T.ratio(F.size("s") - F.size(F.array_distinct("s")), F.size("s")) * 10000.0 + 0.5) / 10000.0,
             "template_repetition": F.floor(T.ratio(T.occurrences(low, T.TEMPLATE_PHRASES) * 1000.0, F.size("w")) * 100.0 + 0.5) / 100.0,
@@ -347,13 +347,9 @@ def top_shares(pages: DataFrame) -> DataFrame:
 
     def share(sorted_: str) -> Column:
         # The longest run of equal terms, side by side in the sorted array.
-        begin = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-        def step(a, x):
-            run = F.when(x == a["last"], a["run"] + 1).otherwise(1)
-            return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
-
-        return F.floor(F.aggregate(sorted_, begin, step)["most"] * 10000.0 / F.greatest(F.lit(1), F.size(sorted_)) + 0.5) / 100.0
+        again = F.array_join(F.zip_with(sorted_, F.slice(sorted_, F.lit(2), F.size(sorted_)), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
+        most = F.when(F.size(sorted_) == 0, 0).otherwise(F.array_max(F.transform(F.split(again, "0+"), F.length)) + 1)
+        return F.floor(most * 10000.0 / F.greatest(F.lit(1), F.size(sorted_)) + 0.5) / 100.0
 
     return p.withColumns({"top_term_pct": share("g1"), "top_bigram_pct": share("g2"), "top_trigram_pct": share("g3")}).drop("g1", "g2", "g3")
 

@@ -154,7 +154,7 @@ _PHRASES = " + ".join(f"CAST(contains(lower(text), {_list([m])[1:-1]}) AS INTEGE
 def h7_machine_markers(spark, sf_dir):
     """Different marker phrases and words that a text holds, and per thousand words."""
     low = F.lower("text")
-    found = [low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){m}([^\p{{L}}\p{{N}}_]|$)").cast("int") for m in T.TECH_MARKERS] + [F.contains(low, F.lit(m)).cast("int") for m in T.AI_MARKERS]
+    found = [T.has_word(low, m).cast("int") for m in T.TECH_MARKERS] + [F.contains(low, F.lit(m)).cast("int") for m in T.AI_MARKERS]
     d = docs(spark, sf_dir).select("doc_id", sum(found[1:], found[0]).alias("n"), F.size(T.words(F.col("text"))).alias("words"))
     return d.select("doc_id", F.col("n").cast("long").alias("markers"), rnd(T.ratio(F.col("n") * 1000.0, F.col("words")), 2).alias("markers_per_1k"))
 

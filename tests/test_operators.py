@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crawlframe.functions import text as T
 from crawlframe.functions import urls as U
 from crawlframe.functions.rules import Rule, health, issues
-from crawlframe.operators import backlinks, corpus, events, graph, html, keywords, sampling, site_files
+from crawlframe.operators import backlinks, corpus, events, graph, html, keywords, markup, sampling, site_files
 from crawlframe.plans import text_queries
 from crawlframe.sources import readers, sinks
 from crawlframe.sources.scratch import scratch_path
@@ -290,3 +290,28 @@ def test_style_metrics_work_the_mean_out_once_and_shuffle_nothing(spark, tmp_pat
     mean = sum(n) / len(n)
     assert got[0].burstiness_cv == round(math.sqrt(sum((x - mean) ** 2 for x in n) / len(n)) / mean, 4)
     assert [got[i].perplexity_proxy for i in (1, 2, 3)] == [1.0, 1.0, 1.0]
+
+
+def test_words_signs_and_signals_equal_their_plain_patterns(spark):
+    parts = ["ai", "http", "xhttp", "apis", "_api", "tls.", "\U0001d400ai", "\U0001f600ai", "sais ai", "ai\n", "я", "É", "ß!", "+49 (30) 123-45 6", "12345678", "a.b@c.de", "@c.de", "a@b.c", "e-mail", "review", "award", "terms", "call us", ",;:", "\U0001d400"]
+    rng = random.Random(6)
+    texts = ["", None, *parts, *("".join(rng.choices([*parts, " ", "."], k=rng.randint(2, 6))) for _ in range(400))]
+    x = F.col("x")
+    plain = lambda some: x.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({some})([^\p{{L}}\p{{N}}_]|$)")
+    tech = ("api", "sdk", "json", "http", "ssl", "tls", "csp")
+    signals = markup.trust_signals(x)
+    low = F.lower(x)
+    contact = low.rlike(r"(\+?\d[\d\s\-()]{7,}\d)|([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})|contact|phone|call us|support|help center|e-?mail")
+    pairs = {
+        "ai": (T.has_word(x, "ai"), plain("ai")),
+        "tech": (T.has_word(x, *tech), plain("|".join(tech))),
+        "upper": (T.count_chars(x, r"\P{Lu}+"), F.regexp_count(x, F.lit(r"\p{Lu}"))),
+        "letters": (T.count_chars(x, r"\P{L}+"), F.regexp_count(x, F.lit(r"\p{L}"))),
+        "signs": (T.count_chars(x, "[^!?.,;:]+"), F.regexp_count(x, F.lit("[!?.,;:]"))),
+        "contact": (signals["contact"], contact),
+        "legal": (signals["legal"], low.rlike("privacy|terms|policy|cookie|gdpr|ccpa|disclaimer")),
+        "badges": (signals["badges"], low.rlike("certified|award|guarantee|verified")),
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "x string")
+    for name, (a, b) in pairs.items():
+        assert frame.where(~a.eqNullSafe(b)).collect() == [], name
