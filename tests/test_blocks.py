@@ -93,3 +93,13 @@ def test_things_and_their_properties(spark):
     assert "outside" not in {v for v, _ in found.values()} and found[items["microdata", ""].item, "name"] == ("no type", None)
     names = {(r.type, r.name) for r in K.dom_entities(n).collect()}
     assert names == {("Organization", "ACME Works"), ("PostalAddress", "Main street 5"), ("FAQPage", "Asked often"), ("Review", "Good one")}
+
+
+def test_pages_are_parsed_once_and_in_small_batches(spark, monkeypatch):
+    key, rows, cut = "spark.sql.execution.arrow.maxRecordsPerBatch", [], K.cut
+    before = spark.conf.get(key)
+    monkeypatch.setattr(K, "cut", lambda df: (rows.append(int(spark.conf.get(key))), cut(df))[1])
+    n = K.nodes(pages_of(spark, THINGS))
+    assert rows == [K.PAGE_ROWS] and spark.conf.get(key) == before
+    for found in (n, K.dom_items(n), K.dom_properties(n), K.segments(n)):
+        assert "mapinpandas" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
