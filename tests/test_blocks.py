@@ -103,3 +103,15 @@ def test_pages_are_parsed_once_and_in_small_batches(spark, monkeypatch):
     assert rows == [K.PAGE_ROWS] and spark.conf.get(key) == before
     for found in (n, K.dom_items(n), K.dom_properties(n), K.segments(n)):
         assert "mapinpandas" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_segmentation_cuts_each_text_into_words_once(spark):
+    n, key = K.nodes(pages_of(spark, NOISY)), "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        plan = K.segmentation(n)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    # Words of four extractors, supporting blocks and headings; addresses in three; words of blocks, and of landmarks.
+    assert plan.count("regexp_extract_all(") <= 11
