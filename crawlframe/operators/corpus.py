@@ -39,6 +39,40 @@ def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
     return rows.select("doc_id", "c.term", "c.n", "c.first", "total")
 
 
+#: The letters and digits of content tokens, which ``content_tokens`` lower-cases before it looks for them.
+TOKEN_CHARS = "".join(chr(c) for a, b in ("AZ", "az", "АЯ", "ая", "09") for c in range(ord(a), ord(b) + 1))
+
+
+def beginning_cosines(docs: DataFrame, length: Column, *keep: str) -> DataFrame:
+    """``(doc_id, cosine)`` and columns to keep: of the counts of content tokens in a text and in its beginning of such a length.
+
+    It is 0 where they share none. The text is cut before the token that the length may divide, and each part is looked through
+    once: tokens before are in both, of that token's beginning in the beginning only, and of all behind in the text only. All
+    are counted in one sorted array of the row, marked by signs that sort before letters and digits, so a token's counts are side
+    by side. Nothing is shuffled.
+    """
+    head = F.lower(F.substr("text", F.lit(1), length))
+    rows = docs.select("doc_id", *keep, head.alias("head"), F.lower(F.substr("text", length + 1)).alias("rest"))
+    rows = rows.withColumn("whole", F.rtrim("head", F.lit(TOKEN_CHARS)))
+    rows = rows.withColumn("divided", F.substr("head", F.length("whole") + 1))
+    found = lambda text, mark: F.transform(lowered_tokens(text), lambda x: F.concat(x, F.lit(mark))) if mark else lowered_tokens(text)
+    tokens = F.concat(found(F.col("whole"), ""), found(F.col("divided"), "*"), found(F.concat("divided", "rest"), "+"))
+    rows = term_arrays(rows, tokens, *keep)
+    zero = F.lit(0).cast("long")
+    # (token, n in the text, n in the beginning) of an entry and what the two entries after it add, if they are of its token.
+    told = lambda c: F.struct(F.rtrim(c["term"], F.lit("*+")).alias("t"), F.when(F.endswith(c["term"], F.lit("*")), zero).otherwise(c["n"]).alias("p"), F.when(F.endswith(c["term"], F.lit("+")), zero).otherwise(c["n"]).alias("q"))
+    rows = rows.select("doc_id", *keep, F.transform("counted", told).alias("c"))
+    add = lambda a, b: F.when(a["t"] == b["t"], F.struct(a["t"].alias("t"), (a["p"] + b["p"]).alias("p"), (a["q"] + b["q"]).alias("q"))).otherwise(a)
+    behind = lambda n: F.slice("c", F.lit(n + 1), F.size("c"))
+    rows = rows.withColumn("all", F.zip_with(F.zip_with("c", behind(1), add), behind(2), add))
+    # Only the first entry of a token has all of it.
+    first = F.zip_with("all", F.concat(F.array(F.lit("")), F.slice(F.col("c.t"), F.lit(1), F.greatest(F.lit(0), F.size("c") - 1))), lambda x, before: F.when(x["t"] != before, x))
+    rows = rows.withColumn("first", F.filter(first, lambda x: x.isNotNull()))
+    total = lambda a, b: F.aggregate("first", zero, lambda s, x: s + x[a] * x[b])
+    rows = rows.select("doc_id", *keep, total("p", "q").alias("dot"), total("p", "p").alias("pp"), total("q", "q").alias("qq"))
+    return rows.select("doc_id", *keep, F.when(F.col("dot") > 0, F.col("dot") / F.sqrt(F.col("pp").cast("double") * F.col("qq").cast("double"))).otherwise(0.0).alias("cosine"))
+
+
 def most_frequent(counted: Column, k: int) -> Column:
     """The k terms with the most occurrences, earlier ones first of equals, as ``(n, first, term)``."""
     best = F.slice(F.sort_array(F.transform(counted, lambda x: F.struct((-x["n"]).alias("m"), x["first"].alias("first"), x["term"].alias("term")))), 1, k)
@@ -256,7 +290,11 @@ def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, most: int | No
 
 
 def content_tokens(text: Column) -> Column:
-    return F.filter(all_of(F.lower(text), "[A-Za-zА-Яа-я0-9]{3,}"), lambda x: ~in_list(x, STOP_WORDS))
+    return lowered_tokens(F.lower(text))
+
+
+def lowered_tokens(text: Column) -> Column:
+    return F.filter(all_of(text, "[A-Za-zА-Яа-я0-9]{3,}"), lambda x: ~in_list(x, STOP_WORDS))
 
 
 def chunk_duplicates(chunked: DataFrame, threshold: float = 0.9, back: int = 8) -> DataFrame:

@@ -315,3 +315,25 @@ def test_words_signs_and_signals_equal_their_plain_patterns(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "x string")
     for name, (a, b) in pairs.items():
         assert frame.where(~a.eqNullSafe(b)).collect() == [], name
+
+
+def test_cosine_of_a_text_and_its_beginning_is_counted_in_the_row(spark):
+    import re
+    from collections import Counter
+
+    from crawlframe.functions.text import STOP_WORDS
+    from crawlframe.plans import registry
+
+    texts = [None, "", "ab", "pump pump valve", "pumpstation", "the thermal there", "pump PUMP, İpump valve-valve 123 пример Примеры ΣΑΣ", "abc " * 40 + "abcabc", "and andes and andes the then", "x" * 50 + " xxx xxxx xxxxx", "Ёлка ёлка лка abc1 abc 1abc"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + n, "valves and valve, pumps; pump 12 123 then there the"[:n]) for n in range(50)]
+    tokens = lambda t: Counter(w for w in re.findall("[A-Za-zА-Яа-я0-9]{3,}", t.lower()) if w not in STOP_WORDS)
+    want = {}
+    for i, t in rows:
+        a, b = tokens(t or ""), tokens((t or "")[: math.floor(len(t or "") * 0.7)])
+        dot = sum(a[x] * b[x] for x in a)
+        want[i] = dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if dot else 0.0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus.beginning_cosines(docs, F.floor(F.length("text") * 0.7).cast("int"))
+    assert {r.doc_id: round(r.cosine, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+    plan = registry.queries()["c28_three_way_difference"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
