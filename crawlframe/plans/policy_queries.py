@@ -50,7 +50,7 @@ def c22_redirect_ends(spark, sf_dir):
 @query(f"WITH RECURSIVE {_HOPS} SELECT start, hops, ms FROM ch")
 def c26_hop_times(spark, sf_dir):
     """What all hops of a chain took together."""
-    return G.hop_times(G.redirect_chains(_hops(spark, sf_dir).drop("ms")), _hops(spark, sf_dir))
+    return G.hop_times(_hops(spark, sf_dir))
 
 
 _P = "regexp_extract(url, '//[^/?#]*([^?#]*)', 1)"

@@ -337,3 +337,10 @@ def test_cosine_of_a_text_and_its_beginning_is_counted_in_the_row(spark):
     assert {r.doc_id: round(r.cosine, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
     plan = registry.queries()["c28_three_way_difference"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_times_of_hops_are_added_up_on_the_way(spark):
+    hops = [("a", "b", 301, 5), ("b", "c", 302, 7), ("x", "y", 301, 1), ("y", "x", 301, 2), ("z", "z", 301, 4)]
+    got = graph.hop_times(spark.createDataFrame(hops, "from string, to string, status int, ms long"))
+    assert rows(got) == [("a", 2, 12), ("b", 1, 7), ("x", 2, 3), ("y", 2, 3), ("z", 1, 4)]
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
