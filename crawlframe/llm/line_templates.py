@@ -25,6 +25,8 @@ no ties; an empty table gives no rows; other columns are carried as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +43,20 @@ MANY_PLACES = 10_000
 WILDCARD = "<*>"
 
 
+#: What no line of most texts has: digits, and spaces other than single ones between words.
+ODD_CHARS = r"[0-9\t\x0B\f\r]"
+
+
 def masked_lines(text: Column) -> Column:
     """Lines of a text with single spaces, and a wildcard for each token that has a digit."""
     lines = F.split(text, "\n", -1)
-    # Most texts have no other space than single ones within lines, and need no replacing line by line.
-    spaced = text.rlike(r"[ \t\x0B\f\r]{2}|[\t\x0B\f\r]|(?m:^ | $)")
-    plain = F.when(spaced, F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))).otherwise(lines)
-    return F.when(text.rlike("[0-9]"), F.transform(plain, lambda x: F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*", WILDCARD))).otherwise(plain)
+    ends = [*(F.contains(text, F.lit(x)) for x in ("  ", "\n ", " \n")), F.startswith(text, F.lit(" ")), F.endswith(text, F.lit(" "))]
+    # Most texts need no replacing line by line; plain searches tell so in less time than one pattern.
+    odd = reduce(lambda a, b: a | b, [text.rlike(ODD_CHARS), *ends])
+    spaced = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    masked = lambda x: F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*", WILDCARD)
+    plain = F.when(reduce(lambda a, b: a | b, ends) | text.rlike(r"[\t\x0B\f\r]"), F.transform(lines, spaced)).otherwise(lines)
+    return F.when(odd, F.when(text.rlike("[0-9]"), F.transform(plain, masked)).otherwise(plain)).otherwise(lines)
 
 
 def text_key(text: Column) -> Column:
@@ -61,27 +70,28 @@ def likeness(tokens: Column) -> Column:
     return F.coalesce(F.array_min(pairs), F.xxhash64(tokens[0]))
 
 
-def _tree(docs: DataFrame, *more: str) -> DataFrame:
-    """``(doc, pos, masked, n, leaf)`` and, if asked for, ``h`` of each line of a text; tokens are cut once a line."""
-    base = docs.where("text is not null").select(text_key(F.col("text")).alias("doc"), masked_lines(F.col("text")).alias("m"))
-    of = {"n": F.size, "leaf": lambda w: F.xxhash64(F.size(w), F.slice(w, 1, LEADING)), "h": likeness}
-    told = F.transform(F.transform("m", lambda x: F.split(x, " ")), lambda w: F.struct(*[of[k](w).alias(k) for k in ("n", "leaf", *more)]))
-    return base.withColumn("told", told)
+def _places(masked: Column) -> tuple[Column, Column]:
+    """Number of a masked line's tokens, and its leaf; told from the line as it is, without cutting it."""
+    n = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    return n, F.xxhash64(n, F.substring_index(masked, " ", LEADING))
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """``(doc, pos, line, leaf, before, after)`` of different texts, doc being the text's key; written once for all later steps."""
-    base = _tree(docs, "h").withColumn("h", F.col("told.h"))
-    zero, n = F.array(F.lit(0).cast("long")), F.size("h")
-    zipped = F.arrays_zip("m", "told", F.concat(zero, F.slice("h", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), n), zero).alias("after"))
-    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x")).where(F.col("x.told.n") >= MIN_TOKENS)
-    return save(rows.select("doc", "pos", text_key(F.col("x.m")).alias("line"), "x.told.leaf", "x.before", "x.after").distinct(), "lines")
+    base = docs.where("text is not null").select(text_key(F.col("text")).alias("doc"), masked_lines(F.col("text")).alias("m"))
+    base = base.withColumn("w", F.transform("m", lambda x: F.split(x, " "))).withColumn("h", F.transform("w", likeness))
+    zero, size = F.array(F.lit(0).cast("long")), F.size("h")
+    zipped = F.arrays_zip("m", F.concat(zero, F.slice("h", F.lit(1), size - 1)).alias("before"), F.concat(F.slice("h", F.lit(2), size), zero).alias("after"))
+    rows = base.select("doc", F.posexplode(zipped).alias("pos", "x"))
+    n, leaf = _places(F.col("x.m"))
+    return save(rows.where(n >= MIN_TOKENS).select("doc", "pos", text_key(F.col("x.m")).alias("line"), leaf.alias("leaf"), "x.before", "x.after").distinct(), "lines")
 
 
 def different_lines(docs: DataFrame) -> DataFrame:
     """``(masked, line, leaf)``, with repeats."""
-    rows = _tree(docs).select(F.explode(F.arrays_zip("m", "told")).alias("x")).where(F.col("x.told.n") >= MIN_TOKENS)
-    return rows.select(F.col("x.m").alias("masked"), "x.told.leaf").withColumn("line", text_key(F.col("masked")))
+    rows = docs.where("text is not null").select(F.explode(masked_lines(F.col("text"))).alias("masked"))
+    n, leaf = _places(F.col("masked"))
+    return rows.where(n >= MIN_TOKENS).select("masked", leaf.alias("leaf"), text_key(F.col("masked")).alias("line"))
 
 
 def generalised(texts: DataFrame) -> DataFrame:
@@ -105,7 +115,7 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, min_places: int = MIN_PLA
 
     # Different lines of leaves that could generalise: a field is rarer than half of three lines at least.
     texts = different_lines(docs).join(busy.where("mixed").select("leaf"), "leaf", "left_semi")
-    texts = save(texts.groupBy("leaf", "line").agg(F.first("masked").alias("masked")), "leaf-lines")
+    texts = save(texts.distinct(), "leaf-lines")
     several = save(texts.groupBy("leaf").count().where("count > 2").select("leaf"), "several")
     fields = generalised(texts.join(several, "leaf", "left_semi"))
     fields = save(fields.select("line", text_key(F.col("template")).alias("template")), "templates")

@@ -471,3 +471,15 @@ def test_licenses_by_digest(spark):
     assert [(g[0], g[1]) for g in got[7:]] == [(7, "MIT"), (8, "ISC"), (9, "BSD-3-Clause"), (10, None)] and got[10][3] == "CC-BY-NC-4.0,GPL-2.0"
     assert [(g[0], g[1], g[3] if g[0] != 1 else "") for g in got[:7]] == [(1, "MIT", ""), (2, None, "MIT"), (3, None, ""), (4, None, ""), (5, None, ""), (6, "Apache-2.0", "Apache-2.0"), (6, "Apache-2.0", "Apache-2.0")]
     assert licenses.report(docs.limit(0)).count() == 0
+
+
+def test_masked_lines_equal_plain_ones_and_are_not_cut_to_find_their_leaves(spark):
+    rng = random.Random(11)
+    parts = ["a", "b7", "7", "x-1", " ", "  ", "\t", "\r", "\n", "\n\n", " ", "\u0085", " ", "Ж", "\x0b", "\f"]
+    texts = ["", " ", "\n", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(600))]
+    plain = lambda line: re.sub(r"(?<![^ \t\n\x0b\f\r])[^ \t\n\x0b\f\r]*[0-9][^ \t\n\x0b\f\r]*", "<*>", re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" "))
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", line_templates.masked_lines(F.col("text")).alias("m"))
+    for r in found.collect():
+        assert r.m == [plain(x) for x in r.text.split("\n")], r.text
+    plan = line_templates.different_lines(spark.createDataFrame([("a b c",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == plan.count("split(text") > 0
