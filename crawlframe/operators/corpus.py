@@ -8,6 +8,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -335,25 +337,76 @@ def cosine_join(left: DataFrame, right: DataFrame, tf_idf: bool = False) -> Data
 
 #: Different (item, term) pairs whose weights are sent to all tasks at most: some 100 MB.
 ITEM_TERMS = 4_000_000
+#: Terms whose weights are sent to all tasks at most, so that not every occurrence of a common term is shuffled.
+COMMON_TERMS = 200_000
+#: Products of weights, and places for their sums, that a task works out at once: some 100 MB.
+AT_ONCE = 2_000_000
+
+
+def _common(df: DataFrame, most: int) -> DataFrame:
+    """The terms of ``df(term, df)`` that the most documents have: whole powers of two of ``df``, of ``most`` terms in all at most."""
+    power = F.floor(F.log2(F.col("df").cast("double")))
+    of, least = {r["p"]: r["n"] for r in df.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()}, None
+    for p in sorted(of, reverse=True):
+        if (most := most - of[p]) < 0:
+            break
+        least = p
+    return df.where(power >= least) if least is not None else df.limit(0)
+
 
+def _encoded(arrays: DataFrame, known: dict[str, np.ndarray], keys: list[str], more: list[str]) -> DataFrame:
+    """``(keys, more, q, places, w)`` of the documents with an asked term: its place and weight, for each.
 
-def best_matches(items: DataFrame, docs: DataFrame, k: int, tf_idf: bool = False, share: float = 1.0, digits: int | None = None) -> DataFrame:
+    ``known(term, idf, place, sums, rest)`` are terms with the place of those that are asked for (else -1). The squared weights of
+    terms where ``sums`` holds, and of all others with the weight ``rest``, are added up in q. Terms are looked up for whole batches, in the rows where they stand.
+    """
+    table = arrays.sparkSession.sparkContext.broadcast(known)
+    rows = arrays.select(*keys, *more, F.col("counted.term").alias("terms"), F.col("counted.n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
+        terms = pa.array(known["term"], pa.string())
+        # Unknown terms come last.
+        idf, place = np.append(known["idf"], known["rest"]), np.append(known["place"], -1)
+        sums = np.append(np.where(known["sums"], known["idf"] ** 2, 0.0), known["rest"] ** 2)
+        for batch in batches:
+            flat = batch.column("terms").flatten()
+            at = pc.fill_null(pc.index_in(flat, value_set=terms.cast(flat.type)), len(terms)).to_numpy(zero_copy_only=False)
+            n = batch.column("n").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False))
+            q = np.bincount(row, n * n * sums[at], len(batch))
+            asked = place[at] >= 0
+            sizes = np.bincount(row[asked], minlength=len(batch))
+            has = sizes > 0
+            ends = pa.array(np.append(0, np.cumsum(sizes[has])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place[at[asked]].astype(np.int32), n[asked] * idf[at[asked]])]
+            kept = batch.filter(pa.array(has))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in (*keys, *more)), pa.array(q[has]), *lists], [*keys, *more, "q", "places", "w"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in keys), *(f"{c} double" for c in more), "q double, places array<int>, w array<double>"]))
+
+
+def best_matches(items: DataFrame, docs: DataFrame, k: int, tf_idf: bool = False, share: float = 1.0, digits: int | None = None, common: int = COMMON_TERMS) -> DataFrame:
     """``(a, b, score, rank, scored)``: for each of ``items(doc_id, text)`` the k documents of ``docs`` with the highest score.
 
     The score is ``(share * cosine + bonus) * factor``, where ``docs(doc_id, text, bonus, factor)`` has these, rounded to so
-    many digits; lower ids first of equals. Documents that share no term with an item are no candidates. Items are a small set:
-    their weights go to every task as postings by term, a document's products are added up in its own row, and each task hands
-    on its k best of an item only, so no pairs are shuffled. A document is left out early where its terms' greatest weights
-    cannot bring it among the k best that a task has. ``scored`` counts a task's documents that were scored for the item.
+    many digits; lower ids first of equals. Where ``docs`` has its content ``tokens`` already, texts are not cut again. Documents
+    that share no term with an item are no candidates. Items are a small set: their weights go to every task as postings by
+    term, products are added up for blocks of documents at once, and each task hands on its k best of an item only, so no pairs
+    are shuffled, and of the documents' terms only those that items have and rare ones. A document is left out early where its
+    terms' greatest weights cannot bring it among the k best that a task has. ``scored`` counts a task's documents that were
+    scored for the item.
     """
-    arrays = {n: cut(term_arrays(x, content_tokens(F.col("text")))) for n, x in (("items", items), ("docs", docs))}
-    rows = {n: x.select("doc_id", F.explode("counted").alias("c")).select("doc_id", "c.term", F.col("c.n").cast("double").alias("w")) for n, x in arrays.items()}
+    more = [c for c in ("bonus", "factor") if c in docs.columns]
+    tokens = F.col("tokens") if "tokens" in docs.columns else content_tokens(F.col("text"))
+    arrays = cut(term_arrays(docs, tokens, *more).drop("total"))
+    left = term_arrays(items, content_tokens(F.col("text"))).select("doc_id", F.explode_outer("counted").alias("c")).where("c is not null")
+    left, idf = left.select("doc_id", "c.term", F.col("c.n").cast("double").alias("n")), F.lit(1.0)
     if tf_idf:
-        df = document_frequencies(arrays["docs"])
-        n = F.broadcast(arrays["docs"].agg(F.count("*").alias("docs")))
-        idf = F.log((F.col("docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0
-        rows = {m: x.join(df, "term", "left").crossJoin(n).select("doc_id", "term", (F.col("w") * idf).alias("w")) for m, x in rows.items()}
-    left = cut(rows["items"])
+        df = document_frequencies(arrays)
+        idf = F.log((F.lit(arrays.count()) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0
+        left = left.join(df, "term", "left")
+    left = cut(left.select("doc_id", "term", (F.col("n") * idf).alias("w"), idf.alias("idf")))
     if (size := left.count()) > ITEM_TERMS:
         raise ValueError(f"{size} terms of items; ask for at most {ITEM_TERMS} at once")
     given = left.toPandas().sort_values(["term", "doc_id"])
@@ -361,47 +414,73 @@ def best_matches(items: DataFrame, docs: DataFrame, k: int, tf_idf: bool = False
     at = np.searchsorted(ids, given["doc_id"].to_numpy(np.int64))
     norms = np.sqrt(np.bincount(at, given["w"].to_numpy() ** 2, len(ids)))
     terms, starts = np.unique(given["term"].to_numpy(str), return_index=True)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, terms, np.append(starts, len(given)), at.astype(np.int32), given["w"].to_numpy() / norms[at]))
-    asked = cut(left.select("term").distinct()).withColumn("asked", F.lit(True))
-    held = rows["docs"].join(asked, "term", "left").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q"), F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("t"))
-    held = held.where(F.size("t") > 0)
-    more = [c for c in ("bonus", "factor") if c in docs.columns]
-    held = held.join(docs.select("doc_id", *more), "doc_id") if more else held
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((ids, np.append(starts, len(given)), at.astype(np.int32), given["w"].to_numpy() / norms[at]))
+    asked = pd.DataFrame({"term": terms.astype(object), "place": np.arange(len(terms), dtype=np.int64), "idf": given["idf"].to_numpy()[starts]}).set_index("term")
     kind = docs.schema["doc_id"].dataType
-    held = held.select("doc_id", F.sqrt("q").alias("norm"), F.col("t.term").alias("terms"), F.col("t.w").alias("w"), *[F.col(c).cast("double").alias(c) for c in more])
-    ship(docs.sparkSession)
     flat = kind.simpleString().startswith("struct")
     fields = [f"doc_id.{f.name}" for f in kind.fields] if flat else ["doc_id"]
     keys = [f"k{i}" for i in range(len(fields))]
-    held = held.select(*[F.col(f).cast("long").alias(c) for f, c in zip(fields, keys, strict=True)], *[c for c in held.columns if c != "doc_id"])
+    arrays = arrays.select(*[F.col(f).cast("long").alias(c) for f, c in zip(fields, keys, strict=True)], *[F.col(c).cast("double").alias(c) for c in more], "counted")
+    ship(spark)
+    known, rest = asked.assign(sums=not tf_idf), 1.0
+    if tf_idf:
+        often = cut(_common(df, common).select("term", idf.alias("idf")))
+        known, rest = often.toPandas().set_index("term").assign(sums=True).join(asked["place"], how="left"), 0.0
+        more_asked = asked[~asked.index.isin(known.index)].assign(sums=False)
+        known = pd.concat([known.assign(place=known["place"].fillna(-1).astype(np.int64)), more_asked])
+    known = {"term": known.index.to_numpy(object), **{c: known[c].to_numpy(kind) for c, kind in (("idf", float), ("place", np.int64), ("sums", bool))}, "rest": rest}
+    held = _encoded(arrays, known, keys, more)
+    if tf_idf:
+        # Of the other terms, which few documents have, occurrences are joined with their frequencies.
+        rare = arrays.select(*keys, F.explode("counted").alias("c")).select(*keys, "c.term", F.col("c.n").cast("double").alias("n")).join(F.broadcast(often), "term", "left_anti").join(df, "term")
+        rare = rare.groupBy(*keys).agg(F.sum(F.col("n") * idf * F.col("n") * idf).alias("rare"))
+        held = held.join(rare, keys, "left").withColumn("q", F.col("q") + F.coalesce("rare", F.lit(0.0))).drop("rare")
+    held = held.select(*keys, *more, F.sqrt("q").alias("norm"), "places", "w")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, terms, starts, at, weights = shared.value
-        of = {t: i for i, t in enumerate(terms.tolist())}
-        most = np.maximum.reduceat(weights, starts[:-1]) if len(weights) else weights
+        ids, starts, at, weights = shared.value
+        most, postings, n = np.maximum.reduceat(weights, starts[:-1]) if len(weights) else weights, np.diff(starts), len(ids)
         best: list[list[tuple]] = [[] for _ in ids]
         margin = 10.0**-digits if digits is not None else 1e-9
-        floor, scored = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        floor, scored = np.full(n, -np.inf), np.zeros(n, np.int64)
         for batch in batches:
-            bonus = batch["bonus"].to_numpy() if "bonus" in batch else np.zeros(len(batch))
-            factor = batch["factor"].to_numpy() if "factor" in batch else np.ones(len(batch))
-            for key, norm, own, w, plus, times in zip(batch[keys].itertuples(index=False, name=None), batch["norm"], batch["terms"], batch["w"], bonus, factor, strict=True):
-                known = [of[t] for t in own]
-                w = np.asarray(w) / norm
-                # No item's product can be greater than this.
-                if (share * min(1.0, float((w * most[known]).sum())) + plus) * times + margin < floor.min():
+            if not len(batch):
+                continue
+            known = batch[keys].to_numpy(np.int64)
+            plus = batch["bonus"].to_numpy() if "bonus" in batch else np.zeros(len(batch))
+            times = batch["factor"].to_numpy() if "factor" in batch else np.ones(len(batch))
+            sizes = batch["places"].map(len).to_numpy()
+            ends = np.cumsum(sizes)
+            places = np.concatenate(batch["places"].to_list())
+            w = np.concatenate(batch["w"].to_list()) / np.repeat(batch["norm"].to_numpy(), sizes)
+            # No item's product can be greater than this.
+            bound = (share * np.minimum(1.0, np.add.reduceat(w * most[places], ends - sizes)) + plus) * times + margin
+            block = np.cumsum(np.add.reduceat(postings[places], ends - sizes) + n) // AT_ONCE
+            for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(block)) + 1):
+                rows = rows[bound[rows] >= floor.min()]
+                if not len(rows):
                     continue
-                parts = [slice(starts[i], starts[i + 1]) for i in known]
-                met = np.concatenate([at[p] for p in parts])
-                dots = np.bincount(met, np.concatenate([weights[p] * x for p, x in zip(parts, w, strict=True)]), len(ids))
-                hit = np.flatnonzero(np.bincount(met, minlength=len(ids)))
-                score = (share * dots[hit] + plus) * times
+                # The rows' (row, term) entries, and of each of them its term's postings.
+                entry = np.repeat(ends[rows] - np.cumsum(sizes[rows]), sizes[rows]) + np.arange(sizes[rows].sum())
+                owner, p = np.repeat(np.arange(len(rows)), sizes[rows]), places[entry]
+                m = postings[p]
+                index = np.repeat(starts[p] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                dots = np.bincount(np.repeat(owner, m) * n + at[index], weights[index] * np.repeat(w[entry], m), len(rows) * n).reshape(len(rows), n)
+                score = (share * dots + plus[rows, None]) * times[rows, None]
                 if digits is not None:
                     score = np.floor(score * 10.0**digits + 0.5) / 10.0**digits
-                scored[hit] += 1
-                for i, s in zip(hit[score >= floor[hit]].tolist(), score[score >= floor[hit]].tolist(), strict=True):
+                hit = dots > 0
+                scored += hit.sum(0)
+                near = hit & (score >= floor)
+                if len(rows) > k:
+                    score[~hit] = -np.inf
+                    near &= score >= np.partition(score, len(rows) - k, axis=0)[len(rows) - k]
+                for r, i in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                    if score[r, i] < floor[i]:
+                        continue
                     mine = best[i]
-                    mine.append((-s, key))
+                    mine.append((-float(score[r, i]), tuple(known[rows[r]].tolist())))
                     if len(mine) > k:
                         mine.sort()
                         mine.pop()

@@ -140,6 +140,9 @@ def h30_entity_graph(spark, sf_dir):
     return S.cooccurrence(d37_entities(spark, sf_dir))
 
 
+#: Whole words that begin with a capital, as those of RUN that have the form of a name. The capital comes first, so that not every
+#: place is looked back from; with U+10000, a letter, in its class Java looks back over whole code points.
+NAMED = "[A-ZА-Я](?<![\\p{L}\\p{N}_\U00010000][A-ZА-Я])[A-Za-zА-Яа-я0-9]{2,}+(?![\\p{L}\\p{N}_])"
 _UTILITY = "(privacy|cookie|terms|subscribe|copyright)"
 
 
@@ -158,10 +161,10 @@ def h16_chunk_ranking(spark, sf_dir):
     c = corpus.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.struct("doc_id", "idx").alias("doc_id"), F.col("chunk").alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     x, one = F.col("text"), F.lit(1.0)
-    e = F.filter(T.all_of(x, T.RUN), lambda v: v.rlike("^[A-ZА-Я][A-Za-zА-Яа-я0-9]{2,}$"))
-    entity = F.least(one, T.ratio(F.size(e), F.size(T.all_of(x, "[A-Za-zА-Яа-я0-9]+"))))
-    ratio = F.least(one, T.ratio(F.size(T.all_of(x, "[A-Za-zА-Яа-я0-9]")), F.length(x)))
-    utility = F.lower(x).rlike(_UTILITY) | (F.size(corpus.content_tokens(x)) < 35)
-    c = c.withColumns({"bonus": 0.2 * entity + 0.15 * ratio, "factor": F.when(utility, 0.55).otherwise(1.0)})
+    c = c.withColumns({"tokens": corpus.content_tokens(x), "runs": T.all_of(x, "[A-Za-zА-Яа-я0-9]+"), "named": F.regexp_count(x, F.lit(NAMED))})
+    entity = F.least(one, T.ratio(F.col("named"), F.size("runs")))
+    ratio = F.least(one, T.ratio(F.length(F.concat_ws("", "runs")), F.length(x)))
+    utility = T.has_any(F.lower(x), _UTILITY.strip("()").split("|")) | (F.size("tokens") < 35)
+    c = c.select("doc_id", "tokens", (0.2 * entity + 0.15 * ratio).alias("bonus"), F.when(utility, 0.55).otherwise(1.0).alias("factor"))
     found = corpus.best_matches(items, c, 3, tf_idf=True, share=0.65, digits=4)
     return found.select(F.col("a").alias("item_id"), "b.doc_id", "b.idx", "score", "rank")

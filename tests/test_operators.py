@@ -12,7 +12,7 @@ from crawlframe.functions import text as T
 from crawlframe.functions import urls as U
 from crawlframe.functions.rules import Rule, health, issues
 from crawlframe.operators import backlinks, corpus, events, graph, html, keywords, markup, sampling, site_files
-from crawlframe.plans import text_queries
+from crawlframe.plans import score_queries, text_queries
 from crawlframe.sources import readers, sinks
 from crawlframe.sources.scratch import scratch_path
 
@@ -344,3 +344,20 @@ def test_times_of_hops_are_added_up_on_the_way(spark):
     got = graph.hop_times(spark.createDataFrame(hops, "from string, to string, status int, ms long"))
     assert rows(got) == [("a", 2, 12), ("b", 1, 7), ("x", 2, 3), ("y", 2, 3), ("z", 1, 4)]
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_matches_are_the_same_whatever_terms_are_common_and_cut_no_text_twice(spark):
+    rng = random.Random(5)
+    words = [a + b + c for a in "bcdfg" for b in "aei" for c in "klmn"]
+    texts = [(i, " ".join(rng.choices(words, weights=range(1, len(words) + 1), k=rng.randint(1, 30)))) for i in range(3000)]
+    items, docs = spark.createDataFrame(texts[:15], "doc_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = {}
+    for r in corpus.cosine_join(items, docs, True).collect():
+        want.setdefault(r.a, []).append((-math.floor(r.cosine * 1e6 + 0.5), r.b))
+    for common in (0, 20, 1000):
+        cut = docs.select("doc_id", corpus.content_tokens(F.col("text")).alias("tokens"))
+        got = sorted((r.a, r["rank"], r.b) for r in corpus.best_matches(items, cut, 5, True, digits=6, common=common).collect())
+        assert got == [(a, i + 1, b) for a in sorted(want) for i, (_, b) in enumerate(sorted(want[a])[:5])]
+    names = spark.createDataFrame([(x,) for x in ("", "Abc", "aAbc Abc_ Ab Ábc AbcÁ Жук ЖукЖ9 _Abc Abc-Def", "Abć A\U0001d400bc Abc\U0001d400")], "x string")
+    plain = F.size(F.filter(T.all_of(F.col("x"), T.RUN), lambda v: v.rlike("^[A-ZА-Я][A-Za-zА-Яа-я0-9]{2,}$")))
+    assert names.where(plain != F.regexp_count("x", F.lit(score_queries.NAMED))).count() == 0
