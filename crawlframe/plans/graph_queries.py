@@ -32,7 +32,7 @@ _DEG = "de AS (SELECT node, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS ou
 
 @query(f"{_RANK}, {_PR} SELECT * FROM pr")
 def i1_pagerank(spark, sf_dir):
-    return G.pagerank(edges(spark, sf_dir), graph_nodes(spark, sf_dir))
+    return G.pagerank(G.cut(edges(spark, sf_dir)), graph_nodes(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, {_DEG} SELECT * FROM de")
@@ -54,8 +54,10 @@ _SCORES = f"""ls AS (SELECT node, pagerank, la AS link_authority, floor(greatest
 @query(f"{_RANK}, {_PR}, {_DEG}, {_SEM}, {_SCORES} SELECT * FROM ls")
 def i4_link_scores(spark, sf_dir):
     """Authority and quality; the number of topical links stands in from the link table."""
-    semantic = link_occurrences(spark, sf_dir).groupBy(F.col("src").alias("node")).agg((F.count("*") % 4).alias("semantic"))
-    return G.link_scores(G.pagerank(edges(spark, sf_dir), graph_nodes(spark, sf_dir)), G.degrees(link_occurrences(spark, sf_dir), graph_nodes(spark, sf_dir)), semantic)
+    links, nodes = G.cut(link_occurrences(spark, sf_dir)), graph_nodes(spark, sf_dir)
+    known = G.cut(G.known_edges(links, nodes))
+    semantic = links.groupBy(F.col("src").alias("node")).agg((F.count("*") % 4).alias("semantic"))
+    return G.link_scores(G.pagerank(known, nodes), G.degrees(links, nodes, known), semantic)
 
 
 _STATUS = "st AS (SELECT 'c' || c_custkey AS node, CASE c_custkey % 9 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 ELSE 200 END AS code FROM customer)"

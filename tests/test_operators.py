@@ -361,3 +361,16 @@ def test_best_matches_are_the_same_whatever_terms_are_common_and_cut_no_text_twi
     names = spark.createDataFrame([(x,) for x in ("", "Abc", "aAbc Abc_ Ab Ábc AbcÁ Жук ЖукЖ9 _Abc Abc-Def", "Abć A\U0001d400bc Abc\U0001d400")], "x string")
     plain = F.size(F.filter(T.all_of(F.col("x"), T.RUN), lambda v: v.rlike("^[A-ZА-Я][A-Za-zА-Яа-я0-9]{2,}$")))
     assert names.where(plain != F.regexp_count("x", F.lit(score_queries.NAMED))).count() == 0
+
+
+def test_pagerank_of_pages_with_several_rows_of_links_equals_plain_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS_A_ROW", 3)
+    rng = random.Random(8)
+    names = [f"p{i}" for i in range(30)]
+    links = sorted({("p0", x) for x in names[5:]} | {(rng.choice(names[:20]), rng.choice(names)) for _ in range(60)})
+    score, out = dict.fromkeys(names, 1 / 30), {x: sum(a == x for a, _ in links) for x in names}
+    for _ in range(20):
+        lost = sum(s for x, s in score.items() if not out[x])
+        score = {x: 0.15 / 30 + 0.85 * sum(score[a] / out[a] for a, b in links if b == x) + 0.85 * lost / 30 for x in names}
+    found = graph.pagerank(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(x,) for x in names], "node string"))
+    assert {r.node: r.pagerank for r in found.collect()} == pytest.approx({x: s / max(score.values()) * 100 for x, s in score.items()}, abs=0.006)
