@@ -85,18 +85,25 @@ def long_terms(text: Column, least: int = 4) -> Column:
     return F.filter(words(F.lower(text)), lambda x: F.length(x) >= least)
 
 
-def document_frequencies(arrays: DataFrame) -> DataFrame:
+def document_frequencies(arrays: DataFrame, terms: str = "counted.term") -> DataFrame:
     """``(term, df)`` of ``term_arrays``, written once, so that joins with it can be broadcast or split by Spark."""
-    return cut(arrays.select(F.explode("counted.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    return cut(arrays.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
 
 
-def tfidf(docs: DataFrame, frequent: int = 50, best: int = 10) -> DataFrame:
-    """The best terms of each document among its most frequent, by tf * ln(N / df)."""
-    arrays = cut(term_arrays(docs, long_terms(F.col("text"))))
-    df = document_frequencies(arrays)
+def tfidf(docs: DataFrame, frequent: int = 50, best: int = 10, common: int | None = None) -> DataFrame:
+    """The best terms of each document among its most frequent, by tf * ln(N / df).
+
+    Frequencies of common terms are sent to all tasks, so that a document's terms mostly stay in one place and only its best of
+    these are shuffled; those of rare terms are joined.
+    """
+    arrays = term_arrays(docs, long_terms(F.col("text"))).select("doc_id", "total", F.col("counted.term").alias("terms"), most_frequent(F.col("counted"), frequent).alias("often"))
+    arrays = cut(arrays)
+    df = document_frequencies(arrays, "terms")
     n = arrays.agg(F.count("*").alias("docs"))
-    often = arrays.select("doc_id", "total", F.explode(most_frequent(F.col("counted"), frequent)).alias("o")).select("doc_id", "total", "o.*")
-    scored = often.join(df, "term").crossJoin(F.broadcast(n)).withColumn("raw", F.col("n") / F.col("total") * F.log(F.col("docs") / F.col("df")))
+    often = arrays.select("doc_id", "total", F.explode("often").alias("o")).select("doc_id", "total", "o.*")
+    known = F.broadcast(cut(_common(df, COMMON_TERMS if common is None else common)))
+    met = often.join(known, "term").union(often.join(known, "term", "left_anti").join(df, "term"))
+    scored = met.crossJoin(F.broadcast(n)).withColumn("raw", F.col("n") / F.col("total") * F.log(F.col("docs") / F.col("df")))
     scored = scored.where("raw > 0.0001").withColumn("score", rnd(F.col("raw"), 6))
     return top_k(scored, ["doc_id"], [F.desc("score"), F.desc("n"), F.asc("first")], best).select("doc_id", "rank", "term", "score")
 

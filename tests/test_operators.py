@@ -374,3 +374,13 @@ def test_pagerank_of_pages_with_several_rows_of_links_equals_plain_rounds(spark,
         score = {x: 0.15 / 30 + 0.85 * sum(score[a] / out[a] for a, b in links if b == x) + 0.85 * lost / 30 for x in names}
     found = graph.pagerank(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(x,) for x in names], "node string"))
     assert {r.node: r.pagerank for r in found.collect()} == pytest.approx({x: s / max(score.values()) * 100 for x, s in score.items()}, abs=0.006)
+
+
+def test_tfidf_is_the_same_whatever_terms_are_common(spark):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights=range(1, 41), k=rng.randint(0, 25)))) for i in range(200)] + [(900, None)], "doc_id long, text string").repartition(3)
+    found = [sorted(map(tuple, corpus.tfidf(docs, 8, 3, common=n).collect())) for n in (0, 12, 1000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 400
+    df = spark.createDataFrame([("a", 9), ("b", 8), ("c", 4), ("d", 1)], "term string, df long")
+    assert [sorted(r.term for r in corpus._common(df, n).collect()) for n in (0, 1, 2, 3, 9)] == [[], [], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
