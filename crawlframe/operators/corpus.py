@@ -264,7 +264,8 @@ def _near_hashes(distinct: DataFrame, most: int, blocks: int) -> DataFrame:
     keyed = distinct.select("simhash", "doc_id", "copies", F.explode(F.array(*[choice(c) for c in combinations(range(blocks), blocks - most)])).alias("k"))
     a, b = (keyed.select("k.left_out", "k.bits", F.col("doc_id").alias(x), F.col("simhash").alias(f"h{x}"), F.col("copies").alias(f"c{x}")) for x in "ab")
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    found = a.join(b, ["left_out", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= most))
+    # Spark does not see that a hash is a row for each choice, takes the keys for a small table and sends them to all by the driver.
+    found = a.hint("merge").join(b, ["left_out", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= most))
     for i, (lo, hi) in enumerate(spans[:-1]):
         found = found.where((F.col("left_out").bitwiseAND(F.lit(1 << i)) == 0) | (part(differ, lo, hi) != 0))
     return found.select("a", "b", "ca", "cb", F.bit_count(differ).cast("int").alias("distance"))

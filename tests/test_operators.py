@@ -153,6 +153,15 @@ def test_near_hashes_shuffle_no_pairs(spark):
     assert sorted(rows(corpus.hamming_neighbours(df))) == sorted((i, values.count(v), values.count(v) - 1 + near(v)) for v, i in first.items())
 
 
+def test_keys_of_hashes_are_not_broadcast(spark):
+    """A row for each choice of blocks looks like one a hash to Spark, which would gather those of a million hashes in the driver."""
+    df = graph.cut(spark.range(200).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("simhash")))
+    for found in (corpus.hamming_pairs(df, 1, 3), corpus.hamming_neighbours(df, 1, 3)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [left_out" in plan and "BroadcastHashJoin [left_out" not in plan
+
+
 def test_group_shares_need_no_window_over_all_groups(spark):
     e = spark.createDataFrame([("a", 30), ("b", 30), ("c", 20)], "norm string, demand long")
     assigned = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "norm string, leader string")
